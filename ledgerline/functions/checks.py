@@ -66,9 +66,10 @@ class Rule:
 def finish(df: DataFrame, tolerance: float) -> DataFrame:
     """Turn (_calculated, reported_value, _variance, _lacking, _blocked) into the public columns."""
     applicable = ~F.col("_blocked") & (F.col("_lacking") == "")
-    variance = F.coalesce(F.col("_variance"), round_to(F.col("_calculated") - F.col("reported_value"), 4))
+    variance = F.coalesce(F.col("_variance"), round_to(F.col("_difference"), 4))
     return (
-        df.withColumn("variance", F.when(applicable, variance + 0.0))
+        df.withColumn("_difference", F.col("_calculated") - F.col("reported_value"))
+        .withColumn("variance", F.when(applicable, variance + 0.0))
         .withColumns(
             {
                 "calculated_value": F.when(applicable, F.col("_calculated")),
@@ -88,34 +89,56 @@ def emit_checks(
 ) -> DataFrame:
     """Fan one document row out to one row per rule.
 
-    The rows are multiplied by a literal list of rule numbers and each output column is a CASE over that number, so
-    unused columns are pruned, nothing shuffles and the stage stays in generated code.
+    What a rule computes is laid out in columns first, then the rows are multiplied by a literal list of rule numbers
+    and each output column picks its rule's. Unused columns are pruned, nothing shuffles, and the expressions stay
+    small enough for generated code.
     """
+    null = F.lit(None).cast("double")
+    parts = {
+        "formula": lambda r: F.lit(r.formula) if isinstance(r.formula, str) else r.formula,
+        "inputs": lambda r: input_map(r.inputs),
+        "calculated": lambda r: r.calculated,
+        "reported": lambda r: r.reported,
+        "variance": lambda r: null if r.variance is None else r.variance,
+        "lacking": lambda r: r.lacking,
+        "blocked": lambda r: F.lit(False) if r.blocked is None else r.blocked,
+        "emit": lambda r: F.lit(True) if r.emit is None else r.emit,
+    }
+    laid_out = docs.select(
+        "doc_id", *[of(rule).alias(f"_{part}_{rule.order}") for part, of in parts.items() for rule in rules]
+    )
 
-    def pick(values: list[Column]) -> Column:
+    def pick(part: str) -> Column:
+        if len(rules) == 1:
+            return F.col(f"_{part}_{rules[0].order}")
         chosen = None
-        for rule, value in zip(rules, values):
-            hit = F.col("rule_order") == rule.order
+        for rule in rules:
+            hit, value = F.col("rule_order") == rule.order, F.col(f"_{part}_{rule.order}")
             chosen = F.when(hit, value) if chosen is None else chosen.when(hit, value)
         return chosen
 
-    null = F.lit(None).cast("double")
-    fanned = docs.withColumn("rule_order", F.explode(F.array(*[F.lit(r.order) for r in rules])))
+    if len(rules) == 1:
+        fanned = laid_out.withColumn("rule_order", F.lit(rules[0].order))
+    else:
+        fanned = laid_out.withColumn("rule_order", F.explode(F.array(*[F.lit(r.order) for r in rules])))
     if any(r.emit is not None for r in rules):
-        fanned = fanned.where(pick([F.lit(True) if r.emit is None else r.emit for r in rules]))
+        fanned = fanned.where(pick("emit"))
+    name = F.lit(rules[0].name)
+    for rule in rules[1:]:
+        name = F.when(F.col("rule_order") == rule.order, rule.name).otherwise(name)
     fanned = fanned.select(
         "doc_id",
         F.lit(document_type).alias("document_type"),
         "rule_order",
         F.lit(None).cast("bigint").alias("line_no"),
-        pick([F.lit(r.name) for r in rules]).alias("rule_name"),
-        pick([F.lit(r.formula) if isinstance(r.formula, str) else r.formula for r in rules]).alias("formula"),
-        pick([input_map(r.inputs) for r in rules]).alias("input_values"),
-        pick([r.calculated for r in rules]).alias("_calculated"),
-        pick([r.reported for r in rules]).alias("reported_value"),
-        pick([null if r.variance is None else r.variance for r in rules]).alias("_variance"),
-        pick([r.lacking for r in rules]).alias("_lacking"),
-        pick([F.lit(False) if r.blocked is None else r.blocked for r in rules]).alias("_blocked"),
+        name.alias("rule_name"),
+        pick("formula").alias("formula"),
+        pick("inputs").alias("input_values"),
+        pick("calculated").alias("_calculated"),
+        pick("reported").alias("reported_value"),
+        pick("variance").alias("_variance"),
+        pick("lacking").alias("_lacking"),
+        pick("blocked").alias("_blocked"),
     )
     return finish(fanned, tolerance)
 

@@ -52,16 +52,22 @@ def parse_float(text: Column) -> Column:
 
 
 def parse_amount(text: Column) -> Column:
-    """Read a printed amount: brackets, trailing minus and CR negate, % divides by 100, currency and letters drop out."""
+    """Read a printed amount: brackets, trailing minus and CR negate, % divides by 100, currency and letters drop out.
+
+    Digits are read as a decimal, so that each step occurs once in the expression; only amounts beyond 30 digits are
+    read as a double again.
+    """
     inner = F.regexp_replace(text, _WRAPPED, "$1")
     digits = F.regexp_replace(inner, _NOISE, "")
     digits = F.regexp_replace(digits, r"^(\d+),(\d{1,2})$", "$1.$2")
-    digits = F.regexp_replace(digits, r"(?<=\d)_(?=\d)", "")
-    number = F.replace(digits, F.lit(","), F.lit("")).try_cast("double")
-    number = F.when(text.rlike(_PERCENT), number / 100.0).otherwise(number)
+    digits = F.regexp_replace(F.replace(digits, F.lit(","), F.lit("")), r"(?<=\d)_(?=\d)", "")
+    divisor = F.when(text.rlike(_PERCENT), F.lit(100)).otherwise(F.lit(1))
+    number = F.coalesce(
+        F.round(digits.try_cast("decimal(38,8)") / divisor, 6).cast("double"), digits.try_cast("double") / divisor
+    )
     number = F.when(text.rlike(_NEGATIVE), -F.abs(number)).otherwise(number)
-    fast = F.trim(text).try_cast("double")
-    return F.when(text.rlike(_PLAIN), round_to(fast, 6)).otherwise(round_to(number, 6))
+    plain = F.coalesce(F.round(F.trim(text).try_cast("decimal(38,8)"), 6).cast("double"), F.trim(text).try_cast("double"))
+    return F.when(text.rlike(_PLAIN), plain).otherwise(number)
 
 
 def amount(df: DataFrame, name: str) -> Column:

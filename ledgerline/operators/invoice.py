@@ -147,18 +147,21 @@ def invoice_line_checks(
     df = resolve_line_discount(lines, tolerance, from_text)
     df = df.withColumns(
         {
-            "_exact": F.when(kind == "PERCENT", round_to(q * p * (1.0 - d / 100.0), 4))
-            .when(kind == "AMOUNT", round_to(q * p - d, 4))
-            .otherwise(round_to(q * p, 4)),
+            "_raw": F.when(kind == "PERCENT", q * p * (1.0 - d / 100.0)).when(kind == "AMOUNT", q * p - d).otherwise(q * p),
             "_whole": round_to(q * p, 2),
-            "_per_unit": round_to(q * (p - d), 4),
+            "_unit_raw": q * (p - d),
+        }
+    )
+    df = df.withColumns(
+        {
+            "_exact": round_to(F.col("_raw"), 4),
+            "_cut": round_to(F.col("_whole") * (d / 100.0), 2),
+            "_per_unit": round_to(F.col("_unit_raw"), 4),
         }
     )
     df = df.withColumn(
         "_other",
-        F.when(kind == "PERCENT", round_to(F.col("_whole") - round_to(F.col("_whole") * (d / 100.0), 2), 2)).when(
-            kind == "AMOUNT", F.col("_per_unit")
-        ),
+        F.when(kind == "PERCENT", round_to(F.col("_whole") - F.col("_cut"), 2)).when(kind == "AMOUNT", F.col("_per_unit")),
     )
     nearer = F.abs(F.col("_other") - t) < F.abs(F.col("_exact") - t)
     use_other = F.coalesce(
@@ -196,69 +199,94 @@ def no_lines_checks(inputs: DataFrame, tolerance: float = DEFAULT_TOLERANCE) ->
     return emit_checks(inputs.where("n_lines = 0"), TYPE, [rule], tolerance)
 
 
-def subtotal_rule(tolerance: float) -> Rule:
-    gross = (F.col("pricing_model") == INCLUSIVE) & (
-        F.col("subtotal").isNull() | (F.abs(F.col("line_sum") - _or_zero("total_amount")) <= tolerance)
+def _prepared(inputs: DataFrame, tolerance: float) -> DataFrame:
+    """Intermediate amounts of the document rules as columns, each computed once."""
+    subtotal, total, tax_rate = F.col("subtotal"), F.col("total_amount"), F.col("tax_rate")
+    plus = subtotal + _or_zero("tax_amount") + _or_zero("shipping_amount") + _or_zero("round_off_amount")
+    minus = (
+        subtotal + _or_zero("tax_amount") - _or_zero("discount_amount") + _or_zero("shipping_amount")
+        + _or_zero("round_off_amount")
+    )
+    base = F.coalesce(subtotal, F.nullif(F.col("line_sum"), F.lit(0.0)), total)
+    tax_base = F.coalesce(total, _or_zero("subtotal") + _or_zero("tax_amount"))
+    zero = F.coalesce(F.col("tax_amount") == 0.0, F.lit(False)) | F.coalesce(tax_rate == 0.0, F.lit(False))
+    df = inputs.withColumns(
+        {
+            "_incl": F.col("pricing_model") == INCLUSIVE,
+            "_plus": plus,
+            "_minus": minus,
+            "_gross_base": base + _or_zero("shipping_amount") + _or_zero("round_off_amount"),
+            "_gross_tax": tax_base * (tax_rate / (1.0 + tax_rate)),
+            "_zero_tax": zero,
+            "_rate_tax": subtotal * tax_rate,
+            "_rounded": F.col("round_off_amount").isNotNull(),
+        }
+    )
+    meets_total = F.abs(F.col("line_sum") - _or_zero("total_amount")) <= tolerance
+    return df.withColumns(
+        {
+            "_without": round_to(F.col("_plus"), 4),
+            "_with": round_to(F.col("_minus"), 4),
+            "_gross_total": round_to(F.col("_gross_base"), 4),
+            "_added_up": F.col("_incl") & F.coalesce(F.abs(F.col("_plus") - total) <= tolerance, F.lit(False)),
+            "_to_total": F.coalesce(F.col("_incl") & (subtotal.isNull() | meets_total), F.lit(False)),
+            "_gross_tax": round_to(F.col("_gross_tax"), 4),
+            "_rate_tax": round_to(F.col("_rate_tax"), 4),
+            "_by_gross": F.col("_incl") & tax_rate.isNotNull() & (total.isNotNull() | subtotal.isNotNull()),
+        }
     )
-    target = F.when(gross, F.col("total_amount")).otherwise(F.col("subtotal"))
-    some_missing = F.col("n_totals") < F.col("n_lines")
+
+
+def subtotal_rule(tolerance: float) -> Rule:
+    target = F.when(F.col("_to_total"), F.col("total_amount")).otherwise(F.col("subtotal"))
     lacking = (
         F.when(F.col("n_lines") == 0, "line_items")
-        .when(some_missing, "line_items[*].total_price")
-        .when(F.col("subtotal").isNull() & (F.col("pricing_model") != INCLUSIVE), "subtotal")
+        .when(F.col("n_totals") < F.col("n_lines"), "line_items[*].total_price")
+        .when(F.col("subtotal").isNull() & ~F.col("_incl"), "subtotal")
         .otherwise("")
     )
-    applicable = lacking == ""
     return Rule(
         2,
         "invoice_line_items_subtotal_reconciliation",
-        F.when(applicable & gross, SUBTOTAL_GROSS).otherwise(SUBTOTAL_NET),
+        F.when((lacking == "") & F.col("_to_total"), SUBTOTAL_GROSS).otherwise(SUBTOTAL_NET),
         F.col("line_sum"),
-        F.when(applicable, target).otherwise(F.col("subtotal")),
+        F.when(lacking == "", target).otherwise(F.col("subtotal")),
         lacking,
         {"subtotal": F.col("subtotal"), "line_item_count": F.col("n_lines")},
-        variance=F.when(target.isNull(), F.lit(0.0)).otherwise(round_to(F.col("line_sum") - target, 4)),
+        variance=F.when(target.isNull(), F.lit(0.0)),
     )
 
 
 def total_rule(tolerance: float) -> Rule:
-    subtotal, total = F.col("subtotal"), F.col("total_amount")
-    inclusive = F.col("pricing_model") == INCLUSIVE
-    tax, shipping, rounding = _or_zero("tax_amount"), _or_zero("shipping_amount"), _or_zero("round_off_amount")
-    discount = _or_zero("discount_amount")
-    without = round_to(subtotal + tax + shipping + rounding, 4)
-    with_discount = round_to(subtotal + tax - discount + shipping + rounding, 4)
+    subtotal, total, inclusive, rounded = F.col("subtotal"), F.col("total_amount"), F.col("_incl"), F.col("_rounded")
     already_in_lines = (
         F.col("any_discount")
-        & (discount > 0)
-        & (F.abs(without - total) <= tolerance)
-        & (F.abs(with_discount - total) > tolerance)
+        & (F.col("discount_amount") > 0)
+        & (F.abs(F.col("_without") - total) <= tolerance)
+        & (F.abs(F.col("_with") - total) > tolerance)
     )
-    added_up = F.coalesce(F.abs(subtotal + tax + shipping + rounding - total) <= tolerance, F.lit(False))
-    base = F.coalesce(subtotal, F.nullif(F.col("line_sum"), F.lit(0.0)), total)
-    lacking = F.when(total.isNull() | (subtotal.isNull() & ~inclusive), missing(subtotal=subtotal, total_amount=total)).otherwise("")
-    rounded = F.col("round_off_amount").isNotNull()
+    not_given = total.isNull() | (subtotal.isNull() & ~inclusive)
     gross_formula = F.concat(
         F.lit("subtotal + tax_amount"),
-        F.when(shipping != 0, " + shipping_amount").otherwise(""),
+        F.when(_or_zero("shipping_amount") != 0, " + shipping_amount").otherwise(""),
         F.when(rounded, " + round_off_amount").otherwise(""),
         F.lit(" == total_amount"),
     )
     return Rule(
         3,
         "invoice_total_reconciliation",
-        F.when(lacking != "", TOTAL_NET)
-        .when(inclusive & added_up, gross_formula)
+        F.when(not_given, TOTAL_NET)
+        .when(F.col("_added_up"), gross_formula)
         .when(inclusive & rounded, TOTAL_GROSS_ROUNDED)
         .when(inclusive, TOTAL_GROSS)
         .when(rounded, TOTAL_NET_ROUNDED)
         .otherwise(TOTAL_NET),
-        F.when(inclusive & added_up, without)
-        .when(inclusive, round_to(base + shipping + rounding, 4))
-        .when(already_in_lines, without)
-        .otherwise(with_discount),
+        F.when(F.col("_added_up"), F.col("_without"))
+        .when(inclusive, F.col("_gross_total"))
+        .when(already_in_lines, F.col("_without"))
+        .otherwise(F.col("_with")),
         total,
-        lacking,
+        F.when(not_given, missing(subtotal=subtotal, total_amount=total)).otherwise(""),
         {
             "subtotal": subtotal,
             "tax_amount": F.col("tax_amount"),
@@ -273,34 +301,27 @@ def total_rule(tolerance: float) -> Rule:
 def tax_rule(tolerance: float) -> Rule:
     """Components first, then zero tax, then the inclusive form, then rate times subtotal; otherwise no check."""
     subtotal, tax, tax_rate, total = F.col("subtotal"), F.col("tax_amount"), F.col("tax_rate"), F.col("total_amount")
-    inclusive = F.col("pricing_model") == INCLUSIVE
-    parts = F.coalesce(F.col("n_components"), F.lit(0)) > 0
-    zero = F.coalesce(tax == 0.0, F.lit(False)) | F.coalesce(tax_rate == 0.0, F.lit(False))
-    gross = inclusive & tax_rate.isNotNull() & (total.isNotNull() | subtotal.isNotNull())
+    parts, zero, gross = F.coalesce(F.col("n_components"), F.lit(0)) > 0, F.col("_zero_tax"), F.col("_by_gross")
     by_rate = tax_rate.isNotNull() | (tax.isNotNull() & subtotal.isNotNull())
-    base = F.coalesce(total, _or_zero("subtotal") + _or_zero("tax_amount"))
     part_lacking = F.concat_ws(
         ", ",
         F.when(tax.isNull(), "tax_amount"),
         F.when(subtotal.isNull() & F.coalesce(F.col("any_amountless"), F.lit(False)), "subtotal"),
     )
-    calculated = (
-        F.when(parts, F.col("component_sum"))
-        .when(zero, F.lit(0.0))
-        .when(gross, round_to(base * (tax_rate / (1.0 + tax_rate)), 4))
-        .otherwise(round_to(subtotal * tax_rate, 4))
-    )
     return Rule(
         4,
         "invoice_tax_calculation",
         F.when(parts, F.col("component_formula")).when(zero, TAX_ZERO).when(gross, TAX_GROSS).otherwise(TAX_RATE),
-        calculated,
+        F.when(parts, F.col("component_sum"))
+        .when(zero, F.lit(0.0))
+        .when(gross, F.col("_gross_tax"))
+        .otherwise(F.col("_rate_tax")),
         F.when(~parts & zero, _or_zero("tax_amount")).otherwise(tax),
         F.when(parts, part_lacking).when(zero | gross, "").otherwise(missing(subtotal=subtotal, tax_rate=tax_rate, tax_amount=tax)),
         {"subtotal": subtotal, "tax_rate": tax_rate, "tax_amount": tax, "total_amount": total},
-        variance=F.when(~parts & zero, F.lit(0.0)).when(
-            ~parts & gross, round_to(calculated - _or_zero("tax_amount"), 4)
-        ),
+        variance=F.when(parts, F.lit(None).cast("double"))
+        .when(zero, F.lit(0.0))
+        .when(gross, round_to(F.col("_gross_tax") - _or_zero("tax_amount"), 4)),
         emit=parts | zero | gross | by_rate,
     )
 
@@ -338,9 +359,10 @@ def with_tax_components(
 
 
 def invoice_header_checks(inputs: DataFrame, tolerance: float = DEFAULT_TOLERANCE, only: list[int] | None = None) -> DataFrame:
-    """Subtotal, total and tax checks of each invoice in one pass over its input row."""
-    rules = [subtotal_rule(tolerance), total_rule(tolerance), tax_rule(tolerance)]
-    return emit_checks(inputs, TYPE, [r for r in rules if only is None or r.order in only], tolerance)
+    """Subtotal (2), total (3) and tax (4) checks of each invoice in one pass over its input row."""
+    rules = {2: subtotal_rule, 3: total_rule, 4: tax_rule}
+    wanted = [rule(tolerance) for order, rule in rules.items() if only is None or order in only]
+    return emit_checks(_prepared(inputs, tolerance), TYPE, wanted, tolerance)
 
 
 def invoice_checks(

@@ -64,10 +64,7 @@ def _invoice_header_checks(spark: SparkSession, sf_dir: str, only: list[int], wi
     inputs, lines, extra = _inputs(spark, sf_dir, with_extra)
     if 4 in only:
         inputs = invoice.with_tax_components(inputs, lines, extra)
-    rules = {2: invoice.subtotal_rule, 3: invoice.total_rule, 4: invoice.tax_rule}
-    from ledgerline.functions.checks import emit_checks
-
-    return emit_checks(inputs, invoice.TYPE, [rules[o](0.01) for o in only])
+    return invoice.invoice_header_checks(inputs, only=only)
 
 
 @query
