@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from ledgerline.functions.numeric import parse_amount, parse_float, parse_rate, round_to
+from ledgerline.functions.numeric import parse_amount, parse_float
 
 
 def get(value: Column, key: str) -> Column:
@@ -66,12 +66,8 @@ def amount_of(value: Column) -> Column:
     return F.when(is_string(value), parse_amount(as_text(value))).otherwise(as_double(value))
 
 
-def rate_of(value: Column) -> Column:
-    number = as_double(value)
-    scaled = F.when(number.between(0.0, 1.0), round_to(number, 6)).when(
-        (number > 1.0) & (number <= 100.0), round_to(number / 100.0, 6)
-    )
-    return F.when(is_string(value), parse_rate(as_text(value))).otherwise(scaled)
+def says_percent(value: Column) -> Column:
+    return is_string(value) & F.coalesce(as_text(value).contains("%"), F.lit(False))
 
 
 def strict_double(value: Column) -> Column:

@@ -25,12 +25,13 @@ _NOISE = (
     rf"|%[{SPACE}]*$"
     rf"|[A-Za-z{CURRENCY}{SPACE}]"
 )
+_SPACE_CHARS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _FLOAT = r"^[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?$"
 
 
 def strip(text: Column) -> Column:
     """Remove white space of every kind from both ends."""
-    return F.regexp_replace(text, rf"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(text, F.lit(_SPACE_CHARS))
 
 
 def round_to(value: Column, digits: int) -> Column:
@@ -82,32 +83,26 @@ def amount(df: DataFrame, name: str) -> Column:
     return F.lit(None).cast("double")
 
 
-def _scale_rate(number: Column) -> Column:
-    return F.when(number.between(0.0, 1.0), round_to(number, 6)).when(
-        (number > 1.0) & (number <= 100.0), round_to(number / 100.0, 6)
+def rate_of_amount(number: Column, is_percent: Column) -> Column:
+    """Fraction an amount stands for as a rate; values above 1 are percentages. ``number`` should be a plain column."""
+    return (
+        F.when(is_percent, number)
+        .when(number.between(0.0, 1.0), round_to(number, 6))
+        .when((number > 1.0) & (number <= 100.0), round_to(number / 100.0, 6))
     )
 
 
-def parse_rate(text: Column) -> Column:
-    """Printed rate as a fraction: '9%' and '9' and '0.09' are all 0.09."""
-    number = parse_amount(text)
-    return F.when(text.contains("%"), number).otherwise(_scale_rate(number))
-
-
-def rate(df: DataFrame, name: str) -> Column:
-    if name not in df.columns:
-        return F.lit(None).cast("double")
-    if isinstance(df.schema[name].dataType, StringType):
-        return parse_rate(F.col(name))
-    return _scale_rate(F.col(name).cast("double"))
-
-
 def normalize_amounts(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({c: amount(df, c) for c in columns})
 
 
 def normalize_rates(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.withColumns({c: rate(df, c) for c in columns})
+    """Printed rates as fractions: '9%' and '9' and '0.09' are all 0.09."""
+    is_text = {c: isinstance(df.schema[c].dataType, StringType) for c in columns}
+    read = df.withColumns({f"_amount_{c}": amount(df, c) for c in columns})
+    percent = {c: F.coalesce(F.col(c).contains("%"), F.lit(False)) if is_text[c] else F.lit(False) for c in columns}
+    rates = {c: rate_of_amount(F.col(f"_amount_{c}"), percent[c]) for c in columns}
+    return read.withColumns(rates).drop(*[f"_amount_{c}" for c in columns])
 
 
 def exact_sum(value: Column) -> Column:

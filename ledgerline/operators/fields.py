@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerline.functions.numeric import parse_amount, parse_rate, round_to
+from ledgerline.functions.numeric import parse_amount, rate_of_amount
 
 # Names of the rounding adjustment, in priority order.
 ROUND_OFF_KEYS = ["round_off_amount", "round_off", "rounding_amount", "rounding", "roundoff_amount", "roundoff"]
@@ -22,16 +22,13 @@ def normalize_key(key: Column) -> Column:
 def with_field_values(fields: DataFrame) -> DataFrame:
     """Add key_norm, and the amount and rate a field's text or number stands for."""
     number = F.col("text").try_cast("double")
-    plain_rate = F.when(number.between(0.0, 1.0), round_to(number, 6)).when(
-        (number > 1.0) & (number <= 100.0), round_to(number / 100.0, 6)
-    )
+    is_percent = F.coalesce(F.col("is_text") & F.col("text").contains("%"), F.lit(False))
     return fields.withColumns(
         {
             "key_norm": normalize_key(F.col("key")),
             "num": F.when(F.col("is_text"), parse_amount(F.col("text"))).otherwise(number),
-            "rate": F.when(F.col("is_text"), parse_rate(F.col("text"))).otherwise(plain_rate),
         }
-    )
+    ).withColumn("rate", rate_of_amount(F.col("num"), is_percent))
 
 
 def priority(key: Column, ordered: list[str]) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerline.functions.checks import Rule, emit_checks, finish, missing
-from ledgerline.functions.numeric import DEFAULT_TOLERANCE, amount, exact_sum, rate, round_to
+from ledgerline.functions.numeric import DEFAULT_TOLERANCE, amount, exact_sum, normalize_rates, round_to
 from ledgerline.operators.discounts import resolve_line_discount
 from ledgerline.operators.fields import ROUND_OFF_KEYS, round_off
 from ledgerline.operators.taxes import tax_components
@@ -83,11 +83,13 @@ def invoice_inputs(
     """One row per invoice with every amount the rules read, the line sums and the pricing model."""
     text = F.col("pricing_type") if "pricing_type" in headers.columns else F.lit(None).cast("string")
     direct_round_off = F.coalesce(*[amount(headers, key) for key in ROUND_OFF_KEYS])
+    if "tax_rate" in headers.columns:
+        headers = normalize_rates(headers, ["tax_rate"])
     inputs = headers.select(
         "doc_id",
         _first_present(headers, "subtotal", "taxable_amount", "taxable_value").alias("subtotal"),
         _first_present(headers, "tax_amount", "tax").alias("tax_amount"),
-        rate(headers, "tax_rate").alias("tax_rate"),
+        amount(headers, "tax_rate").alias("tax_rate"),
         amount(headers, "discount_amount").alias("discount_amount"),
         amount(headers, "shipping_amount").alias("shipping_amount"),
         _first_present(headers, "total_amount", "total").alias("total_amount"),

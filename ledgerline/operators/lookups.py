@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -135,11 +136,8 @@ CASH_METRICS = {
 
 
 def contains_any(text: Column, words: list[str]) -> Column:
-    """Whether any word occurs in the text; a chain of plain substring tests, no regular expression."""
-    found = text.contains(words[0])
-    for word in words[1:]:
-        found = found | text.contains(word)
-    return found
+    """Whether any word occurs in the text; the text is evaluated once, however many words there are."""
+    return text.contains(words[0]) if len(words) == 1 else text.rlike("|".join(re.escape(w) for w in words))
 
 
 def line_name(lines: DataFrame) -> Column:

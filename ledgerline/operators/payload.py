@@ -15,11 +15,11 @@ from ledgerline.functions.json_values import (
     is_object,
     is_present,
     is_string,
-    rate_of,
+    says_percent,
     strict_double,
     truthy,
 )
-from ledgerline.functions.numeric import strip
+from ledgerline.functions.numeric import rate_of_amount, strip
 from ledgerline.operators.fields import with_field_values
 from ledgerline.operators.taxes import NAMES as TAX_NAMES
 
@@ -221,16 +221,21 @@ def rule_headers(results: DataFrame, document_type: str) -> DataFrame:
     raw = F.col("extraction_status") == PARTIAL
     numbers = {}
     for column, names in NUMBER_FIELDS[document_type].items():
-        if column == "tax_rate":
-            numbers[column] = F.when(raw, rate_of(get(data, column))).otherwise(strict_double(get(data, column)))
-        else:
-            numbers[column] = F.when(raw, amount_of(get(data, column))).otherwise(strict_double(_first_key(data, names)))
+        numbers[column] = F.when(raw, amount_of(get(data, column))).otherwise(strict_double(_first_key(data, names)))
     for column in LOOSE_NUMBERS[document_type]:
         numbers[column] = F.when(raw, amount_of(get(data, column)))
     text = TEXT_FIELDS[document_type]
-    return results.where(
+    df = results.where(
         (F.col("checked_type") == document_type) & F.col("extraction_status").isin(SUCCESS, PARTIAL)
-    ).select("doc_id", *[as_text(get(data, c)).alias(c) for c in text], *[v.alias(c) for c, v in numbers.items()])
+    ).select(
+        "doc_id",
+        *[as_text(get(data, c)).alias(c) for c in text],
+        *[v.alias(c) for c, v in numbers.items()],
+        (raw & says_percent(get(data, "tax_rate"))).alias("_percent"),
+    )
+    if document_type == "invoice":
+        df = df.withColumn("tax_rate", rate_of_amount(F.col("tax_rate"), F.col("_percent")))
+    return df.drop("_percent")
 
 
 def explode_lines(results: DataFrame) -> DataFrame:
@@ -340,10 +345,8 @@ def explode_components(results: DataFrame) -> DataFrame:
             "doc_id",
             "pos",
             F.lower(strip(as_text(first_truthy_value(get(entry, "name"), get(entry, "tax_type"), get(entry, "type"))))).alias("name"),
-            rate_of(
-                first_truthy_value(get(entry, "rate"), get(entry, "tax_rate"), get(entry, "percentage"), get(entry, "pct"))
-            ).alias("rate"),
-            amount_of(first_truthy_value(get(entry, "amount"), get(entry, "tax_amount"), get(entry, "value"))).alias("amount"),
+            first_truthy_value(get(entry, "rate"), get(entry, "tax_rate"), get(entry, "percentage"), get(entry, "pct")).alias("_rate"),
+            first_truthy_value(get(entry, "amount"), get(entry, "tax_amount"), get(entry, "value")).alias("_amount"),
         )
         .where(F.coalesce(F.col("name"), F.lit("")) != "")
     )
@@ -357,17 +360,27 @@ def explode_components(results: DataFrame) -> DataFrame:
             "doc_id",
             "pos",
             "name",
-            F.when(is_object(entry), rate_of(first_truthy_value(get(entry, "rate"), get(entry, "tax_rate"), get(entry, "pct"))))
-            .when(percent, rate_of(entry))
-            .alias("rate"),
-            F.when(
-                is_object(entry), amount_of(first_truthy_value(get(entry, "amount"), get(entry, "tax_amount"), get(entry, "value")))
-            )
-            .when(~percent, amount_of(entry))
-            .alias("amount"),
+            F.when(is_object(entry), first_truthy_value(get(entry, "rate"), get(entry, "tax_rate"), get(entry, "pct")))
+            .when(percent, entry)
+            .alias("_rate"),
+            F.when(is_object(entry), first_truthy_value(get(entry, "amount"), get(entry, "tax_amount"), get(entry, "value")))
+            .when(~percent, entry)
+            .alias("_amount"),
+        )
+    )
+    return (
+        listed.unionByName(keyed)
+        .select(
+            "doc_id",
+            "pos",
+            "name",
+            amount_of(F.col("_rate")).alias("_number"),
+            says_percent(F.col("_rate")).alias("_percent"),
+            amount_of(F.col("_amount")).alias("amount"),
         )
+        .withColumn("rate", rate_of_amount(F.col("_number"), F.col("_percent")))
+        .drop("_number", "_percent")
     )
-    return listed.unionByName(keyed)
 
 
 def explode_evidence(parsed: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from ledgerline.operators.lookups import BANK_METRICS, CASH_METRICS, contains_an
 # Names and words that sort a balance-sheet line.
 FOOTNOTES = ["contingent", "bills for collection", "commitments", "guarantees", "off-balance"]
 TOTAL_NAMES = ["total", "total assets", "total capital and liabilities", "total liabilities and equity"]
+LEFT_OUT = "|".join(FOOTNOTES) + "|^(?:" + "|".join(TOTAL_NAMES) + ")$"
 FINANCING_CATEGORIES = ["liabilit", "equity", "capital"]
 ASSET_WORDS = [
     "cash", "bank", "investment", "advance", "loan", "fixed asset", "property", "equipment", "receivable", "inventory",
@@ -72,7 +73,7 @@ def classify_balance_lines(lines: DataFrame) -> DataFrame:
         F.lower(strip(line_name(lines))).alias("_name"),
         F.lower(F.coalesce(F.col("category"), F.lit(""))).alias("_category"),
         own.alias("amount"),
-    ).where(F.col("amount").isNotNull() & ~contains_any(F.col("_name"), FOOTNOTES) & ~F.col("_name").isin(TOTAL_NAMES))
+    ).where(F.col("amount").isNotNull() & ~F.col("_name").rlike(LEFT_OUT))
     financing_word = contains_any(F.col("_name"), FINANCING_WORDS)
     kind = (
         F.when(F.col("_category").contains("asset"), ASSET)

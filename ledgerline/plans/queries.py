@@ -9,11 +9,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerline.functions.checks import FAILED
-from ledgerline.functions.numeric import display_bytes, parse_amount, parse_rate, round_to
+from ledgerline.functions.numeric import display_bytes, normalize_rates as rates_of, parse_amount
 from ledgerline.operators import attempts, discounts, fields, invoice, lookups, pages, payload, report, statements, taxes, triage
 from ledgerline.plans.fixtures import fixture, invoice_lines
-from ledgerline.plans.reconcile import reconcile_tables, validate_responses
+from ledgerline.plans.reconcile import all_checks as all_parts, reconcile_tables, validate_responses
 from ledgerline.sources import documents, files
 from ledgerline.streaming import arrivals
 
@@ -175,7 +174,7 @@ def normalize_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = fixture(spark, sf_dir, "fx_dirty").withColumn(
         "printed", F.expr("CASE WHEN doc_id % 3 = 0 THEN concat(cast(doc_id % 150 as string), CASE WHEN doc_id % 2 = 0 THEN '%' ELSE '' END) ELSE printed END")
     )
-    return df.select("doc_id", "printed", parse_rate(F.col("printed")).alias("rate"))
+    return rates_of(df.withColumn("rate", F.col("printed")), ["rate"]).select("doc_id", "printed", "rate")
 
 
 @query
@@ -320,3 +319,350 @@ def cf_net_change(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def cf_ending_cash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cash(spark, sf_dir, [2])
+
+
+# --- all checks, summaries and reports -------------------------------------------------------------------------------
+
+
+def _all_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = fields.with_field_values(fixture(spark, sf_dir, "fx_invoice_extra"))
+    return reconcile_tables(
+        invoices=(fixture(spark, sf_dir, "fx_invoice_headers"), invoice_lines(spark, sf_dir), extra),
+        balance_sheets=(fixture(spark, sf_dir, "fx_balance_headers"), fixture(spark, sf_dir, "fx_balance_lines")),
+        profit_and_loss=_pnl_tables(spark, sf_dir),
+        cash_flows=(fixture(spark, sf_dir, "fx_cash_headers"), fixture(spark, sf_dir, "fx_cash_lines"), None),
+    )
+
+
+def _corporate_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks of statements and of invoices without their extra fields."""
+    headers, lines = fixture(spark, sf_dir, "fx_invoice_headers"), invoice_lines(spark, sf_dir)
+    inputs = invoice.with_tax_components(invoice.invoice_inputs(headers, lines), lines, None)
+    parts = [
+        invoice.invoice_line_checks(lines),
+        invoice.no_lines_checks(inputs),
+        invoice.invoice_header_checks(inputs),
+        statements.balance_sheet_checks(fixture(spark, sf_dir, "fx_balance_headers"), fixture(spark, sf_dir, "fx_balance_lines")),
+    ]
+    return all_parts(*parts)
+
+
+@query
+def all_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shown(_all_checks(spark, sf_dir)).withColumn("document_type", F.split("rule_name", "_")[0])
+
+
+@query
+def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.summarize_with_errors(_corporate_checks(spark, sf_dir))
+
+
+@query
+def check_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failed tab of the balance-sheet checks with the counters of every tab."""
+    headers, lines = fixture(spark, sf_dir, "fx_balance_headers"), fixture(spark, sf_dir, "fx_balance_lines")
+    checks = statements.balance_sheet_checks(headers, lines)
+    counts = report.status_counts(checks).withColumnRenamed("n_checks", "n_in_tab")
+    return report.filter_checks(checks, "failed").join(F.broadcast(counts), "status").select(
+        "doc_id", "rule_name", "status", "variance", "n_in_tab"
+    )
+
+
+@query
+def rule_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.rule_report(_corporate_checks(spark, sf_dir))
+
+
+# --- responses -------------------------------------------------------------------------------------------------------
+
+
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return payload.parse_responses(fixture(spark, sf_dir, "fx_responses"))
+
+
+@query
+def scan_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = _parsed(spark, sf_dir)
+    return parsed.select("doc_id", "document_type", F.col("body").isNotNull().alias("is_object"), "error")
+
+
+@query
+def strip_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture(spark, sf_dir, "fx_responses").select("doc_id", payload.strip_fences(F.col("raw")).alias("clean"))
+
+
+@query
+def unwrap_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parsed = _parsed(spark, sf_dir).where("body IS NOT NULL")
+    keys = F.size(F.map_keys(F.try_variant_get("data", "$", "map<string,variant>")))
+    evidence = F.coalesce(F.size(F.map_keys(F.try_variant_get("body", "$.evidence", "map<string,variant>"))), F.lit(0))
+    return parsed.select("doc_id", "enclosed", keys.alias("n_keys"), evidence.alias("n_evidence"))
+
+
+def _project(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    return payload.project_headers(_parsed(spark, sf_dir).where("body IS NOT NULL"), kind)
+
+
+@query
+def project_invoice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _project(spark, sf_dir, "invoice")
+
+
+@query
+def project_balance_sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _project(spark, sf_dir, "balance_sheet")
+
+
+@query
+def project_pnl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _project(spark, sf_dir, "profit_and_loss")
+
+
+@query
+def project_cash_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _project(spark, sf_dir, "cash_flow_statement")
+
+
+@query
+def extraction_result_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return payload.extraction_result(_parsed(spark, sf_dir)).select("doc_id", "document_type", "extraction_status", "reason")
+
+
+@query
+def evidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return payload.explode_evidence(_parsed(spark, sf_dir))
+
+
+@query
+def line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return payload.explode_lines(payload.extraction_result(_parsed(spark, sf_dir))).select(
+        "doc_id", "line_no", "description", "item_name", "category", "quantity", "unit_price", "total_price", "amount",
+        "discount_percent", "gross_amount", "page_number",
+    )
+
+
+@query
+def extra_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return payload.explode_extra(_parsed(spark, sf_dir)).select("doc_id", "pos", "key", "key_norm", "text", "is_text", "num")
+
+
+@query
+def dispatch_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dispatch over relabelled responses: every third document claims to be an invoice, some an unknown type."""
+    responses = fixture(spark, sf_dir, "fx_responses").withColumn(
+        "document_type", F.expr("CASE WHEN doc_id % 3 = 0 THEN ' Invoice' WHEN doc_id % 31 = 1 THEN 'receipt' ELSE document_type END")
+    )
+    parsed = payload.parse_responses(responses).where("body IS NOT NULL")
+    return payload.dispatch_type(parsed).select("doc_id", "checked_type", "is_supported")
+
+
+@query
+def field_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return payload.partition_fields(_parsed(spark, sf_dir)).select("doc_id", "key", "part", "is_null", "text", "number")
+
+
+@query
+def response_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From raw responses to check rows in one job."""
+    return shown(validate_responses(fixture(spark, sf_dir, "fx_responses")))
+
+
+# --- pages and text --------------------------------------------------------------------------------------------------
+
+
+@query
+def page_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.route_pages(fixture(spark, sf_dir, "fx_pages")).select("doc_id", "page_number", "route", "is_scanned", "warning")
+
+
+@query
+def extraction_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extraction_status(fixture(spark, sf_dir, "fx_pages"))
+
+
+@query
+def full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.full_text(fixture(spark, sf_dir, "fx_pages"))
+
+
+@query
+def page_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.page_context(fixture(spark, sf_dir, "fx_pages"))
+
+
+@query
+def reconcile_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.reconcile_type(fixture(spark, sf_dir, "fx_text")).select("doc_id", "requested_type", "reconciled_type")
+
+
+TEMPLATES = [(kind, f"Read the {kind.replace('_', ' ')} and answer with one JSON object.") for kind in payload.TYPES]
+
+
+@query
+def request_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    routed = pages.route_pages(fixture(spark, sf_dir, "fx_pages"))
+    scanned = (
+        routed.where("is_scanned")
+        .groupBy("doc_id")
+        .agg(F.sort_array(F.collect_list("page_number")).alias("scanned_pages"))
+    )
+    types = pages.reconcile_type(fixture(spark, sf_dir, "fx_text")).select("doc_id", F.col("reconciled_type").alias("document_type"))
+    docs = (
+        pages.page_context(routed)
+        .join(types, "doc_id")
+        .join(scanned, "doc_id", "left")
+        .withColumn("scanned_pages", F.coalesce("scanned_pages", F.array().cast("array<int>")))
+    )
+    templates = spark.createDataFrame(TEMPLATES, "document_type string, instructions string")
+    return pages.request_table(docs, templates)
+
+
+@query
+def redact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Credentials in the documents' text, with some planted in front of it."""
+    df = fixture(spark, sf_dir, "fx_text").select(
+        "doc_id",
+        F.expr(
+            "concat(CASE doc_id % 5 WHEN 0 THEN 'GET /v1?key=abc-DEF_123&x=1 ' WHEN 1 THEN 'Authorization: Bearer  tok.en-1_2 ' "
+            "WHEN 2 THEN concat('AIza', repeat('a1', 18), ' ') WHEN 3 THEN 'my secret-key-9 here ' ELSE '' END, text)"
+        ).alias("text"),
+    )
+    rules = pages.DEFAULT_RULES + [(r'(token = ")[^"]+', "$1" + pages.MARK)]
+    return pages.redact(df, ["text"], rules, literals=["secret-key-9", "abc"])
+
+
+# --- files -----------------------------------------------------------------------------------------------------------
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    content = F.unhex("hex_content")
+    return fixture(spark, sf_dir, "fx_files").select(
+        "doc_id", "path", "name", content.alias("content"), F.length(content).cast("bigint").alias("length")
+    )
+
+
+def _triaged(spark: SparkSession, sf_dir: str, kinds: list[str] | None = None) -> DataFrame:
+    done = triage.triage(_files(spark, sf_dir))
+    if kinds:
+        done = done.where(F.col("file_type").isin(kinds))
+    return done.select("doc_id", "name", "file_type", "is_valid", "page_count", F.array_join("errors", "; ").alias("error"))
+
+
+@query
+def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The data folder itself read as files."""
+    return files.scan_files(spark, sf_dir).select("name", "extension", "length")
+
+
+@query
+def triage_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triage.detect_type(_files(spark, sf_dir)).select("doc_id", "name", "extension", "file_type")
+
+
+@query
+def triage_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = _triaged(spark, sf_dir)
+    return done.where("error LIKE 'File is empty%' OR error LIKE 'Unsupported%'")
+
+
+@query
+def triage_pdf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _triaged(spark, sf_dir, ["pdf"])
+
+
+@query
+def triage_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _triaged(spark, sf_dir, ["png", "jpeg"])
+
+
+@query
+def triage_prefilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triage.prefilter(_files(spark, sf_dir), max_bytes=4000).select("doc_id", "name", "length")
+
+
+# --- attempts --------------------------------------------------------------------------------------------------------
+
+
+def _ladder(spark: SparkSession) -> DataFrame:
+    models = spark.createDataFrame(
+        [("alpha", False, 0), ("beta", False, 1), ("gamma-lite", True, 0)], "model string, is_lite boolean, position int"
+    )
+    return attempts.model_ladder(models, "beta")
+
+
+@query
+def classify_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = attempts.classify_attempts(fixture(spark, sf_dir, "fx_attempts"), _ladder(spark))
+    return done.select("request_id", "model", "attempt", "error_class", "action", "wait_s")
+
+
+@query
+def resolve_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attempts.resolve_attempts(fixture(spark, sf_dir, "fx_attempts"), _ladder(spark))
+
+
+# --- status, store and stream ----------------------------------------------------------------------------------------
+
+
+def _balance_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    headers, lines = fixture(spark, sf_dir, "fx_balance_headers"), fixture(spark, sf_dir, "fx_balance_lines")
+    return report.summarize(statements.balance_sheet_checks(headers, lines))
+
+
+@query
+def processing_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_status = pages.extraction_status(fixture(spark, sf_dir, "fx_pages"))
+    responses = payload.extraction_result(_parsed(spark, sf_dir)).select("doc_id", "extraction_status")
+    return report.processing_status(triage.triage(_files(spark, sf_dir)), text_status, responses, _balance_summary(spark, sf_dir))
+
+
+@query
+def document_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    evidence = payload.explode_evidence(_parsed(spark, sf_dir))
+    meta = report.document_metadata(fixture(spark, sf_dir, "fx_pages"), evidence, _balance_summary(spark, sf_dir))
+    return meta.select("doc_id", "page_count", "evidence_count", "validation_summary.*")
+
+
+@query
+def list_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = fixture(spark, sf_dir, "fx_stored")
+    return documents.list_documents(stored, skip=20, limit=50, document_type="invoice", processing_status="COMPLETED")
+
+
+@query
+def document_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.document_by_name(fixture(spark, sf_dir, "fx_stored"), "statement-7.pdf")
+
+
+@query
+def document_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.document_by_id(fixture(spark, sf_dir, "fx_stored"), 42)
+
+
+@query
+def latest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.latest_documents(fixture(spark, sf_dir, "fx_stored"))
+
+
+@query
+def store_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Append in two steps, then read the table back."""
+    path = _scratch(spark, "documents")
+    stored = fixture(spark, sf_dir, "fx_stored")
+    for part in (stored.where("id % 2 = 0"), stored.where("id % 2 = 1")):
+        documents.append_documents(part, path)
+    return documents.read_documents(spark, path).select("id", "document_name", "document_type", "processing_status", "created_at")
+
+
+@query
+def stream_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses written as files, checked as a stream, summarised by rule and status."""
+    source, out, marks = _scratch(spark, "arrivals"), _scratch(spark, "checks"), _scratch(spark, "marks")
+    responses = fixture(spark, sf_dir, "fx_responses").withColumn("doc_id", F.col("doc_id").cast("string"))
+    responses.write.parquet(source)
+    stream = arrivals.read_response_stream(spark, source, "parquet")
+    arrivals.stream_checks(stream, out, marks).awaitTermination()
+    checks = spark.read.parquet(out)
+    return checks.groupBy("document_type", report.rule_group(F.col("rule_name")).alias("rule"), "status").agg(
+        F.count(F.lit(1)).alias("n_checks")
+    )
