@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from ledgerline.functions.numeric import parse_amount, parse_float
+from ledgerline.functions.numeric import SPACE, parse_amount
 
 
 def get(value: Column, key: str) -> Column:
@@ -61,8 +61,12 @@ def first_truthy_value(*values: Column) -> Column:
     return F.coalesce(*[F.when(truthy(v), v) for v in head], last)
 
 
-def amount_of(value: Column) -> Column:
+def amount_of(value: Column, key: str | None = None) -> Column:
     """Amount of a JSON value: numbers and booleans as they are, text parsed, anything else null."""
+    if key:
+        return F.when(is_string(get(value, key)), parse_amount(F.try_variant_get(value, f"$.{key}", "string"))).otherwise(
+            F.try_variant_get(value, f"$.{key}", "double")
+        )
     return F.when(is_string(value), parse_amount(as_text(value))).otherwise(as_double(value))
 
 
@@ -70,6 +74,11 @@ def says_percent(value: Column) -> Column:
     return is_string(value) & F.coalesce(as_text(value).contains("%"), F.lit(False))
 
 
-def strict_double(value: Column) -> Column:
-    """A number, a boolean or text holding one plain number; null for anything else."""
-    return F.when(is_string(value), parse_float(as_text(value))).otherwise(as_double(value))
+_STRICT = rf"^[{SPACE}]*[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d+)?[{SPACE}]*$|^(?:true|false)$"
+
+
+def strict_double(value: Column, key: str | None = None) -> Column:
+    """A number, a boolean or text holding one plain number; null for anything else. ``key`` reads a member."""
+    path = f"$.{key}" if key else "$"
+    text = F.try_variant_get(value, path, "string")
+    return F.when(text.rlike(_STRICT), F.try_variant_get(value, path, "double"))

@@ -17,7 +17,7 @@ from ledgerline.functions.json_values import (
     is_string,
     says_percent,
     strict_double,
-    truthy,
+    type_of,
 )
 from ledgerline.functions.numeric import rate_of_amount, strip
 from ledgerline.operators.fields import with_field_values
@@ -98,22 +98,29 @@ def strip_fences(text: Column) -> Column:
 def parse_responses(responses: DataFrame) -> DataFrame:
     """Responses as objects: doc_id, document_type, clean text, ``body`` and ``data`` VARIANT, error.
 
-    ``data`` is the enclosed extracted_data when that holds anything, else the whole object.
+    ``data`` is the enclosed extracted_data when that holds anything, else the whole object. The text is parsed once.
     """
     df = responses.select(
         "doc_id", F.lower(strip(F.col("document_type"))).alias("document_type"), strip_fences(F.col("raw")).alias("clean")
     )
-    df = df.withColumn("_any", F.try_parse_json("clean"))
+    df = df.withColumn("body", F.when(F.col("clean").startswith("{"), F.try_parse_json("clean")))
+    df = df.withColumns({"_inner": get(F.col("body"), "extracted_data"), "_kind": type_of(get(F.col("body"), "extracted_data"))})
+    kind = F.col("_kind")
+    filled = (
+        F.when(kind.rlike("^(OBJECT<.|ARRAY<)"), as_text(F.col("_inner")) != "[]")
+        .when(kind == "STRING", as_text(F.col("_inner")) != "")
+        .when(kind.rlike("^(VOID|OBJECT)"), F.lit(False))
+        .otherwise(as_double(F.col("_inner")) != 0.0)
+    )
     error = (
         F.when(F.coalesce(F.col("clean"), F.lit("")) == "", "empty response")
-        .when(F.col("_any").isNull(), "invalid JSON")
-        .when(~is_object(F.col("_any")), "not an object")
-    )
-    df = df.withColumns({"error": error, "body": F.when(is_object(F.col("_any")), F.col("_any"))}).drop("_any")
-    inner = get(F.col("body"), "extracted_data")
-    return df.withColumn("enclosed", truthy(inner)).withColumn(
-        "data", F.when(F.col("enclosed"), inner).otherwise(F.col("body"))
+        .when(F.col("body").isNotNull(), None)
+        .when(~F.col("clean").startswith("{") & F.try_parse_json("clean").isNotNull(), "not an object")
+        .otherwise("invalid JSON")
     )
+    df = df.withColumns({"enclosed": F.coalesce(filled, F.lit(False)), "error": error})
+    data = F.when(F.col("enclosed"), F.col("_inner")).otherwise(F.col("body"))
+    return df.select("doc_id", "document_type", "clean", "body", data.alias("data"), "enclosed", "error")
 
 
 def _first_key(value: Column, names: list[str]) -> Column:
@@ -121,23 +128,14 @@ def _first_key(value: Column, names: list[str]) -> Column:
     return F.coalesce(*[get(value, n) for n in names]) if len(names) > 1 else get(value, names[0])
 
 
-def _bad_text(value: Column) -> Column:
-    return is_present(value) & ~is_string(value)
-
-
 def _bad_number(value: Column) -> Column:
     return is_present(value) & strict_double(value).isNull()
 
 
-def _bad_integer(value: Column) -> Column:
-    number = strict_double(value)
-    return is_present(value) & (number.isNull() | (number != F.floor(number)))
-
-
 def _bad_flag(value: Column) -> Column:
     """Booleans, 0/1 and the usual yes/no words are flags."""
-    words = F.lower(as_text(value)).isin("true", "false", "1", "0", "yes", "no", "on", "off", "t", "f", "y", "n")
-    return is_present(value) & ~F.coalesce(words | (is_number(value) & as_double(value).isin(0.0, 1.0)), F.lit(False))
+    words = F.lower(as_text(value)).isin("true", "false", "1", "0", "yes", "no", "on", "off", "t", "f", "y", "n", "1.0", "0.0")
+    return is_present(value) & ~F.coalesce(words, F.lit(False))
 
 
 def _any_of(conditions: list[Column]) -> Column:
@@ -147,17 +145,39 @@ def _any_of(conditions: list[Column]) -> Column:
     return result
 
 
+def _bad_member(text: dict, numbers: dict, more=lambda key, value: []):
+    """Test of one member of an object; fields with several names are tested apart, by their first name present."""
+    single = [n[0] for c, n in numbers.items() if len(n) == 1 and c != "page_number"]
+
+    def check(entry: Column) -> Column:
+        key, value = entry["key"], entry["value"]
+        chain = F.when(key.isin(list(text)), is_present(value) & ~is_string(value)).when(key.isin(single), _bad_number(value))
+        if "page_number" in numbers:
+            whole = strict_double(value)
+            chain = chain.when(key == "page_number", is_present(value) & (whole.isNull() | (whole != F.floor(whole))))
+        for condition, test in more(key, value):
+            chain = chain.when(condition, test)
+        return F.coalesce(chain, F.lit(False))
+
+    return check
+
+
+def _bad_object(value: Column, text: dict, numbers: dict, more=lambda key, value: []) -> Column:
+    entries = F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
+    bad = F.coalesce(F.exists(entries, _bad_member(text, numbers, more)), F.lit(False))
+    for names in numbers.values():
+        if len(names) > 1:
+            bad = bad | _bad_number(_first_key(value, names))
+    return bad
+
+
 def _bad_line(kind: str):
+    def more(key: Column, value: Column) -> list:
+        return [(key == "is_tax_inclusive", _bad_flag(value))] if kind == "invoice" else []
+
     def check(item: Column) -> Column:
-        tests = [_bad_text(_first_key(item, names)) for names in LINE_TEXT[kind].values()]
-        for name, names in LINE_NUMBER[kind].items():
-            value = _first_key(item, names)
-            tests.append(_bad_integer(value) if name == "page_number" else _bad_number(value))
-        if kind == "invoice":
-            tests.append(_bad_flag(get(item, "is_tax_inclusive")))
-        else:
-            tests.append(~is_string(get(item, "item_name")))
-        return ~is_object(item) | _any_of(tests)
+        bad = ~is_object(item) | _bad_object(item, LINE_TEXT[kind], LINE_NUMBER[kind], more)
+        return bad if kind == "invoice" else bad | ~is_string(get(item, "item_name"))
 
     return check
 
@@ -166,19 +186,19 @@ def schema_error(data: Column, document_type: Column) -> Column:
     """Whether a payload breaks the typed fields of its document type."""
 
     def of(kind: str) -> Column:
-        tests = [_bad_text(_first_key(data, n)) for n in TEXT_FIELDS[kind].values()]
-        tests += [_bad_number(_first_key(data, n)) for n in NUMBER_FIELDS[kind].values()]
-        lines, extra = get(data, "line_items"), get(data, "additional_fields")
-        items = F.try_variant_get(data, "$.line_items", "array<variant>")
         line_kind = "invoice" if kind == "invoice" else "statement"
-        tests.append(lines.isNotNull() & ~is_array(lines))
-        tests.append(F.coalesce(F.exists(items, _bad_line(line_kind)), F.lit(False)))
-        tests.append(extra.isNotNull() & ~is_object(extra))
-        if kind == "invoice":
-            parts = F.try_variant_get(data, "$.tax_components", "array<variant>")
-            tests.append(get(data, "tax_components").isNotNull() & ~is_array(get(data, "tax_components")))
-            tests.append(F.coalesce(F.exists(parts, lambda p: ~is_object(p)), F.lit(False)))
-        return _any_of(tests)
+        items = F.try_variant_get(data, "$.line_items", "array<variant>")
+
+        def more(key: Column, value: Column) -> list:
+            tests = [(key == "line_items", ~is_array(value)), (key == "additional_fields", ~is_object(value))]
+            if kind == "invoice":
+                parts = F.try_variant_get(value, "$", "array<variant>")
+                tests.append((key == "tax_components", ~is_array(value) | F.exists(parts, lambda p: ~is_object(p))))
+            return tests
+
+        return _bad_object(data, TEXT_FIELDS[kind], NUMBER_FIELDS[kind], more) | F.coalesce(
+            F.exists(items, _bad_line(line_kind)), F.lit(False)
+        )
 
     chain = None
     for kind in TYPES:
@@ -205,13 +225,17 @@ def extraction_result(parsed: DataFrame) -> DataFrame:
     ).drop("_broken")
 
 
+def _typed_number(data: Column, names: list[str]) -> Column:
+    return strict_double(data, names[0]) if len(names) == 1 else strict_double(_first_key(data, names))
+
+
 def project_headers(parsed: DataFrame, document_type: str) -> DataFrame:
     """Typed header of one document type; unknown keys are dropped."""
     data = F.col("data")
     return parsed.where(F.col("document_type") == document_type).select(
         "doc_id",
-        *[F.when(is_string(_first_key(data, n)), as_text(_first_key(data, n))).alias(c) for c, n in TEXT_FIELDS[document_type].items()],
-        *[strict_double(_first_key(data, n)).alias(c) for c, n in NUMBER_FIELDS[document_type].items()],
+        *[F.when(is_string(get(data, c)), F.try_variant_get(data, f"$.{c}", "string")).alias(c) for c in TEXT_FIELDS[document_type]],
+        *[_typed_number(data, n).alias(c) for c, n in NUMBER_FIELDS[document_type].items()],
     )
 
 
@@ -221,15 +245,15 @@ def rule_headers(results: DataFrame, document_type: str) -> DataFrame:
     raw = F.col("extraction_status") == PARTIAL
     numbers = {}
     for column, names in NUMBER_FIELDS[document_type].items():
-        numbers[column] = F.when(raw, amount_of(get(data, column))).otherwise(strict_double(_first_key(data, names)))
+        numbers[column] = F.when(raw, amount_of(data, column)).otherwise(_typed_number(data, names))
     for column in LOOSE_NUMBERS[document_type]:
-        numbers[column] = F.when(raw, amount_of(get(data, column)))
+        numbers[column] = F.when(raw, amount_of(data, column))
     text = TEXT_FIELDS[document_type]
     df = results.where(
         (F.col("checked_type") == document_type) & F.col("extraction_status").isin(SUCCESS, PARTIAL)
     ).select(
         "doc_id",
-        *[as_text(get(data, c)).alias(c) for c in text],
+        *[F.try_variant_get(data, f"$.{c}", "string").alias(c) for c in text],
         *[v.alias(c) for c, v in numbers.items()],
         (raw & says_percent(get(data, "tax_rate"))).alias("_percent"),
     )
@@ -238,35 +262,39 @@ def rule_headers(results: DataFrame, document_type: str) -> DataFrame:
     return df.drop("_percent")
 
 
+def _keys(df: DataFrame) -> list[str]:
+    return [c for c in ("doc_id", "checked_type") if c in df.columns]
+
+
 def explode_lines(results: DataFrame) -> DataFrame:
     """Line items of all documents with their 1-based place; names as the rules know them."""
     items = results.select(
-        "doc_id",
+        *_keys(results),
         (F.col("extraction_status") == PARTIAL).alias("_raw") if "extraction_status" in results.columns else F.lit(True).alias("_raw"),
-        (F.col("document_type") == "invoice").alias("_invoice"),
+        (F.col("checked_type" if "checked_type" in results.columns else "document_type") == "invoice").alias("_invoice"),
         F.posexplode(F.try_variant_get("data", "$.line_items", "array<variant>")).alias("_pos", "_item"),
     ).where(is_object(F.col("_item")))
     item, raw = F.col("_item"), F.col("_raw")
     line_no = F.col("_pos") + 1
 
     def typed(names: list[str]) -> Column:
-        return strict_double(_first_key(item, names))
+        return _typed_number(item, names)
 
     def number(name: str, names: list[str] | None = None) -> Column:
-        return F.when(raw, amount_of(get(item, name))).otherwise(typed(names or [name]))
-
-    def loose(name: str) -> Column:
-        return F.when(raw & is_present(get(item, name)), as_text(get(item, name)))
+        return F.when(raw, amount_of(item, name)).otherwise(typed(names or [name]))
 
     def text(name: str) -> Column:
-        return F.when(is_present(get(item, name)), as_text(get(item, name)))
+        return F.try_variant_get(item, f"$.{name}", "string")
+
+    def loose(name: str) -> Column:
+        return F.when(raw, text(name))
 
-    both = lambda name: F.coalesce(amount_of(get(item, name)), F.lit(None).cast("double"))
+    both = lambda name: amount_of(item, name)
     invoice_numbers = LINE_NUMBER["invoice"]
     return items.select(
-        "doc_id",
+        *_keys(results),
         line_no.cast("int").alias("line_no"),
-        F.when(truthy(get(item, "description")), text("description"))
+        F.when(F.coalesce(text("description"), F.lit("")) != "", text("description"))
         .when(F.col("_invoice"), F.format_string("Item %d", line_no))
         .alias("description"),
         text("item_name").alias("item_name"),
@@ -298,32 +326,41 @@ def explode_lines(results: DataFrame) -> DataFrame:
 
 def _object_rows(df: DataFrame, text: Column, source: int) -> DataFrame:
     """Members of a JSON object in their written order."""
-    members = df.select("doc_id", F.posexplode(F.from_json(text, "map<string,variant>")).alias("pos", "key", "_value"))
+    members = df.select(*_keys(df), F.posexplode(F.from_json(text, "map<string,variant>")).alias("pos", "key", "_value"))
     value = F.col("_value")
     return members.select(
-        "doc_id",
+        *_keys(df),
         F.lit(source).alias("source"),
         "pos",
         "key",
-        F.when(is_present(value), as_text(value)).alias("text"),
+        as_text(value).alias("text"),
         is_string(value).alias("is_text"),
     )
 
 
 def explode_extra(results: DataFrame) -> DataFrame:
     """Additional fields of every document, and the top-level keys of PARTIAL ones, as value rows."""
-    clean, enclosed = F.col("clean"), F.col("enclosed")
-    inner = F.when(enclosed, F.get_json_object(clean, "$.extracted_data.additional_fields")).otherwise(
-        F.get_json_object(clean, "$.additional_fields")
-    )
-    rows = _object_rows(results, inner, 1)
+    texts = ordered_texts()
+    extra = F.col("extra_text") if "extra_text" in results.columns else texts["extra_text"]
+    rows = _object_rows(results, extra, 1)
     if "extraction_status" in results.columns:
-        whole = F.when(enclosed, F.get_json_object(clean, "$.extracted_data")).otherwise(clean)
+        whole = F.col("whole_text") if "whole_text" in results.columns else texts["whole_text"]
         partial = results.where(F.col("extraction_status") == PARTIAL)
         rows = rows.unionByName(_object_rows(partial, whole, 0))
     return with_field_values(rows)
 
 
+def ordered_texts() -> dict[str, Column]:
+    """JSON text of the additional fields and of the whole payload; text keeps the order of keys, VARIANT does not."""
+    clean, enclosed = F.col("clean"), F.col("enclosed")
+    return {
+        "extra_text": F.when(enclosed, F.get_json_object(clean, "$.extracted_data.additional_fields")).otherwise(
+            F.get_json_object(clean, "$.additional_fields")
+        ),
+        "whole_text": F.when(enclosed, F.get_json_object(clean, "$.extracted_data")).otherwise(clean),
+    }
+
+
 def explode_components(results: DataFrame) -> DataFrame:
     """Structured tax components: entries of the first filled list or object among tax_components and taxes."""
     data = F.col("data")
@@ -335,7 +372,8 @@ def explode_components(results: DataFrame) -> DataFrame:
         F.when(raw, get(data, "taxes")),
         get(extra, "taxes"),
     )
-    df = results.where(F.col("document_type") == "invoice").select("doc_id", source.alias("_source"))
+    kind = "checked_type" if "checked_type" in results.columns else "document_type"
+    df = results.where(F.col(kind) == "invoice").select("doc_id", source.alias("_source"))
     entry = F.col("_entry")
     listed = (
         df.where(is_array(F.col("_source")))

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -13,6 +10,7 @@ from ledgerline.functions.numeric import display_bytes, normalize_rates as rates
 from ledgerline.operators import attempts, discounts, fields, invoice, lookups, pages, payload, report, statements, taxes, triage
 from ledgerline.plans.fixtures import fixture, invoice_lines
 from ledgerline.plans.reconcile import all_checks as all_parts, reconcile_tables, validate_responses
+from ledgerline.session import scratch_path as _scratch
 from ledgerline.sources import documents, files
 from ledgerline.streaming import arrivals
 
@@ -38,12 +36,6 @@ def shown(checks: DataFrame) -> DataFrame:
     )
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared checkpoint folder of the session, or a temporary one where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerline-")
-    return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
-
-
 # --- invoices --------------------------------------------------------------------------------------------------------
 
 
@@ -464,7 +456,7 @@ def field_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def response_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From raw responses to check rows in one job."""
-    return shown(validate_responses(fixture(spark, sf_dir, "fx_responses")))
+    return shown(validate_responses(fixture(spark, sf_dir, "fx_responses"), _scratch(spark, "responses")))
 
 
 # --- pages and text --------------------------------------------------------------------------------------------------
@@ -561,8 +553,7 @@ def triage_type(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def triage_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = _triaged(spark, sf_dir)
-    return done.where("error LIKE 'File is empty%' OR error LIKE 'Unsupported%'")
+    return triage.rejections(_files(spark, sf_dir)).select("doc_id", "name", "file_type", "error")
 
 
 @query
@@ -657,11 +648,11 @@ def store_append(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def stream_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Responses written as files, checked as a stream, summarised by rule and status."""
-    source, out, marks = _scratch(spark, "arrivals"), _scratch(spark, "checks"), _scratch(spark, "marks")
+    source, out, marks, work = (_scratch(spark, n) for n in ("arrivals", "checks", "marks", "work"))
     responses = fixture(spark, sf_dir, "fx_responses").withColumn("doc_id", F.col("doc_id").cast("string"))
     responses.write.parquet(source)
     stream = arrivals.read_response_stream(spark, source, "parquet")
-    arrivals.stream_checks(stream, out, marks).awaitTermination()
+    arrivals.stream_checks(stream, out, marks, work).awaitTermination()
     checks = spark.read.parquet(out)
     return checks.groupBy("document_type", report.rule_group(F.col("rule_name")).alias("rule"), "status").agg(
         F.count(F.lit(1)).alias("n_checks")

@@ -43,25 +43,48 @@ def extraction_results(responses: DataFrame) -> DataFrame:
     return payload.checked_type_of_results(payload.extraction_result(payload.parse_responses(responses)))
 
 
-def checks_of_results(results: DataFrame, tolerance: float = DEFAULT_TOLERANCE) -> DataFrame:
-    """Checks of extraction results, each document by the rules of its own type."""
-    usable = results.where(F.col("extraction_status") != payload.FAILED)
+def normalize_responses(responses: DataFrame, path: str) -> dict[str, DataFrame]:
+    """Write the typed tables of a batch of responses below ``path`` and return them.
+
+    Every rule set reads several of these tables, so the JSON text is parsed once, here, and the rules then scan narrow
+    columns of their own document type only. The tables also survive the loss of executors.
+    """
+    spark = responses.sparkSession
+    results = extraction_results(responses).withColumns(payload.ordered_texts())
+    results.select(
+        "doc_id", "document_type", "extraction_status", "reason", "data", "extra_text",
+        F.when(F.col("extraction_status") == payload.PARTIAL, F.col("whole_text")).alias("whole_text"), "checked_type",
+    ).write.mode("overwrite").partitionBy("checked_type").parquet(f"{path}/results")
+    stored = spark.read.parquet(f"{path}/results")
+    usable = stored.where(F.col("extraction_status") != payload.FAILED)
+
+    def keep(name: str, df: DataFrame) -> DataFrame:
+        df.write.mode("overwrite").partitionBy("checked_type").parquet(f"{path}/{name}")
+        return spark.read.parquet(f"{path}/{name}")
+
+    return {
+        "results": stored,
+        "lines": keep("lines", payload.explode_lines(usable)),
+        "extra": keep("extra", payload.explode_extra(usable)),
+    }
+
+
+def checks_of_tables(tables: dict[str, DataFrame], tolerance: float = DEFAULT_TOLERANCE) -> DataFrame:
+    """Checks of normalised responses, each document by the rules of its own type."""
 
     def of(kind: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-        mine = usable.where(F.col("checked_type") == kind)
-        return payload.rule_headers(mine, kind), payload.explode_lines(mine), payload.explode_extra(mine)
+        mine = lambda name: tables[name].where(F.col("checked_type") == kind)
+        return payload.rule_headers(mine("results"), kind), mine("lines"), mine("extra")
 
-    invoices = of("invoice")
-    components = payload.explode_components(usable.where(F.col("checked_type") == "invoice"))
-    balance_headers, balance_lines, _ = of("balance_sheet")
+    invoices = tables["results"].where((F.col("checked_type") == "invoice") & (F.col("extraction_status") != payload.FAILED))
     return all_checks(
-        invoice_checks(*invoices, components, tolerance),
-        balance_sheet_checks(balance_headers, balance_lines, tolerance),
+        invoice_checks(*of("invoice"), payload.explode_components(invoices), tolerance),
+        balance_sheet_checks(*of("balance_sheet")[:2], tolerance),
         pnl_checks(*of("profit_and_loss"), tolerance),
         cash_flow_checks(*of("cash_flow_statement"), tolerance),
     )
 
 
-def validate_responses(responses: DataFrame, tolerance: float = DEFAULT_TOLERANCE) -> DataFrame:
-    """Raw responses (doc_id, document_type, raw) to check rows."""
-    return checks_of_results(extraction_results(responses), tolerance)
+def validate_responses(responses: DataFrame, path: str, tolerance: float = DEFAULT_TOLERANCE) -> DataFrame:
+    """Raw responses (doc_id, document_type, raw) to check rows, through tables written below ``path``."""
+    return checks_of_tables(normalize_responses(responses, path), tolerance)

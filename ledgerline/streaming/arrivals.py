@@ -11,16 +11,17 @@ from ledgerline.sources.files import RESPONSE_SCHEMA
 
 
 def stream_checks(
-    responses: DataFrame, out_path: str, checkpoint: str, tolerance: float = DEFAULT_TOLERANCE, available_now: bool = True
+    responses: DataFrame, out_path: str, checkpoint: str, work_path: str, tolerance: float = DEFAULT_TOLERANCE, available_now: bool = True
 ) -> StreamingQuery:
     """Write the checks of a stream of responses to ``out_path``, one folder per micro-batch.
 
     A document is whole in its response, so a micro-batch needs no state of earlier ones and the batch job runs
-    unchanged on it. Each batch overwrites its own folder, so a batch repeated after a failure adds nothing twice.
+    unchanged on it; its typed tables go below ``work_path``. Each batch overwrites its own folder, so a batch repeated after a failure adds nothing twice.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        validate_responses(batch, tolerance).write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
+        checks = validate_responses(batch, f"{work_path}/batch_id={batch_id}", tolerance)
+        checks.write.mode("overwrite").parquet(f"{out_path}/batch_id={batch_id}")
 
     writer = responses.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
