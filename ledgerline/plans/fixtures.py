@@ -263,8 +263,7 @@ def _cash_lines(engine: str) -> str:
 # ---------------------------------------------------------------------------------------------------------------------
 # Raw model responses: one per order, four document types
 
-_T = "o_totalprice"
-_RESPONSE_BASE = f"""
+_RESPONSE_AMOUNTS = f"""
 SELECT o_orderkey AS doc_id, CAST(FLOOR(o_orderkey / 4) AS BIGINT) AS j, o_totalprice AS t,
        {cents('o_totalprice * 0.4')} AS a, {cents('o_totalprice - ' + cents('o_totalprice * 0.4'))} AS b,
        {cents('o_totalprice * 0.05')} AS x,
@@ -273,20 +272,43 @@ SELECT o_orderkey AS doc_id, CAST(FLOOR(o_orderkey / 4) AS BIGINT) AS j, o_total
 FROM orders
 """
 
+# Amounts a response may print, as text; each is worked out once.
+_PRINTED = {
+    "s_t": "t",
+    "s_a": "a",
+    "s_b": "b",
+    "s_x": "x",
+    "s_tx": "t + x + CASE WHEN j % 6 = 2 THEN 0.4 ELSE 0 END",
+    "s_ha": cents("a / 2"),
+    "s_hb": cents("b / 2"),
+    "s_gb": cents("b * 1.05"),
+    "s_hx": cents("x / 2"),
+    "s_rx": "x - " + cents("x / 2"),
+    "s_t1": "CASE WHEN j % 4 = 1 THEN t + 1 ELSE t END",
+    "s_b2": "CASE WHEN j % 3 = 0 THEN b + 2 ELSE b END",
+    "s_bx": "b - x",
+    "s_na": "-a",
+    "s_nc": "b + x",
+    "s_ec": "CASE WHEN j % 6 = 0 THEN b + x ELSE b + x + 100 END",
+}
+_RESPONSE_BASE = f"""
+SELECT doc_id, document_type, j, {", ".join(f"{money(e)} AS {n}" for n, e in _PRINTED.items())} FROM fx_response_amounts
+"""
+
 _INVOICE_JSON = json_object(
     [
         ("invoice_number", quoted("CONCAT('INV-', CAST(doc_id AS STRING))")),
         ("vendor_name", quoted("'Acme Ltd'")),
-        ("subtotal", f"CASE WHEN j % 5 = 1 THEN {quoted('CONCAT(CHR(36), ' + money('t') + ')')} ELSE {money('t')} END"),
-        ("tax_amount", money("x")),
+        ("subtotal", f"CASE WHEN j % 5 = 1 THEN {quoted('CONCAT(CHR(36), s_t)')} ELSE s_t END"),
+        ("tax_amount", "s_x"),
         ("tax_rate", "CASE WHEN j % 3 = 0 THEN '0.05' ELSE 'null' END"),
         ("round_off", "CASE WHEN j % 6 = 2 THEN '0.40' ELSE 'null' END"),
-        ("total_amount", money(f"t + x + CASE WHEN j % 6 = 2 THEN 0.4 ELSE 0 END")),
+        ("total_amount", "s_tx"),
         ("unknown_key", "'17'"),
         (
             "tax_components",
             "CASE WHEN j % 12 = 7 THEN CONCAT('[', "
-            + json_object([("name", quoted("'IGST'")), ("rate", quoted("'5%'")), ("amount", money("x"))])
+            + json_object([("name", quoted("'IGST'")), ("rate", quoted("'5%'")), ("amount", "s_x")])
             + ", ']') ELSE '[]' END",
         ),
         (
@@ -296,8 +318,8 @@ _INVOICE_JSON = json_object(
                 [
                     ("description", quoted("'first item'")),
                     ("quantity", "'2'"),
-                    ("unit_price", money(cents("a / 2"))),
-                    ("total_price", money("a")),
+                    ("unit_price", "s_ha"),
+                    ("total_price", "s_a"),
                 ]
             )
             + ", ', ', "
@@ -305,10 +327,10 @@ _INVOICE_JSON = json_object(
                 [
                     ("description", "'null'"),
                     ("quantity", "CASE WHEN j % 8 = 3 THEN 'null' ELSE '4' END"),
-                    ("unit_price", money(cents("b / 2"))),
+                    ("unit_price", "s_hb"),
                     ("discount_pct", "'50'"),
-                    ("total_price", "CASE WHEN j % 16 = 5 THEN 'null' ELSE " + money("b") + " END"),
-                    ("gross_worth", money(cents("b * 1.05"))),
+                    ("total_price", "CASE WHEN j % 16 = 5 THEN 'null' ELSE s_b END"),
+                    ("gross_worth", "s_gb"),
                     ("page_number", "'1'"),
                 ]
             )
@@ -319,8 +341,8 @@ _INVOICE_JSON = json_object(
             json_object(
                 [
                     ("Place of Supply", quoted("'Pune'")),
-                    ("CGST-Amount", quoted(money(cents("x / 2")))),
-                    ("sgst_amount", money("x - " + cents("x / 2"))),
+                    ("CGST-Amount", quoted("s_hx")),
+                    ("sgst_amount", "s_rx"),
                 ]
             ),
         ),
@@ -329,17 +351,17 @@ _INVOICE_JSON = json_object(
 _BALANCE_JSON = json_object(
     [
         ("company_name", quoted("CONCAT('Company ', CAST(doc_id AS STRING))")),
-        ("current_assets", money("a")),
-        ("non_current_assets", f"CASE WHEN j % 7 = 3 THEN {quoted('CONCAT(' + money('b') + ', CHR(32), CHR(67), CHR(82))')} ELSE {money('b')} END"),
-        ("total_assets", money("t")),
-        ("total_capital_and_liabilities", money("CASE WHEN j % 4 = 1 THEN t + 1 ELSE t END")),
-        ("capital", money("a")),
+        ("current_assets", "s_a"),
+        ("non_current_assets", f"CASE WHEN j % 7 = 3 THEN {quoted('CONCAT(s_b, CHR(32), CHR(67), CHR(82))')} ELSE s_b END"),
+        ("total_assets", "s_t"),
+        ("total_capital_and_liabilities", "s_t1"),
+        ("capital", "s_a"),
         (
             "line_items",
             "CONCAT('[', "
-            + json_object([("item_name", quoted("'Share capital'")), ("amount", money("a")), ("category", "'null'")])
+            + json_object([("item_name", quoted("'Share capital'")), ("amount", "s_a"), ("category", "'null'")])
             + ", ', ', "
-            + json_object([("item_name", quoted("'Deposits'")), ("amount", money("b")), ("category", quoted("'liabilities'"))])
+            + json_object([("item_name", quoted("'Deposits'")), ("amount", "s_b"), ("category", quoted("'liabilities'"))])
             + ", ']')",
         ),
         ("additional_fields", "CASE WHEN j % 9 = 2 THEN 'null' ELSE '{}' END"),
@@ -349,23 +371,23 @@ _PNL_JSON = json_object(
     [
         ("company_name", quoted("CONCAT('Company ', CAST(doc_id AS STRING))")),
         ("statement_type", "CASE WHEN j % 10 = 4 THEN '\"Cash_Flow_Statement\"' ELSE 'null' END"),
-        ("total_revenue", money("t")),
-        ("cost_of_goods_sold", money("a")),
-        ("gross_profit", money("CASE WHEN j % 3 = 0 THEN b + 2 ELSE b END")),
-        ("operating_expenses", f"CASE WHEN j % 7 = 3 THEN 'true' WHEN j % 7 = 4 THEN '[1]' ELSE {money('x')} END"),
-        ("operating_income", money("b - x")),
-        ("additional_fields", json_object([("Interest Earned", money("b")), ("other-income", quoted(money("a")))])),
+        ("total_revenue", "s_t"),
+        ("cost_of_goods_sold", "s_a"),
+        ("gross_profit", "s_b2"),
+        ("operating_expenses", f"CASE WHEN j % 7 = 3 THEN 'true' WHEN j % 7 = 4 THEN '[1]' ELSE s_x END"),
+        ("operating_income", "s_bx"),
+        ("additional_fields", json_object([("Interest Earned", "s_b"), ("other-income", quoted("s_a"))])),
     ]
 )
 _CASH_JSON = json_object(
     [
         ("reporting_period", quoted("'FY24'")),
-        ("net_cash_from_operating_activities", money("t")),
-        ("net_cash_from_investing_activities", money("-a")),
-        ("net_cash_from_financing_activities", f"CASE WHEN j % 5 = 2 THEN {quoted(money('x'))} ELSE {money('x')} END"),
-        ("net_change_in_cash", money("b + x")),
+        ("net_cash_from_operating_activities", "s_t"),
+        ("net_cash_from_investing_activities", "s_na"),
+        ("net_cash_from_financing_activities", f"CASE WHEN j % 5 = 2 THEN {quoted('s_x')} ELSE s_x END"),
+        ("net_change_in_cash", "s_nc"),
         ("beginning_cash_balance", "'100'"),
-        ("ending_cash_balance", money("CASE WHEN j % 6 = 0 THEN b + x ELSE b + x + 100 END")),
+        ("ending_cash_balance", "s_ec"),
         (
             "line_items",
             "CASE WHEN j % 8 = 1 THEN '[{\"amount\": 5}]' ELSE '[{\"item_name\": \"Opening\", \"amount\": 100}]' END",
@@ -374,7 +396,7 @@ _CASH_JSON = json_object(
 )
 _EVIDENCE_JSON = json_object(
     [
-        ("total", json_object([("source_snippet", quoted("CONCAT('Total ', " + money("t") + ")")), ("page_number", "'1'")])),
+        ("total", json_object([("source_snippet", quoted("CONCAT('Total ', s_t)")), ("page_number", "'1'")])),
         ("tax", "CASE WHEN j % 2 = 0 THEN '\"page 1\"' ELSE '{\"source_snippet\": null, \"page_number\": 2}' END"),
     ]
 )
@@ -497,6 +519,7 @@ def definitions(engine: str) -> dict[str, str]:
         "fx_pnl_extra": _pnl_extra(engine),
         "fx_cash_headers": CASH_HEADERS,
         "fx_cash_lines": _cash_lines(engine),
+        "fx_response_amounts": _RESPONSE_AMOUNTS,
         "fx_response_base": _RESPONSE_BASE,
         "fx_responses": RESPONSES,
         "fx_text": TEXT,

@@ -385,14 +385,14 @@ def strip_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def unwrap_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = _parsed(spark, sf_dir).where("body IS NOT NULL")
+    parsed = _parsed(spark, sf_dir)
     keys = F.size(F.map_keys(F.try_variant_get("data", "$", "map<string,variant>")))
     evidence = F.coalesce(F.size(F.map_keys(F.try_variant_get("body", "$.evidence", "map<string,variant>"))), F.lit(0))
     return parsed.select("doc_id", "enclosed", keys.alias("n_keys"), evidence.alias("n_evidence"))
 
 
 def _project(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
-    return payload.project_headers(_parsed(spark, sf_dir).where("body IS NOT NULL"), kind)
+    return payload.project_headers(_parsed(spark, sf_dir), kind)
 
 
 @query
@@ -444,7 +444,7 @@ def dispatch_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     responses = fixture(spark, sf_dir, "fx_responses").withColumn(
         "document_type", F.expr("CASE WHEN doc_id % 3 = 0 THEN ' Invoice' WHEN doc_id % 31 = 1 THEN 'receipt' ELSE document_type END")
     )
-    parsed = payload.parse_responses(responses).where("body IS NOT NULL")
+    parsed = payload.parse_responses(responses)
     return payload.dispatch_type(parsed).select("doc_id", "checked_type", "is_supported")
 
 
