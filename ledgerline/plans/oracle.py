@@ -269,5 +269,533 @@ sql("normalize_rates", "fx_dirty")(
 )
 
 
+
+
+def json_text_number(expression: str) -> str:
+    """Number of a text that is one plain number."""
+    return f"CASE WHEN regexp_full_match({strip(expression)}, '[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?') THEN TRY_CAST({strip(expression)} AS DOUBLE) END"
+
+
+# Shown numbers: thousands grouped, at most four decimals, no trailing zeros.
+def shown_number(e: str) -> str:
+    return f"regexp_replace(regexp_replace(format('{{:,.4f}}', {e}), '0+$', ''), '\\.$', '')"
+
+
+SIZE = "id * id * 7"
+sql("display_values", "fx_invoice_headers", "fx_invoice_lines_raw", "fx_stored")(
+    f"""
+SELECT c.doc_id, rule_name, array_to_string(list_transform(string_split(rule_name, '_'), lambda w: upper(w[1]) || w[2:]), ' ') AS title,
+       {shown_number('calculated_value')} AS calculated, {shown_number('reported_value')} AS reported,
+       abs(variance) < 0.0001 AS variance_is_zero,
+       CASE WHEN {SIZE} <= 0 THEN '0 Bytes'
+            ELSE regexp_replace(CAST(CAST(round(({SIZE}) / pow(1024, u.p), 1) AS DECIMAL(38,1)) AS VARCHAR), '\\.0$', '') || ' ' || u.name END AS size_text
+FROM ({judged(SUBTOTAL + ' UNION ALL ' + TOTAL)}) c JOIN fx_stored s ON s.id = c.doc_id
+JOIN (VALUES (0, 'Bytes'), (1, 'KB'), (2, 'MB'), (3, 'GB')) u(p, name)
+  ON u.p = CASE WHEN {SIZE} >= 1073741824 THEN 3 WHEN {SIZE} >= 1048576 THEN 2 WHEN {SIZE} >= 1024 THEN 1 ELSE 0 END""",
+    inputs_cte(False),
+)
+
+# --- balance sheet ---------------------------------------------------------------------------------------------------
+
+B_IN = """b_in AS (SELECT * EXCLUDE (share_capital, capital, total_liabilities_and_equity, total_capital_and_liabilities),
+  CASE WHEN COALESCE(total_liabilities_and_equity, 0) <> 0 THEN total_liabilities_and_equity ELSE total_capital_and_liabilities END AS total_financing,
+  CASE WHEN COALESCE(share_capital, 0) <> 0 THEN share_capital ELSE capital END AS share_capital FROM fx_balance_headers)"""
+ASSET_NAME = "regexp_matches(n, 'cash|bank|investment|advance|loan|fixed asset|property|equipment|receivable|inventory|goodwill')"
+FINANCE_NAME = "regexp_matches(n, 'capital|reserves|surplus|minority|deposit|borrowing|provision|payable|liabilit|equity|debt')"
+B_LINES = f"""b_lines AS (SELECT doc_id, line_no, item_name, amount, line_class FROM (
+  SELECT doc_id, line_no, trim(item_name) AS item_name, amount, lower(trim(item_name)) AS n, lower(COALESCE(category, '')) AS c,
+         CASE WHEN c LIKE '%asset%' THEN 'asset' WHEN regexp_matches(c, 'liabilit|equity|capital') THEN 'liability_equity'
+              WHEN {ASSET_NAME} AND NOT {FINANCE_NAME} THEN 'asset' WHEN {FINANCE_NAME} THEN 'liability_equity' END AS line_class
+  FROM fx_balance_lines) t
+  WHERE amount IS NOT NULL AND line_class IS NOT NULL AND NOT regexp_matches(n, 'contingent|bills for collection|commitments|guarantees|off-balance')
+    AND n NOT IN ('total', 'total assets', 'total capital and liabilities', 'total liabilities and equity'))"""
+_EXACT = lambda c: f"CAST(sum(CAST(amount AS DECIMAL(28,6))) FILTER (WHERE line_class = '{c}') AS DOUBLE)"
+B_CTES = f"""{B_IN}, {B_LINES},
+b_sums AS (SELECT doc_id, count(*) FILTER (WHERE line_class = 'asset') AS na, count(*) FILTER (WHERE line_class <> 'asset') AS nf,
+                  {r(_EXACT('asset'))} AS sa, {r(_EXACT('liability_equity'))} AS sf FROM b_lines GROUP BY doc_id),
+b AS (SELECT b_in.*, total_liabilities AS tl, total_equity AS te, total_assets AS ta, total_financing AS tf, COALESCE(na, 0) AS na, COALESCE(nf, 0) AS nf, sa, sf
+      FROM b_in LEFT JOIN b_sums USING (doc_id))"""
+sql("balance_inputs", "fx_balance_headers")("SELECT * FROM b_in", B_IN)
+sql("classify_balance_lines", "fx_balance_lines")("SELECT * FROM b_lines", B_LINES)
+
+
+def _pair_rule(order: int, name: str, a: str, b: str, total: str) -> str:
+    return f"""SELECT doc_id, '{name}' AS rule_name, '{a} + {b} == {total}' AS formula, {r(f'{a} + {b}')} AS calc, {total} AS reported,
+       NULL::DOUBLE AS var, {miss(**{a: a, b: b, total: total})} AS missing, FALSE AS na FROM b
+       WHERE ({a} IS NOT NULL AND {b} IS NOT NULL) OR (nf = 0 AND ({a} IS NOT NULL OR {b} IS NOT NULL))"""
+
+
+BALANCE = {
+    "bs_equation": f"""SELECT doc_id, 'balance_sheet_accounting_equation' AS rule_name,
+       CASE WHEN ta IS NULL OR f IS NULL OR (tl IS NOT NULL AND te IS NOT NULL) THEN 'total_liabilities + total_equity == total_assets'
+            WHEN tf IS NOT NULL THEN 'total_capital_and_liabilities == total_assets' ELSE 'sum(liability_and_equity_components) == total_assets' END AS formula,
+       f AS calc, ta AS reported, NULL::DOUBLE AS var,
+       CASE WHEN ta IS NULL OR f IS NULL THEN concat_ws(', ', CASE WHEN ta IS NULL THEN 'total_assets' END,
+            CASE WHEN tl IS NULL AND tf IS NULL AND nf = 0 THEN 'total_liabilities' END, CASE WHEN te IS NULL AND tf IS NULL AND nf = 0 THEN 'total_equity' END)
+            ELSE '' END AS missing, ta IS NULL OR f IS NULL AS na
+       FROM (SELECT *, CASE WHEN tl IS NOT NULL AND te IS NOT NULL THEN {r('tl + te')} WHEN tf IS NOT NULL THEN tf WHEN nf >= 2 THEN sf END AS f FROM b) t""",
+    "bs_assets": f"""SELECT doc_id, 'balance_sheet_total_assets_components' AS rule_name,
+       CASE WHEN split OR (NOT lined AND (ca IS NOT NULL OR nca IS NOT NULL)) THEN 'current_assets + non_current_assets == total_assets'
+            ELSE 'sum(asset_components) == total_assets' END AS formula,
+       CASE WHEN split THEN {r('ca + nca')} ELSE sa END AS calc, ta AS reported, NULL::DOUBLE AS var,
+       CASE WHEN split OR lined THEN '' WHEN ca IS NOT NULL OR nca IS NOT NULL THEN {miss(current_assets='ca', non_current_assets='nca', total_assets='ta')}
+            ELSE 'asset_components' END AS missing, FALSE AS na
+       FROM (SELECT *, current_assets AS ca, non_current_assets AS nca, ca IS NOT NULL AND nca IS NOT NULL AND ta IS NOT NULL AS split,
+                    b.na >= 2 AND ta IS NOT NULL AS lined FROM b) t""",
+    "bs_le_components": """SELECT doc_id, 'balance_sheet_total_liabilities_and_equity_components' AS rule_name,
+       'sum(liability_and_equity_components) == total_capital_and_liabilities' AS formula, sf AS calc, COALESCE(tf, ta) AS reported, NULL::DOUBLE AS var,
+       '' AS missing, FALSE AS na FROM b WHERE nf >= 2 AND COALESCE(tf, ta) IS NOT NULL""",
+    "bs_le_reconciliation": f"""SELECT doc_id, 'balance_sheet_liabilities_and_equity_reconciliation' AS rule_name,
+       'total_liabilities + total_equity == total_liabilities_and_equity' AS formula, {r('tl + te')} AS calc, tf AS reported, NULL::DOUBLE AS var,
+       '' AS missing, FALSE AS na FROM b WHERE tl IS NOT NULL AND te IS NOT NULL AND tf IS NOT NULL""",
+    "bs_liabilities": _pair_rule(5, "balance_sheet_total_liabilities_components", "current_liabilities", "non_current_liabilities", "total_liabilities"),
+    "bs_equity": _pair_rule(6, "balance_sheet_total_equity_components", "retained_earnings", "share_capital", "total_equity"),
+}
+for _name, _body in BALANCE.items():
+    sql(_name, "fx_balance_headers", "fx_balance_lines")(judged(_body), B_CTES)
+
+# --- profit and loss, cash flow --------------------------------------------------------------------------------------
+
+
+def _hits(words: list[str], category: str | None, exclude: list[str]) -> str:
+    tests = ["(" + " OR ".join(f"contains(n, '{w}')" for w in words) + ")"]
+    tests += [f"NOT contains(n, '{w}')" for w in exclude]
+    if category:
+        tests.append(f"contains(c, '{category}')")
+    return " AND ".join(tests)
+
+
+def _first_line(name: str, metrics: dict) -> str:
+    m = metrics[name]
+    return ", ".join(
+        f"arg_min(amount, line_no) FILTER (WHERE {_hits(words, category, m.exclude)}) AS {name}_{i}"
+        for i, (category, words) in enumerate(m.passes)
+    )
+
+
+def line_lookup(view: str, metrics: dict) -> str:
+    any_hit = " OR ".join(f"({_hits(w, c, m.exclude)})" for m in metrics.values() for c, w in m.passes)
+    return f"""SELECT doc_id, {', '.join(_first_line(n, metrics) for n in metrics)}
+FROM (SELECT doc_id, line_no, NULLIF(amount, 0) AS amount, lower(item_name) AS n, lower(COALESCE(category, '')) AS c FROM {view}) t
+WHERE amount IS NOT NULL AND ({any_hit}) GROUP BY doc_id"""
+
+
+def extra_lookup_sql(metrics: dict) -> str:
+    wanted = " UNION ALL ".join(
+        f"SELECT '{name}' AS metric, '{key}' AS k, {i} AS i" for name, m in metrics.items() for i, key in enumerate(m.extra)
+    )
+    picks = ", ".join(f"arg_min(v, rank) FILTER (WHERE metric = '{n}') AS x_{n}" for n in metrics)
+    return f"""x_kv AS (SELECT *, lower(replace(replace(key, '-', '_'), ' ', '_')) AS norm FROM ({with_amount('fx_pnl_extra', plain='NOT is_text')}) k WHERE source = 1),
+x_wanted AS ({wanted}),
+x_cand AS (SELECT doc_id, metric, i AS rank, num AS v FROM x_kv JOIN x_wanted ON key = k
+           UNION ALL SELECT doc_id, metric, 1000 + i, last FROM (SELECT doc_id, norm, arg_max_null(num, pos) AS last FROM x_kv GROUP BY ALL) g JOIN x_wanted ON norm = k),
+x AS (SELECT doc_id, {picks} FROM x_cand WHERE v IS NOT NULL GROUP BY doc_id)"""
+
+
+from ledgerline.operators.lookups import BANK_METRICS, CASH_METRICS  # noqa: E402  (fixed look-up data, stated once)
+
+sql("keyword_lookup", "fx_pnl_lines")(line_lookup("fx_pnl_lines", BANK_METRICS))
+sql("extra_lookup", "fx_pnl_extra")(
+    "SELECT doc_id, " + ", ".join(f"x_{n} AS {n}" for n in BANK_METRICS) + " FROM x", extra_lookup_sql(BANK_METRICS)
+)
+
+
+def _chain(sources: list[str]) -> str:
+    return "COALESCE(" + ", ".join([f"NULLIF({s}, 0)" for s in sources[:-1]] + [sources[-1]]) + ")"
+
+
+def _metric_sql(name: str, metrics: dict, extra: bool) -> str:
+    m = metrics[name]
+    sources = list(m.header_first) + ([f"x_{name}"] if extra else []) + [f"{name}_{i}" for i in range(len(m.passes))] + list(m.header_last)
+    return f"{_chain(sources)} AS m_{name}"
+
+
+P_CTES = f"""{extra_lookup_sql(BANK_METRICS)}, p_lines AS ({line_lookup('fx_pnl_lines', BANK_METRICS)}),
+p AS (SELECT h.*, {', '.join(_metric_sql(n, BANK_METRICS, True) for n in BANK_METRICS)}
+      FROM fx_pnl_headers h LEFT JOIN x USING (doc_id) LEFT JOIN p_lines USING (doc_id))"""
+sql("bank_metrics", "fx_pnl_headers", "fx_pnl_lines", "fx_pnl_extra")(
+    "SELECT doc_id, " + ", ".join(f"m_{n}" for n in BANK_METRICS) + " FROM p", P_CTES
+)
+
+
+def _rule(name: str, formula: str, calc: str, inputs: dict, view: str) -> str:
+    reported = list(inputs.values())[-1]
+    return f"""SELECT doc_id, '{name}' AS rule_name, {formula} AS formula, {r(calc)} AS calc, {reported} AS reported, NULL::DOUBLE AS var,
+       {miss(**inputs)} AS missing, FALSE AS na FROM {view}"""
+
+
+_same = lambda *names: {n: n for n in names}
+PNL = {
+    "pnl_gross_profit": _rule("pnl_gross_profit_calculation", "'total_revenue - cost_of_goods_sold == gross_profit'", "total_revenue - cost_of_goods_sold",
+                              _same("total_revenue", "cost_of_goods_sold", "gross_profit"), "p"),
+    "pnl_operating_income": _rule("pnl_operating_income_calculation", "'gross_profit - operating_expenses == operating_income'", "gross_profit - operating_expenses",
+                                  _same("gross_profit", "operating_expenses", "operating_income"), "p"),
+    "pnl_net_income": _rule("pnl_net_income_calculation", "'operating_income - interest_expense - tax_expense == net_income'",
+                            "operating_income - interest_expense - tax_expense", _same("operating_income", "interest_expense", "tax_expense", "net_income"), "p"),
+    "pnl_bank_income": _rule("pnl_bank_total_income", "'interest_earned + other_income == total_income'", "m_interest_earned + m_other_income",
+                             {"interest_earned": "m_interest_earned", "other_income": "m_other_income", "total_income": "m_total_income"}, "p"),
+    "pnl_bank_expenditure": _rule("pnl_bank_total_expenditure", "'interest_expended + operating_expenses + provisions_and_contingencies == total_expenditure'",
+                                  "m_interest_expended + m_operating_expenses + m_provisions",
+                                  {"interest_expended": "m_interest_expended", "operating_expenses": "m_operating_expenses",
+                                   "provisions_and_contingencies": "m_provisions", "total_expenditure": "m_total_expenditure"}, "p"),
+    "pnl_bank_net_profit": _rule("pnl_bank_net_profit_before_minority", "'total_income - total_expenditure == net_profit_for_the_year'", "m_total_income - m_total_expenditure",
+                                 {"total_income": "m_total_income", "total_expenditure": "m_total_expenditure", "net_profit_for_the_year": "m_net_profit_year"}, "p"),
+    "pnl_bank_consolidated": _rule("pnl_bank_consolidated_net_profit", "'net_profit_for_the_year - minority_interest == consolidated_net_profit'",
+                                   "m_net_profit_year - m_minority_interest",
+                                   {"net_profit_for_the_year": "m_net_profit_year", "minority_interest": "m_minority_interest",
+                                    "consolidated_net_profit": "m_consolidated_profit"}, "p"),
+    "pnl_bank_appropriations": _rule("pnl_bank_appropriations_reconciliation",
+                                     "CASE WHEN m_amalgamation IS NOT NULL AND m_consolidated_profit IS NOT NULL AND m_brought_forward IS NOT NULL AND m_total_appropriations IS NOT NULL "
+                                     "THEN 'consolidated_net_profit + brought_forward_profit + addition_on_amalgamation == total_appropriations' "
+                                     "ELSE 'consolidated_net_profit + brought_forward_profit == total_appropriations' END",
+                                     "m_consolidated_profit + m_brought_forward + COALESCE(m_amalgamation, 0)",
+                                     {"consolidated_net_profit": "m_consolidated_profit", "brought_forward_profit": "m_brought_forward",
+                                      "total_appropriations": "m_total_appropriations"}, "p"),
+}
+for _name, _body in PNL.items():
+    sql(_name, "fx_pnl_headers", "fx_pnl_lines", "fx_pnl_extra")(judged(_body), P_CTES)
+
+FLOWS = ["net_cash_from_operating_activities", "net_cash_from_investing_activities", "net_cash_from_financing_activities"]
+_CASH_COLUMNS = [*FLOWS, "net_change_in_cash", "beginning_cash_balance", "ending_cash_balance", "effect_of_exchange_rate_changes"]
+C_CTES = f"""c_long AS (SELECT doc_id, k, num FROM ({with_amount('(UNPIVOT INCLUDE NULLS fx_cash_headers ON COLUMNS(* EXCLUDE doc_id) INTO NAME k VALUE text)')}) u),
+c_wide AS (SELECT doc_id, {', '.join(f"max(num) FILTER (WHERE k = '{c}') AS {c}" for c in _CASH_COLUMNS)} FROM c_long GROUP BY doc_id),
+c_lines AS ({line_lookup('fx_cash_lines', CASH_METRICS)}),
+c AS (SELECT w.*, COALESCE(NULLIF(effect_of_exchange_rate_changes, 0), exchange_effect_0) AS e FROM c_wide w LEFT JOIN c_lines USING (doc_id))"""
+_SUM = " + ".join(FLOWS)
+CASH = {
+    "cf_net_change": _rule("cash_flow_net_change_calculation",
+                           f"CASE WHEN e IS NOT NULL AND {' AND '.join(f + ' IS NOT NULL' for f in [*FLOWS, 'net_change_in_cash'])} "
+                           f"THEN '{_SUM} + effect_of_exchange_rate_changes == net_change_in_cash' ELSE '{_SUM} == net_change_in_cash' END",
+                           f"{_SUM} + COALESCE(e, 0)", _same(*FLOWS, "net_change_in_cash"), "c"),
+    "cf_ending_cash": _rule("cash_flow_ending_cash_calculation", "'beginning_cash_balance + net_change_in_cash == ending_cash_balance'",
+                            "beginning_cash_balance + net_change_in_cash", _same("beginning_cash_balance", "net_change_in_cash", "ending_cash_balance"), "c"),
+}
+for _name, _body in CASH.items():
+    sql(_name, "fx_cash_headers", "fx_cash_lines")(judged(_body), C_CTES)
+
+# --- all checks, summaries and reports -------------------------------------------------------------------------------
+
+_EVERYTHING = " UNION ALL ".join(f"({b})" for b in [LINE_MATH, SUBTOTAL, TOTAL, TAX, *BALANCE.values(), *PNL.values(), *CASH.values()])
+sql("all_checks", "fx_invoice_headers", "fx_invoice_extra", "fx_balance_headers", "fx_balance_lines", "fx_pnl_headers", "fx_pnl_lines",
+    "fx_pnl_extra", "fx_cash_headers", "fx_cash_lines")(
+    f"SELECT *, string_split(rule_name, '_')[1] AS document_type FROM ({judged(_EVERYTHING)}) t",
+    ",".join([LINES, TAX_CTES, B_CTES, P_CTES, C_CTES]),
+)
+
+_NO_PARTS = """no_parts AS (SELECT NULL::BIGINT AS doc_id, 1 AS component_order, '' AS name, 0.0 AS rate, 0.0 AS amount, 0.0 AS calculated_amount WHERE FALSE),
+amounts AS (SELECT * FROM no_parts)"""
+_CORPORATE = " UNION ALL ".join(f"({b})" for b in [LINE_MATH, SUBTOTAL, TOTAL, TAX, *BALANCE.values()])
+CORPORATE = f"""SELECT *, CASE WHEN rule_name LIKE 'invoice%' THEN 'invoice' ELSE 'balance_sheet' END AS document_type FROM ({judged(_CORPORATE)}) t"""
+CORPORATE_CTES = ",".join([LINES, inputs_cte(False), _NO_PARTS, B_CTES])
+_CORPORATE_VIEWS = ("fx_invoice_headers", "fx_balance_headers", "fx_balance_lines")
+RULE_ORDER = """CASE WHEN rule_name LIKE 'invoice_line_item_%' THEN 1 WHEN rule_name LIKE '%subtotal%' THEN 2 WHEN rule_name LIKE 'invoice_total%' THEN 3
+  WHEN rule_name LIKE 'invoice_tax%' THEN 4 WHEN rule_name LIKE '%equation' THEN 11 WHEN rule_name LIKE '%total_assets%' THEN 12
+  WHEN rule_name LIKE '%liabilities_and_equity_components' THEN 13 WHEN rule_name LIKE '%reconciliation' THEN 14
+  WHEN rule_name LIKE '%total_liabilities_components' THEN 15 ELSE 16 END"""
+sql("validation_summary", *_CORPORATE_VIEWS)(
+    f"""
+SELECT doc_id, document_type, count(*) AS total_checks, count(*) FILTER (WHERE status = 'PASS') AS passed_checks,
+       count(*) FILTER (WHERE status = 'FAILED') AS failed_checks, count(*) FILTER (WHERE status = 'NOT_APPLICABLE') AS not_applicable_checks,
+       failed_checks = 0 AS is_valid,
+       CASE WHEN failed_checks > 0 THEN 'Financial validation failed ' || failed_checks || ' check(s): ' ||
+         string_agg(rule_name, ', ' ORDER BY {RULE_ORDER}, TRY_CAST(regexp_extract(rule_name, 'item_(\\d+)_', 1) AS INTEGER)) FILTER (WHERE status = 'FAILED') || '.' END AS error
+FROM ({CORPORATE}) c GROUP BY doc_id, document_type""",
+    CORPORATE_CTES,
+)
+sql("rule_report", *_CORPORATE_VIEWS)(
+    f"""
+SELECT document_type, rule, status, CAST(grouping_id(document_type, rule, status) AS INTEGER) AS level, count(*) AS n_checks,
+       count(*) FILTER (WHERE status = 'PASS') AS n_passed, max(abs(variance)) AS max_abs_variance, n_passed / n_checks AS pass_rate
+FROM (SELECT *, regexp_replace(rule_name, '_item_\\d+_', '_item_') AS rule FROM ({CORPORATE}) c) t GROUP BY CUBE (document_type, rule, status)""",
+    CORPORATE_CTES,
+)
+_BALANCE_ALL = " UNION ALL ".join(f"({b})" for b in BALANCE.values())
+sql("check_filter", "fx_balance_headers", "fx_balance_lines")(
+    f"""SELECT doc_id, rule_name, status, variance, count(*) OVER () AS n_in_tab FROM ({judged(_BALANCE_ALL)}) t WHERE status = 'FAILED'""", B_CTES
+)
+
+# --- responses -------------------------------------------------------------------------------------------------------
+
+CLEAN = strip("regexp_replace(regexp_replace(" + strip("raw") + ", '^```(json)?', ''), '```$', '')")
+PARSED = f"""
+clean AS (SELECT doc_id, document_type, {CLEAN} AS clean FROM fx_responses),
+parsed AS (SELECT *, CASE WHEN starts_with(clean, '{{') THEN TRY_CAST(clean AS JSON) END AS body,
+                  COALESCE(json_exists(body, '$.extracted_data'), FALSE) AS enclosed,
+                  CASE WHEN enclosed THEN json_extract(body, '$.extracted_data') ELSE body END AS data FROM clean)"""
+sql("strip_fences", "fx_responses")("SELECT doc_id, clean FROM clean", PARSED.strip())
+sql("scan_responses", "fx_responses")(
+    """SELECT doc_id, document_type, body IS NOT NULL AS is_object,
+       CASE WHEN clean = '' THEN 'empty response' WHEN body IS NOT NULL THEN NULL WHEN TRY_CAST(clean AS JSON) IS NULL THEN 'invalid JSON' ELSE 'not an object' END AS error
+       FROM parsed""",
+    PARSED.strip(),
+)
+sql("unwrap_payload", "fx_responses")(
+    """SELECT doc_id, enclosed, len(json_keys(data))::INTEGER AS n_keys,
+              COALESCE(len(json_keys(body, '$.evidence')), 0)::INTEGER AS n_evidence FROM parsed""",
+    PARSED.strip(),
+)
+
+
+def _projection(kind: str) -> str:
+    from ledgerline.operators.payload import NUMBER_FIELDS, TEXT_FIELDS  # fixed field names
+
+    texts = [f"CASE WHEN json_type(data, '$.{c}') = 'VARCHAR' THEN json_extract_string(data, '$.{c}') END AS {c}" for c in TEXT_FIELDS[kind]]
+
+    def number(names: list[str]) -> str:
+        kinds = "COALESCE(" + ", ".join(f"json_type(data, '$.{n}')" for n in names) + ")"
+        first = "COALESCE(" + ", ".join(f"json_extract(data, '$.{n}')" for n in names) + ")"
+        text = "json_extract_string(" + first + ", '$')"
+        return f"CASE {kinds} WHEN 'BOOLEAN' THEN CASE WHEN {text} = 'true' THEN 1.0 ELSE 0.0 END ELSE {json_text_number(text)} END"
+
+    numbers = [f"{number(n)} AS {c}" for c, n in NUMBER_FIELDS[kind].items()]
+    return f"SELECT doc_id, {', '.join(texts + numbers)} FROM parsed WHERE document_type = '{kind}'"
+
+
+for _name, _kind in {"project_invoice": "invoice", "project_balance_sheet": "balance_sheet", "project_pnl": "profit_and_loss",
+                     "project_cash_flow": "cash_flow_statement"}.items():
+    sql(_name, "fx_responses")(_projection(_kind), PARSED.strip())
+
+
+def _broken() -> str:
+    from ledgerline.operators.payload import LINE_NUMBER, LINE_TEXT, NUMBER_FIELDS, TEXT_FIELDS, TYPES
+
+    text_of = lambda fields: "(" + ", ".join(f"'{n}'" for names in fields.values() for n in names) + ")"
+    number_ok = f"(type IN ('NULL', 'BOOLEAN', 'DOUBLE', 'UBIGINT', 'BIGINT') OR (type = 'VARCHAR' AND {json_text_number('atom_text')} IS NOT NULL))"
+    text_ok = "type IN ('NULL', 'VARCHAR')"
+    top = " OR ".join(
+        f"(document_type = '{k}' AND ((key IN {text_of(TEXT_FIELDS[k])} AND NOT {text_ok}) OR (key IN {text_of(NUMBER_FIELDS[k])} AND NOT {number_ok})))"
+        for k in TYPES
+    )
+    line = " OR ".join(
+        f"({cond} AND ((key IN {text_of(LINE_TEXT[k])} AND NOT {text_ok}) OR (key IN {text_of(LINE_NUMBER[k])} AND NOT {number_ok})))"
+        for k, cond in (("invoice", "document_type = 'invoice'"), ("statement", "document_type <> 'invoice'"))
+    )
+    return f"""
+members AS (SELECT p.doc_id, document_type, e.key, e.type, json_extract_string(e.value, '$') AS atom_text FROM parsed p, json_each(p.data) e WHERE body IS NOT NULL),
+items AS (SELECT p.doc_id, document_type, e.value AS item FROM parsed p, json_each(p.data, '$.line_items') e WHERE json_type(p.data, '$.line_items') = 'ARRAY'),
+item_members AS (SELECT i.doc_id, document_type, e.key, e.type, json_extract_string(e.value, '$') AS atom_text FROM items i, json_each(i.item) e),
+broken AS (SELECT doc_id FROM members WHERE {top} OR (key = 'line_items' AND type <> 'ARRAY') OR (key = 'additional_fields' AND type <> 'OBJECT')
+           UNION SELECT doc_id FROM item_members WHERE {line}
+           UNION SELECT doc_id FROM items WHERE document_type <> 'invoice' AND COALESCE(json_type(item, '$.item_name'), '') <> 'VARCHAR'),
+results AS (SELECT p.*, CASE WHEN body IS NULL THEN 'FAILED' WHEN doc_id IN (SELECT doc_id FROM broken) THEN 'PARTIAL' ELSE 'SUCCESS' END AS extraction_status FROM parsed p)"""
+
+
+RESULTS = PARSED.strip() + "," + _broken()
+sql("extraction_result_status", "fx_responses")(
+    """SELECT doc_id, document_type, extraction_status,
+       CASE WHEN clean = '' THEN 'empty response' WHEN extraction_status = 'PARTIAL' THEN 'schema error' WHEN body IS NOT NULL THEN NULL
+            WHEN TRY_CAST(clean AS JSON) IS NULL THEN 'invalid JSON' ELSE 'not an object' END AS reason FROM results""",
+    RESULTS,
+)
+sql("evidence_rows", "fx_responses")(
+    """SELECT p.doc_id, e.key AS field, json_extract_string(e.value, '$.source_snippet') AS source_snippet,
+              CAST(json_extract_string(e.value, '$.page_number') AS INTEGER) AS page_number
+       FROM parsed p, json_each(p.body, '$.evidence') e WHERE p.body IS NOT NULL AND json_exists(p.body, '$.evidence') AND e.type = 'OBJECT'""",
+    PARSED.strip(),
+)
+sql("line_rows", "fx_responses")(
+    """
+SELECT doc_id, line_no, COALESCE(json_extract_string(item, '$.description'), CASE WHEN document_type = 'invoice' THEN 'Item ' || line_no END) AS description,
+       json_extract_string(item, '$.item_name') AS item_name, json_extract_string(item, '$.category') AS category,
+       CAST(json_extract_string(item, '$.quantity') AS DOUBLE) AS quantity, CAST(json_extract_string(item, '$.unit_price') AS DOUBLE) AS unit_price,
+       CAST(json_extract_string(item, '$.total_price') AS DOUBLE) AS total_price, CAST(json_extract_string(item, '$.amount') AS DOUBLE) AS amount,
+       CASE WHEN extraction_status = 'SUCCESS' THEN CAST(CAST(json_extract_string(item, '$.discount_pct') AS DOUBLE) AS VARCHAR) END AS discount_percent,
+       CASE WHEN extraction_status = 'SUCCESS' THEN CAST(json_extract_string(item, '$.gross_worth') AS DOUBLE) END AS gross_amount,
+       CAST(json_extract_string(item, '$.page_number') AS INTEGER) AS page_number
+FROM (SELECT r.doc_id, document_type, extraction_status, CAST(CAST(e.key AS INTEGER) + 1 AS INTEGER) AS line_no, e.value AS item
+      FROM results r, json_each(r.data, '$.line_items') e WHERE json_type(r.data, '$.line_items') = 'ARRAY') t""",
+    RESULTS,
+)
+sql("extra_rows", "fx_responses")(
+    f"""SELECT doc_id, pos::INTEGER AS pos, key, lower(replace(replace(key, '-', '_'), ' ', '_')) AS key_norm, text, is_text, num
+        FROM ({with_amount('(SELECT p.doc_id, row_number() OVER (PARTITION BY p.doc_id ORDER BY e.id) - 1 AS pos, e.key, json_extract_string(e.value, chr(36)) AS text, COALESCE(e.type = ' + "'VARCHAR'" + ', FALSE) AS is_text FROM parsed p, json_each(p.data, ' + "'$.additional_fields'" + ') e WHERE json_type(p.data, ' + "'$.additional_fields'" + ') = ' + "'OBJECT'" + ')', plain='NOT is_text')}) t""",
+    PARSED.strip(),
+)
+sql("dispatch_type", "fx_responses")(
+    """
+SELECT doc_id, checked_type, checked_type IN ('invoice', 'balance_sheet', 'profit_and_loss', 'cash_flow_statement') AS is_supported
+FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'invoice' WHEN doc_id % 31 = 1 THEN 'receipt' ELSE document_type END AS given,
+             CASE WHEN lower(json_extract_string(data, '$.statement_type')) IN ('invoice', 'balance_sheet', 'profit_and_loss', 'cash_flow_statement')
+                  THEN lower(json_extract_string(data, '$.statement_type'))
+                  WHEN given = 'invoice' AND (json_exists(data, '$.total_assets') OR json_exists(data, '$.current_assets')) AND NOT json_exists(data, '$.subtotal')
+                  THEN 'balance_sheet' ELSE given END AS checked_type FROM parsed) t""",
+    PARSED.strip(),
+)
+sql("field_partition", "fx_responses")(
+    """
+SELECT p.doc_id, e.key, CASE WHEN e.key = 'line_items' AND e.type = 'ARRAY' THEN 'line_items' WHEN e.type IN ('ARRAY', 'OBJECT') THEN 'nested'
+            WHEN e.key IN ('company_name', 'vendor_name', 'invoice_number', 'reporting_period', 'statement_type') THEN 'entity' ELSE 'financial' END AS part,
+       COALESCE(json_extract_string(e.value, '$'), '') = '' AS is_null,
+       CASE WHEN e.type IN ('ARRAY', 'OBJECT') THEN NULL WHEN e.type IN ('DOUBLE', 'UBIGINT', 'BIGINT') THEN
+            regexp_replace(regexp_replace(CAST(CAST(json_extract_string(e.value, '$') AS DECIMAL(20,2)) AS VARCHAR), '0+$', ''), '\\.$', '')
+            ELSE json_extract_string(e.value, '$') END AS text,
+       CASE WHEN e.type IN ('DOUBLE', 'UBIGINT', 'BIGINT') THEN CAST(json_extract_string(e.value, '$') AS DOUBLE) END AS number
+FROM parsed p, json_each(p.data) e WHERE p.body IS NOT NULL""",
+    PARSED.strip(),
+)
+
+# --- pages and text --------------------------------------------------------------------------------------------------
+
+ROUTED = f"""
+routed AS (SELECT *, CASE WHEN COALESCE({strip('text')}, '') <> '' THEN 'digital' WHEN n_images > 0 THEN 'scanned' WHEN rendered THEN 'rasterized' ELSE 'blank' END AS route
+           FROM fx_pages)"""
+sql("page_route", "fx_pages")(
+    """SELECT doc_id, page_number, route, route IN ('scanned', 'rasterized') AS is_scanned,
+       CASE route WHEN 'scanned' THEN 'Page ' || page_number || ' contained no digital text; extracted via OCR.'
+                  WHEN 'rasterized' THEN 'Page ' || page_number || ' contained no digital text or embedded images; rasterized page image for OCR/Vision extraction.'
+                  WHEN 'blank' THEN 'Page ' || page_number || ' contains no extractable digital text, images, or renderable content.' END AS warning FROM routed""",
+    ROUTED.strip(),
+)
+TEXT_STATUS = f"""
+SELECT doc_id, count(*) AS n_pages, count(ocr_error) AS n_errors, bool_or(COALESCE({strip('text')}, '') <> '') AS has_text,
+       CASE WHEN count(ocr_error) = 0 THEN 'SUCCESS' WHEN bool_or(COALESCE({strip('text')}, '') <> '') THEN 'PARTIAL_SUCCESS' ELSE 'FAILED' END AS extraction_status
+FROM fx_pages GROUP BY doc_id"""
+sql("extraction_status", "fx_pages")(TEXT_STATUS)
+sql("full_text", "fx_pages")(
+    f"""SELECT doc_id, n_pages, {strip("COALESCE(t, '')")} AS text
+        FROM (SELECT doc_id, count(*) AS n_pages, string_agg(text, chr(10) || chr(10) ORDER BY page_number) FILTER (WHERE text <> '') AS t FROM fx_pages GROUP BY doc_id) q"""
+)
+CONTEXT = f"""SELECT doc_id, string_agg('--- [PAGE ' || page_number || '] ---' || chr(10) || {strip("COALESCE(text, '')")} || chr(10), chr(10) ORDER BY page_number) AS context
+FROM fx_pages GROUP BY doc_id"""
+sql("page_context", "fx_pages")(CONTEXT)
+_says = lambda words: "(" + " OR ".join(f"contains(h, '{w}')" for w in words) + ")"
+_BS = _says(["BALANCE SHEET", "CONSOLIDATED BALANCE SHEET", "STATEMENT OF FINANCIAL POSITION", "STATEMENT OF ASSETS AND LIABILITIES", "CAPITAL AND LIABILITIES"])
+_PL = _says(["PROFIT AND LOSS", "PROFIT & LOSS", "INCOME STATEMENT", "STATEMENT OF OPERATIONS", "STATEMENT OF EARNINGS", "STATEMENT OF COMPREHENSIVE INCOME"])
+_CF = _says(["CASH FLOW STATEMENT", "STATEMENT OF CASH FLOWS", "CASH FLOWS STATEMENT"])
+_IN = _says(["TAX INVOICE", "COMMERCIAL INVOICE", "BILL OF SUPPLY", "PROFORMA INVOICE", "INVOICE NUMBER", "INVOICE DATE", "BILL TO", "SHIP TO", "GSTIN"])
+RECONCILED = f"""SELECT doc_id, requested_type, CASE WHEN {_BS} AND NOT {_IN} THEN 'balance_sheet' WHEN {_PL} AND NOT {_IN} THEN 'profit_and_loss'
+       WHEN {_CF} AND NOT {_IN} THEN 'cash_flow_statement' WHEN {_IN} AND NOT ({_BS} OR {_PL} OR {_CF}) THEN 'invoice' ELSE requested_type END AS reconciled_type
+FROM (SELECT *, upper(text[1:4000]) AS h FROM fx_text) t"""
+sql("reconcile_type", "fx_text")(RECONCILED)
+sql("request_table", "fx_pages", "fx_text")(
+    f"""
+SELECT c.doc_id, t.reconciled_type AS document_type, 'Read the ' || replace(t.reconciled_type, '_', ' ') || ' and answer with one JSON object.' AS system_prompt,
+       'Document type: ' || upper(replace(t.reconciled_type, '_', ' ')) || chr(10) || chr(10) ||
+         CASE WHEN s.list IS NOT NULL THEN 'Attached page images: ' || s.list || '.' ELSE c.context END AS user_prompt,
+       s.list IS NOT NULL AS by_image
+FROM ({CONTEXT}) c JOIN ({RECONCILED}) t USING (doc_id)
+LEFT JOIN (SELECT doc_id, string_agg(page_number, ', ' ORDER BY page_number) AS list FROM routed WHERE route IN ('scanned', 'rasterized') GROUP BY doc_id) s USING (doc_id)""",
+    ROUTED.strip(),
+)
+_MARK = "[REDACTED_API_KEY]"
+sql("redact", "fx_text")(
+    f"""
+SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(text, 'secret-key-9', '{_MARK}'),
+         'AIza[0-9A-Za-z\\-_]{{35}}', '{_MARK}', 'g'), '(key=)[A-Za-z0-9\\-_]+', '\\1{_MARK}', 'g'),
+         '(Bearer\\s+)[A-Za-z0-9\\-_.]+', '\\1{_MARK}', 'g'), '(token = ")[^"]+', '\\1{_MARK}', 'g') AS text
+FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'GET /v1?key=abc-DEF_123&x=1 ' WHEN 1 THEN 'Authorization: Bearer  tok.en-1_2 '
+                     WHEN 2 THEN 'AIza' || repeat('a1', 18) || ' ' WHEN 3 THEN 'my secret-key-9 here ' ELSE '' END || text AS text FROM fx_text) t"""
+)
+
+# --- files -----------------------------------------------------------------------------------------------------------
+
+FILE_FACTS = """
+facts AS (SELECT doc_id, name, hex_content AS h, CAST(length(hex_content) / 2 AS BIGINT) AS length,
+                 lower(regexp_extract(name, '(\\.[^.]+)$', 1)) AS extension,
+                 CASE extension WHEN '.pdf' THEN 'pdf' WHEN '.png' THEN 'png' WHEN '.jpg' THEN 'jpeg' WHEN '.jpeg' THEN 'jpeg'
+                      WHEN '' THEN CASE WHEN starts_with(h, '255044462D') THEN 'pdf' WHEN starts_with(h, '89504E470D0A1A0A') THEN 'png'
+                                        WHEN starts_with(h, 'FFD8') THEN 'jpeg' END END AS file_type
+          FROM fx_files)"""
+TRIAGED = (
+    FILE_FACTS.strip()
+    + """,
+texts AS (SELECT f.*, CASE WHEN starts_with(h, '255044462D') THEN '%PDF-1.4' || chr(10) || d.text || CASE WHEN d.doc_id % 12 = 4 THEN '' WHEN d.doc_id % 8 = 0
+                 THEN '<< /Type /Pages /Kids [] /Count ' || (d.doc_id % 6) || ' >>' ELSE '<< /Type /Page >> << /Type/Page /Parent 1 >>' END || chr(10) || '%%EOF' ELSE '' END AS t
+          FROM facts f JOIN documents d USING (doc_id)),
+counted AS (SELECT *, COALESCE(list_max(list_transform(list_filter(regexp_extract_all(t, '<<([\\s\\S]*?)>>', 1),
+                                lambda x: contains(x, '/Type') AND contains(x, '/Pages') AND contains(x, '/Count')),
+                                lambda x: TRY_CAST(regexp_extract(x, '/Count\\s+(\\d+)', 1) AS INTEGER))),
+                            NULLIF(len(regexp_extract_all(t, '/Type\\s*/Page\\b')), 0)) AS pages FROM texts),
+why AS (SELECT *, CASE WHEN length = 0 THEN 'File is empty (0 bytes).'
+             WHEN file_type IS NULL THEN 'Unsupported file type: ''' || CASE WHEN extension = '' THEN 'unknown' ELSE extension END || '''. Supported formats are: PDF, PNG, JPG/JPEG.'
+             WHEN file_type = 'pdf' AND length < 32 THEN 'Corrupted or unreadable PDF: File is too small to be a valid PDF.'
+             WHEN file_type = 'pdf' AND t = '' THEN 'Corrupted or unreadable PDF: Missing or invalid %PDF- header.'
+             WHEN file_type = 'pdf' AND pages IS NULL THEN 'Corrupted or unreadable PDF: Could not locate any valid page objects in the PDF.'
+             WHEN file_type = 'pdf' AND pages <= 0 THEN 'PDF contains no readable pages.'
+             WHEN file_type = 'pdf' AND pages > 3 THEN 'PDF exceeds maximum allowed page count of 3 pages (document has ' || pages || ' pages).'
+             WHEN file_type = 'png' AND NOT starts_with(h, '89504E470D0A1A0A') THEN 'Corrupted or unreadable image: Invalid PNG signature.'
+             WHEN file_type = 'png' AND NOT ends_with(h, '49454E44') THEN 'Corrupted or unreadable image: Corrupted PNG: Missing terminating IEND chunk.'
+             WHEN file_type = 'jpeg' AND NOT starts_with(h, 'FFD8') THEN 'Corrupted or unreadable image: Invalid JPEG: Missing SOI (Start of Image) marker.'
+             WHEN file_type = 'jpeg' AND NOT ends_with(h, 'FFD9') THEN 'Corrupted or unreadable image: Corrupted JPEG: Missing EOI (End of Image) marker.' END AS error FROM counted),
+triaged AS (SELECT doc_id, name, extension, file_type, error IS NULL AS is_valid,
+                   CASE WHEN file_type = 'pdf' AND t <> '' AND length > 0 THEN CAST(pages AS INTEGER) END AS page_count, COALESCE(error, '') AS error FROM why)"""
+)
+sql("triage_type", "fx_files")("SELECT doc_id, name, extension, file_type FROM facts", FILE_FACTS.strip())
+sql("triage_reject", "fx_files")(
+    "SELECT doc_id, name, file_type, error FROM triaged WHERE error LIKE 'File is empty%' OR error LIKE 'Unsupported%'", TRIAGED
+)
+_SHOWN_FILES = "SELECT doc_id, name, file_type, is_valid, page_count, error FROM triaged"
+sql("triage_pdf", "fx_files")(_SHOWN_FILES + " WHERE file_type = 'pdf'", TRIAGED)
+sql("triage_image", "fx_files")(_SHOWN_FILES + " WHERE file_type IN ('png', 'jpeg')", TRIAGED)
+sql("triage_prefilter", "fx_files")(
+    "SELECT doc_id, name, length FROM facts WHERE extension IN ('.pdf', '.png', '.jpg', '.jpeg') AND length BETWEEN 1 AND 4000", FILE_FACTS.strip()
+)
+
+# --- attempts --------------------------------------------------------------------------------------------------------
+
+LADDER = "ladder AS (SELECT * FROM (VALUES ('beta', 1), ('alpha', 2), ('gamma-lite', 3)) v(model, rank))"
+
+
+def _phrases(words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains(e, '{w}')" for w in words) + ")"
+
+
+def _attempt_sql() -> str:
+    from ledgerline.operators.attempts import NOT_FOUND_PHRASES, QUOTA_PHRASES, TRANSIENT_PHRASES  # fixed phrases
+
+    return f"""
+SELECT request_id, model, attempt, error_class,
+       CASE WHEN error_class = 'ok' THEN 'done' WHEN error_class = 'transient' AND attempt < 3 THEN 'retry' WHEN error_class = 'fatal' THEN 'raise' ELSE 'next_model' END AS action,
+       CASE WHEN error_class = 'transient' AND attempt < 3 THEN CAST(CASE WHEN asked > 0 THEN least(asked + 2, 15) ELSE 3 * attempt END AS DOUBLE) END AS wait_s
+FROM (SELECT *, lower(COALESCE(error, '')) AS e, COALESCE(TRY_CAST(regexp_extract(e, 'retry in (\\d+(\\.\\d+)?)s', 1) AS DOUBLE), 0) AS asked,
+             CASE WHEN ok THEN 'ok' WHEN COALESCE(code = 404, FALSE) OR {_phrases(NOT_FOUND_PHRASES)} THEN 'not_found'
+                  WHEN COALESCE(code = 429, FALSE) OR {_phrases(QUOTA_PHRASES)} THEN 'quota' WHEN asked > 10 AND rank < 3 THEN 'long_wait'
+                  WHEN COALESCE(code IN (500, 502, 503, 504), FALSE) OR {_phrases(TRANSIENT_PHRASES)} THEN 'transient' ELSE 'fatal' END AS error_class
+      FROM fx_attempts JOIN ladder USING (model)) t"""
+
+
+sql("classify_attempts", "fx_attempts")(_attempt_sql(), LADDER)
+sql("resolve_attempts", "fx_attempts")(
+    """SELECT request_id, arg_min(model, rank * 1000 + attempt) FILTER (WHERE ok) AS model, bool_or(ok) AS answered,
+              CAST(min(rank) FILTER (WHERE ok) AS INTEGER) AS model_rank, CAST(arg_min(attempt, rank * 1000 + attempt) FILTER (WHERE ok) AS INTEGER) AS winning_attempt,
+              count(*) FILTER (WHERE NOT ok) AS n_failed, count(*) AS n_attempts
+       FROM fx_attempts JOIN ladder USING (model) GROUP BY request_id""",
+    LADDER,
+)
+
+# --- status and store ------------------------------------------------------------------------------------------------
+
+_BALANCE_DOCS = f"""b_summary AS (SELECT doc_id, count(*) AS total_checks, count(*) FILTER (WHERE status = 'PASS') AS passed_checks,
+  count(*) FILTER (WHERE status = 'FAILED') AS failed_checks, count(*) FILTER (WHERE status = 'NOT_APPLICABLE') AS not_applicable_checks,
+  failed_checks = 0 AS is_valid FROM ({judged(_BALANCE_ALL)}) t GROUP BY doc_id)"""
+sql("processing_status", "fx_files", "fx_pages", "fx_responses", "fx_balance_headers", "fx_balance_lines")(
+    f"""
+SELECT doc_id, CASE WHEN stage = 'file' THEN 'VALIDATION_FAILED' WHEN stage IN ('text', 'extraction') THEN 'EXTRACTION_FAILED'
+                    WHEN s.is_valid THEN 'COMPLETED' ELSE 'VALIDATION_FAILED' END AS processing_status, stage AS last_stage, t.is_valid AS is_stored
+FROM (SELECT f.doc_id, f.is_valid, CASE WHEN NOT f.is_valid THEN 'file' WHEN COALESCE(x.extraction_status, 'FAILED') = 'FAILED' OR NOT x.has_text THEN 'text'
+             WHEN COALESCE(r.extraction_status, 'FAILED') = 'FAILED' THEN 'extraction' ELSE 'checks' END AS stage
+      FROM triaged f LEFT JOIN ({TEXT_STATUS}) x USING (doc_id) LEFT JOIN results r USING (doc_id)) t LEFT JOIN b_summary s USING (doc_id)""",
+    ",".join([TRIAGED, RESULTS, B_CTES, _BALANCE_DOCS]),
+)
+sql("document_metadata", "fx_pages", "fx_responses", "fx_balance_headers", "fx_balance_lines")(
+    """
+SELECT s.doc_id, COALESCE(p.n, 0) AS page_count, COALESCE(v.n, 0) AS evidence_count, total_checks, passed_checks, failed_checks, not_applicable_checks, is_valid
+FROM b_summary s LEFT JOIN (SELECT doc_id, count(*) AS n FROM fx_pages GROUP BY doc_id) p USING (doc_id)
+LEFT JOIN (SELECT p.doc_id, count(*) AS n FROM parsed p, json_each(p.body, '$.evidence') e
+           WHERE p.body IS NOT NULL AND json_exists(p.body, '$.evidence') AND e.type = 'OBJECT' GROUP BY p.doc_id) v USING (doc_id)""",
+    ",".join([PARSED.strip(), B_CTES, _BALANCE_DOCS]),
+)
+sql("list_documents", "fx_stored")(
+    """SELECT id, document_name, document_type, processing_status, created_at FROM fx_stored
+       WHERE document_type = 'invoice' AND processing_status = 'COMPLETED' ORDER BY created_at DESC, id DESC LIMIT 50 OFFSET 20"""
+)
+sql("document_by_name", "fx_stored")("SELECT * FROM fx_stored WHERE document_name = 'statement-7.pdf' ORDER BY created_at DESC, id DESC LIMIT 1")
+sql("document_by_id", "fx_stored")("SELECT * FROM fx_stored WHERE id = 42")
+sql("latest_documents", "fx_stored")(
+    "SELECT * FROM fx_stored QUALIFY ROW_NUMBER() OVER (PARTITION BY document_name ORDER BY created_at DESC, id DESC) = 1"
+)
+sql("store_append", "fx_stored")("SELECT id, document_name, document_type, processing_status, created_at FROM fx_stored")
+
+
 def build() -> dict[str, str]:
     return dict(ORACLE)
