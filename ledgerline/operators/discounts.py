@@ -18,7 +18,6 @@ from ledgerline.functions.numeric import (
 PERCENT_FIELDS = ["discount_percent", "discount_percentage", "discount_pct", "discount_rate"]
 AMOUNT_FIELDS = ["discount_amount", "discount_value"]
 CURRENCY_MARKS = r"[$€£¥₹]|USD|EUR|GBP|INR"
-NULL_WORDS = ["null", "none", "n/a", "na", "-", "--", ""]
 WORDS = r"(?:discount|disc|dis\b|less|off|rebate)"
 NUMBER = r"(\d+(?:\.\d+)?)"
 PERCENT_ANYWHERE = rf"{NUMBER}\s*%"
@@ -74,18 +73,15 @@ def _bare_number(value: Column, tolerance: float) -> Column:
     return F.when(_fits_percent(value, tolerance), _pair(PERCENT, value)).when(as_amount, _pair(AMOUNT, value))
 
 
-def _generic(df: DataFrame, tolerance: float, with_total: bool) -> Column:
+def _generic_stated(df: DataFrame) -> Column:
+    """A generic discount that says its unit; null words and unparsable texts give nothing."""
     if not _is_text(df, "discount"):
-        return _bare_number(F.col("discount").cast("double"), tolerance) if with_total else _none()
-    text = strip(F.col("discount"))
-    percent = _found(text, PERCENT_ANYWHERE)
-    money = parse_amount(text)
-    expr = (
-        F.when(F.lower(text).isin(NULL_WORDS), _none())
-        .when(text.contains("%"), F.when(percent.between(0.0, 100.0), _pair(PERCENT, percent)))
-        .when(text.rlike(CURRENCY_MARKS), F.when(money >= 0.0, _pair(AMOUNT, money)))
+        return _none()
+    text = F.col("discount")
+    percent, money = _found(text, PERCENT_ANYWHERE), parse_amount(text)
+    return F.when(text.contains("%"), F.when(percent <= 100.0, _pair(PERCENT, percent))).when(
+        text.rlike(CURRENCY_MARKS), F.when(money >= 0.0, _pair(AMOUNT, money))
     )
-    return expr.otherwise(_bare_number(parse_float(text), tolerance)) if with_total else expr
 
 
 def _from_words(text: Column) -> Column:
@@ -111,28 +107,34 @@ def _from_totals(text: Column, tolerance: float) -> Column:
     return F.when(text.contains("%") & hit.isNotNull(), _pair(PERCENT, hit))
 
 
-def _resolve(df: DataFrame, tolerance: float, with_total: bool, from_text: bool) -> Column:
+def _stated(df: DataFrame, texts: list[Column]) -> Column:
+    """Discount as a line states it, by priority; the first field that holds anything ends the search."""
     chain = None
+    fields = [(c, _percent_field(df, c)) for c in PERCENT_FIELDS if c in df.columns]
+    fields += [(c, _amount_field(df, c)) for c in AMOUNT_FIELDS if c in df.columns]
+    if "discount" in df.columns:
+        fields.append(("discount", _generic_stated(df)))
+    for name, value in fields:
+        present = F.col(name).isNotNull()
+        chain = F.when(present, value) if chain is None else chain.when(present, value)
+    words = F.coalesce(*[_from_words(t) for t in texts]) if texts else _none()
+    return words if chain is None else chain.otherwise(words)
 
-    def add(condition: Column, value: Column) -> None:
-        nonlocal chain
-        chain = F.when(condition, value) if chain is None else chain.when(condition, value)
 
-    for name in PERCENT_FIELDS:
-        if name in df.columns:
-            add(F.col(name).isNotNull(), _percent_field(df, name))
-    for name in AMOUNT_FIELDS:
-        if name in df.columns:
-            add(F.col(name).isNotNull(), _amount_field(df, name))
+def _derived(df: DataFrame, texts: list[Column], tolerance: float) -> Column:
+    """Discount that only the line's total can tell: a bare number, or a percentage somewhere in the text."""
+    named = [F.col(c).isNotNull() for c in PERCENT_FIELDS + AMOUNT_FIELDS if c in df.columns]
+    chain = None
+    if named:
+        any_named = named[0]
+        for present in named[1:]:
+            any_named = any_named | present
+        chain = F.when(any_named, _none())
     if "discount" in df.columns:
-        add(F.col("discount").isNotNull(), _generic(df, tolerance, with_total))
-
-    texts = [F.col(c) for c in ("source_snippet", "description") if c in df.columns] if from_text else []
-    readings = [_from_words(t) for t in texts]
-    if with_total:
-        readings += [_from_totals(t, tolerance) for t in texts]
-    rest = F.coalesce(*readings) if readings else _none()
-    return rest if chain is None else chain.otherwise(rest)
+        bare = _bare_number(F.col("_bare"), tolerance)
+        chain = F.when(F.col("discount").isNotNull(), bare) if chain is None else chain.when(F.col("discount").isNotNull(), bare)
+    in_text = F.coalesce(*[_from_totals(t, tolerance) for t in texts]) if texts else _none()
+    return in_text if chain is None else chain.otherwise(in_text)
 
 
 def with_line_inputs(lines: DataFrame) -> DataFrame:
@@ -155,12 +157,17 @@ def resolve_line_discount(
 ) -> DataFrame:
     """Add discount_kind and discount_value, and has_discount as seen without the line's quantity, price and total."""
     df = with_line_inputs(lines)
+    texts = [F.col(c) for c in ("source_snippet", "description") if c in df.columns] if from_text else []
+    bare = F.lit(None).cast("double")
+    if "discount" in df.columns:
+        bare = parse_float(F.col("discount")) if _is_text(df, "discount") else F.col("discount").cast("double")
+    df = df.withColumns({"_stated": _stated(df, texts), "_bare": bare})
     df = df.withColumns(
         {
-            "_discount": _resolve(df, tolerance, True, from_text),
-            "has_discount": _resolve(df, tolerance, False, from_text).isNotNull(),
+            "_discount": F.coalesce(F.col("_stated"), _derived(df, texts, tolerance)),
+            "has_discount": F.col("_stated").isNotNull(),
         }
     )
     return df.withColumns({"discount_kind": F.col("_discount.kind"), "discount_value": F.col("_discount.value")}).drop(
-        "_discount"
+        "_discount", "_stated", "_bare"
     )

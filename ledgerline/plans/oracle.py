@@ -457,7 +457,8 @@ for _name, _body in PNL.items():
 
 FLOWS = ["net_cash_from_operating_activities", "net_cash_from_investing_activities", "net_cash_from_financing_activities"]
 _CASH_COLUMNS = [*FLOWS, "net_change_in_cash", "beginning_cash_balance", "ending_cash_balance", "effect_of_exchange_rate_changes"]
-C_CTES = f"""c_long AS (SELECT doc_id, k, num FROM ({with_amount('(UNPIVOT INCLUDE NULLS fx_cash_headers ON COLUMNS(* EXCLUDE doc_id) INTO NAME k VALUE text)')}) u),
+_CASH_TEXTS = "(" + " UNION ALL ".join(f"SELECT doc_id, '{c}' AS k, {c} AS text FROM fx_cash_headers" for c in _CASH_COLUMNS) + ") u"
+C_CTES = f"""c_long AS ({with_amount(_CASH_TEXTS)}),
 c_wide AS (SELECT doc_id, {', '.join(f"max(num) FILTER (WHERE k = '{c}') AS {c}" for c in _CASH_COLUMNS)} FROM c_long GROUP BY doc_id),
 c_lines AS ({line_lookup('fx_cash_lines', CASH_METRICS)}),
 c AS (SELECT w.*, COALESCE(NULLIF(effect_of_exchange_rate_changes, 0), exchange_effect_0) AS e FROM c_wide w LEFT JOIN c_lines USING (doc_id))"""
@@ -607,7 +608,7 @@ FROM (SELECT r.doc_id, document_type, extraction_status, CAST(CAST(e.key AS INTE
     RESULTS,
 )
 sql("extra_rows", "fx_responses")(
-    f"""SELECT doc_id, pos::INTEGER AS pos, key, lower(replace(replace(key, '-', '_'), ' ', '_')) AS key_norm, text, is_text, num
+    f"""SELECT doc_id, pos::INTEGER AS pos, key, lower(replace(replace(key, '-', '_'), ' ', '_')) AS key_norm, CASE WHEN is_text THEN text END AS text, is_text, num
         FROM ({with_amount('(SELECT p.doc_id, row_number() OVER (PARTITION BY p.doc_id ORDER BY e.id) - 1 AS pos, e.key, json_extract_string(e.value, chr(36)) AS text, COALESCE(e.type = ' + "'VARCHAR'" + ', FALSE) AS is_text FROM parsed p, json_each(p.data, ' + "'$.additional_fields'" + ') e WHERE json_type(p.data, ' + "'$.additional_fields'" + ') = ' + "'OBJECT'" + ')', plain='NOT is_text')}) t""",
     PARSED.strip(),
 )

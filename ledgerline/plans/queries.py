@@ -435,7 +435,9 @@ def line_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def extra_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return payload.explode_extra(_parsed(spark, sf_dir)).select("doc_id", "pos", "key", "key_norm", "text", "is_text", "num")
+    rows = payload.explode_extra(_parsed(spark, sf_dir))
+    text = F.when(F.col("is_text"), F.col("text")).alias("text")
+    return rows.select("doc_id", "pos", "key", "key_norm", text, "is_text", "num")
 
 
 @query
