@@ -67,7 +67,8 @@ def parse_amount(text: Column) -> Column:
         F.round(digits.try_cast("decimal(38,8)") / divisor, 6).cast("double"), digits.try_cast("double") / divisor
     )
     number = F.when(text.rlike(_NEGATIVE), -F.abs(number)).otherwise(number)
-    plain = F.coalesce(F.round(F.trim(text).try_cast("decimal(38,8)"), 6).cast("double"), F.trim(text).try_cast("double"))
+    bare = strip(text)
+    plain = F.coalesce(F.round(bare.try_cast("decimal(38,8)"), 6).cast("double"), bare.try_cast("double"))
     return F.when(text.rlike(_PLAIN), plain).otherwise(number)
 
 

@@ -13,6 +13,12 @@ from ledgerline.operators.invoice import invoice_checks
 from ledgerline.operators.statements import balance_sheet_checks, cash_flow_checks, pnl_checks
 
 
+RESULT_SCHEMA = (
+    "doc_id string, document_type string, extraction_status string, reason string, data variant, extra_text string, "
+    "whole_text string, checked_type string"
+)
+
+
 def all_checks(*parts: DataFrame) -> DataFrame:
     """Checks of several document types under one another; each part holds its own type only."""
     return reduce(DataFrame.unionByName, [part.select(*CHECK_COLUMNS) for part in parts])
@@ -43,24 +49,31 @@ def extraction_results(responses: DataFrame) -> DataFrame:
     return payload.checked_type_of_results(payload.extraction_result(payload.parse_responses(responses)))
 
 
-def normalize_responses(responses: DataFrame, path: str) -> dict[str, DataFrame]:
+def loose_results(payloads: DataFrame) -> DataFrame:
+    """Payloads taken as they are: every name and every printed amount the rules know counts, no schema is applied."""
+    parsed = payload.dispatch_type(payload.parse_responses(payloads))
+    status = F.when(F.col("body").isNull() | ~F.col("is_supported"), payload.FAILED).otherwise(payload.PARTIAL)
+    return parsed.withColumns({"extraction_status": status, "reason": F.col("error")})
+
+
+def normalize_responses(responses: DataFrame, path: str, typed: bool = True) -> dict[str, DataFrame]:
     """Write the typed tables of a batch of responses below ``path`` and return them.
 
     Every rule set reads several of these tables, so the JSON text is parsed once, here, and the rules then scan narrow
     columns of their own document type only. The tables also survive the loss of executors.
     """
     spark = responses.sparkSession
-    results = extraction_results(responses).withColumns(payload.ordered_texts())
+    results = (extraction_results if typed else loose_results)(responses).withColumns(payload.ordered_texts())
     results.select(
-        "doc_id", "document_type", "extraction_status", "reason", "data", "extra_text",
+        F.col("doc_id").cast("string").alias("doc_id"), "document_type", "extraction_status", "reason", "data", "extra_text",
         F.when(F.col("extraction_status") == payload.PARTIAL, F.col("whole_text")).alias("whole_text"), "checked_type",
     ).write.mode("overwrite").partitionBy("checked_type").parquet(f"{path}/results")
-    stored = spark.read.parquet(f"{path}/results")
+    stored = spark.read.schema(RESULT_SCHEMA).parquet(f"{path}/results")
     usable = stored.where(F.col("extraction_status") != payload.FAILED)
 
     def keep(name: str, df: DataFrame) -> DataFrame:
         df.write.mode("overwrite").partitionBy("checked_type").parquet(f"{path}/{name}")
-        return spark.read.parquet(f"{path}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
 
     return {
         "results": stored,
@@ -85,6 +98,12 @@ def checks_of_tables(tables: dict[str, DataFrame], tolerance: float = DEFAULT_TO
     )
 
 
-def validate_responses(responses: DataFrame, path: str, tolerance: float = DEFAULT_TOLERANCE) -> DataFrame:
-    """Raw responses (doc_id, document_type, raw) to check rows, through tables written below ``path``."""
-    return checks_of_tables(normalize_responses(responses, path), tolerance)
+def validate_responses(
+    responses: DataFrame, path: str, tolerance: float = DEFAULT_TOLERANCE, typed: bool = True
+) -> DataFrame:
+    """Raw responses (doc_id, document_type, raw) to check rows, through tables written below ``path``.
+
+    With ``typed`` a payload first goes through the fields of its type, as extraction does; without it the rules read
+    the payload itself.
+    """
+    return checks_of_tables(normalize_responses(responses, path, typed), tolerance)
