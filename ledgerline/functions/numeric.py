@@ -16,13 +16,15 @@ CURRENCY = "$€£¥₹"
 DEFAULT_TOLERANCE = 0.01
 
 _PLAIN = rf"^[{SPACE}]*[-+]?(?:\d+(?:\.\d*)?|\.\d+)[{SPACE}]*$"
-_WRAPPED = rf"^[{SPACE}]*\(([\s\S]*)\)[{SPACE}]*$"
-_NEGATIVE = rf"^[{SPACE}]*\([\s\S]*\)[{SPACE}]*$|^[{SPACE}]*-|(?:-|[Cc][Rr])[{SPACE}]*$"
+_BRACKETS = r"^[^()]*$|" + rf"^[{SPACE}]*\([^()]*\)[{SPACE}]*$"
+_NEGATIVE = rf"^[{SPACE}]*[(-]|(?:-|[Cc][Rr])[{SPACE}]*$"
 _PERCENT = rf"%[{SPACE}]*(?:-|[Cc][Rr])?[{SPACE}]*\)?[{SPACE}]*$"
+# Every alternative takes at least one character: an empty match would skip the character after it.
 _NOISE = (
-    rf"^[{SPACE}]*[-+]"
-    rf"|(?:%[{SPACE}]*)?(?:-|[Cc][Rr])[{SPACE}]*$"
-    rf"|%[{SPACE}]*$"
+    rf"^[{SPACE}]*(?:\([{SPACE}]*[-+]?|[-+])"
+    rf"|%[{SPACE}]*(?:-|[Cc][Rr])?[{SPACE}]*\)?[{SPACE}]*$"
+    rf"|(?:-|[Cc][Rr])[{SPACE}]*\)?[{SPACE}]*$"
+    rf"|\)[{SPACE}]*$"
     rf"|[A-Za-z{CURRENCY}{SPACE}]"
 )
 _SPACE_CHARS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
@@ -55,21 +57,17 @@ def parse_float(text: Column) -> Column:
 def parse_amount(text: Column) -> Column:
     """Read a printed amount: brackets, trailing minus and CR negate, % divides by 100, currency and letters drop out.
 
-    Digits are read as a decimal, so that each step occurs once in the expression; only amounts beyond 30 digits are
-    read as a double again.
+    Every step occurs once in the expression, so that a projection of many amounts still fits generated code.
     """
-    inner = F.regexp_replace(text, _WRAPPED, "$1")
-    digits = F.regexp_replace(inner, _NOISE, "")
+    digits = F.regexp_replace(text, _NOISE, "")
     digits = F.regexp_replace(digits, r"^(\d+),(\d{1,2})$", "$1.$2")
-    digits = F.regexp_replace(F.replace(digits, F.lit(","), F.lit("")), r"(?<=\d)_(?=\d)", "")
-    divisor = F.when(text.rlike(_PERCENT), F.lit(100)).otherwise(F.lit(1))
-    number = F.coalesce(
-        F.round(digits.try_cast("decimal(38,8)") / divisor, 6).cast("double"), digits.try_cast("double") / divisor
+    digits = F.regexp_replace(digits, r",|(?<=\d)_(?=\d)", "")
+    size = F.when(text.rlike(_BRACKETS), digits.try_cast("double")) / F.when(text.rlike(_PERCENT), 100.0).otherwise(1.0)
+    # A sign left inside, as in "+-5", counts only where no other mark negates.
+    number = F.round(size, 6)
+    return F.when(text.rlike(_PLAIN), F.round(strip(text).try_cast("double"), 6)).otherwise(
+        F.when(text.rlike(_NEGATIVE), F.least(number, -number)).otherwise(number)
     )
-    number = F.when(text.rlike(_NEGATIVE), -F.abs(number)).otherwise(number)
-    bare = strip(text)
-    plain = F.coalesce(F.round(bare.try_cast("decimal(38,8)"), 6).cast("double"), bare.try_cast("double"))
-    return F.when(text.rlike(_PLAIN), plain).otherwise(number)
 
 
 def amount(df: DataFrame, name: str) -> Column:

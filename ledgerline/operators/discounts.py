@@ -52,12 +52,17 @@ def _percent_field(df: DataFrame, name: str) -> Column:
         number = F.col(name).cast("double")
     if name == "discount_rate":
         number = F.when((number > 0.0) & (number <= 1.0), number * 100.0).otherwise(number)
-    return F.when(number.between(0.0, 100.0), _pair(PERCENT, number))
+    return number
 
 
-def _amount_field(df: DataFrame, name: str) -> Column:
-    number = amount(df, name)
-    return F.when(number >= 0.0, _pair(AMOUNT, number))
+def _first_given(df: DataFrame, names: list[str], read) -> tuple[Column, Column]:
+    """Whether any of the fields is given, and the number of the first one that is."""
+    given, number = F.lit(False), F.lit(None).cast("double")
+    for name in reversed([n for n in names if n in df.columns]):
+        present = F.col(name).isNotNull()
+        given = present | given
+        number = F.when(present, read(df, name)).otherwise(number)
+    return given, number
 
 
 def _fits_percent(value: Column, tolerance: float) -> Column:
@@ -73,68 +78,18 @@ def _bare_number(value: Column, tolerance: float) -> Column:
     return F.when(_fits_percent(value, tolerance), _pair(PERCENT, value)).when(as_amount, _pair(AMOUNT, value))
 
 
-def _generic_stated(df: DataFrame) -> Column:
-    """A generic discount that says its unit; null words and unparsable texts give nothing."""
-    if not _is_text(df, "discount"):
-        return _none()
-    text = F.col("discount")
-    percent, money = _found(text, PERCENT_ANYWHERE), parse_amount(text)
-    return F.when(text.contains("%"), F.when(percent <= 100.0, _pair(PERCENT, percent))).when(
-        text.rlike(CURRENCY_MARKS), F.when(money >= 0.0, _pair(AMOUNT, money))
-    )
-
-
-def _from_words(text: Column) -> Column:
-    percent = F.coalesce(_found(text, WORD_THEN_PERCENT), _found(text, PERCENT_THEN_WORD))
-    money = _found(text, WORD_THEN_AMOUNT)
-    return F.when(text.contains("%") & (percent <= 100.0), _pair(PERCENT, percent)).when(
-        money.isNotNull(), _pair(AMOUNT, money)
-    )
-
-
-def _from_totals(text: Column, tolerance: float) -> Column:
+def _in_totals(text: Column, tolerance: float) -> Column:
     """First n% in the text that reproduces the line total, exactly or rounded in steps."""
 
     def reproduces(value: Column) -> Column:
-        whole = round_to(F.col("_q") * F.col("_p"), 2)
+        whole = F.col("_whole")
         stepped = round_to(whole - round_to(whole * (value / 100.0), 2), 2)
         return _fits_percent(value, tolerance) | (
             value.between(0.0, 100.0) & (F.abs(stepped - F.col("_t")) <= tolerance)
         )
 
     numbers = F.transform(F.regexp_extract_all(text, F.lit(PERCENT_ANYWHERE), F.lit(1)), lambda s: s.try_cast("double"))
-    hit = F.get(F.filter(numbers, reproduces), 0)
-    return F.when(text.contains("%") & hit.isNotNull(), _pair(PERCENT, hit))
-
-
-def _stated(df: DataFrame, texts: list[Column]) -> Column:
-    """Discount as a line states it, by priority; the first field that holds anything ends the search."""
-    chain = None
-    fields = [(c, _percent_field(df, c)) for c in PERCENT_FIELDS if c in df.columns]
-    fields += [(c, _amount_field(df, c)) for c in AMOUNT_FIELDS if c in df.columns]
-    if "discount" in df.columns:
-        fields.append(("discount", _generic_stated(df)))
-    for name, value in fields:
-        present = F.col(name).isNotNull()
-        chain = F.when(present, value) if chain is None else chain.when(present, value)
-    words = F.coalesce(*[_from_words(t) for t in texts]) if texts else _none()
-    return words if chain is None else chain.otherwise(words)
-
-
-def _derived(df: DataFrame, texts: list[Column], tolerance: float) -> Column:
-    """Discount that only the line's total can tell: a bare number, or a percentage somewhere in the text."""
-    named = [F.col(c).isNotNull() for c in PERCENT_FIELDS + AMOUNT_FIELDS if c in df.columns]
-    chain = None
-    if named:
-        any_named = named[0]
-        for present in named[1:]:
-            any_named = any_named | present
-        chain = F.when(any_named, _none())
-    if "discount" in df.columns:
-        bare = _bare_number(F.col("_bare"), tolerance)
-        chain = F.when(F.col("discount").isNotNull(), bare) if chain is None else chain.when(F.col("discount").isNotNull(), bare)
-    in_text = F.coalesce(*[_from_totals(t, tolerance) for t in texts]) if texts else _none()
-    return in_text if chain is None else chain.otherwise(in_text)
+    return F.when(text.contains("%"), F.get(F.filter(numbers, reproduces), 0))
 
 
 def with_line_inputs(lines: DataFrame) -> DataFrame:
@@ -157,17 +112,48 @@ def resolve_line_discount(
 ) -> DataFrame:
     """Add discount_kind and discount_value, and has_discount as seen without the line's quantity, price and total."""
     df = with_line_inputs(lines)
-    texts = [F.col(c) for c in ("source_snippet", "description") if c in df.columns] if from_text else []
-    bare = F.lit(None).cast("double")
-    if "discount" in df.columns:
-        bare = parse_float(F.col("discount")) if _is_text(df, "discount") else F.col("discount").cast("double")
-    df = df.withColumns({"_stated": _stated(df, texts), "_bare": bare})
+    texts = [c for c in ("source_snippet", "description") if c in df.columns] if from_text else []
+    has_generic = "discount" in df.columns
+    null = F.lit(None).cast("double")
+    percent_given, percent = _first_given(df, PERCENT_FIELDS, _percent_field)
+    amount_given, money = _first_given(df, AMOUNT_FIELDS, amount)
+    generic = F.col("discount") if has_generic else F.lit(None).cast("string")
+    generic_text = has_generic and _is_text(df, "discount")
+    # What each source says, as one number per column.
+    readings = {
+        "_percent": percent,
+        "_money": money,
+        "_generic_percent": F.when(generic.contains("%"), _found(generic, PERCENT_ANYWHERE)) if generic_text else null,
+        "_generic_money": F.when(generic.rlike(CURRENCY_MARKS), parse_amount(generic)) if generic_text else null,
+        "_bare": (parse_float(generic) if generic_text else generic.cast("double")) if has_generic else null,
+        "_whole": round_to(F.col("_q") * F.col("_p"), 2),
+    }
+    for name in texts:
+        text = F.col(name)
+        worded = F.coalesce(_found(text, WORD_THEN_PERCENT), _found(text, PERCENT_THEN_WORD))
+        readings[f"_percent_{name}"] = F.when(text.contains("%"), worded)
+        readings[f"_money_{name}"] = _found(text, WORD_THEN_AMOUNT)
+    df = df.withColumns(readings)
+    named = percent_given | amount_given | generic.isNotNull()
+    in_range = lambda c: F.when(F.col(c).between(0.0, 100.0), _pair(PERCENT, F.col(c)))
+    not_negative = lambda c: F.when(F.col(c) >= 0.0, _pair(AMOUNT, F.col(c)))
+    worded = [reading for name in texts for reading in (in_range(f"_percent_{name}"), not_negative(f"_money_{name}"))]
+    stated = (
+        F.when(percent_given, in_range("_percent"))
+        .when(amount_given, not_negative("_money"))
+        .when(generic.contains("%") if generic_text else F.lit(False), in_range("_generic_percent"))
+        .when(generic.isNotNull(), not_negative("_generic_money"))
+        .otherwise(F.coalesce(*worded) if worded else _none())
+    )
+    # Only the line's total can tell what a bare number, or a percentage somewhere in the text, means.
+    in_totals = [_in_totals(F.col(name), tolerance) for name in texts]
+    df = df.withColumns({"_stated": stated, "_in_text": F.when(~named, F.coalesce(*in_totals)) if texts else null})
+    derived = F.when(percent_given | amount_given, _none()).when(
+        generic.isNotNull(), _bare_number(F.col("_bare"), tolerance)
+    ).otherwise(F.when(F.col("_in_text").isNotNull(), _pair(PERCENT, F.col("_in_text"))))
     df = df.withColumns(
-        {
-            "_discount": F.coalesce(F.col("_stated"), _derived(df, texts, tolerance)),
-            "has_discount": F.col("_stated").isNotNull(),
-        }
+        {"_discount": F.coalesce(F.col("_stated"), derived), "has_discount": F.col("_stated").isNotNull()}
     )
     return df.withColumns({"discount_kind": F.col("_discount.kind"), "discount_value": F.col("_discount.value")}).drop(
-        "_discount", "_stated", "_bare"
+        "_discount", "_stated", "_in_text", *readings
     )

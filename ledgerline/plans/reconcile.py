@@ -75,8 +75,14 @@ def normalize_responses(responses: DataFrame, path: str, typed: bool = True) ->
         df.write.mode("overwrite").partitionBy("checked_type").parquet(f"{path}/{name}")
         return spark.read.schema(df.schema).parquet(f"{path}/{name}")
 
+    def headers(kind: str) -> DataFrame:
+        df = payload.rule_headers(stored, kind)
+        df.write.mode("overwrite").parquet(f"{path}/headers_{kind}")
+        return spark.read.schema(df.schema).parquet(f"{path}/headers_{kind}")
+
     return {
         "results": stored,
+        **{f"headers_{kind}": headers(kind) for kind in payload.TYPES},
         "lines": keep("lines", payload.explode_lines(usable)),
         "extra": keep("extra", payload.explode_extra(usable)),
     }
@@ -87,7 +93,7 @@ def checks_of_tables(tables: dict[str, DataFrame], tolerance: float = DEFAULT_TO
 
     def of(kind: str) -> tuple[DataFrame, DataFrame, DataFrame]:
         mine = lambda name: tables[name].where(F.col("checked_type") == kind)
-        return payload.rule_headers(mine("results"), kind), mine("lines"), mine("extra")
+        return tables[f"headers_{kind}"], mine("lines"), mine("extra")
 
     invoices = tables["results"].where((F.col("checked_type") == "invoice") & (F.col("extraction_status") != payload.FAILED))
     return all_checks(

@@ -17,7 +17,10 @@ def as_files(df: DataFrame) -> DataFrame:
 
 
 def scan_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files below a folder; without ``content`` in the query only the listing is read."""
+    """Files below a folder; without ``content`` in the query only the listing is read.
+
+    Spark's file sources leave out files of 0 bytes; where those matter they come from the table of arrivals.
+    """
     return as_files(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
 
 
