@@ -79,4 +79,4 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_remove
 FROM docs LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-ORACLE = {"op1_decontaminate": OP1, "op2_mix_sources": OP2}
+ORACLE = {"op1_decontaminate": OP1, "op2_mix_sources": OP2, "op10_substring_dedup": OP10}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import decontaminate, langid, mixing, sharding, simhash
+from ledgerline.llm import ctw, decontaminate, langid, mixing, sharding, simhash, substring
 from ledgerline.llm.common import crc_of_id
 from ledgerline.llm.oracle import ORACLE
 
@@ -61,9 +61,20 @@ def shard_columns(placed: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
+def op7_context_tree(spark: SparkSession, folder: str) -> DataFrame:
+    return ctw.score(_table(spark, folder, "documents").select("doc_id", "text"), crc_of_id() % 10 != 0)
+
+
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     return simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_mix_sources, op4_language_id, op5_shard, op8_simhash)}
+def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring.dedup(_table(spark, folder, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_decontaminate, op2_mix_sources, op4_language_id, op5_shard, op7_context_tree, op8_simhash, op10_substring_dedup)
+}
