@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import ctw, decontaminate, langid, mixing, sharding, simhash, substring
+from ledgerline.llm import ctw, decontaminate, factorization, html, langid, mixing, outliers, sharding, simhash, substring
 from ledgerline.llm.common import crc_of_id
 from ledgerline.llm.oracle import ORACLE
 
@@ -35,6 +35,12 @@ def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return planned.select("doc_id", at["size"].alias("size"), at["source_size"].alias("source_size"), at["target"].alias("target"), (at["copies"] * at["size"]).alias("taken"))
 
 
+def op3_extract_html(spark: SparkSession, folder: str) -> DataFrame:
+    found = html.extract(_table(spark, folder, "pages").select("page_id", "url", "html"))
+    text = F.col(found.columns[-1])
+    return found.select("page_id", "url", text.alias("text"), F.length(text).cast("bigint").alias("n_chars"))
+
+
 def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text", "lang")
     held = crc_of_id() % 4 == 2
@@ -61,6 +67,14 @@ def shard_columns(placed: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
+def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    held = crc_of_id() % 3 == 1
+    scored = factorization.score(docs, docs.where(~held), _table(spark, folder, "labels").where(~held).select("doc_id", "quality"))
+    score = F.col(scored.columns[-1])
+    return scored.select("doc_id", held.alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op7_context_tree(spark: SparkSession, folder: str) -> DataFrame:
     return ctw.score(_table(spark, folder, "documents").select("doc_id", "text"), crc_of_id() % 10 != 0)
 
@@ -70,11 +84,26 @@ def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(docs).select("doc_id", "fingerprint", "component_id")
 
 
+def op9_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return outliers.judge(_table(spark, folder, "documents").select("doc_id", "text", "lang", "source"))
+
+
 def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring.dedup(_table(spark, folder, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontaminate, op2_mix_sources, op4_language_id, op5_shard, op7_context_tree, op8_simhash, op10_substring_dedup)
+    for f in (
+        op1_decontaminate,
+        op2_mix_sources,
+        op3_extract_html,
+        op4_language_id,
+        op5_shard,
+        op6_quality,
+        op7_context_tree,
+        op8_simhash,
+        op9_quality_rules,
+        op10_substring_dedup,
+    )
 }
