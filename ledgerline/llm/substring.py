@@ -34,7 +34,7 @@ from ledgerline.llm.common import saved, text_bytes
 WINDOW = 35
 BLOCK = 18
 #: Words of a batch, and rolling windows of a bucket, about.
-BATCH, BUCKET = 1_000_000, 200_000
+BATCH, BUCKET = 500_000, 200_000
 _LOW = 24
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 _BASES = (0x2545F4914F6CDD1D, 0xD1342543DE82EF95)
@@ -44,7 +44,7 @@ class _Words(dict):
     """64-bit hashes of words; a cache of bounded size."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 200_000:
             self.clear()
         self[word] = x = xxhash.xxh64_intdigest(word)
         return x
@@ -160,7 +160,8 @@ def _block_codes(buckets: int):
     def codes(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hasher = Hasher()
         for texts in batches:
-            yield pa.array([_anchor_codes(hasher.rolling[0](hasher.of(t), BLOCK)[::BLOCK], buckets) for t in text_bytes(texts)], pa.list_(pa.int64()))
+            parts = [texts.slice(i, 256) for i in range(0, len(texts), 256)]
+            yield pa.concat_arrays([pa.array([_anchor_codes(hasher.rolling[0](hasher.of(t), BLOCK)[::BLOCK], buckets) for t in text_bytes(p)], pa.list_(pa.int64())) for p in parts])
 
     return codes
 
@@ -244,7 +245,8 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows and starts of the asked windows that are repeated, as one binary of starts per row."""
     for batch in batches:
         numbers, starts = [], []
-        for base, hashes, places, repeated in zip(*(batch.column(i).to_pylist() for i in range(4))):
+        for i, base in enumerate(batch.column(0).to_pylist()):
+            hashes, places, repeated = (batch.column(c)[i].as_buffer() for c in (1, 2, 3))
             known, asked = np.frombuffer(repeated, dtype=np.uint64), np.frombuffer(hashes, dtype=np.uint64)
             spot = np.minimum(np.searchsorted(known, asked), max(0, len(known) - 1))
             hit = known[spot] == asked if len(known) else np.zeros(len(asked), dtype=bool)
@@ -272,7 +274,8 @@ def _described():
     @F.arrow_udf("struct<n_words: bigint, sha256: string, body: binary>")
     def describe(texts: pa.Array) -> pa.Array:
         rows = []
-        for text in text_bytes(texts):
+        for i in range(len(texts)):
+            text = text_bytes(texts.slice(i, 1))[0]
             words = text.split()
             rows.append({"n_words": len(words), "sha256": hashlib.sha256(b" ".join(words)).hexdigest(), "body": zstandard.compress(text, 1)})
         return pa.array(rows, pa.struct([("n_words", pa.int64()), ("sha256", pa.string()), ("body", pa.binary())]))
