@@ -15,6 +15,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 20_000
 
 
+#: Rows of text in an Arrow batch at most: what a Python worker holds at once stays small.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batch size to BATCH_ROWS where it is larger."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one in spark.checkpoint.dir; a temporary one only in local mode."""
     root = spark.conf.get("spark.checkpoint.dir", None)

@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import ctw, decontaminate, factorization, html, langid, mixing, outliers, sharding, simhash, substring
-from ledgerline.llm.common import crc_of_id
+from ledgerline.llm.common import crc_of_id, small_batches
 from ledgerline.llm.oracle import ORACLE
 
 __all__ = ["ORACLE", "QUERIES", "shard_columns"]
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

@@ -223,41 +223,59 @@ def _repeated(group: pa.Table) -> pa.Table:
     return pa.table({"bucket": group.column("bucket")[:1], "repeated": pa.array([twice.tobytes()], pa.binary())})
 
 
+def _pack_places(rows: np.ndarray, starts: np.ndarray, base: int) -> bytes:
+    """Row numbers (from base on, in order) and starts, as compressed differences with bytes of equal rank together."""
+    steps = np.stack((np.diff(rows, prepend=base), starts)).astype(np.int64)
+    return zstandard.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(2, -1, 8).transpose(0, 2, 1)).tobytes(), 1)
+
+
+def _unpack_places(data: bytes, base: int) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(zstandard.decompress(data), dtype=np.uint8).reshape(2, 8, -1)
+    steps = np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.int64).reshape(2, -1)
+    return base + np.cumsum(steps[0]), steps[1]
+
+
 def _asker(buckets: int, window: int):
+    """A row for each batch and bucket; base, the first row of the batch, names the batch."""
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, at, hashes, bucket in Windows(buckets, window).batches(batches):
             order, cuts = _by_bucket(bucket)
             base = int(rows[0])
-            rest = zstandard.ZstdCompressor(level=1).compress
-            columns: tuple[list, ...] = ([], [], [], [])
-            for no, a, b in cuts:
-                part = order[a:b]
-                steps = np.stack((np.diff(rows[part], prepend=base), at[part])).astype(np.int64)
-                planes = np.ascontiguousarray(steps.view(np.uint8).reshape(2, -1, 8).transpose(0, 2, 1)).tobytes()
-                for column, x in zip(columns, (no, base, hashes[part].tobytes(), rest(planes))):
-                    column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary()), pa.array(columns[3], pa.binary())], names=["bucket", "base", "hashes", "places"])
+            parts = [order[a:b] for _, a, b in cuts]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([c[0] for c in cuts], pa.int64()),
+                    pa.array([base] * len(cuts), pa.int64()),
+                    pa.array([hashes[p].tobytes() for p in parts], pa.binary()),
+                    pa.array([_pack_places(rows[p], at[p], base) for p in parts], pa.binary()),
+                ],
+                names=["bucket", "base", "hashes", "places"],
+            )
 
     return ask
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows and starts of the asked windows that are repeated, as one binary of starts per row."""
+    """Of each asked row, the places whose windows are repeated."""
     for batch in batches:
-        numbers, starts = [], []
+        found = []
         for i, base in enumerate(batch.column(0).to_pylist()):
             hashes, places, repeated = (batch.column(c)[i].as_buffer() for c in (1, 2, 3))
             known, asked = np.frombuffer(repeated, dtype=np.uint64), np.frombuffer(hashes, dtype=np.uint64)
-            spot = np.minimum(np.searchsorted(known, asked), max(0, len(known) - 1))
-            hit = known[spot] == asked if len(known) else np.zeros(len(asked), dtype=bool)
-            planes = np.frombuffer(zstandard.decompress(places), dtype=np.uint8).reshape(2, 8, -1)
-            steps = np.ascontiguousarray(planes.transpose(0, 2, 1)).view(np.int64).reshape(2, -1)
-            numbers.append((base + np.cumsum(steps[0]))[hit])
-            starts.append(steps[1][hit])
-        no, at = np.concatenate(numbers or [np.zeros(0, np.int64)]), np.concatenate(starts or [np.zeros(0, np.int64)])
-        order, cuts = _by_bucket(no)
-        at = at[order].astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in cuts], pa.int64()), pa.array([at[a:b].tobytes() for _, a, b in cuts], pa.binary())], names=["row_no", "starts"])
+            hit = known[np.minimum(np.searchsorted(known, asked), len(known) - 1)] == asked
+            rows, starts = _unpack_places(places, base)
+            found.append(_pack_places(rows[hit], starts[hit], base))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["base", "places"])
+
+
+def _by_row(group: pa.Table) -> pa.Table:
+    """The answers to a batch (bounded by BATCH), as one binary of starts for each of its rows."""
+    base = group.column("base")[0].as_py()
+    rows, starts = map(np.concatenate, zip(*(_unpack_places(x, base) for x in group.column("places").to_pylist())))
+    order, cuts = _by_bucket(rows)
+    starts = starts[order].astype(np.int32)
+    return pa.table({"row_no": pa.array([c[0] for c in cuts], pa.int64()), "starts": pa.array([starts[a:b].tobytes() for _, a, b in cuts], pa.binary())})
 
 
 def removed_mask(words: int, starts: np.ndarray, window: int) -> np.ndarray:
@@ -285,14 +303,14 @@ def _described():
 
 def _remover(window: int):
     @F.arrow_udf("struct<kept: string, n_removed: bigint>")
-    def remove(bodies: pa.Array, pieces: pa.Array) -> pa.Array:
+    def remove(bodies: pa.Array, starts: pa.Array) -> pa.Array:
         rows = []
-        for body, parts in zip(bodies.to_pylist(), pieces.to_pylist()):
-            if not parts:  # no repeat: kept as it is
+        for body, at in zip(bodies.to_pylist(), starts.to_pylist()):
+            if not at:  # no repeat: kept as it is
                 rows.append(None)
                 continue
             words = zstandard.decompress(body).split()
-            gone = removed_mask(len(words), np.frombuffer(b"".join(parts), dtype=np.int32).astype(np.int64), window)
+            gone = removed_mask(len(words), np.frombuffer(at, dtype=np.int32).astype(np.int64), window)
             rows.append({"kept": b" ".join(w for w, g in zip(words, gone.tolist()) if not g).decode("utf-8", "replace"), "n_removed": int(gone.sum())})
         return pa.array(rows, pa.struct([("kept", pa.string()), ("n_removed", pa.int64())]))
 
@@ -318,7 +336,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, bucket: int = BUCKET) -> DataFr
     counts = asking.mapInArrow(_counter(buckets, window), "bucket bigint, hashes binary")
     repeated = saved(counts.groupBy("bucket").applyInArrow(_repeated, "bucket bigint, repeated binary").where(F.length("repeated") > 0), "substring-repeated")
     asked = asking.mapInArrow(_asker(buckets, window), "bucket bigint, base bigint, hashes binary, places binary")
-    answers = asked.join(repeated, "bucket").select("base", "hashes", "places", "repeated").mapInArrow(_answer, "row_no bigint, starts binary")
-    pieces = answers.groupBy("row_no").agg(F.collect_list("starts").alias("pieces"))
-    out = held.join(pieces, "row_no", "left").withColumn("cut", _remover(window)("body", "pieces"))
+    answers = asked.join(repeated, "bucket").select("base", "hashes", "places", "repeated").mapInArrow(_answer, "base bigint, places binary")
+    starts = answers.groupBy("base").applyInArrow(_by_row, "row_no bigint, starts binary")
+    out = held.join(starts, "row_no", "left").withColumn("cut", _remover(window)("body", "starts"))
     return out.select("doc_id", "n_words", F.coalesce("cut.n_removed", F.lit(0)).cast("bigint").alias("n_removed"), F.col("cut.kept").alias("kept"), F.coalesce(F.sha2("cut.kept", 256), "sha256").alias("kept_sha256"))
