@@ -58,7 +58,7 @@ def free_name(df: DataFrame, name: str) -> str:
 
 def digest_bits(*parts: Column | str) -> Column:
     """52 pseudo-random bits of the joined parts, as a fraction in [0, 1)."""
-    joined = F.concat_ws("|", *(F.coalesce(F.col(p) if isinstance(p, str) else p, F.lit("")).cast("string") for p in parts))
+    joined = F.concat_ws("|", *(F.coalesce((F.col(p) if isinstance(p, str) else p).cast("string"), F.lit("")) for p in parts))
     return F.conv(F.substring(F.md5(joined), 1, 13), 16, 10).cast("bigint") / F.lit(float(1 << 52))
 
 

@@ -100,6 +100,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -> Mach
     rng = np.random.default_rng(7)
     machine = Machine(0.0, np.zeros(DIMENSIONS), rng.normal(0, 0.01, (DIMENSIONS, FACTORS)), np.zeros(STATISTICS), np.ones(STATISTICS))
     if not len(rows):
+        machine.factors[:] = 0
         return machine
     raw = np.stack([v[-STATISTICS - 2 : -2] for _, v in rows])
     machine.mean, machine.scale = raw.mean(axis=0), 1 / np.maximum(raw.std(axis=0), 1e-6)
