@@ -125,7 +125,7 @@ def display_number(value: Column) -> Column:
 def display_key(key: Column) -> Column:
     """snake_case key as a title; only the first letter of a word changes."""
     spaced = F.replace(key, F.lit("_"), F.lit(" "))
-    words = F.transform(F.split(spaced, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 10_000)))
+    words = F.transform(F.split(spaced, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2))))
     return F.when(F.length(key) > 0, F.array_join(words, " ")).otherwise(F.lit("—"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerline.operators.lookups import contains_any
 
@@ -33,12 +33,12 @@ def classify_attempts(attempts: DataFrame, ladder: DataFrame | None = None) -> D
     """Add error_class, action and wait_s to (request_id, model, attempt, error, code, ok).
 
     The order of the tests matters. ``ladder`` (model, rank) tells whether models remain after this one; without it
-    a ``models_left`` column is read. It holds one row per configured model and is broadcast.
+    a ``models_left`` column is read. It holds one row per configured model.
     """
     df = attempts
     if ladder is not None:
-        size = ladder.agg(F.max("rank").alias("_last"))
-        df = df.join(F.broadcast(ladder.crossJoin(size)), "model", "left").withColumn(
+        ends = ladder.withColumn("_last", F.max("rank").over(Window.partitionBy()))
+        df = df.join(ends, "model", "left").withColumn(
             "models_left", F.coalesce(F.col("rank") < F.col("_last"), F.lit(False))
         ).drop("rank", "_last")
     df = df.withColumns(
@@ -83,39 +83,34 @@ def model_ladder(models: DataFrame, primary: str) -> DataFrame:
     merged = models.select("model", "is_lite", "position").unionByName(own)
     merged = merged.groupBy("model").agg(F.max("is_lite").alias("is_lite"), F.min("position").alias("position"))
     order = F.struct("is_lite", "position", "model")
-    ranked = merged.select("model", order.alias("_order"))
-    earlier = ranked.select(F.col("_order").alias("_other"))
-    return (
-        ranked.join(F.broadcast(earlier), F.col("_other") <= F.col("_order"))
-        .groupBy("model")
-        .agg(F.count(F.lit(1)).cast("int").alias("rank"))
-    )
+    return merged.select("model", F.row_number().over(Window.orderBy(order)).alias("rank"))
 
 
 def resolve_attempts(attempts: DataFrame, ladder: DataFrame) -> DataFrame:
     """Per request: the first model that answered in ladder order, failures before it, and total failures.
 
-    One aggregation with map-side combine: a request's attempts are never gathered.
+    One aggregation of numbers with map-side combine: a request's attempts are never gathered. Rank and attempt are both
+    ints, so the two halves of a bigint hold them side by side whatever their size.
     """
-    ranked = attempts.join(F.broadcast(ladder), "model")
-    place = F.col("rank") * 1000 + F.col("attempt")
+    ranked = attempts.join(ladder, "model")
+    place = F.shiftleft(F.col("rank").cast("bigint"), 32) + F.col("attempt").cast("int")
     first = (
         ranked.withColumn("_place", place)
         .groupBy("request_id")
         .agg(
-            F.min_by("model", F.when(F.col("ok"), F.col("_place"))).alias("model"),
             F.min(F.when(F.col("ok"), F.col("_place"))).alias("_won"),
             F.count_if(~F.col("ok")).alias("n_failed"),
             F.count(F.lit(1)).alias("n_attempts"),
-            F.max("_place").alias("_last"),
         )
     )
-    return first.select(
+    won = F.shiftright("_won", 32).cast("int")
+    names = ladder.select("model", F.col("rank").alias("model_rank"))
+    return first.withColumn("model_rank", won).join(names, "model_rank", "left").select(
         "request_id",
         "model",
         F.col("_won").isNotNull().alias("answered"),
-        F.when(F.col("_won").isNotNull(), F.floor(F.col("_won") / 1000).cast("int")).alias("model_rank"),
-        F.when(F.col("_won").isNotNull(), (F.col("_won") % 1000).cast("int")).alias("winning_attempt"),
+        "model_rank",
+        F.col("_won").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("winning_attempt"),
         "n_failed",
         "n_attempts",
     )

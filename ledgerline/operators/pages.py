@@ -36,7 +36,6 @@ PHRASES = {
         "GSTIN",
     ],
 }
-HEAD_CHARS = 4000
 
 # Credential patterns and the replacement that keeps their prefix group.
 MARK = "[REDACTED_API_KEY]"
@@ -110,11 +109,10 @@ def _assemble(pages: DataFrame, piece: Column, between: str, alias: str) -> Data
 
 
 def full_text(pages: DataFrame) -> DataFrame:
-    """Non-empty page texts in page order with a blank line between them."""
-    filled = pages.where(F.coalesce(F.col("text"), F.lit("")) != "")
-    text = _assemble(filled, F.col("text"), "\n\n", "text")
-    documents = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages"))
-    return documents.join(text, "doc_id", "left").withColumn("text", strip(F.coalesce("text", F.lit(""))))
+    """Non-empty page texts in page order with a blank line between them; one aggregation counts and gathers."""
+    piece = F.when(F.col("text") != "", F.struct("page_number", F.col("text").alias("piece")))
+    gathered = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages"), F.sort_array(F.collect_list(piece)).alias("_pieces"))
+    return gathered.select("doc_id", "n_pages", strip(F.array_join(F.col("_pieces.piece"), "\n\n")).alias("text"))
 
 
 def page_context(pages: DataFrame) -> DataFrame:
@@ -126,10 +124,9 @@ def page_context(pages: DataFrame) -> DataFrame:
 
 
 def reconcile_type(docs: DataFrame, requested: str = "requested_type", text: str = "text") -> DataFrame:
-    """Add reconciled_type: what the head of the text says, unless it speaks of an invoice and a statement at once."""
-    head = F.upper(F.substring(F.col(text), 1, HEAD_CHARS))
-    df = docs.withColumn("_head", head)
-    says = {kind: F.coalesce(contains_any(F.col("_head"), words), F.lit(False)) for kind, words in PHRASES.items()}
+    """Add reconciled_type: what the text says, unless it speaks of an invoice and a statement at once."""
+    df = docs.withColumn("_upper", F.upper(F.col(text)))
+    says = {kind: F.coalesce(contains_any(F.col("_upper"), words), F.lit(False)) for kind, words in PHRASES.items()}
     invoice = says.pop("invoice")
     chosen = None
     any_statement = None
@@ -138,19 +135,19 @@ def reconcile_type(docs: DataFrame, requested: str = "requested_type", text: str
         chosen = F.when(hit, kind) if chosen is None else chosen.when(hit, kind)
         any_statement = said if any_statement is None else any_statement | said
     chosen = chosen.when(invoice & ~any_statement, "invoice").otherwise(F.col(requested))
-    return df.withColumn("reconciled_type", chosen).drop("_head")
+    return df.withColumn("reconciled_type", chosen).drop("_upper")
 
 
 def request_table(docs: DataFrame, templates: DataFrame) -> DataFrame:
     """Model requests: the template of the document's type with the text context, or with the scanned page numbers.
 
     ``docs`` has doc_id, document_type, context and scanned_pages (array of numbers, empty for digital documents);
-    ``templates`` has one row per document type and is therefore broadcast.
+    ``templates`` has one row per document type.
     """
     title = F.upper(F.replace(F.col("document_type"), F.lit("_"), F.lit(" ")))
     by_image = F.size("scanned_pages") > 0
     attached = F.concat(F.lit("Attached page images: "), F.array_join(F.col("scanned_pages").cast("array<string>"), ", "), F.lit("."))
-    return docs.join(F.broadcast(templates), "document_type").select(
+    return docs.join(templates, "document_type").select(
         "doc_id",
         "document_type",
         F.col("instructions").alias("system_prompt"),

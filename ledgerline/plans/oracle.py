@@ -498,11 +498,19 @@ sql("validation_summary", *_CORPORATE_VIEWS)(
 SELECT doc_id, document_type, count(*) AS total_checks, count(*) FILTER (WHERE status = 'PASS') AS passed_checks,
        count(*) FILTER (WHERE status = 'FAILED') AS failed_checks, count(*) FILTER (WHERE status = 'NOT_APPLICABLE') AS not_applicable_checks,
        failed_checks = 0 AS is_valid,
-       CASE WHEN failed_checks > 0 THEN 'Financial validation failed ' || failed_checks || ' check(s): ' ||
-         string_agg(rule_name, ', ' ORDER BY {RULE_ORDER}, TRY_CAST(regexp_extract(rule_name, 'item_(\\d+)_', 1) AS INTEGER)) FILTER (WHERE status = 'FAILED') || '.' END AS error
+       CASE WHEN failed_checks > 0 THEN 'Financial validation failed ' || failed_checks || ' check(s).' END AS error
 FROM ({CORPORATE}) c GROUP BY doc_id, document_type""",
     CORPORATE_CTES,
 )
+_LINE_NO = "TRY_CAST(regexp_extract(rule_name, 'item_(\\d+)_', 1) AS BIGINT)"
+sql("failed_rules", *_CORPORATE_VIEWS)(
+    f"""
+SELECT doc_id, document_type, COALESCE(({_LINE_NO} - 1) // 1000, -1) AS piece, count(*) AS total_checks, count(*) FILTER (WHERE status = 'PASS') AS passed_checks,
+       count(*) FILTER (WHERE status = 'FAILED') AS failed_checks, count(*) FILTER (WHERE status = 'NOT_APPLICABLE') AS not_applicable_checks,
+       COALESCE(string_agg(rule_name, ', ' ORDER BY {RULE_ORDER}, {_LINE_NO}) FILTER (WHERE status = 'FAILED'), '') AS failed_rules
+FROM ({CORPORATE}) c GROUP BY ALL""",
+    CORPORATE_CTES,
+)
 sql("rule_report", *_CORPORATE_VIEWS)(
     f"""
 SELECT document_type, rule, status, CAST(grouping_id(document_type, rule, status) AS INTEGER) AS level, count(*) AS n_checks,
@@ -666,7 +674,7 @@ _CF = _says(["CASH FLOW STATEMENT", "STATEMENT OF CASH FLOWS", "CASH FLOWS STATE
 _IN = _says(["TAX INVOICE", "COMMERCIAL INVOICE", "BILL OF SUPPLY", "PROFORMA INVOICE", "INVOICE NUMBER", "INVOICE DATE", "BILL TO", "SHIP TO", "GSTIN"])
 RECONCILED = f"""SELECT doc_id, requested_type, CASE WHEN {_BS} AND NOT {_IN} THEN 'balance_sheet' WHEN {_PL} AND NOT {_IN} THEN 'profit_and_loss'
        WHEN {_CF} AND NOT {_IN} THEN 'cash_flow_statement' WHEN {_IN} AND NOT ({_BS} OR {_PL} OR {_CF}) THEN 'invoice' ELSE requested_type END AS reconciled_type
-FROM (SELECT *, upper(text[1:4000]) AS h FROM fx_text) t"""
+FROM (SELECT *, upper(text) AS h FROM fx_text) t"""
 sql("reconcile_type", "fx_text")(RECONCILED)
 sql("request_table", "fx_pages", "fx_text")(
     f"""

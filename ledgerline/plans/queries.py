@@ -349,6 +349,12 @@ def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.summarize_with_errors(_corporate_checks(spark, sf_dir))
 
 
+@query
+def failed_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of all failed checks of each document, in rows of bounded length."""
+    return report.failed_rules(_corporate_checks(spark, sf_dir))
+
+
 @query
 def check_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failed tab of the balance-sheet checks with the counters of every tab."""

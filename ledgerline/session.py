@@ -26,6 +26,9 @@ def get_session(app_name: str = "ledgerline", master: str | None = None, **conf:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared checkpoint folder the cluster names; a temporary one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ledgerline-")
+    """A new folder under the shared one in spark.checkpoint.dir; a temporary one only in local mode, where all share it."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    root = root or tempfile.mkdtemp(prefix="ledgerline-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
