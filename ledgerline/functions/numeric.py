@@ -82,6 +82,21 @@ def amount(df: DataFrame, name: str) -> Column:
     return F.lit(None).cast("double")
 
 
+def is_given(df: DataFrame, name: str) -> Column:
+    """Whether a field was written at all; ``<name>_given`` knows it where the amount could not be read."""
+    known = F.col(name).isNotNull()
+    return F.coalesce(F.col(f"{name}_given"), known) if f"{name}_given" in df.columns else known
+
+
+def is_filled(df: DataFrame, name: str) -> Column:
+    """Whether a field is neither null, empty nor zero; ``<name>_filled`` knows it where the amount could not be read."""
+    if isinstance(df.schema[name].dataType, StringType):
+        known = F.coalesce(F.col(name), F.lit("")) != ""
+    else:
+        known = F.coalesce(F.col(name).cast("double"), F.lit(0.0)) != 0.0
+    return F.coalesce(F.col(f"{name}_filled"), known) if f"{name}_filled" in df.columns else known
+
+
 def rate_of_amount(number: Column, is_percent: Column) -> Column:
     """Fraction an amount stands for as a rate; values above 1 are percentages. ``number`` should be a plain column."""
     return (
@@ -105,9 +120,9 @@ def normalize_rates(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def exact_sum(value: Column) -> Column:
-    """Order-independent sum: decimal up to 1e20 per row, plain double sum beyond that."""
-    bounded = value.try_cast("decimal(28,6)")
-    return F.when(F.max(F.abs(value)) < 1e20, F.sum(bounded).cast("double")).otherwise(F.sum(value))
+    """Order-independent sum through decimals; null where an amount of 1e22 or more makes it impossible to hold."""
+    held = value.try_cast("decimal(28,6)")
+    return F.when(F.count(held) == F.count(value), F.sum(held).cast("double"))
 
 
 def first_truthy(*candidates: Column) -> Column:

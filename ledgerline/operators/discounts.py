@@ -8,6 +8,7 @@ from pyspark.sql.types import StringType
 from ledgerline.functions.numeric import (
     DEFAULT_TOLERANCE,
     amount,
+    is_given,
     parse_amount,
     parse_float,
     round_to,
@@ -100,7 +101,7 @@ def with_line_inputs(lines: DataFrame) -> DataFrame:
             return amount(lines, first)
         if first not in lines.columns:
             return amount(lines, second)
-        return F.when(F.col(first).isNotNull(), amount(lines, first)).otherwise(amount(lines, second))
+        return F.when(is_given(lines, first), amount(lines, first)).otherwise(amount(lines, second))
 
     return lines.withColumns(
         {"_q": either("quantity", "qty"), "_p": either("unit_price", "rate"), "_t": either("total_price", "amount")}

@@ -12,8 +12,6 @@ from ledgerline.functions.numeric import parse_amount, rate_of_amount
 # Names of the rounding adjustment, in priority order.
 ROUND_OFF_KEYS = ["round_off_amount", "round_off", "rounding_amount", "rounding", "roundoff_amount", "roundoff"]
 
-_SPAN = 1_000_000_000  # room for a key's place within one pass
-
 
 def normalize_key(key: Column) -> Column:
     return F.translate(F.lower(key), " -", "__")
@@ -42,7 +40,7 @@ def priority(key: Column, ordered: list[str]) -> Column:
 def round_off(fields: DataFrame) -> DataFrame:
     """Reported rounding adjustment per document: exact names before normalised ones, header before additional."""
     exact = priority(F.col("key"), ROUND_OFF_KEYS)
-    rank = F.col("source").cast("bigint") * (2 * _SPAN) + F.coalesce(exact.cast("bigint"), F.lit(_SPAN) + F.col("pos"))
+    rank = F.struct("source", exact.isNull().alias("loose"), F.coalesce(exact, F.col("pos")).alias("place"))
     return (
         fields.where(F.col("key_norm").isin(ROUND_OFF_KEYS) & F.col("num").isNotNull())
         .groupBy("doc_id")
@@ -66,10 +64,14 @@ def lookup_extra(fields: DataFrame, metrics: dict[str, list[str]]) -> DataFrame:
         .withColumn("value", F.coalesce("exact", "last"))
         .where(F.col("value").isNotNull())
     )
-    penalty = F.when(F.col("exact").isNull(), F.lit(1000)).otherwise(F.lit(0))
+
+    def rank(keys: list[str]) -> Column:
+        place = priority(F.col("key_norm"), keys)
+        return F.when(place.isNotNull(), F.struct(F.col("exact").isNull().alias("loose"), place.alias("place")))
+
     return per_key.groupBy("doc_id").agg(
         *[
-            F.min_by("value", priority(F.col("key_norm"), keys) + penalty).alias(metric)
+            F.min_by("value", rank(keys)).alias(metric)
             for metric, keys in metrics.items()
         ]
     )

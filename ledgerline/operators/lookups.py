@@ -6,9 +6,8 @@ import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StringType
 
-from ledgerline.functions.numeric import amount, first_truthy
+from ledgerline.functions.numeric import amount, first_truthy, is_filled
 from ledgerline.operators.fields import lookup_extra
 
 
@@ -150,9 +149,7 @@ def _line_amount(lines: DataFrame) -> Column:
     own, other = amount(lines, "amount"), amount(lines, "total_price")
     if "amount" not in lines.columns:
         return other
-    if isinstance(lines.schema["amount"].dataType, StringType):
-        return F.when(F.coalesce(F.col("amount"), F.lit("")) == "", other).otherwise(own)
-    return F.when(F.coalesce(own, F.lit(0.0)) == 0.0, other).otherwise(own)
+    return F.when(is_filled(lines, "amount"), own).otherwise(other)
 
 
 def lookup_lines(lines: DataFrame, metrics: dict[str, Metric]) -> DataFrame:

@@ -17,6 +17,7 @@ from ledgerline.functions.json_values import (
     is_string,
     says_percent,
     strict_double,
+    truthy,
     type_of,
 )
 from ledgerline.functions.numeric import rate_of_amount, strip
@@ -64,6 +65,27 @@ NUMBER_FIELDS = {
         "net_change_in_cash beginning_cash_balance ending_cash_balance"
     ),
 }
+# Names that stand for one amount in payloads that did not fit, and whether a name counts once it is written
+# (given) or only if it is neither empty nor zero (filled).
+LOOSE_CHAINS = {
+    "invoice": [
+        ("given", ["subtotal", "taxable_amount", "taxable_value"]),
+        ("given", ["tax_amount", "tax"]),
+        ("given", ["total_amount", "total"]),
+    ],
+    "balance_sheet": [
+        (
+            "filled",
+            [
+                "total_liabilities_and_equity",
+                "total_capital_and_liabilities",
+                "total_equity_and_liabilities",
+                "total_capital_liabilities",
+            ],
+        ),
+        ("filled", ["share_capital", "capital"]),
+    ],
+}
 LINE_TEXT = {"invoice": _PLAIN("description item_code source_snippet"), "statement": _PLAIN("item_name category source_snippet")}
 LINE_NUMBER = {
     "invoice": {
@@ -98,8 +120,10 @@ def strip_fences(text: Column) -> Column:
 def parse_responses(responses: DataFrame) -> DataFrame:
     """Responses as objects: doc_id, document_type, clean text, ``body`` and ``data`` VARIANT, error.
 
-    ``data`` is the enclosed extracted_data when that holds anything, else the whole object. The text is parsed once.
+    ``data`` is the enclosed extracted_data when that holds anything, else the whole object. The text is parsed once. Of
+    a key that an object repeats the last value counts; the session is set to accept such objects.
     """
+    responses.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     df = responses.select(
         "doc_id", F.lower(strip(F.col("document_type"))).alias("document_type"), strip_fences(F.col("raw")).alias("clean")
     )
@@ -240,7 +264,11 @@ def project_headers(parsed: DataFrame, document_type: str) -> DataFrame:
 
 
 def rule_headers(results: DataFrame, document_type: str) -> DataFrame:
-    """Header as the rules read it: typed for fitting payloads, loosely parsed names for PARTIAL ones."""
+    """Header as the rules read it: typed for fitting payloads, loosely parsed names for PARTIAL ones.
+
+    Which of several names counts is decided by what is written there, before the amount is read; all names of such a
+    chain then hold its amount.
+    """
     data = F.col("data")
     raw = F.col("extraction_status") == PARTIAL
     numbers = {}
@@ -248,10 +276,17 @@ def rule_headers(results: DataFrame, document_type: str) -> DataFrame:
         numbers[column] = F.when(raw, amount_of(data, column)).otherwise(_typed_number(data, names))
     for column in LOOSE_NUMBERS[document_type]:
         numbers[column] = F.when(raw, amount_of(data, column))
+    chains = {}
+    for number, (kind, names) in enumerate(LOOSE_CHAINS.get(document_type, [])):
+        found = [get(data, n) for n in names]
+        first = first_truthy_value(*found) if kind == "filled" else F.coalesce(*[F.when(is_present(v), v) for v in found])
+        chains[f"_chain_{number}"] = F.when(raw, first)
+        for column in names:
+            typed = _typed_number(data, NUMBER_FIELDS[document_type][column]) if column in NUMBER_FIELDS[document_type] else F.lit(None)
+            numbers[column] = F.when(raw, amount_of(F.col(f"_chain_{number}"))).otherwise(typed)
     text = TEXT_FIELDS[document_type]
-    df = results.where(
-        (F.col("checked_type") == document_type) & F.col("extraction_status").isin(SUCCESS, PARTIAL)
-    ).select(
+    mine = results.where((F.col("checked_type") == document_type) & F.col("extraction_status").isin(SUCCESS, PARTIAL))
+    df = mine.withColumns(chains).select(
         "doc_id",
         *[F.try_variant_get(data, f"$.{c}", "string").alias(c) for c in text],
         *[v.alias(c) for c, v in numbers.items()],
@@ -303,6 +338,9 @@ def explode_lines(results: DataFrame) -> DataFrame:
         F.when(is_present(get(item, "unit_price")), number("unit_price")).otherwise(F.when(raw, both("rate"))).alias("unit_price"),
         number("total_price").alias("total_price"),
         F.when(raw | ~F.col("_invoice"), number("amount")).alias("amount"),
+        F.when(raw, is_present(get(item, "total_price"))).alias("total_price_given"),
+        F.when(raw, is_present(get(item, "amount"))).alias("amount_given"),
+        F.when(raw, truthy(get(item, "amount"))).alias("amount_filled"),
         F.when(raw, loose("discount_percent"))
         .otherwise(typed(invoice_numbers["discount_percent"]).cast("string"))
         .alias("discount_percent"),
@@ -324,9 +362,18 @@ def explode_lines(results: DataFrame) -> DataFrame:
     )
 
 
+def _members(text: Column) -> Column:
+    """Entries of a JSON object in their written order; a repeated key keeps its first place and its last value."""
+    pairs = F.map_entries(F.from_json(text, "map<string,variant>"))
+    keys = F.transform(pairs, lambda p: p["key"])
+    last = F.transform(F.array_distinct(keys), lambda k: F.element_at(F.filter(pairs, lambda p: p["key"] == k), -1))
+    return F.when(F.size(F.array_distinct(keys)) == F.size(keys), pairs).otherwise(last)
+
+
 def _object_rows(df: DataFrame, text: Column, source: int) -> DataFrame:
     """Members of a JSON object in their written order."""
-    members = df.select(*_keys(df), F.posexplode(F.from_json(text, "map<string,variant>")).alias("pos", "key", "_value"))
+    members = df.select(*_keys(df), F.posexplode(_members(text)).alias("pos", "_member"))
+    members = members.withColumns({"key": F.col("_member.key"), "_value": F.col("_member.value")})
     value = F.col("_value")
     return members.select(
         *_keys(df),
@@ -340,11 +387,9 @@ def _object_rows(df: DataFrame, text: Column, source: int) -> DataFrame:
 
 def explode_extra(results: DataFrame) -> DataFrame:
     """Additional fields of every document, and the top-level keys of PARTIAL ones, as value rows."""
-    texts = ordered_texts()
-    extra = F.col("extra_text") if "extra_text" in results.columns else texts["extra_text"]
+    extra, whole = _texts(results)
     rows = _object_rows(results, extra, 1)
     if "extraction_status" in results.columns:
-        whole = F.col("whole_text") if "whole_text" in results.columns else texts["whole_text"]
         partial = results.where(F.col("extraction_status") == PARTIAL)
         rows = rows.unionByName(_object_rows(partial, whole, 0))
     return with_field_values(rows)
@@ -361,19 +406,31 @@ def ordered_texts() -> dict[str, Column]:
     }
 
 
+def _texts(results: DataFrame) -> tuple[Column, Column]:
+    """Text of the additional fields and of the whole payload, as stored or cut from the response."""
+    if "extra_text" in results.columns:
+        return F.col("extra_text"), F.col("whole_text")
+    texts = ordered_texts()
+    return texts["extra_text"], texts["whole_text"]
+
+
 def explode_components(results: DataFrame) -> DataFrame:
     """Structured tax components: entries of the first filled list or object among tax_components and taxes."""
     data = F.col("data")
     extra = get(data, "additional_fields")
     raw = F.col("extraction_status") == PARTIAL
-    source = first_truthy_value(
-        get(data, "tax_components"),
-        get(extra, "tax_components"),
-        F.when(raw, get(data, "taxes")),
-        get(extra, "taxes"),
-    )
+    extra_text, whole_text = _texts(results)
+    # Each place with its JSON text, which keeps the order of an object's members.
+    places = [
+        (get(data, "tax_components"), F.get_json_object(whole_text, "$.tax_components")),
+        (get(extra, "tax_components"), F.get_json_object(extra_text, "$.tax_components")),
+        (F.when(raw, get(data, "taxes")), F.get_json_object(whole_text, "$.taxes")),
+        (get(extra, "taxes"), F.get_json_object(extra_text, "$.taxes")),
+    ]
+    source = first_truthy_value(*[value for value, _ in places])
+    text = F.coalesce(*[F.when(truthy(value), text) for value, text in places])
     kind = "checked_type" if "checked_type" in results.columns else "document_type"
-    df = results.where(F.col(kind) == "invoice").select("doc_id", source.alias("_source"))
+    df = results.where(F.col(kind) == "invoice").select("doc_id", source.alias("_source"), text.alias("_text"))
     entry = F.col("_entry")
     listed = (
         df.where(is_array(F.col("_source")))
@@ -391,8 +448,8 @@ def explode_components(results: DataFrame) -> DataFrame:
     percent = is_string(entry) & strip(as_text(entry)).endswith("%")
     keyed = (
         df.where(is_object(F.col("_source")))
-        .select("doc_id", F.posexplode(F.try_variant_get("_source", "$", "map<string,variant>")).alias("pos", "_key", "_entry"))
-        .withColumn("name", F.lower(strip(F.col("_key"))))
+        .select("doc_id", F.posexplode(_members(F.col("_text"))).alias("pos", "_member"))
+        .withColumns({"name": F.lower(strip(F.col("_member.key"))), "_entry": F.col("_member.value")})
         .where(F.col("name").rlike("|".join(TAX_NAMES)) & (is_object(entry) | is_string(entry) | is_number(entry)))
         .select(
             "doc_id",

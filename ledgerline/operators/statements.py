@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StringType
 
 from ledgerline.functions.checks import Rule, emit_checks, missing
-from ledgerline.functions.numeric import DEFAULT_TOLERANCE, amount, exact_sum, round_to, strip
+from ledgerline.functions.numeric import DEFAULT_TOLERANCE, amount, exact_sum, is_filled, is_given, round_to, strip
 from ledgerline.operators.lookups import BANK_METRICS, CASH_METRICS, contains_any, line_name, lookup_metrics
 
 # Names and words that sort a balance-sheet line.
@@ -40,11 +39,7 @@ def truthy_amount(df: DataFrame, names: list[str]) -> Column:
         return F.lit(None).cast("double")
     chosen = amount(df, present[-1])
     for name in reversed(present[:-1]):
-        if isinstance(df.schema[name].dataType, StringType):
-            filled = F.coalesce(F.col(name), F.lit("")) != ""
-        else:
-            filled = F.coalesce(F.col(name).cast("double"), F.lit(0.0)) != 0.0
-        chosen = F.when(filled, amount(df, name)).otherwise(chosen)
+        chosen = F.when(is_filled(df, name), amount(df, name)).otherwise(chosen)
     return chosen
 
 
@@ -65,7 +60,7 @@ def classify_balance_lines(lines: DataFrame) -> DataFrame:
     """Lines that count as asset or as liability/equity; footnotes, totals and unknown lines are left out."""
     own = amount(lines, "amount")
     if "total_price" in lines.columns:
-        own = F.when(F.col("amount").isNotNull(), own).otherwise(amount(lines, "total_price"))
+        own = F.when(is_given(lines, "amount"), own).otherwise(amount(lines, "total_price"))
     df = lines.select(
         "doc_id",
         "line_no",

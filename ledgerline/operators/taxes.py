@@ -13,8 +13,6 @@ NAMES = ["cgst", "sgst", "utgst", "igst", "cess", "vat"]
 RATE_ENDINGS = ["_rate", "_pct", "_percentage", "_percent"]
 AMOUNT_ENDINGS = ["_amount", "_val", "_value", ""]
 
-_SOURCE, _KEY, _PASS = 10**15, 10**12, 10**10
-
 
 def _alias_map() -> Column:
     """Literal map from field name to (component, is it a rate, priority)."""
@@ -38,10 +36,9 @@ def field_components(fields: DataFrame) -> DataFrame:
         .withColumns(
             {
                 "name": F.col("_alias.name"),
-                "_rank": F.col("source") * F.lit(_SOURCE)
-                + F.col("_alias.place") * F.lit(_KEY)
-                + F.when(F.col("key") == F.col("key_norm"), F.lit(0)).otherwise(F.lit(_PASS))
-                + F.col("pos"),
+                "_rank": F.struct(
+                    "source", F.col("_alias.place").alias("place"), (F.col("key") != F.col("key_norm")).alias("loose"), "pos"
+                ),
                 "_is_rate": F.col("_alias.is_rate"),
                 "_is_percent": F.col("is_text") & F.col("text").contains("%"),
             }

@@ -3,9 +3,11 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
-from ledgerline.operators.report import failed_rules, summarize, summarize_with_errors
-from ledgerline.plans.reconcile import validate_responses
+from ledgerline.functions.numeric import exact_sum
+from ledgerline.operators.report import failed_rules, summarize, summarize_documents, summarize_with_errors
+from ledgerline.plans.reconcile import loose_results, validate_responses
 
 P, X, N = "PASS", "FAILED", "NOT_APPLICABLE"
 
@@ -191,3 +193,52 @@ def test_tight_tolerance_fails(spark, tmp_path):
     df = spark.createDataFrame([("t", kind, json.dumps(body))], "doc_id string, document_type string, raw string")
     checks = {r.rule_name: r.status for r in validate_responses(df, str(tmp_path), tolerance=0.001, typed=False).collect()}
     assert checks["invoice_total_reconciliation"] == X
+
+
+RAW_CASES = {
+    # name: (document_type, text, rule, status, calculated, formula or None)
+    "unread_subtotal": ("invoice", '{"subtotal": "N/A", "taxable_amount": 100, "total_amount": 100}', "invoice_total_reconciliation", N, None, None),
+    "null_subtotal": ("invoice", '{"subtotal": null, "taxable_amount": 100, "total_amount": 100, "x": "$1", "due_date": 5}',
+        "invoice_total_reconciliation", P, 100.0, None),
+    "unread_financing": ("balance_sheet", '{"total_assets": 100, "total_liabilities_and_equity": "N/A", "total_capital_and_liabilities": 100}',
+        "balance_sheet_accounting_equation", N, None, None),
+    "zero_financing": ("balance_sheet", '{"total_assets": 100, "total_liabilities_and_equity": 0, "total_capital_and_liabilities": 100, "currency": 5}',
+        "balance_sheet_accounting_equation", P, 100.0, None),
+    "unread_line": ("profit_and_loss", json.dumps({"line_items": [
+        {"item_name": "Interest earned", "amount": "N/A", "total_price": 7}, {"item_name": "Interest earned", "amount": 9},
+        {"item_name": "Other income", "amount": 0, "total_price": 1}, {"item_name": "Total income", "amount": 10}]}),
+        "pnl_bank_total_income", P, 10.0, None),
+    "unread_line_total": ("invoice", '{"line_items": [{"quantity": 1, "unit_price": 5, "total_price": "N/A", "amount": 5}]}',
+        "invoice_line_item_1_math", N, None, None),
+    "repeated_key": ("invoice", '{"subtotal": 1, "subtotal": 100, "total_amount": 100}', "invoice_total_reconciliation", P, 100.0, None),
+    "repeated_extra": ("invoice", '{"subtotal": 100, "total_amount": 101, "additional_fields": {"round_off": 5, "round_off": 1}}',
+        "invoice_total_reconciliation", P, 101.0, None),
+    "written_order": ("invoice", '{"subtotal": 100, "tax_amount": 10, "tax_components": {"sgst": 5, "cgst": 5}}',
+        "invoice_tax_calculation", P, 10.0, "sgst_amount + cgst_amount == tax_amount"),
+}
+
+
+@pytest.mark.parametrize("typed", [True, False])
+def test_what_is_written_decides(spark, tmp_path, typed):
+    rows = [(name, kind, text) for name, (kind, text, *_) in RAW_CASES.items()]
+    df = spark.createDataFrame(rows, "doc_id string, document_type string, raw string")
+    got = {(r.doc_id, r.rule_name): r for r in validate_responses(df, str(tmp_path), typed=typed).collect()}
+    for name, (_, _, rule, status, calculated, formula) in RAW_CASES.items():
+        row = got[name, rule]
+        assert (row.status, row.calculated_value) == (status, calculated), (typed, row)
+        assert formula is None or row.formula == formula
+
+
+def test_every_document_has_a_summary(spark, loose):
+    rows = [(name, kind, json.dumps(body)) for name, (kind, body, _, _) in CASES.items()]
+    documents = loose_results(spark.createDataFrame(rows, "doc_id string, document_type string, raw string"))
+    got = {r.doc_id: r for r in summarize_documents(loose, documents).collect()}
+    assert set(got) == set(CASES)
+    assert (got["unsupported"].total_checks, got["unsupported"].is_valid) == (0, False) and "receipt" in got["unsupported"].error
+    assert got["plain_invoice"].is_valid and got["plain_invoice"].error is None and got["given_away"].document_type == "balance_sheet"
+
+
+def test_sums_hold_or_are_null(spark):
+    df = spark.sql("SELECT * FROM VALUES (1, 0.1D), (1, 0.2D), (2, 1e21D), (2, 1D), (3, 1e23D), (3, 1D) AS t(k, v)")
+    got = {r.k: r.s for r in df.groupBy("k").agg(exact_sum(F.col("v")).alias("s")).collect()}
+    assert got == {1: 0.3, 2: 1e21, 3: None}
