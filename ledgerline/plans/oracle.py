@@ -141,6 +141,9 @@ FROM (SELECT *, {STATED} AS kind, {r('quantity * unit_price * (1.0 - discount_pe
 UNION ALL
 SELECT doc_id, 'invoice_line_item_math', 'quantity * unit_price == total_price', NULL, NULL, NULL, 'line_items', FALSE
 FROM fx_invoice_headers WHERE doc_id NOT IN (SELECT doc_id FROM lines)"""
+sql("missing_line_totals", "fx_invoice_lines_raw")(
+    "SELECT doc_id, line_no, 'line_items[' || line_no || '].total_price' AS missing_field FROM lines WHERE total_price IS NULL", LINES.strip()
+)
 sql("invoice_line_math", "fx_invoice_lines_raw", "fx_invoice_headers")(judged(LINE_MATH), LINES.strip())
 
 SUBTOTAL = f"""
@@ -477,46 +480,46 @@ for _name, _body in CASH.items():
 # --- all checks, summaries and reports -------------------------------------------------------------------------------
 
 _EVERYTHING = " UNION ALL ".join(f"({b})" for b in [LINE_MATH, SUBTOTAL, TOTAL, TAX, *BALANCE.values(), *PNL.values(), *CASH.values()])
-sql("all_checks", "fx_invoice_headers", "fx_invoice_extra", "fx_balance_headers", "fx_balance_lines", "fx_pnl_headers", "fx_pnl_lines",
-    "fx_pnl_extra", "fx_cash_headers", "fx_cash_lines")(
-    f"SELECT *, string_split(rule_name, '_')[1] AS document_type FROM ({judged(_EVERYTHING)}) t",
-    ",".join([LINES, TAX_CTES, B_CTES, P_CTES, C_CTES]),
-)
-
-_NO_PARTS = """no_parts AS (SELECT NULL::BIGINT AS doc_id, 1 AS component_order, '' AS name, 0.0 AS rate, 0.0 AS amount, 0.0 AS calculated_amount WHERE FALSE),
-amounts AS (SELECT * FROM no_parts)"""
-_CORPORATE = " UNION ALL ".join(f"({b})" for b in [LINE_MATH, SUBTOTAL, TOTAL, TAX, *BALANCE.values()])
-CORPORATE = f"""SELECT *, CASE WHEN rule_name LIKE 'invoice%' THEN 'invoice' ELSE 'balance_sheet' END AS document_type FROM ({judged(_CORPORATE)}) t"""
-CORPORATE_CTES = ",".join([LINES, inputs_cte(False), _NO_PARTS, B_CTES])
-_CORPORATE_VIEWS = ("fx_invoice_headers", "fx_balance_headers", "fx_balance_lines")
+ALL_CHECKS = f"""SELECT *, CASE split_part(rule_name, '_', 1) WHEN 'invoice' THEN 'invoice' WHEN 'balance' THEN 'balance_sheet' WHEN 'pnl' THEN 'profit_and_loss'
+  ELSE 'cash_flow_statement' END AS document_type FROM ({judged(_EVERYTHING)}) t"""
+ALL_CTES = ",".join([LINES, TAX_CTES, B_CTES, P_CTES, C_CTES])
+_ALL_VIEWS = ("fx_invoice_headers", "fx_invoice_extra", "fx_balance_headers", "fx_balance_lines", "fx_pnl_headers", "fx_pnl_lines",
+              "fx_pnl_extra", "fx_cash_headers", "fx_cash_lines")
+sql("all_checks", *_ALL_VIEWS)(ALL_CHECKS, ALL_CTES)
+
 RULE_ORDER = """CASE WHEN rule_name LIKE 'invoice_line_item_%' THEN 1 WHEN rule_name LIKE '%subtotal%' THEN 2 WHEN rule_name LIKE 'invoice_total%' THEN 3
   WHEN rule_name LIKE 'invoice_tax%' THEN 4 WHEN rule_name LIKE '%equation' THEN 11 WHEN rule_name LIKE '%total_assets%' THEN 12
-  WHEN rule_name LIKE '%liabilities_and_equity_components' THEN 13 WHEN rule_name LIKE '%reconciliation' THEN 14
-  WHEN rule_name LIKE '%total_liabilities_components' THEN 15 ELSE 16 END"""
-sql("validation_summary", *_CORPORATE_VIEWS)(
+  WHEN rule_name LIKE '%liabilities_and_equity_components' THEN 13 WHEN rule_name LIKE 'balance%reconciliation' THEN 14
+  WHEN rule_name LIKE '%total_liabilities_components' THEN 15 WHEN rule_name LIKE '%total_equity_components' THEN 16
+  WHEN rule_name = 'pnl_gross_profit_calculation' THEN 21 WHEN rule_name = 'pnl_operating_income_calculation' THEN 22
+  WHEN rule_name = 'pnl_net_income_calculation' THEN 23 WHEN rule_name = 'pnl_bank_total_income' THEN 24
+  WHEN rule_name = 'pnl_bank_total_expenditure' THEN 25 WHEN rule_name = 'pnl_bank_net_profit_before_minority' THEN 26
+  WHEN rule_name = 'pnl_bank_consolidated_net_profit' THEN 27 WHEN rule_name LIKE 'pnl_bank%' THEN 28
+  WHEN rule_name = 'cash_flow_net_change_calculation' THEN 31 ELSE 32 END"""
+sql("validation_summary", *_ALL_VIEWS)(
     f"""
 SELECT doc_id, document_type, count(*) AS total_checks, count(*) FILTER (WHERE status = 'PASS') AS passed_checks,
        count(*) FILTER (WHERE status = 'FAILED') AS failed_checks, count(*) FILTER (WHERE status = 'NOT_APPLICABLE') AS not_applicable_checks,
        failed_checks = 0 AS is_valid,
        CASE WHEN failed_checks > 0 THEN 'Financial validation failed ' || failed_checks || ' check(s).' END AS error
-FROM ({CORPORATE}) c GROUP BY doc_id, document_type""",
-    CORPORATE_CTES,
+FROM ({ALL_CHECKS}) c GROUP BY doc_id, document_type""",
+    ALL_CTES,
 )
 _LINE_NO = "TRY_CAST(regexp_extract(rule_name, 'item_(\\d+)_', 1) AS BIGINT)"
-sql("failed_rules", *_CORPORATE_VIEWS)(
+sql("failed_rules", *_ALL_VIEWS)(
     f"""
 SELECT doc_id, document_type, COALESCE(({_LINE_NO} - 1) // 1000, -1) AS piece, count(*) AS total_checks, count(*) FILTER (WHERE status = 'PASS') AS passed_checks,
        count(*) FILTER (WHERE status = 'FAILED') AS failed_checks, count(*) FILTER (WHERE status = 'NOT_APPLICABLE') AS not_applicable_checks,
        COALESCE(string_agg(rule_name, ', ' ORDER BY {RULE_ORDER}, {_LINE_NO}) FILTER (WHERE status = 'FAILED'), '') AS failed_rules
-FROM ({CORPORATE}) c GROUP BY ALL""",
-    CORPORATE_CTES,
+FROM ({ALL_CHECKS}) c GROUP BY ALL""",
+    ALL_CTES,
 )
-sql("rule_report", *_CORPORATE_VIEWS)(
+sql("rule_report", *_ALL_VIEWS)(
     f"""
 SELECT document_type, rule, status, CAST(grouping_id(document_type, rule, status) AS INTEGER) AS level, count(*) AS n_checks,
        count(*) FILTER (WHERE status = 'PASS') AS n_passed, max(abs(variance)) AS max_abs_variance, n_passed / n_checks AS pass_rate
-FROM (SELECT *, regexp_replace(rule_name, '_item_\\d+_', '_item_') AS rule FROM ({CORPORATE}) c) t GROUP BY CUBE (document_type, rule, status)""",
-    CORPORATE_CTES,
+FROM (SELECT *, regexp_replace(rule_name, '_item_\\d+_', '_item_') AS rule FROM ({ALL_CHECKS}) c) t GROUP BY CUBE (document_type, rule, status)""",
+    ALL_CTES,
 )
 _BALANCE_ALL = " UNION ALL ".join(f"({b})" for b in BALANCE.values())
 sql("check_filter", "fx_balance_headers", "fx_balance_lines")(
@@ -620,15 +623,24 @@ sql("extra_rows", "fx_responses")(
         FROM ({with_amount('(SELECT p.doc_id, row_number() OVER (PARTITION BY p.doc_id ORDER BY e.id) - 1 AS pos, e.key, json_extract_string(e.value, chr(36)) AS text, COALESCE(e.type = ' + "'VARCHAR'" + ', FALSE) AS is_text FROM parsed p, json_each(p.data, ' + "'$.additional_fields'" + ') e WHERE json_type(p.data, ' + "'$.additional_fields'" + ') = ' + "'OBJECT'" + ')', plain='NOT is_text')}) t""",
     PARSED.strip(),
 )
-sql("dispatch_type", "fx_responses")(
-    """
+DISPATCHED = """
 SELECT doc_id, checked_type, checked_type IN ('invoice', 'balance_sheet', 'profit_and_loss', 'cash_flow_statement') AS is_supported
 FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'invoice' WHEN doc_id % 31 = 1 THEN 'receipt' ELSE document_type END AS given,
              CASE WHEN lower(json_extract_string(data, '$.statement_type')) IN ('invoice', 'balance_sheet', 'profit_and_loss', 'cash_flow_statement')
                   THEN lower(json_extract_string(data, '$.statement_type'))
                   WHEN given = 'invoice' AND (json_exists(data, '$.total_assets') OR json_exists(data, '$.current_assets')) AND NOT json_exists(data, '$.subtotal')
-                  THEN 'balance_sheet' ELSE given END AS checked_type FROM parsed) t""",
-    PARSED.strip(),
+                  THEN 'balance_sheet' ELSE given END AS checked_type FROM parsed) t"""
+sql("dispatch_type", "fx_responses")(DISPATCHED, PARSED.strip())
+sql("document_summary", "fx_responses", *_ALL_VIEWS)(
+    f"""
+SELECT doc_id, checked_type AS document_type, COALESCE(n, 0) AS total_checks, COALESCE(p, 0) AS passed_checks, COALESCE(f, 0) AS failed_checks,
+       COALESCE(na, 0) AS not_applicable_checks, is_supported AND COALESCE(f, 0) = 0 AS is_valid,
+       CASE WHEN NOT is_supported THEN 'No checks exist for documents of type ' || chr(39) || checked_type || chr(39) || '.'
+            WHEN f > 0 THEN 'Financial validation failed ' || f || ' check(s).' END AS error
+FROM ({DISPATCHED}) d LEFT JOIN (
+  SELECT doc_id, document_type AS checked_type, count(*) AS n, count(*) FILTER (WHERE status = 'PASS') AS p, count(*) FILTER (WHERE status = 'FAILED') AS f,
+         count(*) FILTER (WHERE status = 'NOT_APPLICABLE') AS na FROM ({ALL_CHECKS}) c GROUP BY ALL) s USING (doc_id, checked_type)""",
+    ",".join([PARSED.strip(), ALL_CTES]),
 )
 sql("field_partition", "fx_responses")(
     """

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ledgerline.functions.numeric import display_bytes, normalize_rates as rates_of, parse_amount
 from ledgerline.operators import attempts, discounts, fields, invoice, lookups, pages, payload, report, statements, taxes, triage
 from ledgerline.plans.fixtures import fixture, invoice_lines
-from ledgerline.plans.reconcile import all_checks as all_parts, reconcile_tables, validate_responses
+from ledgerline.plans.reconcile import reconcile_tables, validate_responses
 from ledgerline.session import scratch_path as _scratch
 from ledgerline.sources import documents, files
 from ledgerline.streaming import arrivals
@@ -22,10 +22,11 @@ def query(function: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
     return function
 
 
-def shown(checks: DataFrame) -> DataFrame:
+def shown(checks: DataFrame, *more: str) -> DataFrame:
     """Check rows in flat columns."""
     return checks.select(
         "doc_id",
+        *more,
         "rule_name",
         "formula",
         "calculated_value",
@@ -81,6 +82,11 @@ def invoice_line_math(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(invoice.invoice_line_checks(lines).unionByName(invoice.no_lines_checks(bare)))
 
 
+@query
+def missing_line_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return invoice.missing_line_totals(invoice_lines(spark, sf_dir))
+
+
 @query
 def invoice_subtotal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(_invoice_header_checks(spark, sf_dir, [2], with_extra=False))
@@ -326,33 +332,20 @@ def _all_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _corporate_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Checks of statements and of invoices without their extra fields."""
-    headers, lines = fixture(spark, sf_dir, "fx_invoice_headers"), invoice_lines(spark, sf_dir)
-    inputs = invoice.with_tax_components(invoice.invoice_inputs(headers, lines), lines, None)
-    parts = [
-        invoice.invoice_line_checks(lines),
-        invoice.no_lines_checks(inputs),
-        invoice.invoice_header_checks(inputs),
-        statements.balance_sheet_checks(fixture(spark, sf_dir, "fx_balance_headers"), fixture(spark, sf_dir, "fx_balance_lines")),
-    ]
-    return all_parts(*parts)
-
-
 @query
 def all_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shown(_all_checks(spark, sf_dir)).withColumn("document_type", F.split("rule_name", "_")[0])
+    return shown(_all_checks(spark, sf_dir), "document_type")
 
 
 @query
 def validation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.summarize_with_errors(_corporate_checks(spark, sf_dir))
+    return report.summarize_with_errors(_all_checks(spark, sf_dir))
 
 
 @query
 def failed_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names of all failed checks of each document, in rows of bounded length."""
-    return report.failed_rules(_corporate_checks(spark, sf_dir))
+    return report.failed_rules(_all_checks(spark, sf_dir))
 
 
 @query
@@ -368,7 +361,7 @@ def check_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def rule_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report.rule_report(_corporate_checks(spark, sf_dir))
+    return report.rule_report(_all_checks(spark, sf_dir))
 
 
 # --- responses -------------------------------------------------------------------------------------------------------
@@ -446,8 +439,7 @@ def extra_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "pos", "key", "key_norm", text, "is_text", "num")
 
 
-@query
-def dispatch_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _dispatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dispatch over relabelled responses: every third document claims to be an invoice, some an unknown type."""
     responses = fixture(spark, sf_dir, "fx_responses").withColumn(
         "document_type", F.expr("CASE WHEN doc_id % 3 = 0 THEN ' Invoice' WHEN doc_id % 31 = 1 THEN 'receipt' ELSE document_type END")
@@ -456,6 +448,17 @@ def dispatch_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payload.dispatch_type(parsed).select("doc_id", "checked_type", "is_supported")
 
 
+@query
+def dispatch_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dispatched(spark, sf_dir)
+
+
+@query
+def document_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A summary of every document under the type it is checked as, with and without checks."""
+    return report.summarize_documents(_all_checks(spark, sf_dir), _dispatched(spark, sf_dir))
+
+
 @query
 def field_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return payload.partition_fields(_parsed(spark, sf_dir)).select("doc_id", "key", "part", "is_null", "text", "number")

@@ -2,24 +2,31 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SUMMARY_COLUMNS = ["id", "document_name", "document_type", "processing_status", "created_at", "metadata"]
 DEFAULT_LIMIT, MAX_LIMIT = 50, 100  # fixed values
 
 
-def append_documents(df: DataFrame, path: str) -> None:
-    """Append documents, partitioned by type; id and created_at are assigned where they are absent."""
+def append_documents(df: DataFrame, path: str, batch: str | None = None) -> None:
+    """Append a batch of documents, partitioned by batch and type; id and created_at are assigned where they are absent.
+
+    An assigned id is the batch and the row's number in it, hence unique. A batch appended again under its name replaces
+    itself, so a job that names its batches can be repeated; without a name every call is a new batch.
+    """
+    batch = batch or uuid.uuid4().hex
     if "created_at" not in df.columns:
         df = df.withColumn("created_at", F.current_timestamp())
     if "id" not in df.columns:
-        key = [F.col(c) for c in ("doc_id", "document_name") if c in df.columns]
-        df = df.withColumn("id", F.xxhash64(*key, F.col("created_at")))
-    df.write.mode("append").partitionBy("document_type").parquet(path)
+        df = df.withColumn("id", F.concat_ws("-", F.lit(batch), F.monotonically_increasing_id().cast("string")))
+    writer = df.withColumn("append_batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("append_batch", "document_type").parquet(path)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return spark.read.parquet(path).drop("append_batch")
 
 
 def list_documents(
@@ -53,7 +60,7 @@ def document_by_name(documents: DataFrame, name: str) -> DataFrame:
     return documents.where(F.col("document_name") == name).orderBy(F.desc("created_at"), F.desc("id")).limit(1)
 
 
-def document_by_id(documents: DataFrame, document_id: int) -> DataFrame:
+def document_by_id(documents: DataFrame, document_id: int | str) -> DataFrame:
     return documents.where(F.col("id") == document_id)
 
 

@@ -55,6 +55,16 @@ def test_store(spark, tmp_path):
     assert {r.id for r in latest_documents(stored).collect()} == {2, 3}
 
 
+def test_append_again_and_new_ids(spark, tmp_path):
+    path = str(tmp_path / "store")
+    rows = spark.createDataFrame([("a", "invoice"), ("a", "invoice"), ("b", "balance_sheet")], "document_name string, document_type string")
+    for batch in ("monday", "monday", None, None):
+        append_documents(rows, path, batch)
+    stored = read_documents(spark, path)
+    assert stored.count() == 9 and stored.select("id").distinct().count() == 9
+    assert "append_batch" not in stored.columns
+
+
 def test_extraction_result(spark):
     cases = {
         "good": ("invoice", json.dumps({"extracted_data": {"subtotal": 1, "line_items": []}}), "SUCCESS"),
