@@ -295,6 +295,16 @@ def pnl_rules() -> list[Rule]:
     return corporate + bank + [appropriations]
 
 
+#: The metrics each banking check reads, by the check's order.
+BANK_READS = {
+    4: ["interest_earned", "other_income", "total_income"],
+    5: ["interest_expended", "operating_expenses", "provisions", "total_expenditure"],
+    6: ["total_income", "total_expenditure", "net_profit_year"],
+    7: ["net_profit_year", "minority_interest", "consolidated_profit"],
+    8: ["consolidated_profit", "brought_forward", "total_appropriations", "amalgamation"],
+}
+
+
 def pnl_checks(
     headers: DataFrame,
     lines: DataFrame | None = None,
@@ -302,10 +312,12 @@ def pnl_checks(
     tolerance: float = DEFAULT_TOLERANCE,
     only: list[int] | None = None,
 ) -> DataFrame:
-    """Eight checks per document; the look-ups are left out of the plan when no banking check is asked for."""
+    """Eight checks per document; only the metrics that the asked checks read are looked up."""
     rules = [r for r in pnl_rules() if only is None or r.order in only]
-    if any(r.order >= 4 for r in rules):
-        docs = lookup_metrics(headers, lines, extra, BANK_METRICS, keep=PNL_FIELDS)
+    read = {name for r in rules for name in BANK_READS.get(r.order, [])}
+    if read:
+        metrics = {name: metric for name, metric in BANK_METRICS.items() if name in read}
+        docs = lookup_metrics(headers, lines, extra, metrics, keep=PNL_FIELDS)
     else:
         docs = headers.select("doc_id", *[amount(headers, c).alias(c) for c in PNL_FIELDS])
     return emit_checks(docs, "profit_and_loss", rules, tolerance)
