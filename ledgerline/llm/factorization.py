@@ -7,7 +7,8 @@ squares, per factor. It is fitted with logistic loss by adaptive steps on a samp
 of the fit; every text is scored whole).
 
 Null and empty texts have no words and the statistics zero; they are scored like any other. Labels that are null are left
-out, several labels of one doc_id count by their mean; without labels every score is 0.5. Repeated rows score alike.
+out, several labels of one doc_id count by their mean; without labels every score is 0.5. Repeated rows score alike, and
+train as one.
 """
 
 from __future__ import annotations
@@ -150,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Machine:
         rows = [features(t, slots) for t in text_bytes(texts)]
         return pa.array([{"numbers": a.astype(np.int32), "values": v} for a, v in rows], pa.struct([("numbers", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))]))
 
-    table = docs.join(F.broadcast(few), "doc_id").select("doc_id", "quality", described("text").alias("f")).select("doc_id", "quality", "f.*").toArrow().sort_by("doc_id")
+    table = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").distinct().select("doc_id", "quality", described("text").alias("f")).select("doc_id", "quality", "f.*").toArrow().sort_by("doc_id")
     rows = [(np.asarray(a.values, dtype=np.int64), np.asarray(v.values)) for a, v in zip(table.column("numbers"), table.column("values"))]
     return train(rows, (table.column("quality").to_numpy() >= 0.5).astype(np.float64))
 

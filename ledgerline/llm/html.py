@@ -7,7 +7,7 @@ largest sum is the article, and the smallest density on the path to it from the
 path that reach it are part of the text too.
 
 Null and empty pages, and pages without text, give an empty text. Unclosed and stray tags are repaired; markup that never
-ends is read as text. Rows are treated one by one, so repeated rows give repeated results.
+ends is read as text, a comment that never ends hides the rest. Rows are treated one by one, so repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from ledgerline.llm.common import free_name
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math nobr q ruby rp rt s samp small span strike strong sub sup svg time tt u var wbr".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe object textarea title svg math select".split())
-SKIPPED = frozenset("nav header footer aside form button menu dialog figcaption head fieldset".split()) | RAW
+SKIPPED = frozenset("nav header footer aside form button menu dialog head fieldset".split()) | RAW
 CLOSED_BY_BLOCK = frozenset(["p"])
 CLOSED_BY_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
@@ -35,7 +35,7 @@ MARKS = re.compile(
     r"|comments?|disqus|respond|replies|share|sharing|social|related|recommend\w*|widget|pagination|pager|toolbar|login|search|skip|copyright|tags)(?:$|[\s_-])",
     re.I,
 )
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"<!--(?:.*?-->)?|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
 
@@ -67,6 +67,7 @@ def parse(page: str) -> Node:
     root = Node("body")
     stack, at, in_link = [root], 0, False
     n = len(page)
+    ends = page.rfind(">") + 1  # no tag ends behind
 
     def add(text: str) -> None:
         node = stack[-1]
@@ -79,9 +80,12 @@ def parse(page: str) -> Node:
         while len(stack) > index:
             stack.pop()
 
-    for m in iter(lambda: _TAG.search(page, at), None):
+    for m in iter(lambda: _TAG.search(page, at, max(at, ends)), None):
         if m.start() > at:
             add(page[at : m.start()])
+        if m[0] == "<!--":  # a comment that never ends
+            at = n
+            break
         at, tag = m.end(), (m[2] or "").lower()
         if not tag or tag in ("html", "body"):
             if tag == "body" and not m[1] and len(stack) > 1:
@@ -92,13 +96,18 @@ def parse(page: str) -> Node:
             at = end.end() if end else n if tag in ("script", "style") else at
             continue
         if tag in INLINE:
+            if stack[-1].skip and stack[-1].tag == tag and not m[1]:  # one of the same kind inside ends first
+                node = Node(tag, True)
+                stack[-1].parts.append(node)
+                stack.append(node)
+                continue
             stack[-1].tags += not m[1]
             if tag == "a":
                 in_link = not m[1]
                 stack[-1].link_tags += in_link
             elif tag == "br":
                 stack[-1].parts.append(" ")
-            elif tag != "br" and not m[1] and tag not in VOID and _is_boilerplate(tag, m[3]):
+            elif not m[1] and tag not in VOID and _is_boilerplate(tag, m[3]):
                 node = Node(tag, True)
                 stack[-1].parts.append(node)
                 stack.append(node)
@@ -123,7 +132,7 @@ def parse(page: str) -> Node:
         if tag not in VOID:
             stack.append(node)
     if at < n:
-        add(page[at:])
+        add(page[at:].partition("<!--")[0])
     return root
 
 
@@ -131,8 +140,8 @@ def _blocks(node: Node) -> list[Node]:
     return [p for p in node.parts if isinstance(p, Node) and not p.skip]
 
 
-def measure(root: Node) -> list[Node]:
-    """Fill in counts, densities and sums of all nodes; children come after their parents in the list."""
+def measure(root: Node) -> tuple[list[Node], list[int]]:
+    """Fill in counts, densities and sums; all nodes, children after their parents, and the place of each one's parent."""
     nodes, parents = [root], [-1]
     for i, node in enumerate(nodes):
         below = _blocks(node)
@@ -153,7 +162,7 @@ def measure(root: Node) -> list[Node]:
         if i:
             up = nodes[parents[i]]
             up.total = up.total + node.density
-    return nodes
+    return nodes, parents
 
 
 def text_of(node: Node) -> list[str]:
@@ -185,15 +194,12 @@ def text_of(node: Node) -> list[str]:
 
 def main_text(page: str) -> str:
     root = parse(page)
-    nodes = measure(root)
-    best = max(nodes, key=lambda x: x.total)  # the first of equals is the outermost
-    path, todo = [], [(root, (root,))]
-    while todo:
-        node, way = todo.pop()
-        if node is best:
-            path = way
-            break
-        todo += [(x, (*way, x)) for x in _blocks(node)]
+    nodes, parents = measure(root)
+    at = max(range(len(nodes)), key=lambda i: nodes[i].total)  # the first of equals is the outermost
+    best, path = nodes[at], []
+    while at >= 0:
+        path.append(nodes[at])
+        at = parents[at]
     threshold = min(x.density for x in path)
     on_path, texts, todo = set(map(id, path)), [], [root]
     while todo:

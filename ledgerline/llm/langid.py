@@ -2,8 +2,8 @@
 
 A text's vector counts hashed n-grams of 1 to 3 bytes of its lower-cased letters (all else is one space), damped and weighted
 by inverse document frequency and normalised. Each language has several centroids, found by spherical k-means on a sample of
-SAMPLE_PER_LANGUAGE training rows at most in expectation (the only sampled step; document frequencies and counts come from
-all training rows). The prediction is the language of the centroid with the largest cosine, and the score is that cosine.
+SAMPLE_PER_LANGUAGE different training texts at most in expectation (the only sampled step; document frequencies and counts
+come from all training rows). Texts are drawn by their hash and count once, so a hot group of copies adds one row at most. The prediction is the language of the centroid with the largest cosine, and the score is that cosine.
 A text is rejected if it is further from every centroid than REJECT_SHARE of what the language's sample shows, or has no
 letter (`und`, score 0; null texts too). A rejected text keeps its nearest language, for callers that want one.
 
@@ -132,7 +132,7 @@ def fit(rows: DataFrame) -> Model:
         cut = float(np.quantile(np.max(x @ c.T, axis=1), 0.5)) * REJECT_SHARE
         return pd.DataFrame({"lang": rows["lang"].iloc[0], "centroid": list(c), "cut": cut})
 
-    found = sorted(rows.where(condition).groupBy("lang").applyInPandas(cluster, "lang string, centroid array<float>, cut double").collect(), key=lambda r: (r["lang"], r["centroid"]))
+    found = sorted(rows.where(condition).distinct().groupBy("lang").applyInPandas(cluster, "lang string, centroid array<float>, cut double").collect(), key=lambda r: (r["lang"], r["centroid"]))
     table = np.array([r["centroid"] for r in found], dtype=np.float32).reshape(-1, SIZE)
     return Model(idf, table, [r["lang"] for r in found], np.array([r["cut"] for r in found]))
 

@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -356,6 +357,28 @@ def test_html(spark):
     assert html.extract(pages.limit(0)).count() == 0
 
 
+def test_html_parsing_of_broken_and_nested_markup():
+    cases = {
+        "<div>" * 20_000 + "deep": "deep",
+        "<a " * 20_000: " ".join(["<a"] * 20_000),
+        "<" + "a" * 100_000: "<" + "a" * 100_000,
+        "<p>seen</p><!-- never > ended": "seen",
+        "<p>seen</p> tail <!-- never ended": "seen\n\ntail",
+        "<p>one <span class=ad>x <span>y</span> z</span> two</p>": "one two",
+        "<article><figure><img src=x><figcaption>Caption</figcaption></figure><p>Body of it</p></article>": "Caption\n\nBody of it",
+        "<p title='a > b'>text</p>": "text",
+    }
+    assert [html.main_text(page) for page in cases] == list(cases.values())
+
+
+def test_copies_do_not_crowd_the_sample(spark, rows):
+    copies = spark.range(5000).select(F.lit(sentence(random.Random(9), "en", 60)).alias("text"), F.lit("en").alias("lang"))
+    others = spark.createDataFrame([(r[1], r[2]) for r in rows[:60]], "text string, lang string")
+    model = langid.fit(copies.union(others))
+    assert set(model.languages) == {"en", "de"}
+    assert [p["lang"] for p in model.predict(pa.array([r[1] for r in rows[:20]]))] == [r[2] for r in rows[:20]]
+
+
 def test_pipeline(spark, docs, tmp_path):
     docs.drop("size", "shard", "mix").write.parquet(f"{tmp_path}/documents.parquet")
     passage = docs.where("doc_id = 10").first()["text"]
