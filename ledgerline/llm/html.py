@@ -3,8 +3,10 @@
 A page is parsed into blocks (inline tags belong to the block around them). Menus, headers, footers, sidebars, notices,
 adverts, forms, comments, scripts and styles are known by tag, role, class or id and left out. Each remaining node has its
 characters per tag, adjusted for links; a node's sum is that of its children's densities (a leaf's own). The node of the
-largest sum is the article, and the smallest density on the path to it from the body is the threshold: subtrees beside the
-path that reach it are part of the text too.
+largest sum is the core of the article, and the smallest density on the path to it from the body is the threshold. Text
+directly in the blocks of that path and the blocks beside it are part of the article too: headings, leads, further sections
+of any length. Left out are only lists of links beside the path: two links or more that make up over half of the text of a
+block below the threshold.
 
 Null and empty pages, and pages without text, give an empty text. Unclosed and stray tags are repaired; markup that never
 ends is read as text, a comment that never ends hides the rest. Rows are treated one by one, so repeated rows give repeated results.
@@ -201,14 +203,12 @@ def main_text(page: str) -> str:
         path.append(nodes[at])
         at = parents[at]
     threshold = min(x.density for x in path)
-    on_path, texts, todo = set(map(id, path)), [], [root]
-    while todo:
-        node = todo.pop()
-        if node is best or (id(node) not in on_path and node.density >= threshold):
-            texts += text_of(node)
-        elif id(node) in on_path:
-            todo += reversed(_blocks(node))
-    return "\n\n".join(texts)
+    on_path = set(map(id, path))
+    for node in path[1:]:
+        for block in _blocks(node):
+            if id(block) not in on_path and block.density < threshold and 2 * block.links > block.chars and block.link_tags > 1:
+                block.skip = True
+    return "\n\n".join(text_of(root))
 
 
 def extract(pages: DataFrame) -> DataFrame:

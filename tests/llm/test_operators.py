@@ -371,6 +371,25 @@ def test_html_parsing_of_broken_and_nested_markup():
     assert [html.main_text(page) for page in cases] == list(cases.values())
 
 
+def test_html_keeps_all_sections_of_an_article():
+    def section(n, c):
+        return "".join(f"<p>{c * 300}</p>" for _ in range(n))
+
+    def lines(n, c):
+        return [c * 300] * n
+
+    links = "<ul>" + "<li><a href=x>Another page of it</a></li>" * 9 + "</ul>"
+    unequal = f"<h2>Intro</h2><div>{section(20, 'a')}</div><h2>Method</h2><div>{section(5, 'b')}</div>"
+    text = ["Intro", *lines(20, "a"), "Method", *lines(5, "b")]
+    cases = {
+        f"<body><div>{unequal}</div></body>": text,
+        f"<body>{unequal}</body>": text,
+        f"<body><div>{links}</div><div>{unequal}</div></body>": text,
+        f"<body><article>Lead text <b>here</b><div>{section(9, 'c')}</div>Last words<div><p>short</p></div></article></body>": ["Lead text here", *lines(9, "c"), "Last words", "short"],
+    }
+    assert [html.main_text(page).split("\n\n") for page in cases] == list(cases.values())
+
+
 def test_copies_do_not_crowd_the_sample(spark, rows):
     copies = spark.range(5000).select(F.lit(sentence(random.Random(9), "en", 60)).alias("text"), F.lit("en").alias("lang"))
     others = spark.createDataFrame([(r[1], r[2]) for r in rows[:60]], "text string, lang string")
