@@ -1,7 +1,8 @@
 """Main text of web pages by composite text density.
 
 A page is parsed into blocks (inline tags belong to the block around them). Menus, headers, footers, sidebars, notices,
-adverts, forms, comments, scripts and styles are known by tag, role, class or id and left out. Each remaining node has its
+adverts, forms, comments, scripts and styles are known by tag, role, class or id (whole tokens) and left out; a class or id,
+and a form, does not count where the block holds <main>, the article, or most of the text that is not in links. Each remaining node has its
 characters per tag, adjusted for links; a node's sum is that of its children's densities (a leaf's own). The node of the
 largest sum is the core of the article, and the smallest density on the path to it from the body is the threshold. Text
 directly in the blocks of that path and the blocks beside it are part of the article too: headings, leads, further sections
@@ -26,48 +27,95 @@ from ledgerline.llm.common import free_name
 
 # HTML element names and their roles in parsing.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math nobr q ruby rp rt s samp small span strike strong sub sup svg time tt u var wbr".split())
+FOREIGN = frozenset(["svg", "math"])
+#: What ends unclosed foreign markup.
+BREAKOUT = frozenset("article aside b blockquote br center code dd div dl dt em figure footer form h1 h2 h3 h4 h5 h6 header hr i img li main nav ol p pre section small span strong table td th tr u ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object textarea title svg math select".split())
+RAW = frozenset("script style noscript template iframe object textarea title annotation annotation-xml select".split())
 SKIPPED = frozenset("nav header footer aside form button menu dialog head fieldset".split()) | RAW
 CLOSED_BY_BLOCK = frozenset(["p"])
 CLOSED_BY_SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
-MARKS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|sidebar\w*|footer|header|masthead|cookies?|consent|notice|gdpr|popup|modal|newsletter|subscribe|signup"
-    r"|comments?|disqus|respond|replies|share|sharing|social|related|recommend\w*|widget|pagination|pager|toolbar|login|search|skip|copyright|tags)(?:$|[\s_-])",
-    re.I,
+#: A class or id token is a mark if all of its parts (between hyphens and underscores) are words of one of the two sets, one of MARKS at least.
+MARKS = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising advertorial sponsor sponsors sponsored sponsorship promo promos promotion promotions promotional banner banners"
+    " nav navs navbar navigation navlinks navmenu menu menus menubar menuitem breadcrumb breadcrumbs sidebar sidebars footer header masthead cookie cookies consent notice gdpr popup modal newsletter"
+    " subscribe signup comment comments disqus respond replies share sharing social related recommend recommended recommendation recommendations widget widgets pagination pager toolbar login search skip"
+    " copyright tags".split()
 )
+BESIDE = frozenset(
+    "site page global main primary secondary top bottom left right upper lower mobile desktop sticky fixed google bar box list lists link links area areas container wrapper wrap block blocks section slot unit"
+    " item items inner outer form panel button buttons icon icons media posts articles stories threads thread overlay bottombar topbar leaderboard rectangle".split()
+)
+THREADS = frozenset("comment comments disqus respond replies".split())
 _TAG = re.compile(r"<!--(?:.*?-->)?|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
-_ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/"']+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"']+)))?""")
+OPEN, SOFT, HARD = 0, 1, 2  # read; left out for its class or id, unless it holds the article; left out
 
 
 class Node:
     __slots__ = ("tag", "skip", "parts", "chars", "links", "tags", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, skip: bool = False):
+    def __init__(self, tag: str, skip: int = OPEN):
         self.tag, self.skip, self.parts = tag, skip, []
         self.chars = self.links = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _is_boilerplate(tag: str, attributes: str) -> bool:
+def _skip(tag: str, attributes: str) -> int:
     if tag in SKIPPED:
-        return True
+        return SOFT if tag in ("form", "fieldset") else HARD
     if tag in ("body", "html", "article", "main") or not attributes.strip():
-        return False
+        return OPEN
+    skip, known = OPEN, set()
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), a or b or c
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "role" and value.lower() in ROLES):
-            return True
-        if name in ("class", "id") and MARKS.search(value):
-            return True
-    return False
+        name, value = name.lower(), (a or b or c).lower()
+        if name in known:  # the first of a name counts
+            continue
+        known.add(name)
+        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and not ROLES.isdisjoint(value.split()[:1])):
+            return HARD
+        if name in ("class", "id"):
+            for token in value.split():
+                parts = {x for x in re.split("[-_]+", token) if x}
+                if parts and parts <= MARKS | BESIDE and not MARKS.isdisjoint(parts):
+                    skip = max(skip, SOFT if THREADS.isdisjoint(parts) else HARD)
+    return skip
+
+
+def reopen(root: Node) -> None:
+    """Blocks left out for their class or id are read if they hold <main>, the page's articles, or most of its text."""
+    nodes, parents = [root], [-1]
+    for i, node in enumerate(nodes):
+        below = [p for p in node.parts if isinstance(p, Node) and p.skip != HARD]
+        nodes += below
+        parents += [i] * len(below)
+    if all(node.skip == OPEN for node in nodes):
+        return
+    plain = [node.chars - node.links for node in nodes]
+    main, article = [x.tag == "main" for x in nodes], [x.tag == "article" for x in nodes]
+    for i in range(len(nodes) - 1, 0, -1):
+        up = parents[i]
+        plain[up] += plain[i]
+        main[up] |= main[i]
+        article[up] |= article[i]
+    hidden = [False] * len(nodes)
+    for i, node in enumerate(nodes):
+        hidden[i] = node.skip == SOFT or (i > 0 and hidden[parents[i]])
+    seen = max((n for n, node, away in zip(plain, nodes, hidden) if node.tag in ("article", "main") and not away), default=0)
+    for i, node in enumerate(nodes):
+        hidden[i] = i > 0 and hidden[parents[i]]
+        if node.skip == SOFT and not hidden[i]:
+            if main[i] or (plain[i] > seen and plain[i] * (4 if article[i] else 2) > plain[0]):
+                node.skip = OPEN
+            else:
+                hidden[i] = True
 
 
 def parse(page: str) -> Node:
     """The tree of blocks; a part of a block is a text, or another block."""
     root = Node("body")
-    stack, at, in_link = [root], 0, False
+    stack, at, in_link, foreign = [root], 0, False, False
     n = len(page)
     ends = page.rfind(">") + 1  # no tag ends behind
 
@@ -97,9 +145,14 @@ def parse(page: str) -> Node:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else n if tag in ("script", "style") else at
             continue
+        if foreign and tag not in BREAKOUT | FOREIGN:  # drawing and formula: their text, whatever the element
+            if tag in ("text", "tspan", "mtr", "mtd"):
+                add(" ")
+            continue
+        foreign = tag in FOREIGN and not m[1] and not m[3].endswith("/")
         if tag in INLINE:
             if stack[-1].skip and stack[-1].tag == tag and not m[1]:  # one of the same kind inside ends first
-                node = Node(tag, True)
+                node = Node(tag, HARD)
                 stack[-1].parts.append(node)
                 stack.append(node)
                 continue
@@ -109,8 +162,8 @@ def parse(page: str) -> Node:
                 stack[-1].link_tags += in_link
             elif tag == "br":
                 stack[-1].parts.append(" ")
-            elif not m[1] and tag not in VOID and _is_boilerplate(tag, m[3]):
-                node = Node(tag, True)
+            elif not m[1] and tag not in VOID and _skip(tag, m[3]):
+                node = Node(tag, HARD)
                 stack[-1].parts.append(node)
                 stack.append(node)
                 continue
@@ -128,7 +181,7 @@ def parse(page: str) -> Node:
         if tag in CLOSED_BY_SAME and stack[-1].tag in CLOSED_BY_SAME[tag]:
             stack.pop()
         in_link = False
-        node = Node(tag, _is_boilerplate(tag, m[3]))
+        node = Node(tag, _skip(tag, m[3]))
         stack[-1].parts.append(node)
         stack[-1].tags += 1
         if tag not in VOID:
@@ -196,6 +249,7 @@ def text_of(node: Node) -> list[str]:
 
 def main_text(page: str) -> str:
     root = parse(page)
+    reopen(root)
     nodes, parents = measure(root)
     at = max(range(len(nodes)), key=lambda i: nodes[i].total)  # the first of equals is the outermost
     best, path = nodes[at], []
@@ -207,7 +261,7 @@ def main_text(page: str) -> str:
     for node in path[1:]:
         for block in _blocks(node):
             if id(block) not in on_path and block.density < threshold and 2 * block.links > block.chars and block.link_tags > 1:
-                block.skip = True
+                block.skip = HARD
     return "\n\n".join(text_of(root))
 
 

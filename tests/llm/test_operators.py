@@ -390,6 +390,23 @@ def test_html_keeps_all_sections_of_an_article():
     assert [html.main_text(page).split("\n\n") for page in cases] == list(cases.values())
 
 
+def test_html_wrappers_and_attributes_do_not_hide_an_article():
+    body = "<h1>Head</h1>" + "<p>A paragraph of some length, for the article.</p>" * 8
+    want = ["Head"] + ["A paragraph of some length, for the article."] * 8
+    side = "<div class='nav-links'><p>Go on</p></div>"
+    wrappers = ['style="overflow:hidden"', 'title="hidden costs"', "title='a class=menu'", 'data-id="menu"', 'data-role="form"', 'class="site has-sidebar"', "class=no-sidebar", 'class="elementor-widget elementor-widget-text-editor"']
+    wrappers += ['id="search-result-article"', 'class="social-sciences"', "class=navy", 'class="widget"', "id=banner class=x"]
+    for attributes in wrappers:
+        assert html.main_text(f"<body>{side}<div {attributes}>{body}</div></body>").split("\n\n") == want, attributes
+        assert html.main_text(f"<body>{side}<article>{body}<div {attributes}><p>Part of it</p></div></article></body>").split("\n\n")[: len(want)] == want
+    for attributes in wrappers[:11]:
+        assert html.main_text(f"<body><article>{body}<div {attributes}><p>Part of it</p></div></article></body>").split("\n\n") == [*want, "Part of it"], attributes
+    for attributes in ("hidden", 'class="x site-footer"', "class='ad'", "id=main-nav", "role=navigation", 'aria-hidden="true"', 'class="comment-list"', 'class="widget-area"'):
+        assert html.main_text(f"<body><div {attributes}><p>Beside it</p></div><article>{body}</article></body>").split("\n\n") == want, attributes
+    assert html.main_text(f"<form id=aspnet>{body}<input name=x></form>").split("\n\n") == want
+    assert html.main_text("<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be</p><svg><path d='M0'/><text>Label</text></svg><p>tail</p></article>").split("\n\n") == ["Let x=1 be", "Label", "tail"]
+
+
 def test_copies_do_not_crowd_the_sample(spark, rows):
     copies = spark.range(5000).select(F.lit(sentence(random.Random(9), "en", 60)).alias("text"), F.lit("en").alias("lang"))
     others = spark.createDataFrame([(r[1], r[2]) for r in rows[:60]], "text string, lang string")
