@@ -1,8 +1,8 @@
 """Quality rules with robust multivariate outliers: minimum covariance determinant per language and source.
 
 Statistics of every whole text give a vector of logarithms of shares. For each language and source the estimate starts from
-medians and median deviations of each coordinate and takes concentration steps: distances of all rows, their quantile HALF,
-mean and covariance of the rows within; the determinant falls with each step. One reweighting step follows, and texts whose
+medians and median deviations of each coordinate and takes concentration steps: distances of all rows, their quantile HALF
+(the half that breaks down last: nearly half of a group may be odd), mean and covariance of the rows within; the determinant falls with each step. One reweighting step follows, and texts whose
 squared Mahalanobis distance exceeds the chi-square quantile of CUT are rejected. All rows count in all steps; Spark sums
 moments and quantile sketches per group, and only the small matrices are inverted row by row of the table of groups.
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import lookup, saved, text_bytes
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-HALF, STEPS = 0.75, 4
+HALF, STEPS = 0.5, 4
 CUT = 1 - 1e-6
 REWEIGHT = 0.975
 LEAST = 60

@@ -316,6 +316,15 @@ def test_outliers_are_rejected(spark):
     assert sum(v for k, v in got.items() if k < 1000) >= 0.98 * sum(k < 1000 for k in got)
 
 
+def test_a_third_of_copies_of_one_outlier_is_rejected(spark):
+    rng = random.Random(7)
+    spam = " ".join(x + "###" for x in split(sentence(rng, "en", 80)))
+    rows = [(i, sentence(rng, "en", 80), "en", "s") for i in range(200)] + [(1000 + i, spam, "en", "s") for i in range(100)]
+    got = {r["doc_id"]: r["kept"] for r in outliers.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect() if not r["base_failed"]}
+    assert sum(k >= 1000 for k in got) == 100 and not any(v for k, v in got.items() if k >= 1000)
+    assert sum(v for k, v in got.items() if k < 1000) >= 0.95 * sum(k < 1000 for k in got)
+
+
 def test_quality_scores(spark, docs, rows, empty):
     rng = random.Random(6)
     texts = [(i, sentence(rng, "en", 40) if i % 2 else sentence(rng, "en", 40).upper().replace(" ", "!! ")) for i in range(300)]
