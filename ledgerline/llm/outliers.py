@@ -7,8 +7,8 @@ squared Mahalanobis distance exceeds the chi-square quantile of CUT are rejected
 moments and quantile sketches per group, and only the small matrices are inverted row by row of the table of groups.
 
 Rows that fail the base rules are rejected outright and do not count in estimates. A group of under LEAST rows is judged
-with its language, and where that has fewer too, with all rows. FLOOR bounds each variance from below, so that a statistic
-that never varies rejects nothing by trifles. Null texts have no words and fail the base rules; null languages or sources
+with its language, and where that has fewer too, with all rows. FLOOR bounds the variance from below, in every
+direction of the space scaled by it: what is larger stays as it is, and a statistic that never varies rejects nothing by trifles. Null texts have no words and fail the base rules; null languages or sources
 form a group of their own; repeated rows are all counted and all returned.
 """
 
@@ -25,14 +25,15 @@ from ledgerline.llm.common import lookup, saved, text_bytes
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 HALF, STEPS = 0.5, 4
-CUT = 1 - 1e-6
+CUT = 0.999
 REWEIGHT = 0.975
 LEAST = 60
 _SPACE = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
-#: Of each coordinate: what is added to the share before its logarithm, and the least standard deviation.
+#: Of each coordinate: what is added to the share before its logarithm, and the least standard deviation: what a line, a word or
+#: a few characters more or less make in a text of usual length.
 OFFSETS = {"word_length": 0.0, "symbols": 0.01, "dup_lines": 0.1, "repeats": 0.1, "upper": 0.02, "distinct": 0.05}
-FLOOR = {"word_length": 0.05, "symbols": 0.3, "dup_lines": 0.4, "repeats": 0.4, "upper": 0.3, "distinct": 0.2}
+FLOOR = {"word_length": 0.05, "symbols": 0.2, "dup_lines": 0.2, "repeats": 0.2, "upper": 0.1, "distinct": 0.05}
 NAMES = list(OFFSETS)
 D = len(NAMES)
 RESULT = "struct<n_words: bigint, word_chars: bigint, n_symbols: bigint, n_dup_lines: bigint, n_repeat_words: bigint, n_lines: bigint, n_upper: bigint, n_distinct: bigint>"
@@ -118,7 +119,7 @@ def _vector() -> list[Column]:
 def _moments(share: float):
     """From sums of a group: mean, and inverse of the covariance made consistent for the share of rows it comes from."""
     factor = consistency(share) if share < 1 else 1.0
-    floor = np.array([FLOOR[x] ** 2 for x in NAMES])
+    floor = np.array([FLOOR[x] for x in NAMES])
 
     @F.arrow_udf("struct<mean: array<double>, inverse: array<double>>")
     def estimate(counts: pa.Array, firsts: pa.Array, seconds: pa.Array) -> pa.Array:
@@ -129,8 +130,9 @@ def _moments(share: float):
             square[np.triu_indices(D)] = b
             covariance = (square + np.triu(square, 1).T) / n - np.outer(mean, mean)
             covariance *= factor
-            covariance[np.diag_indices(D)] = np.maximum(covariance.diagonal(), 0) + floor
-            rows.append({"mean": mean, "inverse": np.linalg.inv(covariance).reshape(-1)})
+            spread, axes = np.linalg.eigh(covariance / np.outer(floor, floor))
+            inverse = (axes / np.maximum(spread, 1.0)) @ axes.T / np.outer(floor, floor)
+            rows.append({"mean": mean, "inverse": inverse.reshape(-1)})
         return pa.array(rows, pa.struct([("mean", pa.list_(pa.float64())), ("inverse", pa.list_(pa.float64()))]))
 
     return estimate
@@ -148,7 +150,7 @@ def estimates(rows: DataFrame, n_groups: int) -> DataFrame:
     middle = rows.groupBy("grp").agg(F.array(*(F.percentile_approx(x, 0.5, 1000) for x in xs)).alias("mean"))
     around = lookup(rows, saved(middle, "mcd-medians"), "grp", n_groups)
     spread = around.groupBy("grp", "mean").agg(F.array(*(F.percentile_approx(F.abs(x - F.col("mean")[i]), 0.5, 1000) for i, x in enumerate(xs))).alias("mad"))
-    diagonal = F.array(*(1 / (F.pow(F.col("mad")[i] * 1.4826, 2) + FLOOR[NAMES[i]] ** 2) if i == j else F.lit(0.0) for i in range(D) for j in range(D)))
+    diagonal = F.array(*(1 / F.greatest(F.pow(F.col("mad")[i] * 1.4826, 2), F.lit(FLOOR[NAMES[i]] ** 2)) if i == j else F.lit(0.0) for i in range(D) for j in range(D)))
     table = saved(spread.select("grp", "mean", diagonal.alias("inverse")), "mcd-start")
     inner = chi_square_quantile(REWEIGHT, D)
     for step in range(STEPS + 1):

@@ -325,6 +325,32 @@ def test_a_third_of_copies_of_one_outlier_is_rejected(spark):
     assert sum(v for k, v in got.items() if k < 1000) >= 0.95 * sum(k < 1000 for k in got)
 
 
+def test_each_coordinate_alone_can_reject(spark):
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(4000)]
+
+    def text(words):
+        return "\n".join(" ".join(words[i : i + 10]) for i in range(0, len(words), 10))
+
+    def plain(n=200):
+        return rng.sample(vocabulary, n)
+
+    lines = [rng.sample(vocabulary, 2) for _ in range(100)]
+    odd = {
+        "word_length": text([x * 4 for x in plain()]),
+        "symbols": text([x + "#" if i % 4 == 0 else x for i, x in enumerate(plain())]),
+        "dup_lines": "\n".join(" ".join(x) for x in [*lines, *rng.sample(lines, 80)]),
+        "repeats": text([*(twice := plain(45)), *plain(110), *twice]),
+        "upper": text([x.upper() if i % 3 == 0 else x for i, x in enumerate(plain())]),
+        "distinct": text([x for pair in zip(plain(100), ["same"] * 100) for x in pair]),
+    }
+    rows = [(i, text(plain()), "en", "s") for i in range(300)] + [(1000 + i, x, "en", "s") for i, x in enumerate(odd.values())]
+    got = {r["doc_id"]: r for r in outliers.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert [name for i, name in enumerate(odd) if got[1000 + i]["kept"]] == []
+    assert sum(r["kept"] for k, r in got.items() if k < 1000) >= 0.97 * 300
+
+
 def test_quality_scores(spark, docs, rows, empty):
     rng = random.Random(6)
     texts = [(i, sentence(rng, "en", 40) if i % 2 else sentence(rng, "en", 40).upper().replace(" ", "!! ")) for i in range(300)]
