@@ -3,7 +3,8 @@
 A text's vector counts hashed n-grams of 1 to 3 bytes of its lower-cased letters (all else is one space), damped and weighted
 by inverse document frequency and normalised. Each language has several centroids, found by spherical k-means on a sample of
 SAMPLE_PER_LANGUAGE different training texts at most in expectation (the only sampled step; document frequencies and counts
-come from all training rows). Texts are drawn by their hash and count once, so a hot group of copies adds one row at most. The prediction is the language of the centroid with the largest cosine, and the score is that cosine.
+come from all training rows). Texts are drawn by their hash at a rate set by the language's different texts, so copies
+neither crowd the sample nor thin it, and a language of few texts gives all of them. The prediction is the language of the centroid with the largest cosine, and the score is that cosine.
 A text is rejected if it is further from every centroid than REJECT_SHARE of what the language's sample shows, or has no
 letter (`und`, score 0; null texts too). A rejected text keeps its nearest language, for callers that want one.
 
@@ -107,7 +108,8 @@ def fit(rows: DataFrame) -> Model:
     """A model from rows (text, lang); rows without text or lang are left out."""
     spark = rows.sparkSession
     rows = rows.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", "lang")
-    per = rows.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    different = rows.select("lang", F.xxhash64("text").alias("hash")).distinct()
+    per = different.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
     if len(per) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     df = np.zeros(SIZE + 1, dtype=np.int64)

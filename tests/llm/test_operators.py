@@ -450,6 +450,15 @@ def test_copies_do_not_crowd_the_sample(spark, rows):
     assert [p["lang"] for p in model.predict(pa.array([r[1] for r in rows[:20]]))] == [r[2] for r in rows[:20]]
 
 
+def test_a_language_of_few_texts_with_many_copies_is_learned(spark, rows):
+    few = [r[1] for r in rows[:60] if r[2] == "de"][:3]
+    copies = spark.range(9000).select(F.element_at(F.array(*map(F.lit, few)), (F.col("id") % 3 + 1).cast("int")).alias("text"), F.lit("de").alias("lang"))
+    others = spark.createDataFrame([(r[1], r[2]) for r in rows[:60] if r[2] == "en"], "text string, lang string")
+    model = langid.fit(copies.union(others))
+    assert model.languages.count("de") == 3 and "en" in model.languages
+    assert [(p["lang"], p["rejected"]) for p in model.predict(pa.array(few))] == [("de", False)] * 3
+
+
 def test_pipeline(spark, docs, tmp_path):
     docs.drop("size", "shard", "mix").write.parquet(f"{tmp_path}/documents.parquet")
     passage = docs.where("doc_id = 10").first()["text"]
