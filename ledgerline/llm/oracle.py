@@ -79,4 +79,57 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_remove
 FROM docs LEFT JOIN removed USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
-ORACLE = {"op1_decontaminate": OP1, "op2_mix_sources": OP2, "op10_substring_dedup": OP10}
+OP11 = r"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS row_no, doc_id, source, text, coalesce(doc_id::VARCHAR, '') AS name,
+    concat(coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id::VARCHAR, '-'), coalesce(strlen(source) || ':' || source, '-'),
+      coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars::VARCHAR, '-')) AS head
+  FROM documents
+),
+leaves AS (
+  SELECT row_no, doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    CASE WHEN list_reduce(list_prepend(4294967295::BIGINT, range(0, 8 * strlen(name))), lambda crc, i:
+        xor((CASE WHEN i % 8 = 0 THEN xor(crc, ascii(substr(name, (i // 8 + 1)::INTEGER, 1))) ELSE crc END) >> 1,
+          CASE WHEN (CASE WHEN i % 8 = 0 THEN xor(crc, ascii(substr(name, (i // 8 + 1)::INTEGER, 1))) ELSE crc END) % 2 = 1 THEN 3988292384 ELSE 0 END)
+      ) % 2 = 1
+      THEN sha256(head || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-')) END AS changed
+  FROM docs
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, row_no) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n FROM leaves
+),
+trees AS (
+  SELECT source, 0 AS height, idx, n, leaf AS digest FROM placed
+  UNION ALL
+  SELECT source, height + 1, idx // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY idx)) FROM trees WHERE n > 1 GROUP BY source, height, idx // 3, n
+),
+subroots AS (
+  SELECT source, digest, row_number() OVER (ORDER BY source IS NOT NULL, source) - 1 AS idx, count(*) OVER () AS n FROM trees WHERE n = 1
+),
+tops AS (
+  SELECT 0 AS height, idx, n, digest FROM subroots
+  UNION ALL
+  SELECT height + 1, idx // 3, (n + 2) // 3, sha256(string_agg(digest, '' ORDER BY idx)) FROM tops WHERE n > 1 GROUP BY height, idx // 3, n
+),
+low AS (
+  SELECT row_no, source, 0 AS height, idx, n, coalesce(changed, leaf) AS digest, ''::VARCHAR AS proof FROM placed
+  UNION ALL
+  SELECT f.row_no, any_value(f.source), f.height + 1, f.idx // 3, (f.n + 2) // 3, sha256(string_agg(CASE WHEN k.idx = f.idx THEN f.digest ELSE k.digest END, '' ORDER BY k.idx)),
+    f.proof || coalesce(string_agg(k.digest, '' ORDER BY k.idx) FILTER (WHERE k.idx <> f.idx), '')
+  FROM low f JOIN trees k ON k.source IS NOT DISTINCT FROM f.source AND k.height = f.height AND k.idx // 3 = f.idx // 3
+  WHERE f.n > 1 GROUP BY f.row_no, f.height, f.idx, f.n, f.proof
+),
+high AS (
+  SELECT l.row_no, 0 AS height, s.idx, s.n, l.digest, l.proof FROM low l JOIN subroots s ON s.source IS NOT DISTINCT FROM l.source WHERE l.n = 1
+  UNION ALL
+  SELECT f.row_no, f.height + 1, f.idx // 3, (f.n + 2) // 3, sha256(string_agg(CASE WHEN k.idx = f.idx THEN f.digest ELSE k.digest END, '' ORDER BY k.idx)),
+    f.proof || coalesce(string_agg(k.digest, '' ORDER BY k.idx) FILTER (WHERE k.idx <> f.idx), '')
+  FROM high f JOIN tops k ON k.height = f.height AND k.idx // 3 = f.idx // 3
+  WHERE f.n > 1 GROUP BY f.row_no, f.height, f.idx, f.n, f.proof
+)
+SELECT p.doc_id, p.leaf, s.digest AS subroot, t.digest AS root, sha256(f.proof) AS proof_sha256, f.digest AS folded_root, f.digest = t.digest AS verified
+FROM placed p JOIN subroots s ON s.source IS NOT DISTINCT FROM p.source JOIN (SELECT digest FROM tops WHERE n = 1) t ON true
+JOIN high f ON f.row_no = p.row_no AND f.n = 1
+"""
+
+ORACLE = {"op1_decontaminate": OP1, "op2_mix_sources": OP2, "op10_substring_dedup": OP10, "op11_merkle_manifest": OP11}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import ctw, decontaminate, factorization, html, langid, mixing, outliers, sharding, simhash, substring
+from ledgerline.llm import ctw, decontaminate, factorization, html, langid, merkle, mixing, outliers, sharding, simhash, substring
 from ledgerline.llm.common import crc_of_id, small_batches
 from ledgerline.llm.oracle import ORACLE
 
@@ -93,6 +93,10 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring.dedup(_table(spark, folder, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.verify(_table(spark, folder, "documents").select(*merkle.COLUMNS))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -106,5 +110,6 @@ QUERIES = {
         op8_simhash,
         op9_quality_rules,
         op10_substring_dedup,
+        op11_merkle_manifest,
     )
 }
