@@ -132,4 +132,20 @@ FROM placed p JOIN subroots s ON s.source IS NOT DISTINCT FROM p.source JOIN (SE
 JOIN high f ON f.row_no = p.row_no AND f.n = 1
 """
 
-ORACLE = {"op1_decontaminate": OP1, "op2_mix_sources": OP2, "op10_substring_dedup": OP10, "op11_merkle_manifest": OP11}
+OP13 = r"""
+WITH docs AS (SELECT row_number() OVER () AS row_no, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+keyed AS (
+  SELECT row_no, doc_id, pos, lines[pos] AS line,
+    translate(trim(lines[pos], concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM docs, unnest(range(1, len(lines) + 1)) AS t(pos)
+),
+repeated AS (
+  SELECT key, max(doc_id) AS top FROM (SELECT DISTINCT key, doc_id FROM keyed WHERE length(key) >= 20) GROUP BY key HAVING count(*) >= 3
+),
+judged AS (SELECT k.*, r.key IS NOT NULL AND k.doc_id IS DISTINCT FROM r.top AS gone FROM keyed k LEFT JOIN repeated r ON r.key = k.key)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY row_no
+"""
+
+ORACLE = {"op1_decontaminate": OP1, "op2_mix_sources": OP2, "op10_substring_dedup": OP10, "op11_merkle_manifest": OP11, "op13_line_dedup": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import ctw, decontaminate, factorization, html, langid, merkle, mixing, outliers, sharding, simhash, substring
+from ledgerline.llm import ctw, decontaminate, factorization, html, langid, linededup, merkle, mixing, outliers, sharding, simhash, substring
 from ledgerline.llm.common import crc_of_id, small_batches
 from ledgerline.llm.oracle import ORACLE
 
@@ -97,6 +97,12 @@ def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.verify(_table(spark, folder, "documents").select(*merkle.COLUMNS))
 
 
+def op13_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = linededup.dedup(_table(spark, folder, "documents").select("doc_id", "text"))
+    at = F.col(found.columns[-1])
+    return found.select("doc_id", at["n_lines"].alias("n_lines"), at["n_dropped"].alias("n_dropped"), F.sha2(at["text"], 256).alias("kept_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -111,5 +117,6 @@ QUERIES = {
         op9_quality_rules,
         op10_substring_dedup,
         op11_merkle_manifest,
+        op13_line_dedup,
     )
 }

@@ -7,9 +7,10 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
-from ledgerline.llm import merkle
+from ledgerline.llm import linededup, merkle
 
 SCHEMA = "doc_id bigint, source string, lang string, n_chars bigint, text string, tree string, digest string, n string"
 
@@ -118,3 +119,95 @@ def test_log_positions(n):
     for height, level in enumerate(levels):
         for index, value in enumerate(level):
             assert log[merkle.position(height, index, n)].hex() == value
+
+
+# --- line dedup ------------------------------------------------------------------------------------------------------
+
+UPPER = {ord(c): c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
+
+
+def line_key(line):
+    return line.strip(" \t\n\x0b\x0c\r").translate(UPPER)
+
+
+def plain_lines(rows):
+    """(doc_id, n_lines, n_dropped, kept) of rows of doc_id and text."""
+    holders = defaultdict(set)
+    for row in rows:
+        for line in (row[4] or "").split("\n"):
+            if len(line_key(line)) >= 20:
+                holders[line_key(line)].add(row[0])
+    rank = lambda i: (i is not None, i or 0)
+    top = {k: max(v, key=rank) for k, v in holders.items() if len(v) >= 3}
+    out = Counter()
+    for row in rows:
+        lines = (row[4] or "").split("\n")
+        kept = [x for x in lines if top.get(line_key(x), row[0]) == row[0]]
+        out[row[0], len(lines), len(lines) - len(kept), "\n".join(kept)] += 1
+    return out
+
+
+def deduped(found):
+    at = found.columns[-1]
+    return Counter(tuple(r) for r in found.select("doc_id", f"{at}.n_lines", f"{at}.n_dropped", f"{at}.text").collect())
+
+
+def test_line_dedup(docs, rows, empty):
+    found = linededup.dedup(docs.withColumnRenamed("tree", "lines").withColumnRenamed("digest", "h1"))
+    assert found.columns[:-1] == ["doc_id", "source", "lang", "n_chars", "text", "lines", "h1", "n"]
+    expected = plain_lines(rows)
+    assert deduped(found) == expected
+    assert sum(x[2] for x in expected) > 100
+    assert linededup.dedup(empty).collect() == []
+
+
+def state(index):
+    return Counter(tuple(r) for r in index.counts.select("k1", "k2", "n_docs", "top_doc").collect())
+
+
+def holds_exactly(index):
+    """Every filter holds its shard's repeated keys, and as many fingerprints as these."""
+    filters = {r["shard"]: linededup.Cuckoo.load(bytes(r["filter"])) for r in index.filters.collect()}
+    keys = defaultdict(list)
+    for r in index.counts.where(f"n_docs >= {linededup.MIN_DOCS}").collect():
+        keys[r["k2"] % index.shards].append(r["k1"])
+    for shard, own in keys.items():
+        assert filters[shard].contains(np.array(own, np.int64)).all()
+    assert sum(int((f.table > 0).sum()) for f in filters.values()) == sum(map(len, keys.values()))
+
+
+def test_insertions_and_deletions_are_reversible(spark, docs, rows):
+    whole = linededup.LineIndex(spark, shard_keys=2)
+    whole.insert(docs)
+    first, second = docs.where("doc_id % 2 = 0 OR doc_id IS NULL"), docs.where("doc_id % 2 = 1")
+    index = linededup.LineIndex(spark, shard_keys=2)
+    index.insert(first)
+    early = state(index)
+    assert deduped(linededup.dedup(first, index)) == plain_lines([r for r in rows if r[0] is None or r[0] % 2 == 0])
+    index.insert(second)
+    assert state(index) == state(whole)
+    holds_exactly(index)
+    assert deduped(linededup.dedup(docs, index)) == plain_lines(rows)
+    index.insert(second.limit(5))  # what is there already changes nothing
+    assert state(index) == state(whole)
+    index.delete(second.select("doc_id"))
+    assert state(index) == early
+    holds_exactly(index)
+    assert deduped(linededup.dedup(first, index)) == plain_lines([r for r in rows if r[0] is None or r[0] % 2 == 0])
+    index.delete(spark.createDataFrame([(None,), (999,)], "doc_id bigint"))
+    index.insert(second)
+    assert deduped(linededup.dedup(docs.where("doc_id IS NOT NULL"), index)) == plain_lines([r for r in rows if r[0] is not None])
+
+
+def test_cuckoo_filter():
+    rng = np.random.default_rng(5)
+    keys = rng.integers(-(2**63), 2**63 - 1, 3000, np.int64)
+    held = linededup.Cuckoo.empty(3000)
+    assert held.insert(keys)
+    others = rng.integers(-(2**63), 2**63 - 1, 20000, np.int64)
+    assert held.contains(keys).all() and held.contains(others).mean() < 0.001
+    held.delete(keys[:2000])
+    assert held.contains(keys[2000:]).all() and held.contains(keys[:2000]).mean() < 0.01
+    assert int((held.table > 0).sum()) == 1000
+    assert linededup.Cuckoo.load(held.dump()).contains(keys[2000:]).all()
+    assert not linededup.Cuckoo.empty(4).insert(keys)
