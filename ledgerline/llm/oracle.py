@@ -132,6 +132,32 @@ FROM placed p JOIN subroots s ON s.source IS NOT DISTINCT FROM p.source JOIN (SE
 JOIN high f ON f.row_no = p.row_no AND f.n = 1
 """
 
+OP12 = r"""
+WITH fold AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS up, 'abcdefghijklmnopqrstuvwxyz' AS low),
+docs AS (
+  SELECT row_number() OVER () AS doc_no, doc_id, regexp_extract_all(translate(coalesce(text, ''), up, low), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents, fold
+),
+items AS (
+  SELECT row_number() OVER () AS item_no, item_id, regexp_extract_all(translate(coalesce(text, ''), up, low), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM benchmark, fold
+),
+total AS (SELECT count(*) AS n_docs, sum(len(terms))::BIGINT AS n_terms FROM docs WHERE len(terms) > 0),
+sized AS (SELECT doc_no, doc_id, 25 + (75 * len(terms) * n_docs) // n_terms AS m, terms FROM docs, total WHERE len(terms) > 0),
+postings AS (SELECT doc_no, m, term, count(*) AS tf FROM (SELECT doc_no, m, unnest(terms) AS term FROM sized) GROUP BY doc_no, m, term),
+weights AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM postings, total GROUP BY term, n_docs),
+wanted AS (SELECT item_no, term, count(*) AS times FROM (SELECT item_no, unnest(terms) AS term FROM items) GROUP BY item_no, term),
+scores AS (
+  SELECT item_no, doc_no, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM wanted JOIN weights USING (term) JOIN postings USING (term) GROUP BY item_no, doc_no
+),
+ranked AS (
+  SELECT item_no, doc_id, score, row_number() OVER (PARTITION BY item_no ORDER BY score DESC, doc_id NULLS FIRST) AS place
+  FROM scores JOIN docs USING (doc_no) WHERE score > 0
+)
+SELECT item_id, place::INTEGER AS rank, doc_id, score FROM ranked JOIN items USING (item_no) WHERE place <= 10
+"""
+
 OP13 = r"""
 WITH docs AS (SELECT row_number() OVER () AS row_no, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
 keyed AS (
@@ -148,4 +174,4 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE
 FROM judged GROUP BY row_no
 """
 
-ORACLE = {"op1_decontaminate": OP1, "op2_mix_sources": OP2, "op10_substring_dedup": OP10, "op11_merkle_manifest": OP11, "op13_line_dedup": OP13}
+ORACLE = {"op1_decontaminate": OP1, "op2_mix_sources": OP2, "op10_substring_dedup": OP10, "op11_merkle_manifest": OP11, "op12_ranked_search": OP12, "op13_line_dedup": OP13}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm import ctw, decontaminate, factorization, html, langid, linededup, merkle, mixing, outliers, sharding, simhash, substring
+from ledgerline.llm import ctw, decontaminate, factorization, html, langid, lexical, linededup, merkle, mixing, outliers, sharding, simhash, substring
 from ledgerline.llm.common import crc_of_id, small_batches
 from ledgerline.llm.oracle import ORACLE
 
@@ -97,6 +97,10 @@ def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.verify(_table(spark, folder, "documents").select(*merkle.COLUMNS))
 
 
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.search(_table(spark, folder, "documents").select("doc_id", "text"), _table(spark, folder, "benchmark"))
+
+
 def op13_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = linededup.dedup(_table(spark, folder, "documents").select("doc_id", "text"))
     at = F.col(found.columns[-1])
@@ -117,6 +121,7 @@ QUERIES = {
         op9_quality_rules,
         op10_substring_dedup,
         op11_merkle_manifest,
+        op12_ranked_search,
         op13_line_dedup,
     )
 }

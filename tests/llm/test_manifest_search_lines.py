@@ -10,7 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from ledgerline.llm import linededup, merkle
+from ledgerline.llm import lexical, linededup, merkle
 
 SCHEMA = "doc_id bigint, source string, lang string, n_chars bigint, text string, tree string, digest string, n string"
 
@@ -211,3 +211,92 @@ def test_cuckoo_filter():
     assert int((held.table > 0).sum()) == 1000
     assert linededup.Cuckoo.load(held.dump()).contains(keys[2000:]).all()
     assert not linededup.Cuckoo.empty(4).insert(keys)
+
+
+# --- ranked search ---------------------------------------------------------------------------------------------------
+
+
+def terms(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (text or "").translate(UPPER))
+
+
+def plain_search(rows, items):
+    cut = [(row[0], Counter(terms(row[4]))) for row in rows if terms(row[4])]
+    total = sum(sum(c.values()) for _, c in cut)
+    df = Counter(t for _, c in cut for t in c)
+    out = []
+    for item, text in items:
+        scored = []
+        for doc, own in cut:
+            m = 25 + 75 * sum(own.values()) * len(cut) // total
+            score = 0
+            for t in terms(text):
+                if t in own:
+                    score += math.floor(1000 * math.log((2 * len(cut) + 2) / (2 * df[t] + 1))) * (10**9 * own[t] // (1000 * own[t] + 8 * m))
+            if score:
+                scored.append((-score, doc is not None, doc or 0, doc))
+        out += [(item, rank + 1, x[3], -x[0]) for rank, x in enumerate(sorted(scored)[:10])]
+    return Counter(out)
+
+
+@pytest.fixture(scope="module")
+def items(rows):
+    rng = random.Random(2)
+    found = [(i, " ".join(rng.choices([f"w{i}" for i in range(70)], k=rng.randint(1, 25)))) for i in range(12)]
+    return found + [(20, rows[0][4].upper()), (21, None), (22, ""), (23, "?!"), (24, "unheard"), (25, "ß Größe"), (1, "w1 w2 w1"), (1, "w1 w2 w1"), (None, "w3")]
+
+
+def test_ranked_search(spark, docs, rows, items, empty):
+    table = spark.createDataFrame([(*x, "c") for x in items], "item_id bigint, text string, doc_id string")
+    found = lexical.search(docs, table)
+    assert found.columns == ["item_id", "rank", "doc_id", "score"]
+    expected = plain_search(rows, items)
+    assert Counter(map(tuple, found.collect())) == expected
+    assert lexical.search(empty, table).collect() == []
+    none = lexical.search(docs, table.limit(0))
+    assert none.collect() == [] and none.schema == found.schema
+
+
+def test_copies_share_a_score_and_are_ranked_by_id(spark):
+    rows = [(i, None, None, 0, "alpha beta", None, None, None) for i in reversed(range(300))] + [(1000 + i, None, None, 0, f"other {i}", None, None, None) for i in range(700)]
+    table = spark.createDataFrame([("x", "beta")], "item_id string, text string")
+    found = lexical.search(spark.createDataFrame(rows, SCHEMA).repartition(5), table)
+    assert [(r["rank"], r["doc_id"]) for r in found.orderBy("rank").collect()] == [(i + 1, i) for i in range(10)]
+    assert Counter(map(tuple, found.collect())) == plain_search(rows, [("x", "beta")])
+
+
+def test_text_ids(spark):
+    rows = spark.createDataFrame([("b", "alpha beta"), ("a", "alpha beta"), (None, "gamma"), ("c", "delta")], "doc_id string, text string")
+    found = lexical.search(rows, spark.createDataFrame([("q", "beta")], "item_id string, text string"))
+    assert [(r["rank"], r["doc_id"]) for r in found.orderBy("rank").collect()] == [(1, "a"), (2, "b")]
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_bounds_settle_before_the_lists_end(monkeypatch, seed):
+    """The documents that a block names hold the true best with their true scores; all others are below the bar."""
+    monkeypatch.setattr(lexical, "FIRST_STEP", 2)
+    rng = np.random.default_rng(seed)
+    n, n_terms = 400, 12
+    counts = rng.integers(1, n_terms, n)
+    picked = [np.sort(rng.choice(n_terms, c, replace=False)) for c in counts]
+    freqs = rng.integers(1, 6, counts.sum())
+    weights = rng.integers(0, 9000, n_terms)
+    sizes = rng.integers(5, 50, n)
+    block = lexical.Block(list(range(n)), sizes, counts, np.concatenate(picked), freqs, weights, n, int(sizes.sum()))
+    item = [(t, int(rng.integers(1, 3))) for t in range(0, n_terms, 2)]
+    scores, at = Counter(), 0
+    for doc in range(n):
+        m = 25 + 75 * int(sizes[doc]) * n // int(sizes.sum())
+        for t in picked[doc]:
+            scores[doc] += dict(item).get(int(t), 0) * int(weights[t]) * (10**9 * int(freqs[at]) // (1000 * int(freqs[at]) + 8 * m))
+            at += 1
+    best = sorted(scores.values(), reverse=True)[:10]
+    found = block.search(item, [])
+    assert all(scores[d] == s for s, d in found)
+    assert {d for _, d in found} == {d for d, s in scores.items() if s >= best[-1] and s > 0}
+    assert block.search(item, [best[0] + 1] * 10) == []
+
+
+def test_large_products_stay_exact():
+    sizes = np.array([10, 10**9], np.int64)
+    assert lexical.length_part(sizes, 10**10, 10**13).tolist() == [25 + 75 * int(n) * 10**10 // 10**13 for n in sizes]
