@@ -37,15 +37,19 @@ def priority(key: Column, ordered: list[str]) -> Column:
     return place
 
 
-def round_off(fields: DataFrame) -> DataFrame:
-    """Reported rounding adjustment per document: exact names before normalised ones, header before additional."""
+def round_off_rank() -> Column:
+    """Order among the rounding adjustments of a document, null for other fields: header before additional, then exact
+    names in order, then normalised ones by place; one integer."""
     exact = priority(F.col("key"), ROUND_OFF_KEYS)
-    rank = F.struct("source", exact.isNull().alias("loose"), F.coalesce(exact, F.col("pos")).alias("place"))
-    return (
-        fields.where(F.col("key_norm").isin(ROUND_OFF_KEYS) & F.col("num").isNotNull())
-        .groupBy("doc_id")
-        .agg(F.min_by("num", rank).alias("round_off"))
-    )
+    place = F.coalesce(exact, F.col("pos")).cast("bigint")
+    rank = (F.col("source").cast("bigint") * F.lit(2) + exact.isNull().cast("bigint")) * F.lit(1 << 32) + place
+    return F.when(F.col("key_norm").isin(ROUND_OFF_KEYS) & F.col("num").isNotNull(), rank)
+
+
+def round_off(fields: DataFrame) -> DataFrame:
+    """Reported rounding adjustment per document; combined map-side."""
+    ranked = fields.withColumn("_rank", round_off_rank()).where(F.col("_rank").isNotNull())
+    return ranked.groupBy("doc_id").agg(F.min_by("num", "_rank").alias("round_off"))
 
 
 def lookup_extra(fields: DataFrame, metrics: dict[str, list[str]]) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ledgerline.functions.checks import Rule, emit_checks, finish, missing
 from ledgerline.functions.numeric import DEFAULT_TOLERANCE, amount, exact_sum, normalize_rates, round_to
 from ledgerline.operators.discounts import resolve_line_discount
-from ledgerline.operators.fields import ROUND_OFF_KEYS, round_off
-from ledgerline.operators.taxes import tax_components
+from ledgerline.operators import taxes as tax
+from ledgerline.operators.fields import ROUND_OFF_KEYS, round_off_rank
 
 TYPE = "invoice"
 
@@ -37,25 +37,39 @@ def _or_zero(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit(0.0))
 
 
-def line_stats(lines: DataFrame, tolerance: float = DEFAULT_TOLERANCE, from_text: bool = True) -> DataFrame:
-    """Per-document sums over the lines, combined map-side: one narrow row per document crosses the network.
-
-    ``line_sum`` reads ``total_price`` alone, and is null unless every line has one.
-    """
+def _line_facts(lines: DataFrame, tolerance: float, from_text: bool) -> tuple[DataFrame, list[Column]]:
+    """The lines with their discount, and what a document's row needs of each of them."""
     inclusive = F.col("is_tax_inclusive") if "is_tax_inclusive" in lines.columns else F.lit(False)
-    df = resolve_line_discount(lines, tolerance, from_text).withColumn("_own_total", amount(lines, "total_price"))
-    return (
-        df.groupBy("doc_id")
-        .agg(
-            F.count(F.lit(1)).alias("n_lines"),
-            F.count("_own_total").alias("n_totals"),
-            exact_sum(F.col("_own_total")).alias("_sum"),
-            F.coalesce(F.bool_or(inclusive), F.lit(False)).alias("any_inclusive"),
-            F.bool_or("has_discount").alias("any_discount"),
-        )
-        .withColumn("line_sum", F.when(F.col("n_lines") == F.col("n_totals"), round_to(F.col("_sum"), 4)))
-        .drop("_sum")
-    )
+    df = resolve_line_discount(lines, tolerance, from_text)
+    return df, [amount(lines, "total_price").alias("own_total"), inclusive.cast("boolean").alias("is_inclusive"), F.col("has_discount")]
+
+
+def _line_aggregates() -> list[Column]:
+    return [
+        F.count_if(F.col("kind") == 1).alias("n_lines"),
+        F.count("own_total").alias("n_totals"),
+        exact_sum(F.col("own_total")).alias("total_sum"),
+        F.bool_or("is_inclusive").alias("any_inclusive"),
+        F.bool_or("has_discount").alias("any_discount"),
+    ]
+
+
+def _with_line_sum(df: DataFrame) -> DataFrame:
+    """``line_sum`` reads ``total_price`` alone, and is null unless every line has one."""
+    no = F.lit(False)
+    return df.withColumns(
+        {
+            "line_sum": F.when((F.col("n_lines") > 0) & (F.col("n_lines") == F.col("n_totals")), round_to(F.col("total_sum"), 4)),
+            "any_inclusive": F.coalesce("any_inclusive", no),
+            "any_discount": F.coalesce("any_discount", no),
+        }
+    ).drop("total_sum")
+
+
+def line_stats(lines: DataFrame, tolerance: float = DEFAULT_TOLERANCE, from_text: bool = True) -> DataFrame:
+    """Per-document sums over the lines, combined map-side: one narrow row per document crosses the network."""
+    df, facts = _line_facts(lines, tolerance, from_text)
+    return _with_line_sum(df.select("doc_id", F.lit(1).alias("kind"), *facts).groupBy("doc_id").agg(*_line_aggregates()))
 
 
 def missing_line_totals(lines: DataFrame) -> DataFrame:
@@ -76,17 +90,18 @@ def _first_present(df: DataFrame, *names: str) -> Column:
     return chosen
 
 
-def invoice_inputs(
-    headers: DataFrame, lines: DataFrame, extra: DataFrame | None = None, tolerance: float = DEFAULT_TOLERANCE,
-    from_text: bool = True,
-) -> DataFrame:
-    """One row per invoice with every amount the rules read, the line sums and the pricing model."""
+HEADER_AMOUNTS = ["subtotal", "tax_amount", "tax_rate", "discount_amount", "shipping_amount", "total_amount", "round_off_amount"]
+
+
+def _header_facts(headers: DataFrame) -> DataFrame:
     text = F.col("pricing_type") if "pricing_type" in headers.columns else F.lit(None).cast("string")
     direct_round_off = F.coalesce(*[amount(headers, key) for key in ROUND_OFF_KEYS])
     if "tax_rate" in headers.columns:
         headers = normalize_rates(headers, ["tax_rate"])
-    inputs = headers.select(
+    word = F.lower(F.trim(text))
+    return headers.select(
         "doc_id",
+        F.lit(0).alias("kind"),
         _first_present(headers, "subtotal", "taxable_amount", "taxable_value").alias("subtotal"),
         _first_present(headers, "tax_amount", "tax").alias("tax_amount"),
         amount(headers, "tax_rate").alias("tax_rate"),
@@ -94,34 +109,69 @@ def invoice_inputs(
         amount(headers, "shipping_amount").alias("shipping_amount"),
         _first_present(headers, "total_amount", "total").alias("total_amount"),
         direct_round_off.alias("round_off_amount"),
-        F.lower(F.trim(text)).alias("pricing_type"),
+        F.when(word.isin(INCLUSIVE_WORDS), True).when(word.isin(EXCLUSIVE_WORDS), False).alias("stated_inclusive"),
     )
-    inputs = inputs.join(line_stats(lines, tolerance, from_text), "doc_id", "left")
+
+
+def _field_facts(extra: DataFrame) -> DataFrame:
+    """What the rules read of a field: a rounding adjustment, a component, or a phrase; other fields stay behind."""
+    phrase = (F.col("source") == 1) & F.lower(F.concat_ws(" ~ ", "key", "text")).rlike(INCLUSIVE_PHRASES)
+    facts = {"off_rank": round_off_rank(), "is_phrase": phrase, **tax.field_facts()}
+    # Only keys decide here: a condition on parsed amounts would be evaluated once more for every use.
+    wanted = extra.where(F.col("key_norm").isin(ROUND_OFF_KEYS + tax.FIELD_KEYS) | phrase)
+    return wanted.withColumns(facts).select("doc_id", F.lit(2).alias("kind"), "num", "rate", *facts)
+
+
+def invoice_inputs(
+    headers: DataFrame, lines: DataFrame | None, extra: DataFrame | None = None, tolerance: float = DEFAULT_TOLERANCE,
+    from_text: bool = True, components: DataFrame | None = None, taxes: bool = False,
+) -> DataFrame:
+    """One row per invoice with every amount the rules read, the line sums and the pricing model; doc_id is a header's key.
+
+    Headers, fields, structured components and lines are put under one another and meet in one aggregation by document, which
+    combines map-side and needs the only exchange. With ``taxes`` the row also has the components (``parts``): then the
+    lines come in after the rates are known, see ``taxes.meet_lines``.
+    """
+    late = taxes and not (extra is None and components is None)
+    rows = _header_facts(headers)
+    known = [F.max(c).alias(c) for c in HEADER_AMOUNTS] + [F.bool_or("stated_inclusive").alias("stated_inclusive"), F.bool_or(F.col("kind") == 0).alias("_is_invoice")]
     if extra is not None:
-        found = round_off(extra).withColumnRenamed("round_off", "_round_off")
-        phrase = (
-            extra.where("source = 1")
-            .groupBy("doc_id")
-            .agg(F.bool_or(F.lower(F.concat_ws(" ~ ", "key", "text")).rlike(INCLUSIVE_PHRASES)).alias("any_phrase"))
-        )
-        inputs = (
-            inputs.join(found, "doc_id", "left")
-            .join(phrase, "doc_id", "left")
-            .withColumn("round_off_amount", F.coalesce("round_off_amount", "_round_off"))
-            .drop("_round_off")
-        )
+        rows = rows.unionByName(_field_facts(extra), allowMissingColumns=True)
+        known += [F.min_by("num", "off_rank").alias("_field_off"), F.bool_or("is_phrase").alias("any_phrase")]
+        known += tax.field_aggregates() if late else []
+    if late and components is not None:
+        entry = F.struct("pos", "name", "rate", "amount")
+        rows = rows.unionByName(components.select("doc_id", F.lit(3).alias("kind"), entry.alias("entry")), allowMissingColumns=True)
+        known += [F.collect_list("entry").alias("entries")]
+    if lines is not None:
+        df, facts = _line_facts(lines, tolerance, from_text)
+        if not late:
+            rows = rows.unionByName(df.select("doc_id", F.lit(1).alias("kind"), *facts), allowMissingColumns=True)
+            known += _line_aggregates()
+    docs = rows.groupBy("doc_id").agg(*known).where("_is_invoice").drop("_is_invoice")
+    if late:
+        own = tax.field_parts() if extra is not None else F.array().cast(tax.PARTS)
+        docs = docs.withColumn("parts", tax.merged_parts(own, tax.structured_parts()) if components is not None else own)
+        docs = docs.drop(*[c for c in docs.columns if c.startswith(("_stated_", "_percent_", "_amount_")) or c == "entries"])
+        docs = tax.with_readings(tax.gst_rates(docs, tolerance), tolerance)
+        if lines is not None:
+            docs = tax.meet_lines(docs, df.select("doc_id", *[c for c in ("line_no",) if c in df.columns], *facts))
+    zero, no, null = F.lit(0).cast("bigint"), F.lit(False), F.lit(None)
+    if lines is None:
+        docs = docs.withColumns({"n_lines": zero, "n_totals": zero, "total_sum": null.cast("double"), "any_inclusive": no, "any_discount": no})
+        docs = docs.withColumn("line_taxes", F.array().cast("array<struct<no:int,tax:decimal(38,6),whole:boolean>>")) if late else docs
+    docs = _with_line_sum(docs.withColumns({"n_lines": F.coalesce("n_lines", zero), "n_totals": F.coalesce("n_totals", zero)}))
+    if extra is not None:
+        docs = docs.withColumns({"round_off_amount": F.coalesce("round_off_amount", "_field_off"), "any_phrase": F.coalesce("any_phrase", no)}).drop("_field_off")
     else:
-        inputs = inputs.withColumn("any_phrase", F.lit(False))
-    inputs = inputs.withColumns(
-        {
-            "n_lines": F.coalesce("n_lines", F.lit(0)),
-            "n_totals": F.coalesce("n_totals", F.lit(0)),
-            "any_inclusive": F.coalesce("any_inclusive", F.lit(False)),
-            "any_discount": F.coalesce("any_discount", F.lit(False)),
-            "any_phrase": F.coalesce("any_phrase", F.lit(False)),
-        }
-    )
-    return inputs.withColumn("pricing_model", pricing_model(tolerance))
+        docs = docs.withColumn("any_phrase", no)
+    if late:
+        docs = tax.resolve_parts(docs, tolerance)
+    elif taxes:
+        docs = docs.withColumns(
+            {"n_components": F.lit(0), "component_sum": null.cast("double"), "component_formula": null.cast("string"), "any_amountless": no}
+        )
+    return docs.withColumn("pricing_model", pricing_model(tolerance))
 
 
 def pricing_model(tolerance: float = DEFAULT_TOLERANCE) -> Column:
@@ -132,8 +182,8 @@ def pricing_model(tolerance: float = DEFAULT_TOLERANCE) -> Column:
     )
     meets_subtotal = F.coalesce(F.abs(F.col("line_sum") - F.col("subtotal")) <= tolerance, F.lit(False))
     return (
-        F.when(F.col("pricing_type").isin(INCLUSIVE_WORDS), INCLUSIVE)
-        .when(F.col("pricing_type").isin(EXCLUSIVE_WORDS), EXCLUSIVE)
+        F.when(F.col("stated_inclusive"), INCLUSIVE)
+        .when(~F.col("stated_inclusive"), EXCLUSIVE)
         .when(F.col("any_inclusive") | F.col("any_phrase"), INCLUSIVE)
         .when((F.col("tax_amount") > 0) & reaches_total & ~meets_subtotal, INCLUSIVE)
         .otherwise(EXCLUSIVE)
@@ -194,11 +244,10 @@ def invoice_line_checks(
     return finish(df, tolerance)
 
 
-def no_lines_checks(inputs: DataFrame, tolerance: float = DEFAULT_TOLERANCE) -> DataFrame:
+def no_lines_rule(tolerance: float) -> Rule:
     """The single not-applicable line check of an invoice without lines."""
     null = F.lit(None).cast("double")
-    rule = Rule(1, "invoice_line_item_math", LINE_PLAIN, null, null, F.lit("line_items"))
-    return emit_checks(inputs.where("n_lines = 0"), TYPE, [rule], tolerance)
+    return Rule(1, "invoice_line_item_math", LINE_PLAIN, null, null, F.lit("line_items"), emit=F.col("n_lines") == 0)
 
 
 def _prepared(inputs: DataFrame, tolerance: float) -> DataFrame:
@@ -328,41 +377,9 @@ def tax_rule(tolerance: float) -> Rule:
     )
 
 
-def with_tax_components(
-    inputs: DataFrame, lines: DataFrame, extra: DataFrame | None, components: DataFrame | None = None,
-    tolerance: float = DEFAULT_TOLERANCE,
-) -> DataFrame:
-    """Attach the per-document component sum, names and flags that the tax rule reads."""
-    if extra is None and components is None:
-        return inputs.withColumns(
-            {
-                "n_components": F.lit(0),
-                "component_sum": F.lit(None).cast("double"),
-                "component_formula": F.lit(None).cast("string"),
-                "any_amountless": F.lit(False),
-            }
-        )
-    parts = tax_components(inputs, lines, extra, components, tolerance)
-    per_doc = parts.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_components"),
-        round_to(F.coalesce(exact_sum(F.col("calculated_amount")), F.lit(0.0)), 4).alias("component_sum"),
-        F.concat(
-            F.array_join(
-                F.transform(
-                    F.array_sort(F.collect_list(F.struct("component_order", "name"))), lambda c: F.concat(c["name"], F.lit("_amount"))
-                ),
-                " + ",
-            ),
-            F.lit(" == tax_amount"),
-        ).alias("component_formula"),
-        F.bool_or(F.col("amount").isNull()).alias("any_amountless"),
-    )
-    return inputs.join(per_doc, "doc_id", "left")
-
-
 def invoice_header_checks(inputs: DataFrame, tolerance: float = DEFAULT_TOLERANCE, only: list[int] | None = None) -> DataFrame:
-    """Subtotal (2), total (3) and tax (4) checks of each invoice in one pass over its input row."""
-    rules = {2: subtotal_rule, 3: total_rule, 4: tax_rule}
+    """No lines (1), subtotal (2), total (3) and tax (4) checks of each invoice in one pass over its input row."""
+    rules = {1: no_lines_rule, 2: subtotal_rule, 3: total_rule, 4: tax_rule}
     wanted = [rule(tolerance) for order, rule in rules.items() if only is None or order in only]
     return emit_checks(_prepared(inputs, tolerance), TYPE, wanted, tolerance)
 
@@ -371,11 +388,6 @@ def invoice_checks(
     headers: DataFrame, lines: DataFrame, extra: DataFrame | None = None, components: DataFrame | None = None,
     tolerance: float = DEFAULT_TOLERANCE, from_text: bool = True,
 ) -> DataFrame:
-    """All invoice checks: one per line, then subtotal, total and tax of the document."""
-    inputs = invoice_inputs(headers, lines, extra, tolerance, from_text)
-    inputs = with_tax_components(inputs, lines, extra, components, tolerance)
-    return (
-        invoice_line_checks(lines, tolerance, from_text)
-        .unionByName(no_lines_checks(inputs, tolerance))
-        .unionByName(invoice_header_checks(inputs, tolerance))
-    )
+    """All invoice checks: one per line, then those of the document."""
+    inputs = invoice_inputs(headers, lines, extra, tolerance, from_text, components, taxes=True)
+    return invoice_line_checks(lines, tolerance, from_text).unionByName(invoice_header_checks(inputs, tolerance))

@@ -45,24 +45,20 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.status_counts(_invoice_header_checks(spark, sf_dir, [2], with_extra=False))
 
 
-def _inputs(spark: SparkSession, sf_dir: str, with_extra: bool = True) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+def _inputs(spark: SparkSession, sf_dir: str, with_extra: bool = True, taxes: bool = False) -> DataFrame:
     headers = fixture(spark, sf_dir, "fx_invoice_headers")
     lines = invoice_lines(spark, sf_dir, numbered=False)
     extra = fields.with_field_values(fixture(spark, sf_dir, "fx_invoice_extra")) if with_extra else None
-    return invoice.invoice_inputs(headers, lines, extra), lines, extra
+    return invoice.invoice_inputs(headers, lines, extra, taxes=taxes)
 
 
 def _invoice_header_checks(spark: SparkSession, sf_dir: str, only: list[int], with_extra: bool = True) -> DataFrame:
-    inputs, lines, extra = _inputs(spark, sf_dir, with_extra)
-    if 4 in only:
-        inputs = invoice.with_tax_components(inputs, lines, extra)
-    return invoice.invoice_header_checks(inputs, only=only)
+    return invoice.invoice_header_checks(_inputs(spark, sf_dir, with_extra, taxes=4 in only), only=only)
 
 
 @query
 def invoice_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inputs, _, _ = _inputs(spark, sf_dir)
-    return inputs.select(
+    return _inputs(spark, sf_dir).select(
         "doc_id", "subtotal", "tax_amount", "tax_rate", "discount_amount", "shipping_amount", "total_amount",
         "round_off_amount", "n_lines", "n_totals", "line_sum", "any_discount",
     )
@@ -70,16 +66,13 @@ def invoice_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def pricing_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inputs, _, _ = _inputs(spark, sf_dir)
-    return inputs.select("doc_id", "pricing_model")
+    return _inputs(spark, sf_dir).select("doc_id", "pricing_model")
 
 
 @query
 def invoice_line_math(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = invoice_lines(spark, sf_dir)
-    headers = fixture(spark, sf_dir, "fx_invoice_headers").select("doc_id")
-    bare = headers.join(lines.select("doc_id"), "doc_id", "left_anti").withColumn("n_lines", F.lit(0))
-    return shown(invoice.invoice_line_checks(lines).unionByName(invoice.no_lines_checks(bare)))
+    without = invoice.invoice_header_checks(_inputs(spark, sf_dir, with_extra=False), only=[1])
+    return shown(invoice.invoice_line_checks(invoice_lines(spark, sf_dir)).unionByName(without))
 
 
 @query
@@ -104,16 +97,16 @@ def invoice_tax(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def tax_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components with their rates; the lines play no part."""
+    headers = fixture(spark, sf_dir, "fx_invoice_headers")
     extra = fields.with_field_values(fixture(spark, sf_dir, "fx_invoice_extra"))
-    parts = taxes.tax_component_rows(extra)
-    headers = fixture(spark, sf_dir, "fx_invoice_headers").select("doc_id", "subtotal", "tax_rate")
-    return taxes.gst_rates(parts.join(headers, "doc_id")).select("doc_id", "component_order", "name", "rate", "amount")
+    docs = invoice.invoice_inputs(headers, None, extra, taxes=True)
+    return taxes.part_rows(docs, "component_order", "name", "rate", "amount")
 
 
 @query
 def tax_component_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inputs, lines, extra = _inputs(spark, sf_dir)
-    return taxes.tax_components(inputs, lines, extra).select("doc_id", "name", "rate", "amount", "calculated_amount")
+    return taxes.part_rows(_inputs(spark, sf_dir, taxes=True), "name", "rate", "amount", "calculated_amount")
 
 
 @query
