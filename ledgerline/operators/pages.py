@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ledgerline.functions.numeric import strip
 from ledgerline.operators.lookups import contains_any
 
-# Header phrases that give a document's type away, and how much of the text is searched.
+# Header phrases that give a document's type away.
 PHRASES = {
     "balance_sheet": [
         "BALANCE SHEET",
@@ -57,17 +57,9 @@ def route_pages(pages: DataFrame) -> DataFrame:
     )
     number = F.col("page_number")
     warning = (
-        F.when(F.col("route") == "scanned", F.format_string("Page %d contained no digital text; extracted via OCR.", number))
-        .when(
-            F.col("route") == "rasterized",
-            F.format_string(
-                "Page %d contained no digital text or embedded images; rasterized page image for OCR/Vision extraction.", number
-            ),
-        )
-        .when(
-            F.col("route") == "blank",
-            F.format_string("Page %d contains no extractable digital text, images, or renderable content.", number),
-        )
+        F.when(F.col("route") == "scanned", F.format_string("Page %d: no text, read from its image.", number))
+        .when(F.col("route") == "rasterized", F.format_string("Page %d: neither text nor image, rendered for recognition.", number))
+        .when(F.col("route") == "blank", F.format_string("Page %d: nothing to read.", number))
     )
     return pages.withColumn("route", route).withColumns(
         {"is_scanned": F.col("route").isin("scanned", "rasterized"), "warning": warning}
@@ -99,6 +91,18 @@ def extraction_status(pages: DataFrame, errors: DataFrame | None = None) -> Data
     )
 
 
+def page_messages(pages: DataFrame) -> DataFrame:
+    """Errors and warnings of the pages as rows (doc_id, severity, position, message), the page being the position; null where
+    a page has none."""
+    routed = route_pages(pages)
+    failed = F.col("ocr_error") if "ocr_error" in pages.columns else F.lit(None).cast("string")
+    told = F.array(
+        F.struct(F.lit("error").alias("severity"), F.when(failed.isNotNull(), F.format_string("Page %d: %s", F.col("page_number"), failed)).alias("message")),
+        F.struct(F.lit("warning").alias("severity"), F.col("warning").alias("message")),
+    )
+    return routed.select("doc_id", F.col("page_number").cast("bigint").alias("position"), F.inline(told))
+
+
 def _assemble(pages: DataFrame, piece: Column, between: str, alias: str) -> DataFrame:
     """Join the pieces of a document in page order. A document's pages are bounded by the page limit of triage."""
     return (

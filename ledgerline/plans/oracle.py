@@ -662,9 +662,9 @@ routed AS (SELECT *, CASE WHEN COALESCE({strip('text')}, '') <> '' THEN 'digital
            FROM fx_pages)"""
 sql("page_route", "fx_pages")(
     """SELECT doc_id, page_number, route, route IN ('scanned', 'rasterized') AS is_scanned,
-       CASE route WHEN 'scanned' THEN 'Page ' || page_number || ' contained no digital text; extracted via OCR.'
-                  WHEN 'rasterized' THEN 'Page ' || page_number || ' contained no digital text or embedded images; rasterized page image for OCR/Vision extraction.'
-                  WHEN 'blank' THEN 'Page ' || page_number || ' contains no extractable digital text, images, or renderable content.' END AS warning FROM routed""",
+       CASE route WHEN 'scanned' THEN 'Page ' || page_number || ': no text, read from its image.'
+                  WHEN 'rasterized' THEN 'Page ' || page_number || ': neither text nor image, rendered for recognition.'
+                  WHEN 'blank' THEN 'Page ' || page_number || ': nothing to read.' END AS warning FROM routed""",
     ROUTED.strip(),
 )
 TEXT_STATUS = f"""
@@ -727,23 +727,23 @@ counted AS (SELECT *, COALESCE(list_max(list_transform(list_filter(regexp_extrac
                                 lambda x: contains(x, '/Type') AND contains(x, '/Pages') AND contains(x, '/Count')),
                                 lambda x: TRY_CAST(regexp_extract(x, '/Count\\s+(\\d+)', 1) AS INTEGER))),
                             NULLIF(len(regexp_extract_all(t, '/Type\\s*/Page\\b')), 0)) AS pages FROM texts),
-why AS (SELECT *, CASE WHEN length = 0 THEN 'File is empty (0 bytes).'
-             WHEN file_type IS NULL THEN 'Unsupported file type: ''' || CASE WHEN extension = '' THEN 'unknown' ELSE extension END || '''. Supported formats are: PDF, PNG, JPG/JPEG.'
-             WHEN file_type = 'pdf' AND length < 32 THEN 'Corrupted or unreadable PDF: File is too small to be a valid PDF.'
-             WHEN file_type = 'pdf' AND t = '' THEN 'Corrupted or unreadable PDF: Missing or invalid %PDF- header.'
-             WHEN file_type = 'pdf' AND pages IS NULL THEN 'Corrupted or unreadable PDF: Could not locate any valid page objects in the PDF.'
-             WHEN file_type = 'pdf' AND pages <= 0 THEN 'PDF contains no readable pages.'
-             WHEN file_type = 'pdf' AND pages > 3 THEN 'PDF exceeds maximum allowed page count of 3 pages (document has ' || pages || ' pages).'
-             WHEN file_type = 'png' AND NOT starts_with(h, '89504E470D0A1A0A') THEN 'Corrupted or unreadable image: Invalid PNG signature.'
-             WHEN file_type = 'png' AND NOT ends_with(h, '49454E44') THEN 'Corrupted or unreadable image: Corrupted PNG: Missing terminating IEND chunk.'
-             WHEN file_type = 'jpeg' AND NOT starts_with(h, 'FFD8') THEN 'Corrupted or unreadable image: Invalid JPEG: Missing SOI (Start of Image) marker.'
-             WHEN file_type = 'jpeg' AND NOT ends_with(h, 'FFD9') THEN 'Corrupted or unreadable image: Corrupted JPEG: Missing EOI (End of Image) marker.' END AS error FROM counted),
+why AS (SELECT *, CASE WHEN length = 0 THEN 'The file is empty.'
+             WHEN file_type IS NULL THEN 'Files of type ' || CASE WHEN extension = '' THEN 'unknown' ELSE extension END || ' are not accepted, only PDF, PNG and JPEG.'
+             WHEN file_type = 'pdf' AND length < 32 THEN 'Unreadable PDF: shorter than any PDF'
+             WHEN file_type = 'pdf' AND t = '' THEN 'Unreadable PDF: no PDF header'
+             WHEN file_type = 'pdf' AND pages IS NULL THEN 'Unreadable PDF: no page objects'
+             WHEN file_type = 'pdf' AND pages <= 0 THEN 'The PDF has no pages.'
+             WHEN file_type = 'pdf' AND pages > 3 THEN 'The PDF has ' || pages || ' pages, 3 are allowed.'
+             WHEN file_type = 'png' AND NOT starts_with(h, '89504E470D0A1A0A') THEN 'Unreadable image: no PNG signature'
+             WHEN file_type = 'png' AND NOT ends_with(h, '49454E44') THEN 'Unreadable image: no IEND chunk'
+             WHEN file_type = 'jpeg' AND NOT starts_with(h, 'FFD8') THEN 'Unreadable image: no JPEG start marker'
+             WHEN file_type = 'jpeg' AND NOT ends_with(h, 'FFD9') THEN 'Unreadable image: no JPEG end marker' END AS error FROM counted),
 triaged AS (SELECT doc_id, name, extension, file_type, error IS NULL AS is_valid,
                    CASE WHEN file_type = 'pdf' AND t <> '' AND length > 0 THEN CAST(pages AS INTEGER) END AS page_count, COALESCE(error, '') AS error FROM why)"""
 )
 sql("triage_type", "fx_files")("SELECT doc_id, name, extension, file_type FROM facts", FILE_FACTS.strip())
 sql("triage_reject", "fx_files")(
-    "SELECT doc_id, name, file_type, error FROM triaged WHERE error LIKE 'File is empty%' OR error LIKE 'Unsupported%'", TRIAGED
+    "SELECT doc_id, name, file_type, error FROM triaged WHERE error LIKE 'The file is empty%' OR error LIKE 'Files of type%'", TRIAGED
 )
 _SHOWN_FILES = "SELECT doc_id, name, file_type, is_valid, page_count, error FROM triaged"
 sql("triage_pdf", "fx_files")(_SHOWN_FILES + " WHERE file_type = 'pdf'", TRIAGED)
@@ -777,8 +777,8 @@ FROM (SELECT *, lower(COALESCE(error, '')) AS e, COALESCE(TRY_CAST(regexp_extrac
 
 sql("classify_attempts", "fx_attempts")(_attempt_sql(), LADDER)
 sql("resolve_attempts", "fx_attempts")(
-    """SELECT request_id, arg_min(model, rank * 1000 + attempt) FILTER (WHERE ok) AS model, bool_or(ok) AS answered,
-              CAST(min(rank) FILTER (WHERE ok) AS INTEGER) AS model_rank, CAST(arg_min(attempt, rank * 1000 + attempt) FILTER (WHERE ok) AS INTEGER) AS winning_attempt,
+    """SELECT request_id, first(model ORDER BY rank, attempt) FILTER (WHERE ok) AS model, bool_or(ok) AS answered,
+              CAST(min(rank) FILTER (WHERE ok) AS INTEGER) AS model_rank, CAST(first(attempt ORDER BY rank, attempt) FILTER (WHERE ok) AS INTEGER) AS winning_attempt,
               count(*) FILTER (WHERE NOT ok) AS n_failed, count(*) AS n_attempts
        FROM fx_attempts JOIN ladder USING (model) GROUP BY request_id""",
     LADDER,
@@ -786,26 +786,47 @@ sql("resolve_attempts", "fx_attempts")(
 
 # --- status and store ------------------------------------------------------------------------------------------------
 
-_BALANCE_DOCS = f"""b_summary AS (SELECT doc_id, count(*) AS total_checks, count(*) FILTER (WHERE status = 'PASS') AS passed_checks,
-  count(*) FILTER (WHERE status = 'FAILED') AS failed_checks, count(*) FILTER (WHERE status = 'NOT_APPLICABLE') AS not_applicable_checks,
-  failed_checks = 0 AS is_valid FROM ({judged(_BALANCE_ALL)}) t GROUP BY doc_id)"""
-sql("processing_status", "fx_files", "fx_pages", "fx_responses", "fx_balance_headers", "fx_balance_lines")(
-    f"""
-SELECT doc_id, CASE WHEN stage = 'file' THEN 'VALIDATION_FAILED' WHEN stage IN ('text', 'extraction') THEN 'EXTRACTION_FAILED'
-                    WHEN s.is_valid THEN 'COMPLETED' ELSE 'VALIDATION_FAILED' END AS processing_status, stage AS last_stage, t.is_valid AS is_stored
-FROM (SELECT f.doc_id, f.is_valid, CASE WHEN NOT f.is_valid THEN 'file' WHEN COALESCE(x.extraction_status, 'FAILED') = 'FAILED' OR NOT x.has_text THEN 'text'
-             WHEN COALESCE(r.extraction_status, 'FAILED') = 'FAILED' THEN 'extraction' ELSE 'checks' END AS stage
-      FROM triaged f LEFT JOIN ({TEXT_STATUS}) x USING (doc_id) LEFT JOIN results r USING (doc_id)) t LEFT JOIN b_summary s USING (doc_id)""",
-    ",".join([TRIAGED, RESULTS, B_CTES, _BALANCE_DOCS]),
-)
-sql("document_metadata", "fx_pages", "fx_responses", "fx_balance_headers", "fx_balance_lines")(
-    """
-SELECT s.doc_id, COALESCE(p.n, 0) AS page_count, COALESCE(v.n, 0) AS evidence_count, total_checks, passed_checks, failed_checks, not_applicable_checks, is_valid
-FROM b_summary s LEFT JOIN (SELECT doc_id, count(*) AS n FROM fx_pages GROUP BY doc_id) p USING (doc_id)
-LEFT JOIN (SELECT p.doc_id, count(*) AS n FROM parsed p, json_each(p.body, '$.evidence') e
-           WHERE p.body IS NOT NULL AND json_exists(p.body, '$.evidence') AND e.type = 'OBJECT' GROUP BY p.doc_id) v USING (doc_id)""",
-    ",".join([PARSED.strip(), B_CTES, _BALANCE_DOCS]),
-)
+# Every stage's own verdict side by side, joined by document; the checks are those of the type the response is checked as.
+OUTCOMES = f"""
+typed AS (SELECT r.*, CASE WHEN clean = '' THEN 'empty response' WHEN extraction_status = 'PARTIAL' THEN 'schema error' WHEN body IS NOT NULL THEN NULL
+                           WHEN TRY_CAST(clean AS JSON) IS NULL THEN 'invalid JSON' ELSE 'not an object' END AS reason,
+                 CASE WHEN extraction_status = 'PARTIAL' AND lower(json_extract_string(data, '$.statement_type')) IN ('invoice', 'balance_sheet', 'profit_and_loss', 'cash_flow_statement')
+                      THEN lower(json_extract_string(data, '$.statement_type')) ELSE document_type END AS own_type FROM results r),
+evidence AS (SELECT p.doc_id, count(*) AS n FROM parsed p, json_each(p.body, '$.evidence') e
+             WHERE p.body IS NOT NULL AND json_exists(p.body, '$.evidence') AND e.type = 'OBJECT' GROUP BY p.doc_id),
+judgement AS (SELECT doc_id, document_type AS own_type, count(*) AS n, count(*) FILTER (WHERE status = 'PASS') AS p, count(*) FILTER (WHERE status = 'FAILED') AS f,
+                     count(*) FILTER (WHERE status = 'NOT_APPLICABLE') AS na FROM ({ALL_CHECKS}) c GROUP BY ALL),
+told AS (SELECT doc_id, 'file' AS stage, 'error' AS severity, 0 AS position, error AS message FROM triaged WHERE error <> ''
+         UNION ALL SELECT doc_id, 'text', 'error', page_number, 'Page ' || page_number || ': ' || ocr_error FROM fx_pages WHERE ocr_error IS NOT NULL
+         UNION ALL SELECT doc_id, 'text', 'warning', page_number, 'Page ' || page_number || CASE route WHEN 'scanned' THEN ': no text, read from its image.'
+                   WHEN 'rasterized' THEN ': neither text nor image, rendered for recognition.' ELSE ': nothing to read.' END FROM routed WHERE route <> 'digital'
+         UNION ALL SELECT doc_id, 'extraction', CASE WHEN extraction_status = 'FAILED' THEN 'error' ELSE 'warning' END, 0, reason FROM typed WHERE reason IS NOT NULL),
+outcome AS (
+  SELECT t.doc_id, t.is_valid AS is_stored,
+         CASE WHEN NOT t.is_valid THEN 'file' WHEN NOT COALESCE(x.has_text, FALSE) THEN 'text' WHEN COALESCE(r.extraction_status, 'FAILED') = 'FAILED' THEN 'extraction' ELSE 'checks' END AS last_stage,
+         x.extraction_status AS text_status, x.n_pages, COALESCE(v.n, 0) AS n_evidence, COALESCE(j.n, 0) AS n, COALESCE(j.p, 0) AS p, COALESCE(j.f, 0) AS f, COALESCE(j.na, 0) AS na
+  FROM triaged t LEFT JOIN ({TEXT_STATUS}) x USING (doc_id) LEFT JOIN typed r USING (doc_id) LEFT JOIN evidence v USING (doc_id)
+  LEFT JOIN judgement j ON j.doc_id = r.doc_id AND j.own_type = r.own_type)"""
+_OUTCOME_VIEWS = ("fx_files", "fx_pages", "fx_responses", *_ALL_VIEWS)
+_OUTCOME_CTES = ",".join([TRIAGED, RESULTS, ALL_CTES, ROUTED.strip(), OUTCOMES.strip()])
+sql("processing_status", *_OUTCOME_VIEWS)(
+    """SELECT doc_id, CASE last_stage WHEN 'file' THEN 'VALIDATION_FAILED' WHEN 'checks' THEN CASE WHEN f = 0 THEN 'COMPLETED' ELSE 'VALIDATION_FAILED' END
+                     ELSE 'EXTRACTION_FAILED' END AS processing_status, last_stage, is_stored FROM outcome""",
+    _OUTCOME_CTES,
+)
+sql("document_metadata", *_OUTCOME_VIEWS)(
+    """SELECT doc_id, last_stage, CASE WHEN done THEN n_pages END AS page_count, CASE WHEN done THEN n_evidence END AS evidence_count, CASE WHEN done THEN o.n END AS total_checks,
+              CASE WHEN done THEN p END AS passed_checks, CASE WHEN done THEN f END AS failed_checks, CASE WHEN done THEN na END AS not_applicable_checks, CASE WHEN done THEN f = 0 END AS is_valid,
+              CASE last_stage WHEN 'text' THEN COALESCE(text_status, 'FAILED') WHEN 'extraction' THEN 'FAILED' END AS extraction_status,
+              CASE WHEN NOT done THEN COALESCE(e.n, 0) END AS n_errors, CASE WHEN NOT done THEN COALESCE(w.n, 0) END AS n_warnings
+       FROM (SELECT *, last_stage = 'checks' AS done, last_stage AS stage FROM outcome WHERE is_stored) o
+       LEFT JOIN (SELECT doc_id, stage, count(*) AS n FROM told WHERE severity = 'error' GROUP BY ALL) e USING (doc_id, stage)
+       LEFT JOIN (SELECT doc_id, stage, count(*) AS n FROM told WHERE severity = 'warning' GROUP BY ALL) w USING (doc_id, stage)""",
+    _OUTCOME_CTES,
+)
+_TOLD = "SELECT doc_id, {}severity, CAST(position // 1000 AS BIGINT) AS piece, count(*) AS n_messages, string_agg(message, '; ' ORDER BY position) AS messages FROM told {} GROUP BY ALL"
+sql("stage_messages", *_OUTCOME_VIEWS)(_TOLD.format("stage, ", ""), _OUTCOME_CTES)
+sql("extraction_messages", *_OUTCOME_VIEWS)(_TOLD.format("", "WHERE stage = 'text'"), _OUTCOME_CTES)
 sql("list_documents", "fx_stored")(
     """SELECT id, document_name, document_type, processing_status, created_at FROM fx_stored
        WHERE document_type = 'invoice' AND processing_status = 'COMPLETED' ORDER BY created_at DESC, id DESC LIMIT 50 OFFSET 20"""

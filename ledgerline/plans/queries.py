@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ledgerline.functions.numeric import display_bytes, normalize_rates as rates_of, parse_amount
 from ledgerline.operators import attempts, discounts, fields, invoice, lookups, pages, payload, report, statements, taxes, triage
 from ledgerline.plans.fixtures import fixture, invoice_lines
-from ledgerline.plans.reconcile import reconcile_tables, validate_responses
+from ledgerline.plans.reconcile import extraction_results, reconcile_tables, validate_responses
 from ledgerline.session import scratch_path as _scratch
-from ledgerline.sources import documents, files
+from ledgerline.sources import documents
 from ledgerline.streaming import arrivals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -357,6 +357,12 @@ def rule_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.rule_report(_all_checks(spark, sf_dir))
 
 
+@query
+def variance_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantiles from merged sketches; approximate, so without SQL."""
+    return report.variance_quantiles(_all_checks(spark, sf_dir))
+
+
 # --- responses -------------------------------------------------------------------------------------------------------
 
 
@@ -544,12 +550,6 @@ def _triaged(spark: SparkSession, sf_dir: str, kinds: list[str] | None = None) -
     return done.select("doc_id", "name", "file_type", "is_valid", "page_count", F.array_join("errors", "; ").alias("error"))
 
 
-@query
-def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The data folder itself read as files."""
-    return files.scan_files(spark, sf_dir).select("name", "extension", "length")
-
-
 @query
 def triage_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triage.detect_type(_files(spark, sf_dir)).select("doc_id", "name", "extension", "file_type")
@@ -599,23 +599,37 @@ def resolve_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- status, store and stream ----------------------------------------------------------------------------------------
 
 
-def _balance_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    headers, lines = fixture(spark, sf_dir, "fx_balance_headers"), fixture(spark, sf_dir, "fx_balance_lines")
-    return report.summarize(statements.balance_sheet_checks(headers, lines))
+def _ledger(spark: SparkSession, sf_dir: str, with_counts: bool = True) -> DataFrame:
+    responses = extraction_results(fixture(spark, sf_dir, "fx_responses"))
+    counted = (payload.explode_evidence(responses), _all_checks(spark, sf_dir)) if with_counts else ()
+    return report.stage_ledger(triage.triage(_files(spark, sf_dir)), fixture(spark, sf_dir, "fx_pages"), responses, *counted)
 
 
 @query
 def processing_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text_status = pages.extraction_status(fixture(spark, sf_dir, "fx_pages"))
-    responses = payload.extraction_result(_parsed(spark, sf_dir)).select("doc_id", "extraction_status")
-    return report.processing_status(triage.triage(_files(spark, sf_dir)), text_status, responses, _balance_summary(spark, sf_dir))
+    """Final status of every file from the ledger of all stages; checks count by the document's own type."""
+    return report.outcomes(_ledger(spark, sf_dir)).select("doc_id", "processing_status", "last_stage", "is_stored")
 
 
 @query
 def document_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    evidence = payload.explode_evidence(_parsed(spark, sf_dir))
-    meta = report.document_metadata(fixture(spark, sf_dir, "fx_pages"), evidence, _balance_summary(spark, sf_dir))
-    return meta.select("doc_id", "page_count", "evidence_count", "validation_summary.*")
+    """What is stored beside a document: its counts where it was checked, else why it was not."""
+    stored = report.outcomes(_ledger(spark, sf_dir)).where("is_stored")
+    return stored.drop("processing_status", "is_stored")
+
+
+@query
+def stage_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors and warnings of every stage in pieces; stages without messages have no row."""
+    pieces = report.stage_messages(_ledger(spark, sf_dir, with_counts=False))
+    return pieces.withColumn("messages", F.array_join("messages", "; "))
+
+
+@query
+def extraction_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors and warnings of the pages of each document in page order."""
+    pieces = report.message_pieces(pages.page_messages(fixture(spark, sf_dir, "fx_pages")))
+    return pieces.withColumn("messages", F.array_join("messages", "; "))
 
 
 @query
