@@ -257,16 +257,33 @@ def _asker(buckets: int, window: int):
 
 
 def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each asked row, the places whose windows are repeated."""
+    """Of rows sorted by bucket, the bucket's repeated hashes first, the asked places whose windows are repeated.
+
+    One bucket's list is held at a time, and it is sent once, whatever the number of batches that ask.
+    """
+    own, known = None, None
     for batch in batches:
-        found = []
-        for i, base in enumerate(batch.column(0).to_pylist()):
-            hashes, places, repeated = (batch.column(c)[i].as_buffer() for c in (1, 2, 3))
-            known, asked = np.frombuffer(repeated, dtype=np.uint64), np.frombuffer(hashes, dtype=np.uint64)
+        bases, found = [], []
+        for i, (bucket, base) in enumerate(zip(batch.column("bucket").to_pylist(), batch.column("base").to_pylist())):
+            if base is None:
+                own, known = bucket, np.frombuffer(batch.column("hashes")[i].as_py(), dtype=np.uint64)
+                continue
+            if own != bucket:  # nothing repeated here
+                continue
+            asked = np.frombuffer(batch.column("hashes")[i].as_buffer(), dtype=np.uint64)
             hit = known[np.minimum(np.searchsorted(known, asked), len(known) - 1)] == asked
-            rows, starts = _unpack_places(places, base)
-            found.append(_pack_places(rows[hit], starts[hit], base))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["base", "places"])
+            if hit.any():
+                rows, starts = _unpack_places(batch.column("places")[i].as_buffer(), base)
+                bases.append(base)
+                found.append(_pack_places(rows[hit], starts[hit], base))
+        yield pa.RecordBatch.from_arrays([pa.array(bases, pa.int64()), pa.array(found, pa.binary())], names=["base", "places"])
+
+
+def answers_of(asked: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(base, places) of the repeated windows: both sides meet by sorting within their bucket, neither is copied."""
+    known = repeated.select("bucket", F.lit(None).cast("bigint").alias("base"), F.col("repeated").alias("hashes"), F.lit(None).cast("binary").alias("places"))
+    both = known.union(asked.select("bucket", "base", "hashes", "places")).repartition("bucket")
+    return both.sortWithinPartitions("bucket", F.col("base").asc_nulls_first()).mapInArrow(_answer, "base bigint, places binary")
 
 
 def _by_row(group: pa.Table) -> pa.Table:
@@ -336,7 +353,6 @@ def dedup(docs: DataFrame, window: int = WINDOW, bucket: int = BUCKET) -> DataFr
     counts = asking.mapInArrow(_counter(buckets, window), "bucket bigint, hashes binary")
     repeated = saved(counts.groupBy("bucket").applyInArrow(_repeated, "bucket bigint, repeated binary").where(F.length("repeated") > 0), "substring-repeated")
     asked = asking.mapInArrow(_asker(buckets, window), "bucket bigint, base bigint, hashes binary, places binary")
-    answers = asked.join(repeated, "bucket").select("base", "hashes", "places", "repeated").mapInArrow(_answer, "base bigint, places binary")
-    starts = answers.groupBy("base").applyInArrow(_by_row, "row_no bigint, starts binary")
+    starts = answers_of(asked, repeated).groupBy("base").applyInArrow(_by_row, "row_no bigint, starts binary")
     out = held.join(starts, "row_no", "left").withColumn("cut", _remover(window)("body", "starts"))
     return out.select("doc_id", "n_words", F.coalesce("cut.n_removed", F.lit(0)).cast("bigint").alias("n_removed"), F.col("cut.kept").alias("kept"), F.coalesce(F.sha2("cut.kept", 256), "sha256").alias("kept_sha256"))
