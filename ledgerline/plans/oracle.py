@@ -838,6 +838,11 @@ sql("latest_documents", "fx_stored")(
 )
 sql("store_append", "fx_stored")("SELECT id, document_name, document_type, processing_status, created_at FROM fx_stored")
 
+sql("store_lookup", "fx_stored")(
+    """SELECT *, 'id' AS found_by FROM fx_stored WHERE id = 42
+       UNION ALL (SELECT *, 'name' FROM fx_stored WHERE document_name = 'statement-7.pdf' ORDER BY created_at DESC, id DESC LIMIT 1)"""
+)
+
 
 def build() -> dict[str, str]:
     return dict(ORACLE)

@@ -663,6 +663,18 @@ def store_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.read_documents(spark, path).select("id", "document_name", "document_type", "processing_status", "created_at")
 
 
+@query
+def store_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents appended in batches, one of them twice, compacted, then looked up by id and by name."""
+    path = _scratch(spark, "documents")
+    stored = fixture(spark, sf_dir, "fx_stored")
+    for batch in (0, 1, 1):
+        documents.append_documents(stored.where(F.col("id") % 2 == batch), path, f"part-{batch}")
+    documents.compact(spark, path)
+    by_id = documents.stored_by_id(spark, path, 42).withColumn("found_by", F.lit("id"))
+    return by_id.unionByName(documents.stored_by_name(spark, path, "statement-7.pdf").withColumn("found_by", F.lit("name")))
+
+
 @query
 def stream_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Responses written as files, checked as a stream, summarised by rule and status."""

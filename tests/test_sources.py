@@ -35,7 +35,7 @@ def test_triage_of_a_folder(spark, tmp_path):
     assert rows["a.pdf"].page_count == 2 and rows["long.PDF"].page_count == 4
     assert rows["empty.pdf"].errors == ["The file is empty."]
     assert "4 pages" in rows["long.PDF"].errors[0] and "unknown" in rows["blob"].errors[0] and ".txt" in rows["note.txt"].errors[0]
-    assert "no readable pages" in rows["none.pdf"].errors[0] and "EOF" in rows["cut.pdf"].errors[0]
+    assert "no pages" in rows["none.pdf"].errors[0] and "EOF" in rows["cut.pdf"].errors[0]
     assert as_files(spark.createDataFrame([("x/y.Pdf", 3, b"abc")], "path string, length long, content binary")).first().extension == ".pdf"
 
 
