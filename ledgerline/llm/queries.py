@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.llm import ctw, decontaminate, factorization, html, langid, lexical, linededup, merkle, mixing, outliers, sharding, simhash, substring
-from ledgerline.llm.common import crc_of_id, small_batches
+from ledgerline.llm.common import crc_of_id, free_name, small_batches
 from ledgerline.llm.oracle import ORACLE
 
 __all__ = ["ORACLE", "QUERIES", "shard_columns"]
@@ -57,15 +57,16 @@ def op5_shard(spark: SparkSession, folder: str) -> DataFrame:
 
 def shard_columns(placed: DataFrame, columns: list[str]) -> DataFrame:
     at = F.col(placed.columns[-1])
-    return placed.select(
-        *columns,
-        at["size"].alias("size"),
-        at["text_crc32"].alias("text_crc32"),
-        F.lit("bytes").alias("law"),
-        at["shard"].alias("shard"),
-        at["slot"].alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"),
-    )
+    found = {
+        "size": at["size"],
+        "text_crc32": at["text_crc32"],
+        "law": F.lit("bytes"),
+        "shard": at["shard"],
+        "slot": at["slot"],
+        "grown_shard": F.lit(None).cast("int"),
+    }
+    kept = placed.select(*columns)
+    return placed.select(*columns, *(value.alias(free_name(kept, name)) for name, value in found.items()))
 
 
 def op6_quality(spark: SparkSession, folder: str) -> DataFrame:
