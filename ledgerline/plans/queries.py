@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -315,14 +316,18 @@ def cf_ending_cash(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- all checks, summaries and reports -------------------------------------------------------------------------------
 
 
-def _all_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _rule_tables(spark: SparkSession, sf_dir: str) -> dict[str, tuple]:
     extra = fields.with_field_values(fixture(spark, sf_dir, "fx_invoice_extra"))
-    return reconcile_tables(
-        invoices=(fixture(spark, sf_dir, "fx_invoice_headers"), invoice_lines(spark, sf_dir), extra),
-        balance_sheets=(fixture(spark, sf_dir, "fx_balance_headers"), fixture(spark, sf_dir, "fx_balance_lines")),
-        profit_and_loss=_pnl_tables(spark, sf_dir),
-        cash_flows=(fixture(spark, sf_dir, "fx_cash_headers"), fixture(spark, sf_dir, "fx_cash_lines"), None),
-    )
+    return {
+        "invoices": (fixture(spark, sf_dir, "fx_invoice_headers"), invoice_lines(spark, sf_dir), extra),
+        "balance_sheets": (fixture(spark, sf_dir, "fx_balance_headers"), fixture(spark, sf_dir, "fx_balance_lines")),
+        "profit_and_loss": _pnl_tables(spark, sf_dir),
+        "cash_flows": (fixture(spark, sf_dir, "fx_cash_headers"), fixture(spark, sf_dir, "fx_cash_lines"), None),
+    }
+
+
+def _all_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile_tables(**_rule_tables(spark, sf_dir))
 
 
 @query
@@ -600,9 +605,21 @@ def resolve_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ledger(spark: SparkSession, sf_dir: str, with_counts: bool = True) -> DataFrame:
-    responses = extraction_results(fixture(spark, sf_dir, "fx_responses"))
-    counted = (payload.explode_evidence(responses), _all_checks(spark, sf_dir)) if with_counts else ()
-    return report.stage_ledger(triage.triage(_files(spark, sf_dir)), fixture(spark, sf_dir, "fx_pages"), responses, *counted)
+    """The ledger over written results of each stage, so that no plan holds more than one stage or rule set."""
+
+    def written(df: DataFrame, name: str) -> DataFrame:
+        path = _scratch(spark, name)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    files, texts = triage.triage(_files(spark, sf_dir)), fixture(spark, sf_dir, "fx_pages")
+    results = extraction_results(fixture(spark, sf_dir, "fx_responses"))
+    responses = written(results.select("doc_id", "extraction_status", "reason", "checked_type"), "responses")
+    if not with_counts:
+        return report.stage_ledger(files, texts, responses)
+    evidence = written(payload.explode_evidence(_parsed(spark, sf_dir)).select("doc_id"), "evidence")
+    checks = [written(reconcile_tables(**{kind: tables}).select("doc_id", "document_type", "status"), kind) for kind, tables in _rule_tables(spark, sf_dir).items()]
+    return report.stage_ledger(files, texts, responses, evidence, reduce(DataFrame.union, checks))
 
 
 @query
