@@ -2,12 +2,17 @@
 
 A page is parsed into blocks (inline tags belong to the block around them). Menus, headers, footers, sidebars, notices,
 adverts, forms, comments, scripts and styles are known by tag, role, class or id (whole tokens) and left out; a class or id,
-and a form, does not count where the block holds <main>, the article, or most of the text that is not in links. Each remaining node has its
+and a form, does not count where the block holds <main>, the article, or blocks of most of the text that is not in links. Each remaining node has its
 characters per tag, adjusted for links; a node's sum is that of its children's densities (a leaf's own). The node of the
-largest sum is the core of the article, and the smallest density on the path to it from the body is the threshold. Text
-directly in the blocks of that path and the blocks beside it are part of the article too: headings, leads, further sections
-of any length. Left out are only lists of links beside the path: two links or more that make up over half of the text of a
-block below the threshold.
+largest sum is the core of the article, and the smallest density on the path to it from the body is the threshold. Where
+the core holds one <article> or <main> of most of its text, that is the core.
+
+From the core the article grows along the path to the body. Inside an <article> all is kept but lists of links: two links
+or more that make up over half of the text of a block below the threshold. Beside an <article> only its first headings and
+further articles that reach the threshold are kept. Where no <article> holds the core, a block beside the path is kept if it
+is built like the one on the path (same tag and class or id; or up to digits and reaching the threshold; or a <div> without any) or a heading, a list, a table; a
+paragraph or figure directly in the body, and any section or block of another name, if it reaches the threshold, the named
+block also 80 characters, and if no menu, header or footer stands beside it; text that is mostly links is not kept.
 
 Null and empty pages, and pages without text, give an empty text. Unclosed and stray tags are repaired; markup that never
 ends is read as text, a comment that never ends hides the rest. Rows are treated one by one, so repeated rows give repeated results.
@@ -49,38 +54,46 @@ BESIDE = frozenset(
 )
 THREADS = frozenset("comment comments disqus respond replies".split())
 _TAG = re.compile(r"<!--(?:.*?-->)?|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+_DIGITS = re.compile("[0-9]+")
 _ATTRIBUTE = re.compile(r"""([^\s=/"']+)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"']+)))?""")
+FLOW = frozenset("p blockquote pre figure details address".split())
+SOLID = frozenset("h1 h2 h3 h4 h5 h6 hgroup ul ol dl table caption thead tbody tfoot tr td th li dt dd picture img hr figcaption br".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+CHROME = frozenset("nav header footer aside menu".split())
+CONTENT = 80  #: characters out of links that a block of another name needs
 OPEN, SOFT, HARD = 0, 1, 2  # read; left out for its class or id, unless it holds the article; left out
 
 
 class Node:
-    __slots__ = ("tag", "skip", "parts", "chars", "links", "tags", "link_tags", "density", "total")
+    __slots__ = ("tag", "skip", "name", "parts", "chars", "links", "tags", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, skip: int = OPEN):
-        self.tag, self.skip, self.parts = tag, skip, []
+    def __init__(self, tag: str, skip: int = OPEN, name: str = ""):
+        self.tag, self.skip, self.name, self.parts = tag, skip, name, []
         self.chars = self.links = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _skip(tag: str, attributes: str) -> int:
+def _read(tag: str, attributes: str) -> tuple[int, str]:
+    """Whether a block is left out, and its class, or else its id."""
     if tag in SKIPPED:
-        return SOFT if tag in ("form", "fieldset") else HARD
+        return (SOFT if tag in ("form", "fieldset") else HARD), ""
     if tag in ("body", "html", "article", "main") or not attributes.strip():
-        return OPEN
-    skip, known = OPEN, set()
+        return OPEN, ""
+    skip, known, names = OPEN, set(), {}
     for name, a, b, c in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if name in known:  # the first of a name counts
             continue
         known.add(name)
         if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "role" and not ROLES.isdisjoint(value.split()[:1])):
-            return HARD
+            return HARD, ""
         if name in ("class", "id"):
+            names[name] = " ".join(value.split())
             for token in value.split():
                 parts = {x for x in re.split("[-_]+", token) if x}
                 if parts and parts <= MARKS | BESIDE and not MARKS.isdisjoint(parts):
                     skip = max(skip, SOFT if THREADS.isdisjoint(parts) else HARD)
-    return skip
+    return skip, names.get("class") or names.get("id") or ""
 
 
 def reopen(root: Node) -> None:
@@ -106,7 +119,8 @@ def reopen(root: Node) -> None:
     for i, node in enumerate(nodes):
         hidden[i] = i > 0 and hidden[parents[i]]
         if node.skip == SOFT and not hidden[i]:
-            if main[i] or (plain[i] > seen and plain[i] * (4 if article[i] else 2) > plain[0]):
+            wraps = any(isinstance(p, Node) and p.skip != HARD and p.chars for p in node.parts) or article[i]
+            if main[i] or (wraps and plain[i] > 4 * seen and plain[i] * (4 if article[i] else 2) > plain[0]):
                 node.skip = OPEN
             else:
                 hidden[i] = True
@@ -162,7 +176,7 @@ def parse(page: str) -> Node:
                 stack[-1].link_tags += in_link
             elif tag == "br":
                 stack[-1].parts.append(" ")
-            elif not m[1] and tag not in VOID and _skip(tag, m[3]):
+            elif not m[1] and tag not in VOID and _read(tag, m[3])[0]:
                 node = Node(tag, HARD)
                 stack[-1].parts.append(node)
                 stack.append(node)
@@ -181,7 +195,7 @@ def parse(page: str) -> Node:
         if tag in CLOSED_BY_SAME and stack[-1].tag in CLOSED_BY_SAME[tag]:
             stack.pop()
         in_link = False
-        node = Node(tag, _skip(tag, m[3]))
+        node = Node(tag, *_read(tag, m[3]))
         stack[-1].parts.append(node)
         stack[-1].tags += 1
         if tag not in VOID:
@@ -247,21 +261,92 @@ def text_of(node: Node) -> list[str]:
     return out
 
 
+def core_of(nodes: list[Node], parents: list[int]) -> int:
+    """The node of the largest density sum, or the one <article> (else <main>) in it that holds most of its text."""
+    best = max(range(len(nodes)), key=lambda i: nodes[i].total)  # the first of equals is the outermost
+    within, inside = [False] * len(nodes), {"article": [False] * len(nodes), "main": [False] * len(nodes)}
+    outer: dict[str, list[int]] = {"article": [], "main": []}
+    for i in range(len(nodes)):
+        up = parents[i]
+        within[i] = i == best or (up >= 0 and within[up])
+        for tag, flags in inside.items():
+            flags[i] = up >= 0 and flags[up]
+            if nodes[i].tag == tag and not flags[i]:
+                flags[i] = True
+                if within[i] and i != best:
+                    outer[tag].append(i)
+    for tag, found in outer.items():
+        if not inside["article"][best] and len(found) == 1:
+            node = nodes[found[0]]
+            if 2 * (node.chars - node.links) > nodes[best].chars - nodes[best].links:
+                return found[0]
+    return best
+
+
+def _leave_beside_article(node: Node, child: Node, threshold: float) -> None:
+    """Of a block around an <article>: the headings before it, and further articles."""
+    before, kept = True, []
+    for part in node.parts:
+        if part is child:
+            before = False
+        elif isinstance(part, str):
+            continue
+        elif not part.skip and not (before and part.tag in HEADINGS and 2 * part.links <= part.chars):
+            if part.tag != "article" or part.density < threshold or 2 * part.links > part.chars:
+                continue
+        kept.append(part)
+    node.parts = kept
+
+
+def _leave_beside(node: Node, child: Node | None, threshold: float) -> None:
+    """Of a block on the path without an <article>: what is built like the path, and what reaches the threshold."""
+    left = []
+    page = node.tag == "body" or any(isinstance(p, Node) and p.skip and p.tag in CHROME for p in node.parts)
+    for block in _blocks(node):
+        if block is child or not block.chars:
+            continue
+        dense = block.density >= threshold
+        like = not block.name and block.tag == "div"
+        if child is not None and block.tag == child.tag:
+            like = like or block.name == child.name or (dense and _DIGITS.sub("", block.name) == _DIGITS.sub("", child.name))
+        if 2 * block.links > block.chars:
+            kept = False
+        elif block.tag in SOLID or like:
+            kept = True
+        elif block.tag in FLOW:
+            kept = dense or not page or child is None
+        elif block.tag in ("section", "article"):
+            kept = dense
+        else:
+            kept = dense and (child is None or not page) and block.chars - block.links >= CONTENT
+        if not kept:
+            left.append(block)
+    if child is None and sum(x.chars for x in left) == node.chars:  # nothing stands out
+        return
+    for block in left:
+        block.skip = HARD
+
+
 def main_text(page: str) -> str:
     root = parse(page)
     reopen(root)
     nodes, parents = measure(root)
-    at = max(range(len(nodes)), key=lambda i: nodes[i].total)  # the first of equals is the outermost
-    best, path = nodes[at], []
+    at, path = core_of(nodes, parents), []
     while at >= 0:
         path.append(nodes[at])
         at = parents[at]
     threshold = min(x.density for x in path)
-    on_path = set(map(id, path))
-    for node in path[1:]:
-        for block in _blocks(node):
-            if id(block) not in on_path and block.density < threshold and 2 * block.links > block.chars and block.link_tags > 1:
-                block.skip = HARD
+    article = max((i for i, node in enumerate(path) if node.tag == "article"), default=-1)  # the outermost around the core
+    for i, node in enumerate(path):
+        child = path[i - 1] if i else None
+        if i <= article:
+            for block in _blocks(node) if i else []:
+                if block is not child and block.density < threshold and 2 * block.links > block.chars and block.link_tags > 1:
+                    block.skip = HARD
+        elif article >= 0:
+            _leave_beside_article(node, child, threshold)
+        elif i or node is root:
+            _leave_beside(node, child, threshold)
     return "\n\n".join(text_of(root))
 
 
