@@ -72,8 +72,9 @@ def _plain_sums(counted, share):
     (chars, links, tags, link_tags), below = counted
     density, sums = 0.0, [_plain_sums(x, share) for x in below]
     if chars:
-        inner = math.log(chars / max(1, chars - links) * links + share * chars + math.e)
-        density = chars / max(1, tags) * math.log(max(1.0, chars / max(1, links) * max(1, tags) / max(1, link_tags))) / math.log(inner)
+        base = math.log(chars / max(1, chars - links) * links + share * chars + math.e)
+        inner = math.log(max(1.0, chars / max(1, links) * max(1, tags) / max(1, link_tags)))
+        density = chars / max(1, tags) * inner / (math.log(base) if links or share else 1.0)  # without any link the logarithm is natural
     total = sum(x[0][0] for x in sums) or density
     return [(density, total), *(row for x in sums for row in x)]
 
