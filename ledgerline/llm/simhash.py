@@ -8,18 +8,23 @@ from six on, and verified by their differing bits. A list of more than LONG fing
 under the values that differ from them in no or one bit, and members under one value (they differ in two bits at most, and
 all such pairs meet somewhere) are linked to the smallest of them. No link is lost, and rows stay linear in members.
 
+Copies further apart than that (keep_one_of_copies, for pipelines) are found by longer fingerprints of the same kind.
+
 Null and empty texts have fingerprint zero; repeated rows link like other copies; a component without any non-null doc_id
 has a null component_id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import random
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, LongType
 
 from ledgerline.llm.common import free_name, saved, text_bytes
 
@@ -27,6 +32,10 @@ SEED = 42
 MAX_BITS = 2
 SHARED_BYTES = 8 - MAX_BITS
 LONG = 16
+#: Wide fingerprints: words of 64 bits, positional bytes that a pair shares at least, and bits that may differ.
+WORDS, WIDE_SHARED, WIDE_BITS = 4, 3, 40
+#: Each row goes under as many choices of three positional bytes; above about 1e9 different texts take four a choice.
+CHOICES = [sorted(random.Random(i).sample(range(8 * WORDS), 3)) for i in range(64)]
 _PAIR = 0xFFFF
 #: Masks of two of the four pairs of positions.
 MASKS = [(_PAIR << 16 * i) | (_PAIR << 16 * j) for i in range(4) for j in range(i + 1, 4)]
@@ -45,20 +54,26 @@ def bit_counts(hashes: np.ndarray) -> np.ndarray:
     return total
 
 
-def simhash(text: bytes, size: int = 3) -> int:
-    """Unsigned fingerprint of a text's word shingles."""
+def shingle_hashes(text: bytes, size: int) -> np.ndarray:
+    """Hashes of the shingles of a text, repeats included; the whole of a text of fewer words, none of a text of none."""
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     joined = b" ".join(words)
     if len(words) <= size:
-        hashes = np.array([xxhash.xxh64_intdigest(joined, SEED)], dtype=np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        spans = zip(starts[: 1 - size].tolist(), ends[size - 1 :].tolist())
-        digest = xxhash.xxh64_intdigest
-        hashes = np.array([digest(joined[a:b], SEED) for a, b in spans], dtype=np.uint64)
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], dtype=np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    spans = zip(starts[: 1 - size].tolist(), ends[size - 1 :].tolist())
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(joined[a:b], SEED) for a, b in spans], dtype=np.uint64)
+
+
+def simhash(text: bytes, size: int = 3) -> int:
+    """Unsigned fingerprint of a text's word shingles."""
+    hashes = shingle_hashes(text, size)
+    if not len(hashes):
+        return 0
     over = bit_counts(hashes) * 2 > len(hashes)
     return int(np.packbits(over, bitorder="little").view(np.uint64)[0])
 
@@ -131,3 +146,126 @@ def keep_one(docs: DataFrame) -> DataFrame:
     held = held.withColumn(fp, fingerprint_of("text"))
     held = held.join(stays, F.col("doc_id").eqNullSafe(F.col(idn)) & (F.col(fp) == F.col(fpn)), "left_semi")
     return held.dropDuplicates(["doc_id", fp]).select(*docs.columns)
+
+
+# ---- near copies further apart than MAX_BITS: wide fingerprints
+
+
+def mixed(hashes: np.ndarray, word: int) -> np.ndarray:
+    """The hashes of one more family, by multiplying and shifting."""
+    x = (hashes ^ (hashes >> np.uint64(31))) * np.uint64((0x9E3779B97F4A7C15 * (2 * word + 1)) & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def wide_simhash(text: bytes, size: int = 3) -> np.ndarray:
+    """WORDS unsigned 64-bit words of fingerprint of a text's word shingles; zeros without a word."""
+    hashes = shingle_hashes(text, size)
+    if not len(hashes):
+        return np.zeros(WORDS, dtype=np.uint64)
+    counts = np.concatenate([bit_counts(mixed(hashes, i)) for i in range(WORDS)])
+    return np.packbits(counts * 2 > len(hashes), bitorder="little").view(np.uint64)
+
+
+@F.arrow_udf(ArrayType(LongType()))
+def wide_fingerprint_of(texts: pa.Array) -> pa.Array:
+    return pa.array([wide_simhash(t).view(np.int64).tolist() for t in text_bytes(texts)], pa.list_(pa.int64()))
+
+
+def _tree_edges(prints: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that connect the prints of a list exactly as all pairs of at most WIDE_BITS bits do, fewer than there are prints."""
+    edges, left = [], np.arange(len(prints))
+    while len(left):
+        todo, left = [int(left[0])], left[1:]
+        while todo and len(left):
+            at = todo.pop()
+            xor = prints[left] ^ prints[at]
+            shared = (xor.view(np.uint8).reshape(len(left), -1) == 0).sum(axis=1)
+            near = shared >= WIDE_SHARED
+            near[near] = np.bitwise_count(xor[near]).sum(axis=1) <= WIDE_BITS
+            found = left[near].tolist()
+            edges += [(int(ids[at]), int(ids[i])) for i in found]
+            todo += found
+            left = left[~near]
+    return edges
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of the lists in rows sorted by their key; one list is held at a time, 48 bytes a member."""
+    key, held = None, []
+
+    def edges_of(parts: list) -> list[tuple[int, int]]:
+        if sum(len(ids) for ids, _ in parts) < 2:
+            return []
+        return _tree_edges(np.concatenate([p for _, p in parts]), np.concatenate([i for i, _ in parts]))
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys, ids = batch.column("key").to_numpy(), batch.column("node").to_numpy()
+        prints = np.stack([batch.column(f"w{i}").to_numpy() for i in range(WORDS)], axis=1).view(np.uint64)
+        starts = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))
+        ends = np.append(starts[1:], len(keys))
+        out = []
+        many = (ends - starts > 1) | (starts == 0) | (ends == len(keys))  # a list of one row inside a batch meets nobody
+        for a, b in zip(starts[many].tolist(), ends[many].tolist()):
+            if key is not None and keys[a] != key:
+                out += edges_of(held)
+                held = []
+            key = keys[a]
+            held.append((ids[a:b].copy(), prints[a:b].copy()))
+        if out:
+            yield _edge_batch(out)
+    if held:
+        yield _edge_batch(edges_of(held))
+
+
+def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
+def wide_links(prints: DataFrame) -> DataFrame:
+    """Edges (a, b) between nodes of prints (node, w0, w1, ...) that meet under a choice of positional bytes and are near."""
+
+    def byte(position: int) -> Column:
+        return F.shiftrightunsigned(f"w{position // 8}", 8 * (position % 8)).bitwiseAND(F.lit(255))
+
+    keys = []
+    for n, choice in enumerate(CHOICES):
+        key = F.lit(n).cast("bigint")
+        for position in choice:
+            key = F.shiftleft(key, 8).bitwiseOR(byte(position))
+        keys.append(key)
+    words = [f"w{i}" for i in range(WORDS)]
+    index = prints.select(F.explode(F.array(*keys)).alias("key"), "node", *words)
+    index = index.repartition("key").sortWithinPartitions("key")
+    return index.mapInArrow(_meet, "a bigint, b bigint").distinct()
+
+
+def keep_one_of_copies(docs: DataFrame) -> DataFrame:
+    """One row of docs of each group of near copies, that of the smallest doc_id, with docs' own columns.
+
+    Near are equal texts, and texts whose fingerprints of WORDS * 64 bits over three-word shingles differ in at most WIDE_BITS
+    bits and agree in one of the CHOICES of three positional bytes. Texts that share 0.8 of their five-word shingles differ in
+    about 30 bits and agree so with a chance of 0.96; some of 0.7 are near too, texts of other words (128 bits) are not. A list
+    links its members as all its pairs would, whatever their number; groups are the components.
+
+    Texts without a word (null, empty, white space) are one group; rows without a doc_id stay only where their group has no
+    other, repeated rows once; an empty table gives an empty result.
+    """
+    words = [F.col("print")[i].alias(f"w{i}") for i in range(WORDS)]
+    prints = saved(docs.select("doc_id", F.xxhash64("text").alias("text_key"), wide_fingerprint_of("text").alias("print")).select("doc_id", "text_key", *words, F.xxhash64("print").alias("node")), "copies-prints")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    names = [f"w{i}" for i in range(WORDS)]
+    distinct = saved(prints.groupBy("node", *names).agg(F.min(order).alias("best")), "copies-distinct")
+    roots = components(wide_links(distinct.select("node", *names)))
+    rooted = distinct.select("node", "best").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    best = rooted.groupBy("root").agg(F.min("best").alias("best"))
+    a, b = free_name(docs, "row_key"), free_name(docs, "row_key_too")
+
+    def keys(doc_id: Column, text_key: Column) -> list[Column]:
+        return [F.xxhash64(F.lit(x), doc_id.isNull(), doc_id, text_key).alias(y) for x, y in ((1, a), (2, b))]
+
+    stays = saved(best.select(*keys(F.col("best.doc_id"), F.col("best.text_key"))), "copies-stay")
+    held = docs.select("*", *keys(F.col("doc_id"), F.xxhash64("text"))).join(stays, [a, b], "left_semi")
+    return held.dropDuplicates([a, b]).select(*docs.columns)
