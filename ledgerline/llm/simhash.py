@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
@@ -34,6 +34,8 @@ SHARED_BYTES = 8 - MAX_BITS
 LONG = 16
 #: Wide fingerprints: words of 64 bits, positional bytes that a pair shares at least, and bits that may differ.
 WORDS, WIDE_SHARED, WIDE_BITS = 4, 3, 40
+#: Rounds that thin out the edges before components are looked for.
+SMALL_STARS = 3
 #: Each row goes under as many choices of three positional bytes; above about 1e9 different texts take four a choice.
 CHOICES = [sorted(random.Random(i).sample(range(8 * WORDS), 3)) for i in range(64)]
 _PAIR = 0xFFFF
@@ -173,10 +175,11 @@ def wide_fingerprint_of(texts: pa.Array) -> pa.Array:
 
 
 def _tree_edges(prints: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
-    """Edges that connect the prints of a list exactly as all pairs of at most WIDE_BITS bits do, fewer than there are prints."""
+    """Edges that connect the prints of a list exactly as all pairs of at most WIDE_BITS bits do: from each to the smallest it is connected with."""
     edges, left = [], np.arange(len(prints))
     while len(left):
         todo, left = [int(left[0])], left[1:]
+        group = list(todo)
         while todo and len(left):
             at = todo.pop()
             xor = prints[left] ^ prints[at]
@@ -184,9 +187,12 @@ def _tree_edges(prints: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
             near = shared >= WIDE_SHARED
             near[near] = np.bitwise_count(xor[near]).sum(axis=1) <= WIDE_BITS
             found = left[near].tolist()
-            edges += [(int(ids[at]), int(ids[i])) for i in found]
+            group += found
             todo += found
             left = left[~near]
+        nodes = ids[group]
+        least = int(nodes.min())
+        edges += [(x, least) for x in nodes.tolist() if x != least]
     return edges
 
 
@@ -239,7 +245,12 @@ def wide_links(prints: DataFrame) -> DataFrame:
     words = [f"w{i}" for i in range(WORDS)]
     index = prints.select(F.explode(F.array(*keys)).alias("key"), "node", *words)
     index = index.repartition("key").sortWithinPartitions("key")
-    return index.mapInArrow(_meet, "a bigint, b bigint").distinct()
+    edges = index.mapInArrow(_meet, "a bigint, b bigint").distinct()
+    for _ in range(SMALL_STARS):  # a node's smaller neighbours go under the smallest of them: connects the same, with fewer edges
+        edges = edges.withColumn("least", F.min("b").over(Window.partitionBy("a")))
+        ends = F.array(F.struct("a", F.col("least").alias("b")), F.struct(F.col("b").alias("a"), F.col("least").alias("b")))
+        edges = edges.select(F.explode(ends).alias("e")).select("e.a", "e.b").where("a > b").distinct()
+    return edges
 
 
 def keep_one_of_copies(docs: DataFrame) -> DataFrame:
