@@ -2,11 +2,12 @@
 
 A byte is eight binary decisions. Every context (the bytes before, 0 to DEPTH of them) holds, for each decision, a
 Krichevsky-Trofimov estimate; a node's weighted probability is half its own estimate and half the product of its children's,
-so the mixture runs over all depths. Counts of (context, byte) come from all training rows. The tree keeps the contexts that
-hold at least one in CONTEXTS of all counts, hence at most CONTEXTS of each depth whatever the input; counts of contexts
-left out stay in their parent, as one further child there. Weights and estimates are fixed after training, so the
-probability of each byte in each context is worked out once, and a text is scored by walking an automaton of contexts: its
-log10 probability is the sum over its bytes and an end symbol. Code length per byte is -score * log2(10) / bytes.
+so the mixture runs over all depths. Counts of (context, byte) come from all training rows, and every context that occurs is
+in the tree, so it grows with the corpus. The tree is a table: subtrees are weighted by Spark's tasks, bottom up, and their
+sums give the weights of the short contexts, which go down again. Weights and estimates are fixed after training, so each
+(context, byte) of any text has one log10 probability, and a text's is the sum over its bytes and its end. The most used ones,
+at most HOT_GRAMS, are broadcast; occurrences of all others are joined with the table. For each decision the path ends at the
+deepest context that has seen it, which takes the weight that is left. Code length per byte is -score * log2(10) / bytes.
 
 The word-unigram base looks up tokens: those that make up one in HOT of all tokens at least (at most HOT of them) are
 broadcast, occurrences of all others are joined with the token counts.
@@ -31,10 +32,14 @@ from pyspark.sql import functions as F
 from ledgerline.llm.common import saved, text_bytes
 
 DEPTH = 5
-CONTEXTS = 1 << 17
+#: Contexts of up to so many bytes are weighted on the driver, from sums.
+TOP = 2
+#: Broadcast at most: codes of (context, byte), and tokens.
+HOT_GRAMS = 1 << 20
 HOT = 500_000
+#: Codes in a task's arrays at once, and codes of whole groups.
 CHUNK = 4 << 20
-SEGMENT = 512
+GROUP_ROWS = 1 << 17
 END = b"\n"  # no word holds white space, so this names the end token
 _FLUSH = 250_000
 
@@ -46,28 +51,61 @@ def plain(text: bytes) -> bytes:
 # ---- counting
 
 
-def _ngram_rows(texts: list[bytes]) -> pa.RecordBatch:
-    """Counts of (DEPTH bytes of context, byte); DEPTH zero bytes stand before each text, the first after it is its end."""
-    pad = b"\0" * DEPTH
-    a = np.frombuffer(pad + pad.join(texts) + pad, dtype=np.uint8).astype(np.int64)
-    codes = np.zeros(len(a) - DEPTH, dtype=np.int64)
-    for i in range(DEPTH + 1):
-        codes = (codes << 8) | a[i : len(a) - DEPTH + i]
-    codes, n = np.unique(codes[(codes & 0xFFFF) != 0], return_counts=True)
-    return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n.astype(np.int64))], names=["code", "n"])
+def _mask(depth: int) -> int:
+    """Bits of a context of depth bytes and the byte after it."""
+    return (1 << 8 * (depth + 1)) - 1
+
+
+def gram_codes(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Codes (DEPTH bytes of context, byte) of the texts' bytes and ends, and the text of each; about CHUNK codes at a time.
+
+    Zero bytes stand before a text, and one is its end. A text longer than a chunk is cut, with its context before each piece.
+    """
+    pad, held, owners, sizes, n_held = b"\0" * DEPTH, [], [], [], 0
+
+    def flush() -> tuple[np.ndarray, np.ndarray]:
+        a = np.frombuffer(b"".join(held), dtype=np.uint8).astype(np.int64)
+        codes = np.zeros(len(a) - DEPTH, dtype=np.int64)
+        for i in range(DEPTH + 1):
+            codes = (codes << 8) | a[i : len(a) - DEPTH + i]
+        piece = np.repeat(np.arange(len(sizes)), sizes)
+        return codes[np.arange(len(piece)) + DEPTH * piece], np.asarray(owners)[piece]
+
+    for owner, text in enumerate(texts):
+        whole = pad + plain(text) + b"\0"
+        for start in range(DEPTH, len(whole), CHUNK):
+            piece = whole[start - DEPTH : start + CHUNK]
+            held.append(piece)
+            owners.append(owner)
+            sizes.append(len(piece) - DEPTH)
+            n_held += sizes[-1]
+            if n_held >= CHUNK:
+                yield flush()
+                held, owners, sizes, n_held = [], [], [], 0
+    if held:
+        yield flush()
 
 
 def _count_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, size = [], 0
+    held, flags, size = [], [], 0
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        trained = np.asarray(flags)
+        for codes, owner in gram_codes(held):
+            codes, of, uses = np.unique(codes, return_inverse=True, return_counts=True)
+            n = np.bincount(of, trained[owner], minlength=len(codes)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n), pa.array(uses.astype(np.int64))], names=["code", "n", "uses"])
+
     for batch in batches:
-        for text in text_bytes(batch.column(0)):
-            held.append(plain(text))
-            size += len(text) + DEPTH
+        for text, flag in zip(text_bytes(batch.column(0)), batch.column(1).to_pylist()):
+            held.append(text)
+            flags.append(flag)
+            size += len(text) + 1
             if size >= CHUNK:
-                yield _ngram_rows(held)
-                held, size = [], 0
+                yield from rows()
+                held, flags, size = [], [], 0
     if held:
-        yield _ngram_rows(held)
+        yield from rows()
 
 
 def _token_rows(found: Counter) -> pa.RecordBatch:
@@ -114,151 +152,164 @@ def kt_log(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(a + b > 0, lgamma(a + 0.5) + lgamma(b + 0.5) - lgamma(a + b + 1.0) - math.log(math.pi), 0.0)
 
 
-def split_counts(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zeros and ones of each of the 255 binary decisions, from counts of 256 symbols; decisions in order of their level."""
-    zeros, ones = [], []
-    for level in range(8):
-        sums = counts.reshape(len(counts), 1 << level, 2, -1).sum(axis=3, dtype=np.float64)
-        zeros.append(sums[:, :, 0])
-        ones.append(sums[:, :, 1])
-    return np.concatenate(zeros, axis=1), np.concatenate(ones, axis=1)
+def _ladder(codes: np.ndarray, n: np.ndarray, low: int, high: int) -> dict[int, tuple]:
+    """By depth: sorted (context, byte) keys, their training counts, and the place of each in the depth above (None at low)."""
+    rows = {}
+    for d in range(high, low - 1, -1):
+        if d == low:
+            rows[d] = (codes, n, None)
+            break
+        upper, up = np.unique(codes & _mask(d - 1), return_inverse=True)
+        rows[d] = (codes, n, up)
+        codes, n = upper, np.bincount(up, n, minlength=len(upper))
+    return rows
 
 
-def byte_logs(one: np.ndarray) -> np.ndarray:
-    """log10 probabilities of 256 symbols from the probability of a one at each of the 255 decisions."""
-    symbol = np.arange(256)
-    out = np.zeros((len(one), 256))
-    for level in range(8):
-        node = (1 << level) - 1 + (symbol >> (8 - level))
-        p = one[:, node]
-        out += np.log10(np.where((symbol >> (7 - level)) & 1, p, 1 - p))
-    return out
+def _node_keys(keys: np.ndarray, level: int) -> np.ndarray:
+    """Number of the decision at a level on the way to a key's byte, below the key's context."""
+    return (keys >> 8 << 8) | (1 << level) | ((keys & 255) >> (8 - level))
 
 
 @dataclass
-class Model:
-    """step[state * width + column]: next state; logs: log10 probability of the byte there; column: of each byte value."""
-
-    step: np.ndarray
-    logs: np.ndarray
-    column: np.ndarray
-    width: int
-
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        out = np.zeros(len(texts))
-        first, size = 0, 0
-        for i, text in enumerate(texts):
-            size += len(text)
-            if size >= CHUNK or i + 1 == len(texts):
-                out[first : i + 1] = self._score(texts[first : i + 1])
-                first, size = i + 1, 0
-        return out
-
-    def _score(self, texts: list[bytes]) -> np.ndarray:
-        """All texts side by side, cut into segments; DEPTH symbols before a segment fix the state in which it starts."""
-        pad = b"\0" * DEPTH
-        stream = self.column[np.frombuffer(pad + b"".join(plain(t) + pad for t in texts), dtype=np.uint8)]
-        lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1  # with the end symbol
-        begins = DEPTH + np.concatenate(([0], np.cumsum(lengths - 1 + DEPTH)[:-1]))
-        pieces = -(-lengths // SEGMENT)
-        of = np.repeat(np.arange(len(texts)), pieces)
-        nth = np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        at = begins[of] + nth * SEGMENT
-        left = np.minimum(SEGMENT, lengths[of] - nth * SEGMENT)
-        order = np.argsort(-left, kind="stable")
-        of, at, left = of[order], at[order], left[order]
-        state = np.full(len(at), 0, dtype=np.int64)
-        for i in range(-DEPTH, 0):
-            state = self.step[state + stream[at + i]]
-        total = np.zeros(len(at))
-        alive = np.searchsorted(-left, -np.arange(int(left[0]) if len(left) else 0), side="left")  # how many have more symbols
-        for i, n in enumerate(alive.tolist()):
-            cell = state[:n] + stream[at[:n] + i]
-            total[:n] += self.logs[cell]
-            state[:n] = self.step[cell]
-        return np.bincount(of, total, minlength=len(texts))
-
-
-def build(levels: list[tuple[np.ndarray, np.ndarray]]) -> Model:
-    """levels[d]: sorted contexts of d bytes and their counts of 256 symbols, as (contexts, n x 256)."""
-    masks = [(1 << 8 * d) - 1 for d in range(len(levels))]
-    parents = [np.zeros(0, dtype=np.int64)] + [np.searchsorted(levels[d - 1][0], levels[d][0] & masks[d - 1]) for d in range(1, len(levels))]
-    depth = len(levels) - 1
-    own_share: list[np.ndarray] = [np.zeros(0)] * (depth + 1)
-    below = None  # per context of this depth: log weighted probability of its children, and their counts
-    for d in range(depth, -1, -1):
-        counts = levels[d][1]
-        n = len(counts)
-        children = np.zeros((n, 255))
-        seen = np.zeros((n, 256), dtype=np.float32)
-        if below is not None:
-            np.add.at(children, parents[d + 1], below[0])
-            np.add.at(seen, parents[d + 1], below[1])
-        weighted, share = np.zeros((n, 255)), np.zeros((n, 255), dtype=np.float32)
-        for i in range(0, n, 4096):
-            part = slice(i, i + 4096)
-            own = kt_log(*split_counts(counts[part]))
-            rest = children[part] + kt_log(*split_counts(np.maximum(counts[part] - seen[part], 0)))
-            leaf = seen[part].sum(axis=1, keepdims=True) == 0
-            share[part] = np.where(leaf, 1.0, 1 / (1 + np.exp(np.clip(rest - own, -700, 700))))
-            weighted[part] = np.where(leaf, own, np.logaddexp(own, rest) - math.log(2))
-        own_share[d], below = share, (weighted, counts)
-    used = np.flatnonzero(sum(c.sum(axis=0) for _, c in levels) > 0)
-    column = np.full(256, len(used), dtype=np.int64)
-    column[used] = np.arange(len(used))
-    unused = np.setdiff1d(np.arange(256), used)
-    width = len(used) + 1
-    offset = np.concatenate(([0], np.cumsum([len(c) for c, _ in levels])))
-    logs = np.zeros((offset[-1], width), dtype=np.float32)
-    step = np.zeros((offset[-1], width), dtype=np.int32)
-    carried, room = np.zeros((1, 255)), np.ones((1, 255))
-    for d in range(depth + 1):
-        contexts, counts = levels[d]
-        up = parents[d] if d else np.zeros(len(contexts), dtype=np.int64)
-        carried, room = carried[up].astype(np.float32), room[up].astype(np.float32)
-        rows = slice(offset[d], offset[d + 1])
-        for i in range(0, len(contexts), 4096):
-            part = slice(i, i + 4096)
-            zeros, ones = split_counts(counts[part])
-            one = (ones + 0.5) / (zeros + ones + 1.0)
-            all_bytes = byte_logs(carried[part] + room[part] * one)
-            logs[rows][part, : len(used)] = all_bytes[:, used]
-            logs[rows][part, len(used)] = np.log10(np.mean(10.0 ** all_bytes[:, unused], axis=1)) if len(unused) else -3.0
-            carried[part] += room[part] * own_share[d][part] * one
-            room[part] *= 1 - own_share[d][part]
-        after = (contexts[:, None] << 8) | used[None, :]
-        if d:
-            step[rows, : len(used)] = step[offset[d - 1] + parents[d], : len(used)]
-        deeper = min(d + 1, depth)
-        after &= masks[deeper]
-        table = levels[deeper][0]
-        spot = np.minimum(np.searchsorted(table, after), max(0, len(table) - 1))
-        found = table[spot] == after if len(table) else np.zeros_like(after, dtype=bool)
-        step[rows, : len(used)] = np.where(found, (offset[deeper] + spot) * width, step[rows, : len(used)])
-    return Model(step.reshape(-1), logs.reshape(-1), column, width)
-
-
-def fit(texts: DataFrame) -> Model:
-    """The model of all texts: counts are summed by Spark for each depth, and contexts of enough weight make the tree."""
-    grams = saved(texts.select("text").mapInArrow(_count_ngrams, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")), "ctw-counts")
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    if not total:
-        return Model(np.zeros(2, dtype=np.int32), np.full(2, math.log10(1 / 256), dtype=np.float32), np.zeros(256, dtype=np.int64), 2)
-    levels: list[tuple[np.ndarray, np.ndarray]] = []
-    for d in range(DEPTH, -1, -1):
-        mask = (1 << 8 * (d + 1)) - 1
-        grams = grams.groupBy(F.col("code").bitwiseAND(F.lit(mask)).alias("code")).agg(F.sum("n").alias("n"))
-        if d in (DEPTH, DEPTH - 1):
-            grams = saved(grams, "ctw-depth")
-        by_context = grams.groupBy(F.shiftright("code", 8).alias("context")).agg(F.sum("n").alias("all"), F.collect_list(F.struct(F.col("code").bitwiseAND(F.lit(255)).alias("byte"), "n")).alias("next"))
-        kept = by_context.where(F.col("all") * CONTEXTS >= total).select("context", "next.byte", "next.n").toArrow()
-        contexts = kept.column("context").to_numpy()
-        counts = np.zeros((len(contexts), 256), dtype=np.float32)
-        where = np.repeat(np.arange(len(contexts)), [len(x) for x in kept.column("byte").to_pylist()])
-        counts[where, kept.column("byte").combine_chunks().flatten().to_numpy()] = kept.column("n").combine_chunks().flatten().to_numpy()
-        order = np.argsort(contexts)
-        levels.insert(0, (contexts[order].astype(np.int64), counts[order]))
-    return build(levels)
+class _Nodes:
+    """Decisions of one depth and level: first row of each, the decision of each row, and per decision its estimates."""
+
+    starts: np.ndarray
+    of: np.ndarray
+    seen: np.ndarray
+    one: np.ndarray
+    share: np.ndarray
+    weighted: np.ndarray
+
+
+def _weigh(rows: dict[int, tuple], level: int, below: tuple[np.ndarray, np.ndarray] | None) -> dict[int, _Nodes]:
+    """Estimates and weights bottom up. below: sorted decisions and sums of their children's weighted logs, under the last depth."""
+    out: dict[int, _Nodes] = {}
+    for d in sorted(rows, reverse=True):
+        keys, n, _ = rows[d]
+        names = _node_keys(keys, level)
+        first = np.concatenate((np.ones(min(1, len(names)), dtype=bool), names[1:] != names[:-1]))
+        starts, of = np.flatnonzero(first), np.cumsum(first) - 1
+        total = np.bincount(of, n, minlength=len(starts))
+        ones = np.bincount(of, n * ((keys >> (7 - level)) & 1), minlength=len(starts))
+        own = kt_log(total - ones, ones)
+        kids = None
+        if d + 1 in out:
+            lower = out[d + 1]
+            kids = np.bincount(of[rows[d + 1][2][lower.starts]], lower.weighted, minlength=len(starts))
+        elif below is not None:
+            kids = np.zeros(len(starts))
+            if len(below[0]):
+                at = np.minimum(np.searchsorted(below[0], names[starts]), len(below[0]) - 1)
+                kids = np.where(below[0][at] == names[starts], below[1][at], 0.0)
+        share = np.ones(len(starts)) if kids is None else 1 / (1 + np.exp(np.clip(kids - own, -700, 700)))
+        weighted = own if kids is None else np.logaddexp(own, kids) - math.log(2)
+        out[d] = _Nodes(starts, of, total > 0, (ones + 0.5) / (total + 1.0), share, weighted)
+    return out
+
+
+def _descend(rows: dict[int, tuple], nodes: dict[int, _Nodes], state: np.ndarray) -> np.ndarray:
+    """From the state of the decisions of the first depth, as they come from above, to that of the last depth.
+
+    A state is (what shallower contexts give a one, weight that is left, estimate of the deepest context that has seen the decision).
+    """
+    for d in sorted(rows):
+        here = nodes[d]
+        if d - 1 in rows:
+            state = state[:, nodes[d - 1].of[rows[d][2][here.starts]]]
+        carried, room, last = state
+        used = np.where(here.seen, here.share, 0.0) * room
+        state = np.stack((carried + used * here.one, room - used, np.where(here.seen, here.one, last)))
+    return state
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Codes in ascending order, training counts and uses of some whole groups at a time; rows come sorted by group."""
+    held, size, limit = [], 0, GROUP_ROWS
+
+    def cut(parts: list, end: int) -> tuple:
+        order = np.argsort(parts[1][:end])
+        return tuple(x[:end][order] for x in parts[1:])
+
+    for batch in batches:
+        held.append([batch.column(c).to_numpy() for c in ("top", "code", "n", "uses")])
+        size += batch.num_rows
+        if size < limit:
+            continue
+        joined = [np.concatenate(x) for x in zip(*held)]
+        end = int(np.searchsorted(joined[0], joined[0][-1]))
+        if end:
+            yield cut(joined, end)
+        held, size = [[x[end:].copy() for x in joined]], len(joined[0]) - end
+        limit = max(GROUP_ROWS, 2 * size)
+    if size:
+        yield cut([np.concatenate(x) for x in zip(*held)], size)
+
+
+def gram_logs(docs: DataFrame, training: Column) -> DataFrame:
+    """(code, uses, logp): log10 probability of each byte after DEPTH others that the texts hold, by the tree of the training rows.
+
+    Every context of every depth is in the tree. A subtree (all contexts with the same last bytes, one more than TOP) is
+    weighted in one task, at most 2^24 codes whatever the input; depths 0 to TOP are weighted from their sums, at most 2^24 codes too.
+    """
+    spark, depth, top = docs.sparkSession, DEPTH, min(TOP, DEPTH - 1)
+    flagged = docs.select("text", F.coalesce(training, F.lit(False)).alias("training"))
+    counted = flagged.mapInArrow(_count_ngrams, "code bigint, n bigint, uses bigint")
+    grams = saved(counted.groupBy("code").agg(F.sum("n").alias("n"), F.sum("uses").alias("uses")), "ctw-counts")
+    by_top = grams.withColumn("top", F.shiftright("code", 8).bitwiseAND(F.lit((1 << 8 * (top + 1)) - 1)))
+    by_top = by_top.repartition("top").sortWithinPartitions("top")
+
+    def weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for codes, n, _ in _whole_groups(batches):
+            rows = _ladder(codes, n, top + 1, depth)
+            for level in range(8):
+                here = _weigh(rows, level, None)[top + 1]
+                names, of = np.unique(_node_keys(rows[top + 1][0][here.starts] & _mask(top), level), return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(np.bincount(of, here.weighted, minlength=len(names)))], names=["node", "weighted"])
+
+    below = by_top.mapInArrow(weights, "node bigint, weighted double").groupBy("node").agg(F.sum("weighted").alias("weighted")).toArrow().sort_by("node")
+    below = (below.column("node").to_numpy(), below.column("weighted").to_numpy())
+    short = grams.groupBy(F.col("code").bitwiseAND(F.lit(_mask(top))).alias("code")).agg(F.sum("n").alias("n")).toArrow().sort_by("code")
+    rows = _ladder(short.column("code").to_numpy(), short.column("n").to_numpy(), 0, top)
+    names, states = [], []
+    for level in range(8):
+        nodes = _weigh(rows, level, below)
+        start = np.tile(np.array([[0.0], [1.0], [0.5]]), len(nodes[0].starts))
+        states.append(_descend(rows, nodes, start))
+        names.append(_node_keys(rows[top][0][nodes[top].starts], level))
+    order = np.argsort(np.concatenate(names))
+    above = spark.sparkContext.broadcast((np.concatenate(names)[order], np.concatenate(states, axis=1)[:, order]))
+
+    def logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        upper, state = above.value
+        for codes, n, uses in _whole_groups(batches):
+            rows = _ladder(codes, n, top + 1, depth)
+            out = np.zeros(len(codes))
+            for level in range(8):
+                nodes = _weigh(rows, level, None)
+                parents = _node_keys(rows[top + 1][0][nodes[top + 1].starts] & _mask(top), level)
+                carried, room, last = _descend(rows, nodes, state[:, np.searchsorted(upper, parents)])
+                one = (carried + room * last)[nodes[depth].of]
+                out += np.log10(np.where((codes >> (7 - level)) & 1, one, 1 - one))
+            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(uses), pa.array(out)], names=["code", "uses", "logp"])
+
+    return saved(by_top.mapInArrow(logs, "code bigint, uses bigint, logp double"), "ctw-logs")
+
+
+def hot_bar(logs: DataFrame) -> int:
+    """Bucket of uses from which on codes are hot, so that at most HOT_GRAMS of them are."""
+    buckets = logs.groupBy(_bucket().alias("bucket")).agg(F.count(F.lit(1)).alias("n")).collect()  # 16 buckets an octave
+    bar, taken = 1 << 20, 0
+    for row in sorted(buckets, key=lambda r: -r["bucket"]):
+        taken += row["n"]
+        if taken > HOT_GRAMS:
+            break
+        bar = row["bucket"]
+    return bar
+
+
+def _bucket() -> Column:
+    return F.floor(F.log2("uses") * 16)
 
 
 # ---- scoring
@@ -280,8 +331,30 @@ class _Known(dict):
         return x
 
 
-RESULT = "struct<n_tokens: bigint, n_hot: bigint, hot_score: double, rare: array<bigint>, score: double>"
-_ARROW = pa.struct([("n_tokens", pa.int64()), ("n_hot", pa.int64()), ("hot_score", pa.float64()), ("rare", pa.list_(pa.int64())), ("score", pa.float64())])
+RESULT = "struct<n_tokens: bigint, n_hot: bigint, hot_score: double, rare: array<bigint>, hot_logp: double, grams: array<bigint>>"
+_ARROW = pa.struct([("n_tokens", pa.int64()), ("n_hot", pa.int64()), ("hot_score", pa.float64()), ("rare", pa.list_(pa.int64())), ("hot_logp", pa.float64()), ("grams", pa.list_(pa.int64()))])
+
+
+def _gram_sums(texts: list[bytes], known: np.ndarray, logp: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Of each text: the sum of the hot codes' logs, and its other codes."""
+    sums, others = np.zeros(len(texts)), [[] for _ in texts]
+    for codes, owner in gram_codes(texts):
+        codes, of = np.unique(codes, return_inverse=True)
+        at = np.minimum(np.searchsorted(known, codes), max(0, len(known) - 1))
+        hot = known[at] == codes if len(known) else np.zeros(len(codes), dtype=bool)
+        values = np.zeros(len(codes))
+        values[hot] = logp[at[hot]]
+        sums += np.bincount(owner, values[of], minlength=len(texts))
+        cold = np.flatnonzero(~hot[of])
+        for i, found in zip(*_runs(owner[cold], codes[of[cold]])):
+            others[i].append(found)
+    return sums, [np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in others]
+
+
+def _runs(owner: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    """Values of each owner; owners ascend."""
+    owners, starts = np.unique(owner, return_index=True)
+    return owners.tolist(), np.split(values, starts[1:])
 
 
 def _base(known: _Known, text: bytes) -> dict:
@@ -301,7 +374,10 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
     hot = tokens.where(F.col("n") * HOT >= total).toArrow()
     hot = hot.sort_by("token")
     logs = spark.sparkContext.broadcast((hot.column("token").to_numpy(), np.log10(hot.column("n").to_numpy() + 0.1) - floor))
-    model = spark.sparkContext.broadcast(fit(train))
+    by_code = gram_logs(docs, training)
+    bar = hot_bar(by_code)
+    grams = by_code.where(_bucket() >= bar).select("code", "logp").toArrow().sort_by("code")
+    grams = spark.sparkContext.broadcast((grams.column("code").to_numpy(), grams.column("logp").to_numpy()))
 
     @F.arrow_udf(RESULT)
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -311,21 +387,22 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
             for start in range(0, len(batch), 512):
                 texts = text_bytes(batch.slice(start, 512))
                 rows = [_base(known, t) for t in texts]
-                for row, s in zip(rows, model.value.score(texts).tolist()):
-                    row["score"] = s
+                for row, hot_logp, others in zip(rows, *_gram_sums(texts, *grams.value)):
+                    row |= {"hot_logp": float(hot_logp), "grams": others}
                 parts.append(pa.array(rows, _ARROW))
             yield pa.concat_arrays(parts)
 
     key = F.xxhash64("doc_id", "text").alias("key")
     rows = docs.select("doc_id", (~training).alias("held_out"), key, scored("text").alias("at"))
     rows = saved(rows.select("doc_id", "held_out", "key", "at.*"), "lm-rows")
+    same = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows_of_key"))  # repeated rows share a key, and their sums
     rare = rows.select("key", F.explode("rare").alias("token"))
     cold = tokens.where(F.col("n") * HOT < total)
     joined = rare.join(cold, "token", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     sums = joined.groupBy("key").agg(F.sum(F.log10(F.col("n") + 0.1) - F.lit(floor)).alias("cold_score"), F.sum((F.col("n") > 0).cast("bigint")).alias("n_cold"))
-    same = rows.groupBy("key").agg(F.count(F.lit(1)).alias("rows_of_key"))  # repeated rows share a key, and their sums
-    sums = sums.join(same, "key")
-    out = rows.drop("rare").join(sums, "key", "left")
+    others = rows.select("key", F.explode("grams").alias("code")).join(by_code.where(_bucket() < bar).select("code", "logp"), "code")
+    others = others.groupBy("key").agg(F.sum("logp").alias("cold_logp"))
+    out = rows.drop("rare", "grams").join(same, "key").join(sums, "key", "left").join(others, "key", "left")
     return out.select(
         "doc_id",
         "held_out",
@@ -333,5 +410,5 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
         (F.col("n_hot") + F.coalesce(F.expr("n_cold div rows_of_key"), F.lit(0))).alias("n_known"),
         F.lit(total).cast("bigint").alias("train_tokens"),
         (F.col("hot_score") + F.coalesce(F.col("cold_score") / F.col("rows_of_key"), F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("hot_logp") + F.coalesce(F.col("cold_logp") / F.col("rows_of_key"), F.lit(0.0))).alias("score"),
     )

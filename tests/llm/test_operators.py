@@ -215,57 +215,82 @@ def test_language(docs, rows, empty):
     assert {r["p"] for r in langid.identify(docs, empty).select(F.col("language.lang").alias("p")).collect()} == {"und"}
 
 
-def test_tree_agrees_with_a_plain_one(docs, empty, monkeypatch):
-    monkeypatch.setattr(ctw, "DEPTH", 2)
-    texts = [b"abracadabra", b"abrab", b"", b"dab"]
-    spark = docs.sparkSession
-    frame = spark.createDataFrame([(t.decode(),) for t in texts], "text string")
-    got = ctw.fit(frame).score([b"abra", b"", b"zab"])
-    counts = [{} for _ in range(3)]
-    for t in texts:
-        s = b"\0\0" + t + b"\0"
-        for i in range(2, len(s)):
-            if s[i] or s[i - 1]:
-                for d in range(3):
-                    counts[d].setdefault(s[i - d : i], Counter())[s[i]] += 1
-
-    def bits(c, level, prefix):
-        a = sum(n for b, n in c.items() if b >> (8 - level) == prefix and not b >> (7 - level) & 1)
-        return a, sum(n for b, n in c.items() if b >> (8 - level) == prefix) - a
+def _plain_tree(training, depth):
+    """log10 probability of a text by a recursive context tree over the training texts; each text has one end."""
+    counts = [{} for _ in range(depth + 1)]
+    for t in training:
+        s = b"\0" * depth + t + b"\0"
+        for i in range(depth, len(s)):
+            for d in range(depth + 1):
+                counts[d].setdefault(s[i - d : i], Counter())[s[i]] += 1
+
+    def bits(context, level, prefix):
+        c = counts[len(context)].get(context, {})
+        under = {b: n for b, n in c.items() if b >> (8 - level) == prefix}
+        ones = sum(n for b, n in under.items() if b >> (7 - level) & 1)
+        return sum(under.values()) - ones, ones
 
     def kt(a, b):
         return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi) if a + b else 0.0
 
-    def weigh(context, level, prefix):
-        """Own and children's log probabilities, and whether there are children."""
-        d, c = len(context), counts[len(context)][context]
-        below = [x for x in counts[d + 1] if x.endswith(context)] if d < 2 else []
-        rest = Counter(c)
-        for x in below:
-            rest.subtract(counts[d + 1][x])
-        children = sum(total(x, level, prefix) for x in below) + kt(*bits(+rest, level, prefix))
-        return kt(*bits(c, level, prefix)), children, bool(below)
+    def children(context, level, prefix):
+        return sum(total(x, level, prefix) for x in counts[len(context) + 1] if x.endswith(context))
 
     def total(context, level, prefix):
-        own, children, inner = weigh(context, level, prefix)
-        return math.log(math.exp(own) / 2 + math.exp(children) / 2) if inner else own
-
-    def chance(context, level, prefix, one):
-        a, b = bits(counts[len(context)][context], level, prefix)
-        estimate = ((b if one else a) + 0.5) / (a + b + 1)
-        longer = history[len(history) - len(context) - 1 :] if len(context) < 2 else None
-        if longer is None or longer not in counts[len(context) + 1]:
+        own = kt(*bits(context, level, prefix))
+        if len(context) == depth:
+            return own
+        return math.log(math.exp(own) / 2 + math.exp(children(context, level, prefix)) / 2)
+
+    def one(history, d, level, prefix):
+        context = history[depth - d :]
+        a, b = bits(context, level, prefix)
+        estimate = (b + 0.5) / (a + b + 1)
+        if d == depth or not sum(bits(history[depth - d - 1 :], level, prefix)):
             return estimate
-        own, children, _ = weigh(context, level, prefix)
-        share = 1 / (1 + math.exp(children - own))
-        return share * estimate + (1 - share) * chance(longer, level, prefix, one)
-
-    for text, score in zip([b"abra", b""], got):
-        s, want = b"\0\0" + text + b"\0", 0.0
-        for i in range(2, len(s)):
-            history = s[i - 2 : i]
-            want += sum(math.log10(chance(b"", level, s[i] >> (8 - level), s[i] >> (7 - level) & 1)) for level in range(8))
-        assert score == pytest.approx(want, rel=1e-4)
+        share = 1 / (1 + math.exp(children(context, level, prefix) - kt(a, b)))
+        return share * estimate + (1 - share) * one(history, d + 1, level, prefix)
+
+    def score(text):
+        s, out = b"\0" * depth + text + b"\0", 0.0
+        for i in range(depth, len(s)):
+            for level in range(8):
+                p = one(s[i - depth : i], 0, level, s[i] >> (8 - level))
+                out += math.log10(p if s[i] >> (7 - level) & 1 else 1 - p)
+        return out
+
+    return score
+
+
+@pytest.mark.parametrize("top, hot", [(2, 1 << 20), (0, 0), (1, 40)])
+def test_tree_agrees_with_a_plain_one(docs, monkeypatch, top, hot):
+    monkeypatch.setattr(ctw, "TOP", top)
+    monkeypatch.setattr(ctw, "HOT_GRAMS", hot)
+    texts = ["abracadabra", "abrab", "", None, "dab", "a\0b", "zz top", "", "abra", "abrab"]  # the last four are held out
+    frame = docs.sparkSession.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, logp long")
+    plain = [(t or "").replace("\0", "\1").encode() for t in texts]
+    want = _plain_tree(plain[:6], 5)
+    got = {r["doc_id"]: r["score"] for r in ctw.score(frame, F.col("doc_id") < 6).collect()}
+    assert got == {i: pytest.approx(want(t), rel=1e-9) for i, t in enumerate(plain)}
+    assert got[2] == got[3] == got[7]
+    doubled = ctw.score(frame.union(frame.where("doc_id > 5")), F.col("doc_id") < 6).collect()
+    assert Counter(r["doc_id"] for r in doubled) == Counter(list(range(6)) + [6, 7, 8, 9] * 2)
+    assert all(r["score"] == pytest.approx(got[r["doc_id"]], rel=1e-9) for r in doubled)
+
+
+def test_tree_without_training(docs, monkeypatch):
+    frame = docs.sparkSession.createDataFrame([(1, "abc"), (2, None)], "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in ctw.score(frame, F.lit(False)).collect()}
+    assert got == {1: pytest.approx(4 * math.log10(1 / 256)), 2: pytest.approx(math.log10(1 / 256))}
+
+
+def test_long_texts_are_cut_with_their_context(monkeypatch):
+    texts = [b"abcdefghij" * 3, b"", b"xy", b"q" * 17]
+    whole = [(c.tolist(), o.tolist()) for c, o in ctw.gram_codes(texts)]
+    monkeypatch.setattr(ctw, "CHUNK", 7)
+    cut = [(c.tolist(), o.tolist()) for c, o in ctw.gram_codes(texts)]
+    assert len(whole) == 1 and len(cut) > 5
+    assert [sum((x[i] for x in cut), []) for i in (0, 1)] == list(whole[0])
 
 
 def test_scores(docs, rows, empty):
