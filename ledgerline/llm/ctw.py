@@ -22,6 +22,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +38,9 @@ TOP = 2
 #: Broadcast at most: codes of (context, byte), and tokens.
 HOT_GRAMS = 1 << 20
 HOT = 500_000
-#: Codes in a task's arrays at once, and codes of whole groups.
+#: Codes in a task's arrays at once where they are counted and where they are scored, and codes of whole groups.
 CHUNK = 4 << 20
+SCORED = 1 << 18
 GROUP_ROWS = 1 << 17
 END = b"\n"  # no word holds white space, so this names the end token
 _FLUSH = 250_000
@@ -56,30 +58,33 @@ def _mask(depth: int) -> int:
     return (1 << 8 * (depth + 1)) - 1
 
 
-def gram_codes(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Codes (DEPTH bytes of context, byte) of the texts' bytes and ends, and the text of each; about CHUNK codes at a time.
+def gram_codes(texts: list[bytes], chunk: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Codes (DEPTH bytes of context, byte) of the texts' bytes and ends, and the text of each; about chunk codes at a time.
 
     Zero bytes stand before a text, and one is its end. A text longer than a chunk is cut, with its context before each piece.
     """
     pad, held, owners, sizes, n_held = b"\0" * DEPTH, [], [], [], 0
 
     def flush() -> tuple[np.ndarray, np.ndarray]:
-        a = np.frombuffer(b"".join(held), dtype=np.uint8).astype(np.int64)
+        a = np.frombuffer(b"".join(held), dtype=np.uint8)
         codes = np.zeros(len(a) - DEPTH, dtype=np.int64)
         for i in range(DEPTH + 1):
-            codes = (codes << 8) | a[i : len(a) - DEPTH + i]
-        piece = np.repeat(np.arange(len(sizes)), sizes)
-        return codes[np.arange(len(piece)) + DEPTH * piece], np.asarray(owners)[piece]
+            codes <<= 8
+            codes |= a[i : len(a) - DEPTH + i]
+        begins = np.cumsum(np.asarray(sizes[:-1], dtype=np.int64) + DEPTH)  # of the pieces after the first
+        inside = np.ones(len(codes), dtype=bool)
+        inside[(begins[:, None] - np.arange(1, DEPTH + 1)).ravel()] = False
+        return codes[inside], np.repeat(np.asarray(owners), sizes)
 
     for owner, text in enumerate(texts):
         whole = pad + plain(text) + b"\0"
-        for start in range(DEPTH, len(whole), CHUNK):
-            piece = whole[start - DEPTH : start + CHUNK]
+        for start in range(DEPTH, len(whole), chunk):
+            piece = whole[start - DEPTH : start + chunk]
             held.append(piece)
             owners.append(owner)
             sizes.append(len(piece) - DEPTH)
             n_held += sizes[-1]
-            if n_held >= CHUNK:
+            if n_held >= chunk:
                 yield flush()
                 held, owners, sizes, n_held = [], [], [], 0
     if held:
@@ -90,11 +95,13 @@ def _count_ngrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     held, flags, size = [], [], 0
 
     def rows() -> Iterator[pa.RecordBatch]:
-        trained = np.asarray(flags)
-        for codes, owner in gram_codes(held):
-            codes, of, uses = np.unique(codes, return_inverse=True, return_counts=True)
-            n = np.bincount(of, trained[owner], minlength=len(codes)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n), pa.array(uses.astype(np.int64))], names=["code", "n", "uses"])
+        trained = np.asarray(flags, dtype=np.int64)
+        for codes, owner in gram_codes(held, CHUNK):
+            codes <<= 1
+            codes |= trained[owner]
+            codes, uses = np.unique(codes, return_counts=True)
+            n = np.where(codes & 1, uses, 0)
+            yield pa.RecordBatch.from_arrays([pa.array(codes >> 1), pa.array(n), pa.array(uses)], names=["code", "n", "uses"])
 
     for batch in batches:
         for text, flag in zip(text_bytes(batch.column(0)), batch.column(1).to_pylist()):
@@ -315,40 +322,60 @@ def _bucket() -> Column:
 # ---- scoring
 
 
-class _Known(dict):
-    """log10 base probability of hot words, by word; not a number for others. A cache of bounded size over sorted hashes."""
-
-    def __init__(self, tokens: np.ndarray, logs: np.ndarray):
-        super().__init__()
-        self.tokens, self.logs = tokens, logs
-
-    def __missing__(self, word: bytes) -> float:
-        if len(self) > 200_000:
-            self.clear()
-        token = np.int64(_hash(word))
-        at = int(self.tokens.searchsorted(token))
-        self[word] = x = float(self.logs[at]) if at < len(self.tokens) and self.tokens[at] == token else math.nan
-        return x
-
-
 RESULT = "struct<n_tokens: bigint, n_hot: bigint, hot_score: double, rare: array<bigint>, hot_logp: double, grams: array<bigint>>"
 _ARROW = pa.struct([("n_tokens", pa.int64()), ("n_hot", pa.int64()), ("hot_score", pa.float64()), ("rare", pa.list_(pa.int64())), ("hot_logp", pa.float64()), ("grams", pa.list_(pa.int64()))])
 
 
-def _gram_sums(texts: list[bytes], known: np.ndarray, logp: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Of each text: the sum of the hot codes' logs, and its other codes."""
-    sums, others = np.zeros(len(texts)), [[] for _ in texts]
-    for codes, owner in gram_codes(texts):
-        codes, of = np.unique(codes, return_inverse=True)
-        at = np.minimum(np.searchsorted(known, codes), max(0, len(known) - 1))
-        hot = known[at] == codes if len(known) else np.zeros(len(codes), dtype=bool)
-        values = np.zeros(len(codes))
-        values[hot] = logp[at[hot]]
-        sums += np.bincount(owner, values[of], minlength=len(texts))
-        cold = np.flatnonzero(~hot[of])
-        for i, found in zip(*_runs(owner[cold], codes[of[cold]])):
-            others[i].append(found)
-    return sums, [np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in others]
+class _Hot:
+    """Logs of hot codes or tokens by an open-addressed table of their places; a place of 0 is a free slot."""
+
+    def __init__(self, codes: np.ndarray, logs: np.ndarray):
+        bits = max(10, int(4 * len(codes)).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
+        self.codes, self.logs = np.concatenate(([-1], codes)), np.concatenate(([0.0], logs))
+        self.slots = np.zeros(1 << bits, dtype=np.int32)
+        left, at = np.arange(1, len(codes) + 1, dtype=np.int32), self._first(codes)
+        while len(left):
+            free = self.slots[at] == 0
+            self.slots[at[free]] = left[free]  # of several for one slot the last stays
+            out = self.slots[at] != left
+            left, at = left[out], (at[out] + 1) & self.mask
+
+    def _first(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).view(np.int64)
+
+    def places(self, codes: np.ndarray) -> np.ndarray:
+        """Place of each code, 0 of those that are not hot."""
+        at = self._first(codes)
+        place = self.slots[at]
+        left = np.flatnonzero((self.codes[place] != codes) & (place > 0))
+        while len(left):
+            at[left] = (at[left] + 1) & self.mask
+            place[left] = self.slots[at[left]]
+            found = place[left]
+            left = left[(found > 0) & (self.codes[found] != codes[left])]
+        return place
+
+
+def token_hashes(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Hashes of the words and ends of all texts, and the text of each."""
+    words = [[*text.lower().split(), END] for text in texts]
+    sizes = [len(x) for x in words]
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(words)), np.uint64, sum(sizes))
+    yield hashes.view(np.int64), np.repeat(np.arange(len(texts)), sizes)
+
+
+def _sums(found: Iterator[tuple[np.ndarray, np.ndarray]], hot: _Hot, n: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Of each of n texts: the sum of its hot codes' logs, how many those are, and its other codes."""
+    sums, known, others = np.zeros(n), np.zeros(n, dtype=np.int64), [[] for _ in range(n)]
+    for codes, owner in found:
+        place = hot.places(codes)
+        sums += np.bincount(owner, hot.logs[place], minlength=n)
+        known += np.bincount(owner[place > 0], minlength=n)
+        cold = np.flatnonzero(place == 0)
+        for i, values in zip(*_runs(owner[cold], codes[cold])):
+            others[i].append(values)
+    return sums, known, [np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in others]
 
 
 def _runs(owner: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
@@ -357,13 +384,6 @@ def _runs(owner: np.ndarray, values: np.ndarray) -> tuple[list[int], list[np.nda
     return owners.tolist(), np.split(values, starts[1:])
 
 
-def _base(known: _Known, text: bytes) -> dict:
-    words = [*text.lower().split(), END]
-    logs = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
-    rare = np.flatnonzero(np.isnan(logs)).tolist()
-    return {"n_tokens": len(words), "n_hot": len(words) - len(rare), "hot_score": float(np.nansum(logs)), "rare": [_hash(words[i]) for i in rare]}
-
-
 def score(docs: DataFrame, training: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; training tells the rows that are learned from."""
     spark = docs.sparkSession
@@ -372,24 +392,23 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
     total, distinct = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     floor = math.log10(total + 0.1 * (distinct + 1))
     hot = tokens.where(F.col("n") * HOT >= total).toArrow()
-    hot = hot.sort_by("token")
-    logs = spark.sparkContext.broadcast((hot.column("token").to_numpy(), np.log10(hot.column("n").to_numpy() + 0.1) - floor))
+    hot = spark.sparkContext.broadcast(_Hot(hot.column("token").to_numpy(), np.log10(hot.column("n").to_numpy() + 0.1) - floor))
     by_code = gram_logs(docs, training)
     bar = hot_bar(by_code)
-    grams = by_code.where(_bucket() >= bar).select("code", "logp").toArrow().sort_by("code")
-    grams = spark.sparkContext.broadcast((grams.column("code").to_numpy(), grams.column("logp").to_numpy()))
+    grams = by_code.where(_bucket() >= bar).select("code", "logp").toArrow()
+    grams = spark.sparkContext.broadcast(_Hot(grams.column("code").to_numpy(), grams.column("logp").to_numpy()))
 
     @F.arrow_udf(RESULT)
     def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known = _Known(*logs.value)
         for batch in batches:
             parts = []
             for start in range(0, len(batch), 512):
                 texts = text_bytes(batch.slice(start, 512))
-                rows = [_base(known, t) for t in texts]
-                for row, hot_logp, others in zip(rows, *_gram_sums(texts, *grams.value)):
-                    row |= {"hot_logp": float(hot_logp), "grams": others}
-                parts.append(pa.array(rows, _ARROW))
+                words = _sums(token_hashes(texts), hot.value, len(texts))
+                logp, _, others = _sums(gram_codes(texts, SCORED), grams.value, len(texts))
+                n_tokens = [n + len(rare) for n, rare in zip(words[1].tolist(), words[2])]
+                columns = (n_tokens, words[1], words[0], words[2], logp, others)
+                parts.append(pa.StructArray.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _ARROW)], fields=list(_ARROW)))
             yield pa.concat_arrays(parts)
 
     key = F.xxhash64("doc_id", "text").alias("key")

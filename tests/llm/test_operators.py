@@ -7,6 +7,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
@@ -284,15 +285,21 @@ def test_tree_without_training(docs, monkeypatch):
     assert got == {1: pytest.approx(4 * math.log10(1 / 256)), 2: pytest.approx(math.log10(1 / 256))}
 
 
-def test_long_texts_are_cut_with_their_context(monkeypatch):
+def test_long_texts_are_cut_with_their_context():
     texts = [b"abcdefghij" * 3, b"", b"xy", b"q" * 17]
-    whole = [(c.tolist(), o.tolist()) for c, o in ctw.gram_codes(texts)]
-    monkeypatch.setattr(ctw, "CHUNK", 7)
-    cut = [(c.tolist(), o.tolist()) for c, o in ctw.gram_codes(texts)]
+    whole, cut = ([(c.tolist(), o.tolist()) for c, o in ctw.gram_codes(texts, chunk)] for chunk in (1000, 7))
     assert len(whole) == 1 and len(cut) > 5
     assert [sum((x[i] for x in cut), []) for i in (0, 1)] == list(whole[0])
 
 
+def test_hot_codes_are_found():
+    codes = np.unique(np.random.default_rng(5).integers(0, 1 << 48, 5000))
+    hot = ctw._Hot(codes[::2], np.arange(len(codes[::2]), dtype=float))
+    place = hot.places(codes)
+    assert (place[1::2] == 0).all() and (hot.logs[place[::2]] == np.arange(len(codes[::2]))).all()
+    assert (ctw._Hot(codes[:0], np.zeros(0)).places(codes) == 0).all()
+
+
 def test_scores(docs, rows, empty):
     training = F.coalesce(F.col("doc_id"), F.lit(0)) % 10 != 0
     got = ctw.score(docs, training).collect()
