@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import invoice, lookups, taxes
 from ledgerline.plans import queries
-from ledgerline.plans.fixtures import fan_out
+from ledgerline.plans.fixtures import fan_out, fixture
 
 LINES = "doc_id bigint, line_no int, item_name string, category string, amount double"
 
@@ -47,3 +47,9 @@ def test_rows_are_made_only_where_their_condition_holds(spark):
     spark.range(6).createOrReplaceTempView("fanned")
     sql = fan_out("spark", "(SELECT id AS doc_id FROM fanned) b", ["n"], [["raise_error('made')", "doc_id < 0"], ["doc_id * 2", "doc_id % 2 = 0"], ["7", "IF(doc_id = 1, NULL, doc_id = 3)"]])
     assert sorted((r.doc_id, r.n) for r in spark.sql(sql).select("doc_id", F.col("n").cast("int")).collect()) == [(0, 0), (2, 4), (3, 7), (4, 8)]
+
+
+def test_responses_of_a_single_row_group_are_parsed_by_many_tasks(spark, sf_dir):
+    plain, spread = (fixture(spark, sf_dir, "fx_responses", spread=s) for s in (False, True))
+    assert plain.rdd.getNumPartitions() == 1 and spread.where("length(raw) > 0").rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    assert spread.exceptAll(plain).isEmpty() and plain.exceptAll(spread).isEmpty()
