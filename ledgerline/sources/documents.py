@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 SUMMARY_COLUMNS = ["id", "document_name", "document_type", "processing_status", "created_at", "metadata"]
 DEFAULT_LIMIT, MAX_LIMIT = 50, 100  # fixed values
-#: Hash parts of an appended batch, and rows that a part of a compacted store has.
+#: Least hash parts of an appended batch, and rows that a part of a batch or of a compacted store has.
 APPEND_PARTS, PART_ROWS = 8, 1_000_000
 _OWN = ["append_attempt", "key_part", "append_batch"]
 
@@ -26,12 +26,15 @@ def _part(key: Column, parts: int) -> Column:
 
 
 def _write(df: DataFrame, path: str, parts: int, batches: list[str]) -> None:
-    """Write rows and names of one attempt, then commit it for the batches; the commit is a single small file."""
+    """Write rows and names of one attempt, then commit it for the batches; the commit is a single small file.
+
+    Each part is one task, so that a task sorts about PART_ROWS rows however many there are in all.
+    """
     attempt = uuid.uuid4().hex
     names = df.select("document_name", "id", "created_at", "append_batch")
     for table, rows, key in (("rows", df, "id"), ("names", names, "document_name")):
         own = rows.withColumn("append_attempt", F.lit(attempt)).withColumn("key_part", _part(F.col(key), parts))
-        own = own.repartition(parts, "key_part").sortWithinPartitions("key_part", key)
+        own = own.repartitionById(parts, F.col("key_part")).sortWithinPartitions("key_part", key)
         own.write.mode("append").partitionBy("append_attempt", "key_part").parquet(f"{path}/{table}")
     commit = df.sparkSession.createDataFrame([(b, attempt, parts) for b in batches], "batch string, attempt string, parts int")
     commit.withColumn("committed_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{path}/commits")
@@ -48,7 +51,7 @@ def append_documents(df: DataFrame, path: str, batch: str | None = None) -> None
         df = df.withColumn("created_at", F.current_timestamp())
     if "id" not in df.columns:
         df = df.withColumn("id", F.concat_ws("-", F.lit(batch), F.monotonically_increasing_id().cast("string")))
-    _write(df.withColumn("append_batch", F.lit(batch)), path, APPEND_PARTS, [batch])
+    _write(df.withColumn("append_batch", F.lit(batch)), path, max(APPEND_PARTS, -(-df.count() // PART_ROWS)), [batch])
 
 
 def _live(spark: SparkSession, path: str) -> list:

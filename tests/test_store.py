@@ -60,3 +60,15 @@ def test_a_batch_written_again_after_a_compaction_counts_once(spark, tmp_path):
     assert documents.stored_by_id(spark, path, 19).count() == 0 and documents.stored_by_id(spark, path, 12).count() == 1
     documents.compact(spark, path)
     assert sorted(r.id for r in documents.read_documents(spark, path).collect()) == [*range(18), *range(20, 25)]
+
+
+def test_tasks_that_write_stay_small_however_large_the_batch(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(documents, "PART_ROWS", 500)
+    path = str(tmp_path / "store")
+    documents.append_documents(rows_of(spark, 0, 16000), path, "a")
+    stored = documents._visible(spark, path, "rows").withColumn("file", F.input_file_name())
+    parts = stored.groupBy("key_part").agg(F.count("id").alias("n"), F.countDistinct("file").alias("files")).collect()
+    assert len(parts) == 32 and max(r.n for r in parts) < 750 and {r.files for r in parts} == {1}
+    own = spark.range(32).select(F.col("id").cast("int").alias("key_part")).repartitionById(32, F.col("key_part"))
+    assert own.groupBy(F.spark_partition_id()).count().count() == 32  # no task gets two parts
+    assert [r.id for r in documents.stored_by_id(spark, path, 42).collect()] == [42]
