@@ -32,8 +32,14 @@ SEED = 42
 MAX_BITS = 2
 SHARED_BYTES = 8 - MAX_BITS
 LONG = 16
-#: Wide fingerprints: words of 64 bits, positional bytes that a pair shares at least, and bits that may differ.
-WORDS, WIDE_SHARED, WIDE_BITS = 4, 3, 40
+#: Wide fingerprints: words of 64 bits, and bits that may differ.
+WORDS, WIDE_BITS = 4, 40
+#: Texts whose shingle counts have at least this cosine meet under a shingle; those of at most WHOLE shingles, where they share any.
+COSINE, WHOLE = 0.65, 64
+#: Shingles in a thousandth of about so many texts are frequent; the most frequent of them are put last, which orders them but leaves none out.
+SAMPLED, FREQUENT = 5000, 20_000
+#: Low bits of a listed value that name the text; the others name the shingle.
+TEXT_BITS = 28
 #: Rounds that thin out the edges before components are looked for.
 SMALL_STARS = 3
 #: Each row goes under as many choices of three positional bytes; above about 1e9 different texts take four a choice.
@@ -182,10 +188,7 @@ def _tree_edges(prints: np.ndarray, ids: np.ndarray) -> list[tuple[int, int]]:
         group = list(todo)
         while todo and len(left):
             at = todo.pop()
-            xor = prints[left] ^ prints[at]
-            shared = (xor.view(np.uint8).reshape(len(left), -1) == 0).sum(axis=1)
-            near = shared >= WIDE_SHARED
-            near[near] = np.bitwise_count(xor[near]).sum(axis=1) <= WIDE_BITS
+            near = np.bitwise_count(prints[left] ^ prints[at]).sum(axis=1) <= WIDE_BITS
             found = left[near].tolist()
             group += found
             todo += found
@@ -230,8 +233,102 @@ def _edge_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([e[i] for e in edges], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
 
-def wide_links(prints: DataFrame) -> DataFrame:
-    """Edges (a, b) between nodes of prints (node, w0, w1, ...) that meet under a choice of positional bytes and are near."""
+def listed(text: bytes, text_key: int, last: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+    """Values under which a text is listed: one for each shingle of its prefix, with the text's TEXT_BITS below.
+
+    Every text orders its shingles alike: by hash, those of last (sorted) behind, by their ranks. What is behind the prefix has
+    a norm under COSINE of the whole, so of two texts with that cosine each has the first shingle they share in its prefix.
+    """
+    shingles, counts = np.unique(shingle_hashes(text, 3), return_counts=True)
+    if len(shingles) > WHOLE:
+        if len(last):
+            at = np.minimum(np.searchsorted(last, shingles), len(last) - 1)
+            order = np.argsort(np.where(last[at] == shingles, ranks[at] + 1, 0), kind="stable")
+            shingles, counts = shingles[order], counts[order]
+        mass = np.cumsum(counts.astype(np.float64) ** 2)
+        shingles = shingles[: int(np.searchsorted(mass, (1 - COSINE**2) * mass[-1], side="right")) + 1]
+    low = np.uint64((1 << TEXT_BITS) - 1)
+    return ((shingles * np.uint64(0x9E3779B97F4A7C15)) & ~low | np.uint64(text_key & int(low))).view(np.int64)
+
+
+def _shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, short) of the shingles that several texts list, from sorted values; equal lists of a task once, under one key."""
+    seen: set[int] = set()
+
+    def of(values: np.ndarray) -> pa.RecordBatch:
+        values = values[np.concatenate(([True], values[1:] != values[:-1]))]
+        at = values >> TEXT_BITS
+        starts = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
+        sizes = np.diff(np.append(starts, len(values)))
+        short = values & ((1 << TEXT_BITS) - 1)
+        keys = np.add.reduceat(mixed(short.astype(np.uint64) + np.uint64(1), 1), starts).view(np.int64)
+        new = np.zeros(len(keys), dtype=bool)
+        for i in np.flatnonzero(sizes > 1).tolist():
+            key = int(keys[i])
+            if key not in seen:
+                seen.add(key)
+                new[i] = True
+        rows = np.repeat(new, sizes)
+        return pa.RecordBatch.from_arrays([pa.array(np.repeat(keys, sizes)[rows]), pa.array(short[rows])], names=["key", "short"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch.column(0).to_numpy())
+        n += len(held[-1])
+        if n >= 1 << 17:
+            values = np.concatenate(held)
+            cut = int(np.searchsorted(values >> TEXT_BITS, values[-1] >> TEXT_BITS))  # the last list may go on
+            if cut:
+                yield of(values[:cut])
+            held, n = [values[cut:].copy()], 0
+    if sum(map(len, held)):
+        yield of(np.concatenate(held))
+
+
+def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles in a thousandth or more of about SAMPLED texts of docs (text_key, text), sorted, and their ranks, the rarest first."""
+    every = max(1, docs.count() // SAMPLED)
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [np.zeros(0, dtype=np.uint64), *(np.unique(shingle_hashes(x, 3)) for x in text_bytes(batch.column("text")))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["shingle"])
+
+    some = docs.where(F.pmod(F.xxhash64("text_key"), F.lit(every)) == 0).mapInArrow(shingles, "shingle bigint")
+    often = some.groupBy("shingle").count().where(F.col("count") >= max(2, SAMPLED // 1000)).orderBy(F.desc("count"), "shingle").limit(FREQUENT)
+    found = np.array([r["shingle"] for r in often.collect()], dtype=np.int64).view(np.uint64)[::-1]
+    ranks = np.argsort(found)
+    return found[ranks], ranks
+
+
+def shingle_lists(docs: DataFrame, prints: DataFrame) -> DataFrame:
+    """Rows (key, node, w0, ...) in which the texts of docs (text_key, text) that share a shingle of their prefixes have one key."""
+    last, ranks = frequent_shingles(docs)
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # a task lists copies once
+        for batch in batches:
+            found = [np.zeros(0, dtype=np.int64)]
+            for key, text in zip(batch.column("text_key").to_pylist(), text_bytes(batch.column("text"))):
+                if key not in seen:
+                    seen.add(key)
+                    found.append(listed(text, key, last, ranks))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found))], names=["value"])
+
+    found = docs.where("text is not null").mapInArrow(values, "value bigint")
+    found = found.repartition(F.shiftright("value", TEXT_BITS)).sortWithinPartitions("value")
+    found = found.mapInArrow(_shared_lists, "key bigint, short bigint")
+    short = F.col("text_key").bitwiseAND(F.lit((1 << TEXT_BITS) - 1)).alias("short")
+    texts = prints.select(short, "node", *(f"w{i}" for i in range(WORDS))).distinct()
+    # texts of one short name are all put into its lists, and meet each other under it: that adds meetings and loses none
+    return found.join(texts, "short").drop("short").unionByName(texts.withColumnRenamed("short", "key"))
+
+
+def wide_links(prints: DataFrame, lists: DataFrame | None = None) -> DataFrame:
+    """Edges (a, b) between nodes of prints (node, w0, w1, ...) that meet under a choice of positional bytes and are near.
+
+    Rows of lists (key, node, w0, w1, ...) with one key meet as well.
+    """
 
     def byte(position: int) -> Column:
         return F.shiftrightunsigned(f"w{position // 8}", 8 * (position % 8)).bitwiseAND(F.lit(255))
@@ -244,6 +341,8 @@ def wide_links(prints: DataFrame) -> DataFrame:
         keys.append(key)
     words = [f"w{i}" for i in range(WORDS)]
     index = prints.select(F.explode(F.array(*keys)).alias("key"), "node", *words)
+    if lists is not None:
+        index = index.unionByName(lists)
     index = index.repartition("key").sortWithinPartitions("key")
     edges = index.mapInArrow(_meet, "a bigint, b bigint").distinct()
     for _ in range(SMALL_STARS):  # a node's smaller neighbours go under the smallest of them: connects the same, with fewer edges
@@ -256,27 +355,33 @@ def wide_links(prints: DataFrame) -> DataFrame:
 def keep_one_of_copies(docs: DataFrame) -> DataFrame:
     """One row of docs of each group of near copies, that of the smallest doc_id, with docs' own columns.
 
-    Near are equal texts, and texts whose fingerprints of WORDS * 64 bits over three-word shingles differ in at most WIDE_BITS
-    bits and agree in one of the CHOICES of three positional bytes. Texts that share 0.8 of their five-word shingles differ in
-    about 30 bits and agree so with a chance of 0.96; some of 0.7 are near too, texts of other words (128 bits) are not. A list
-    links its members as all its pairs would, whatever their number; groups are the components.
+    Near are texts whose fingerprints of WORDS * 64 bits over three-word shingles differ in at most WIDE_BITS bits. They meet
+    under CHOICES of three positional bytes, which miss some, and under the shingles of their prefixes (listed), which miss none
+    whose counts of shingles have a cosine of COSINE, nor any of two texts of at most WHOLE shingles that share one. At that
+    cosine about 70 bits differ; 40 or fewer, by a chance of about 1e-5, and less the lower the cosine is. Texts
+    that share 0.8 of their five-word shingles differ in about 30 bits, texts of other words in 128. A list links its members as
+    all its pairs would, whatever their number; groups are the components.
 
     Texts without a word (null, empty, white space) are one group; rows without a doc_id stay only where their group has no
     other, repeated rows once; an empty table gives an empty result.
     """
     words = [F.col("print")[i].alias(f"w{i}") for i in range(WORDS)]
     prints = saved(docs.select("doc_id", F.xxhash64("text").alias("text_key"), wide_fingerprint_of("text").alias("print")).select("doc_id", "text_key", *words, F.xxhash64("print").alias("node")), "copies-prints")
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "n")
     names = [f"w{i}" for i in range(WORDS)]
-    distinct = saved(prints.groupBy("node", *names).agg(F.min(order).alias("best")), "copies-distinct")
-    roots = components(wide_links(distinct.select("node", *names)))
+    rows = prints.groupBy("node", *names, "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n"))
+    distinct = saved(rows.groupBy("node", *names).agg(F.min(order).alias("best")), "copies-distinct")
+    texts = docs.select(F.xxhash64("text").alias("text_key"), "text")
+    roots = components(wide_links(distinct.select("node", *names), shingle_lists(texts, prints)))
     rooted = distinct.select("node", "best").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = rooted.groupBy("root").agg(F.min("best").alias("best"))
-    a, b = free_name(docs, "row_key"), free_name(docs, "row_key_too")
+    a, b, n = (free_name(docs, x) for x in ("row_key", "row_key_too", "n_rows"))
 
     def keys(doc_id: Column, text_key: Column) -> list[Column]:
         return [F.xxhash64(F.lit(x), doc_id.isNull(), doc_id, text_key).alias(y) for x, y in ((1, a), (2, b))]
 
-    stays = saved(best.select(*keys(F.col("best.doc_id"), F.col("best.text_key"))), "copies-stay")
-    held = docs.select("*", *keys(F.col("doc_id"), F.xxhash64("text"))).join(stays, [a, b], "left_semi")
-    return held.dropDuplicates([a, b]).select(*docs.columns)
+    stays = best.select(*keys(F.col("best.doc_id"), F.col("best.text_key")), F.col("best.n").alias(n))
+    stays = saved(stays.groupBy(a, b).agg(F.sum(n).alias(n)), "copies-stay")
+    held = docs.select("*", *keys(F.col("doc_id"), F.xxhash64("text"))).join(stays, [a, b])
+    once, repeated = held.where(F.col(n) == 1), held.where(F.col(n) > 1).dropDuplicates([a, b])  # texts that come once need no shuffle
+    return once.unionByName(repeated).select(*docs.columns)

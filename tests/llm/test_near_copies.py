@@ -101,3 +101,57 @@ def test_edges_of_near_copies(spark):
     want = [(2, text), (7, None), (10, "w " * 100_000), (11, "one"), (None, "alone in its group")]
     assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted(want, key=str)
     assert simhash.keep_one_of_copies(docs.limit(0)).count() == 0
+
+
+def test_pairs_that_meet_under_no_choice_of_bytes_are_caught(spark):
+    rng = random.Random(5)
+    common = _text(rng, 40)  # in all texts, a third of most
+    rows, missed = [], []
+    while len(missed) < 25:
+        text = _text(rng, rng.choice((20, 90, 150))) + " " + common
+        edited = _edited(rng, text, max(1, len(text.split()) // 35))
+        if rng.random() < 0.2:
+            text, edited = text + " so it goes" * 60, edited + " so it goes" * 90
+        xor = simhash.wide_simhash(text.encode()) ^ simhash.wide_simhash(edited.encode())
+        same = xor.view(np.uint8) == 0
+        rows += [text, edited]
+        if np.bitwise_count(xor).sum() <= simhash.WIDE_BITS and not any(same[choice].all() for choice in simhash.CHOICES):
+            missed.append(len(rows) - 1)
+    prints = np.stack([simhash.wide_simhash(t.encode()) for t in rows])
+    near = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if np.bitwise_count(prints[i] ^ prints[j]).sum() <= simhash.WIDE_BITS]
+    roots = _roots(len(rows), near)
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id bigint, text string").repartition(4)
+    kept = {r["doc_id"] for r in simhash.keep_one_of_copies(frame).collect()}
+    assert not kept & set(missed)
+    assert kept == {i for i, root in enumerate(roots) if root == i}
+
+
+def test_texts_of_a_cosine_have_the_first_shingle_they_share_in_both_prefixes():
+    rng = random.Random(6)
+    words = ["a", "b", "c", "d", "e"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.choice((60, 200, 600)))) for _ in range(60)]
+    texts += [_edited(rng, t, 8) for t in texts]
+    often = np.unique(np.concatenate([simhash.shingle_hashes(t.encode(), 3) for t in texts[:9]]))
+    ranks = np.array(rng.sample(range(len(often)), len(often)))
+    counts = [dict(zip(*np.unique(simhash.shingle_hashes(t.encode(), 3), return_counts=True))) for t in texts]
+    for last, order in ((often, ranks), (often[:0], ranks[:0])):
+        lists = [{v >> simhash.TEXT_BITS for v in simhash.listed(t.encode(), i, last, order).tolist()} for i, t in enumerate(texts)]
+        n = 0
+        for i, j in itertools.combinations(range(len(texts)), 2):
+            dot = sum(float(c) * float(counts[j].get(x, 0)) for x, c in counts[i].items())
+            norm = (sum(float(c) ** 2 for c in counts[i].values()) * sum(float(c) ** 2 for c in counts[j].values())) ** 0.5
+            if dot >= simhash.COSINE * norm:
+                n += 1
+                assert lists[i] & lists[j]
+        assert n > 60
+
+
+def test_lists_of_shared_shingles():
+    values = sorted([(7 << 28) + 1, (7 << 28) + 1, (8 << 28) + 1, (8 << 28) + 2, (9 << 28) + 2, (9 << 28) + 1, (-5 << 28) + 3, (-5 << 28) + 2, (-5 << 28) + 3, (11 << 28) + 4])
+    for size in (1, 3, 10):
+        batches = [pa.RecordBatch.from_pydict({"value": values[i : i + size]}) for i in range(0, len(values), size)]
+        lists = {}
+        for batch in simhash._shared_lists(iter(batches)):
+            for key, short in zip(*(batch.column(i).to_pylist() for i in (0, 1))):
+                lists.setdefault(key, []).append(short)
+        assert sorted(lists.values()) == [[1, 2], [2, 3]]
