@@ -206,7 +206,11 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def edges_of(parts: list) -> list[tuple[int, int]]:
         if sum(len(ids) for ids, _ in parts) < 2:
             return []
-        return _tree_edges(np.concatenate([p for _, p in parts]), np.concatenate([i for i, _ in parts]))
+        ids, prints = (np.concatenate([part[i] for part in parts]) for i in (0, 1))
+        if len(ids) > 64:  # equal lists of several tasks come under one key
+            ids, first = np.unique(ids, return_index=True)
+            prints = prints[first]
+        return _tree_edges(prints, ids)
 
     for batch in batches:
         if not batch.num_rows:

@@ -155,3 +155,12 @@ def test_lists_of_shared_shingles():
             for key, short in zip(*(batch.column(i).to_pylist() for i in (0, 1))):
                 lists.setdefault(key, []).append(short)
         assert sorted(lists.values()) == [[1, 2], [2, 3]]
+
+
+def test_equal_lists_of_several_tasks_are_compared_once(monkeypatch):
+    rng = np.random.default_rng(3)
+    prints = np.tile(rng.integers(0, 1 << 63, (50, simhash.WORDS), dtype=np.uint64), (6, 1))
+    table = {"key": np.full(300, 7), "node": np.tile(np.arange(50), 6), **{f"w{i}": prints[:, i].view(np.int64) for i in range(simhash.WORDS)}}
+    compared, tree_edges = [], simhash._tree_edges
+    monkeypatch.setattr(simhash, "_tree_edges", lambda p, i: compared.append(len(i)) or tree_edges(p, i))
+    assert [b.num_rows for b in simhash._meet(iter([pa.RecordBatch.from_pydict(table)]))] == [0] and compared == [50]
