@@ -36,8 +36,10 @@ LONG = 16
 WORDS, WIDE_BITS = 4, 40
 #: Texts whose shingle counts have at least this cosine meet under a shingle; those of at most WHOLE shingles, where they share any.
 COSINE, WHOLE = 0.65, 64
-#: Shingles in a thousandth of about so many texts are frequent; the most frequent of them are put last, which orders them but leaves none out.
-SAMPLED, FREQUENT = 5000, 20_000
+#: Shingles of one text in COMMON, and of LEAST texts, are frequent and put last, the most frequent at the end; that orders them and leaves none out.
+COMMON, LEAST = 1000, 5
+#: Counters of a task that looks for frequent shingles (16 MB), and texts it should see at least.
+COUNTERS, TEXTS_A_TASK = 1 << 22, 5000
 #: Low bits of a listed value that name the text; the others name the shingle.
 TEXT_BITS = 28
 #: Rounds that thin out the edges before components are looked for.
@@ -290,17 +292,43 @@ def _shared_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles in a thousandth or more of about SAMPLED texts of docs (text_key, text), sorted, and their ranks, the rarest first."""
-    every = max(1, docs.count() // SAMPLED)
+    """Shingles in a thousandth (COMMON) or more of all texts of docs (text_key, text), sorted, and their ranks, the rarest first.
+
+    The counts are exact, over every text. A shingle of a thousandth of all texts is in a thousandth of some task's texts; so tasks
+    first count shingles by COUNTERS buckets, and only shingles of buckets with so many in some task are counted one by one.
+    At most COMMON times the mean number of shingles a text has are frequent.
+    """
+    n = docs.count()
+
+    def distinct_of(batch: pa.RecordBatch) -> np.ndarray:
+        return np.concatenate([np.zeros(0, dtype=np.uint64), *(np.unique(shingle_hashes(x, 3)) for x in text_bytes(batch.column("text")))])
+
+    def bucket(shingles: np.ndarray) -> np.ndarray:
+        return (shingles & np.uint64(COUNTERS - 1)).astype(np.int64)
+
+    def full_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, texts = np.zeros(COUNTERS, dtype=np.int32), 0
+        for batch in batches:
+            at, more = np.unique(bucket(distinct_of(batch)), return_counts=True)
+            counts[at] += more.astype(np.int32)
+            texts += batch.num_rows
+        words = np.packbits((counts > 0) & (counts >= texts / COMMON), bitorder="little").view(np.int64)
+        some = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(words[some])], names=["word", "bits"])
+
+    few = docs.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, n // TEXTS_A_TASK))
+    found = few.mapInArrow(full_buckets, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")).collect()
+    full = np.zeros(COUNTERS // 64, dtype=np.int64)
+    full[[r["word"] for r in found]] = [r["bits"] for r in found]
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        is_full = np.unpackbits(full.view(np.uint8), bitorder="little").astype(bool)
         for batch in batches:
-            found = [np.zeros(0, dtype=np.uint64), *(np.unique(shingle_hashes(x, 3)) for x in text_bytes(batch.column("text")))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["shingle"])
+            own = distinct_of(batch)
+            yield pa.RecordBatch.from_arrays([pa.array(own[is_full[bucket(own)]].view(np.int64))], names=["shingle"])
 
-    some = docs.where(F.pmod(F.xxhash64("text_key"), F.lit(every)) == 0).mapInArrow(shingles, "shingle bigint")
-    often = some.groupBy("shingle").count().where(F.col("count") >= max(2, SAMPLED // 1000)).orderBy(F.desc("count"), "shingle").limit(FREQUENT)
-    found = np.array([r["shingle"] for r in often.collect()], dtype=np.int64).view(np.uint64)[::-1]
+    often = docs.mapInArrow(shingles, "shingle bigint").groupBy("shingle").count().where(F.col("count") >= max(LEAST, -(-n // COMMON)))
+    found = np.array([r["shingle"] for r in often.orderBy(F.desc("count"), "shingle").collect()], dtype=np.int64).view(np.uint64)[::-1]
     ranks = np.argsort(found)
     return found[ranks], ranks
 
